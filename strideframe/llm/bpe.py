@@ -74,7 +74,8 @@ class Coder:
         import regex
         import sentencepiece
 
-        self.find = regex.compile(vocabulary.pattern).findall
+        self.pattern = regex.compile(vocabulary.pattern)
+        self.find = self.pattern.findall
         self.ranks = vocabulary.ranks
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=vocabulary.model)
         self.order = sorted(vocabulary.ranks.values())

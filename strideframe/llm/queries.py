@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideframe.llm import ann, bpe, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
+from strideframe.llm import ann, bpe, html_extract, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,18 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.choose(docs, mixing.Mix())
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited_counts(token_counts.sample_edits(table(spark, sf_dir, "documents")), vocabulary())
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -53,6 +61,6 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_classifier, op3_mix_sources, op5_suffix_dedup, op7_sharding, op8_byte_bpe, op9_quality_rules, op10_nearest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_classifier, op3_mix_sources, op4_html_extract, op5_suffix_dedup, op6_token_counts, op7_sharding, op8_byte_bpe, op9_quality_rules, op10_nearest)}
 
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.oracle()}
