@@ -15,6 +15,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -82,6 +83,7 @@ class Coder:
         self.tokens = {rank: token for token, rank in vocabulary.ranks.items()}
         self.known: dict[str, tuple[int, bytes, bytes]] = {}
         self.older: dict[str, tuple[int, bytes, bytes]] = {}
+        self.lists: dict[str, list[int]] = {}
 
     def ids_of(self, pretokens: list[str]) -> list[list[int]]:
         """The ids of each pre-token; one that is a token needs no merges."""
@@ -93,7 +95,17 @@ class Coder:
         return [[order[i - 1] for i in next(merged)] if w is None else [w] for w in whole]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.ids_of(self.find(text)) for i in ids]
+        """The ids of a text; those of short pre-tokens are remembered."""
+        found, lists, out = self.find(text), self.lists, []
+        if len(lists) > 2 * CACHE:
+            lists.clear()
+        for k in range(0, len(found), 20_000):
+            part = found[k : k + 20_000]
+            new = [p for p in dict.fromkeys(part) if p not in lists]
+            if new:
+                lists.update(zip(new, self.ids_of(new), strict=True))
+            out.extend(chain.from_iterable([lists[p] for p in part]))
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
@@ -162,6 +174,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return _over_texts(docs.select("doc_id", "text"), vocabulary, "text", lambda coder, text: (coder.encode(text),), "ids array<int>")
 
 
+def encode_rows(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """docs without the text, with n_tokens, ids and decoded_sha256 (of the bytes that the ids decode to)."""
+
+    def of(coder: Coder, text: str) -> tuple[int, list[int], str]:
+        ids = coder.encode(text)
+        return len(ids), ids, hashlib.sha256(coder.decode(ids)).hexdigest()
+
+    return _over_texts(docs, vocabulary, "text", of, "n_tokens bigint, ids array<int>, decoded_sha256 string")
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id and bytes of rows (doc_id, ids); null ids give empty bytes."""
     shared = encoded.sparkSession.sparkContext.broadcast((vocabulary.ranks, vocabulary.pattern, vocabulary.model))
