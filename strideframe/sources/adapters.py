@@ -55,7 +55,7 @@ def dive_pose(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     u = np.clip((f - (40.0 + k % 7)) / 20.0, 0, 1)
     p = u * u * (3 - 2 * u)
     h = 300.0 + k % 5
-    x = 320.0 + 10.0 * (k % 20) + side * (220.0 + 5.0 * (k % 9)) * p
+    x = 320.0 + 10.0 * (k % 20) + side * (220.0 + 5.0 * (k % 9)) * p + 1.5 * np.sin(0.9 * f + k)
     y = 340.0 - 40.0 * np.sin(np.pi * p) + 0.35 * h * p * p + 0.06 * h
     tilt, bend, arm = np.radians(55.0 * side * p), np.radians(12.5 * (1 - p)), np.minimum(1.0, 1.4 * p)
     up = lambda d, a: (d * h * np.sin(a), -d * h * np.cos(a))
