@@ -11,6 +11,7 @@ encoded anew, and only the sums above them change.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,22 +20,24 @@ from pyspark.sql import functions as F
 
 from strideframe.llm.bpe import Coder, Vocabulary
 
-LEAF, REMEMBER = 64, 600_000
+LEAF, REMEMBER = 16, 500_000
 EDITS = "array<struct<position: bigint, deleted: bigint, inserted: string>>"
 
 
 class Counter:
-    """Tokens of pre-tokens, with a memory of short ones."""
+    """Tokens of pre-tokens; two generations of short ones are remembered."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.coder, self.known = Coder(vocabulary), {}
+        self.coder, self.known, self.older = Coder(vocabulary), {}, {}
 
     def count(self, pretokens: list[str]) -> list[int]:
-        known = self.known
-        if len(known) > REMEMBER:
-            known.clear()
-        new = [p for p in dict.fromkeys(pretokens) if p not in known]
+        if len(self.known) > REMEMBER:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = set(pretokens).difference(known)
         if new:
+            known.update((p, older[p]) for p in new if p in older)
+            new = [p for p in new if p not in known]
             known.update(zip(new, map(len, self.coder.ids_of(new)), strict=True))
         return [known[p] for p in pretokens]
 
@@ -44,12 +47,13 @@ class Tree:
 
     def __init__(self, text: str, counter: Counter):
         self.text, self.counter, self.encoded = text, counter, 0
-        found = counter.coder.find(text)
-        self._build([self._leaf(found[k : k + LEAF]) for k in range(0, len(found), LEAF)] or [(0, 0)])
+        self._build(self._leaves(counter.coder.find(text)) or [(0, 0)])
 
-    def _leaf(self, pretokens: list[str]) -> tuple[int, int]:
+    def _leaves(self, pretokens: list[str], width: int = LEAF) -> list[tuple[int, int]]:
+        """(characters, tokens) of every ``width`` pre-tokens, encoded in one go."""
         self.encoded += len(pretokens)
-        return sum(map(len, pretokens)), sum(self.counter.count(pretokens))
+        tokens, chars = self.counter.count(pretokens), list(map(len, pretokens))
+        return [(sum(chars[k : k + width]), sum(tokens[k : k + width])) for k in range(0, len(pretokens), width)]
 
     def _build(self, leaves: list[tuple[int, int]]) -> None:
         self.n = len(leaves)
@@ -99,7 +103,7 @@ class Tree:
             last = self.n - 1
         span = last - first + 1
         if len(found) > 4 * LEAF * span or not found and span < self.n:
-            made = [self._leaf(found[k : k + LEAF]) for k in range(0, len(found), LEAF)]
+            made = self._leaves(found)
             old = list(zip(self.chars[self.size : self.size + self.n], self.tokens[self.size : self.size + self.n], strict=True))
             self._build(old[:first] + made + old[last + 1 :] or [(0, 0)])  # no other leaf is encoded again
             return
@@ -108,7 +112,7 @@ class Tree:
         for k in range(span):
             width = step + (k < more)
             i = self.size + first + k
-            self.chars[i], self.tokens[i] = self._leaf(found[at : at + width])
+            self.chars[i], self.tokens[i] = (self._leaves(found[at : at + width], max(1, width)) or [(0, 0)])[0]
             at += width
         low, high = (self.size + first) // 2, (self.size + last) // 2
         while low:
@@ -131,6 +135,7 @@ def edited_counts(docs: DataFrame, vocabulary: Vocabulary, edits: str = "edits")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = Counter(Vocabulary(*shared.value))
+        gc.disable()  # nothing here makes cycles
         for pdf in batches:
             out = []
             for text, todo in zip(pdf["text"], pdf["edits"], strict=True):
