@@ -81,14 +81,15 @@ def fingerprint_links(fps: DataFrame, scratch: Scratch, hot: int = HOT) -> DataF
     """
     halves = _halves(fps)
     crowded = scratch.put(halves.groupBy("side", "key").count().where(F.col("count") > hot).select("side", "key"), "crowded")
-    calm = halves.join(crowded, ["side", "key"], "left_anti") if not crowded.isEmpty() else halves
+    calm = halves.hint("merge").join(crowded, ["side", "key"], "left_anti") if not crowded.isEmpty() else halves
     within = F.expr(f"bit_count(a ^ b) <= {RADIUS}")
-    own = calm.withColumnRenamed("fp", "a")
+    # Estimates do not see that explode multiplies rows, so the joins are told to shuffle.
+    own = calm.withColumnRenamed("fp", "a").hint("merge")
     same = own.join(calm.withColumnRenamed("fp", "b"), ["side", "key"]).where(within & F.expr("a < b"))
     meet = own.join(_near_halves(halves).withColumnRenamed("fp", "b"), ["side", "key"]).where(within)
     links = same.select("a", "b").union(meet.select("a", "b"))
     if not crowded.isEmpty():
-        touching = halves.union(_near_halves(halves)).join(crowded, ["side", "key"], "left_semi").select("fp").distinct()
+        touching = halves.union(_near_halves(halves)).hint("merge").join(crowded, ["side", "key"], "left_semi").select("fp").distinct()
         links = links.union(ball_links(scratch.put(touching, "touching"), scratch))
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -100,7 +101,7 @@ def ball_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     # The two of a pair are known from the centre itself; larger meetings are read again.
     pairs = scratch.put(centres, "centres")
     two = pairs.where("n = 2 and top <> a").select("a", F.col("top").alias("b"))
-    more = variants.join(pairs.where("n > 2 or top = a").select("z", "a"), "z").select("a", F.col("fp").alias("b"))
+    more = variants.hint("merge").join(pairs.where("n > 2 or top = a").select("z", "a"), "z").select("a", F.col("fp").alias("b"))
     return two.union(more).where(F.expr(f"a <> b and bit_count(a ^ b) <= {RADIUS}")).distinct()
 
 
