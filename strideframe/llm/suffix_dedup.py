@@ -190,13 +190,15 @@ def _texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for did, th, body, blocks in pdf[["did", "th", "body", "list"]].itertuples(index=False):
-                raw = body.encode("utf-8", "surrogatepass")
-                seen = {(b["v"], b["first"], b["size"]) for b in blocks}
-                v, first, size = zip(*sorted(seen), strict=True)
-                yield pd.DataFrame({"v": v, "did": did, "th": th, "first": first, "bytes": [raw[f : f + s + LENGTH - 1] for f, s in zip(first, size, strict=True)]})
-
-    one = keyed.select("did", "th", "body").join(lists, ["did", "th"])
+            for at in range(0, len(pdf), 200):
+                out = []
+                for did, th, body, v, first, size in pdf.iloc[at : at + 200].itertuples(index=False):
+                    raw = body.encode("utf-8", "surrogatepass")
+                    for a, f, s in sorted({*zip(v.tolist(), first.tolist(), size.tolist(), strict=True)}):
+                        out.append((a, did, th, f, raw[f : f + s + LENGTH - 1]))
+                yield pd.DataFrame(out, columns=["v", "did", "th", "first", "bytes"])
+
+    one = keyed.select("did", "th", "body").join(lists, ["did", "th"]).select("did", "th", "body", "list.v", "list.first", "list.size")
     return one.mapInPandas(run, "v bigint, did bigint, th bigint, first bigint, bytes binary")
 
 
@@ -272,21 +274,27 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, crowd: int = CROWD) -> Dat
     return out
 
 
-def _removed(spans, n: int, kind: str):  # noqa: ANN001, ANN202
-    """Byte ranges [begin, end) that windows at the spans cover, merged."""
-    out: list[list[int]] = []
-    for low, high in sorted((s["low"], s["high"]) for s in spans if kind == "all" or s["earlier"]):
-        if out and low <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], min(n, high + LENGTH))
-        else:
-            out.append([low, min(n, high + LENGTH)])
-    return out
+def _removed(low, high, earlier, n: int, kind: str) -> list[tuple[int, int]]:  # noqa: ANN001
+    """Byte ranges [begin, end) that windows at the spans cover, merged; no spans, no ranges."""
+    if low is None:
+        return []
+    begin, end = np.asarray(low), np.minimum(n, np.asarray(high) + LENGTH)
+    if kind == "later":
+        mask = np.asarray(earlier, dtype=bool)
+        begin, end = begin[mask], end[mask]
+    if not len(begin):
+        return []
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(begin[1:] > end[:-1]) + 1
+    return list(zip(begin[np.append(0, new)].tolist(), end[np.append(new - 1, len(end) - 1)].tolist(), strict=True))
 
 
 def _joined(docs: DataFrame, scratch: Scratch, crowd: int, *more: Column) -> DataFrame:
+    """did, th, body, the further columns and the spans of each row as three arrays (NULL without any)."""
     spans = scratch.put(repeated_spans(docs, scratch, crowd), "spans")
     lists = spans.groupBy("did", "th").agg(F.collect_set(F.struct("low", "high", "earlier")).alias("list"))  # bounded by the text
-    return _keyed(docs, *more).join(lists, ["did", "th"], "left")
+    return _keyed(docs, *more).join(lists, ["did", "th"], "left").withColumns({c: F.col(f"list.{c}") for c in ("low", "high", "earlier")}).drop("list")
 
 
 def removal_digests(docs: DataFrame, keep_first: bool = False, scratch: Scratch | None = None, crowd: int = CROWD) -> DataFrame:
@@ -304,9 +312,9 @@ def removal_digests(docs: DataFrame, keep_first: bool = False, scratch: Scratch
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, body, spans in zip(pdf["did"], pdf["body"], pdf["list"], strict=True):
+            for doc, body, *spans in pdf.itertuples(index=False):
                 raw = body.encode("utf-8", "surrogatepass")
-                gone = _removed(spans, len(raw), kind) if spans is not None else []
+                gone = _removed(*spans, len(raw), kind)
                 kept, at = hashlib.sha256(), 0
                 for a, b in gone:
                     kept.update(raw[at:a])
@@ -315,7 +323,7 @@ def removal_digests(docs: DataFrame, keep_first: bool = False, scratch: Scratch
                 out.append((doc, len(raw), sum(b - a for a, b in gone), len(gone), kept.hexdigest()))
             yield pd.DataFrame(out, columns=["did", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    made = _joined(docs, scratch, crowd).select("did", "body", "list").mapInPandas(run, "did bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    made = _joined(docs, scratch, crowd).select("did", "body", "low", "high", "earlier").mapInPandas(run, "did bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return made.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -328,14 +336,11 @@ def remove_copies(docs: DataFrame, scratch: Scratch | None = None, crowd: int =
     scratch = scratch or Scratch(docs.sparkSession)
 
     @F.pandas_udf("string")
-    def cut(bodies: pd.Series, lists: pd.Series) -> pd.Series:
+    def cut(bodies: pd.Series, lows: pd.Series, highs: pd.Series, earliers: pd.Series) -> pd.Series:
         out = []
-        for body, spans in zip(bodies, lists, strict=True):
-            if spans is None or not len(spans):
-                out.append(body)
-                continue
+        for body, *spans in zip(bodies, lows, highs, earliers, strict=True):
             raw, parts, at = body.encode("utf-8", "surrogatepass"), [], 0
-            for a, b in _removed(spans, len(raw), "later"):
+            for a, b in _removed(*spans, len(raw), "later"):
                 while a < b and raw[a] & 0xC0 == 0x80:
                     a += 1
                 while b < len(raw) and b > a and raw[b] & 0xC0 == 0x80:
@@ -345,8 +350,9 @@ def remove_copies(docs: DataFrame, scratch: Scratch | None = None, crowd: int =
             out.append(b"".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass"))
         return pd.Series(out)
 
-    made = _joined(docs, scratch, crowd, F.struct("*").alias("_row"), F.col("text").isNull().alias("_null"))
-    made = made.select("_row", "_null", "body", F.when(F.col("list").isNull(), F.col("body")).otherwise(cut("body", "list")).alias("kept"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    made = _joined(docs, scratch, crowd, rest.alias("_row"), F.col("text").isNull().alias("_null"))
+    made = made.select("_row", "_null", "body", F.when(F.col("low").isNull(), F.col("body")).otherwise(cut("body", "low", "high", "earlier")).alias("kept"))
     made = made.where("kept <> '' or body = ''")
     fields = {f.name: f.dataType for f in docs.schema.fields}
     column = {"text": F.when(~F.col("_null"), F.col("kept")).alias("text")}
