@@ -111,7 +111,8 @@ class Page(HTMLParser):
         part = tag in SILENT or "hidden" in got or any(w in PARTS for w in words) or (tag == "header" and not inside_main)
         main = tag in MAIN or got.get("role") in MAIN
         main = main and not part
-        name = ".".join([tag, *sorted(set(words))])
+        # A class tells columns apart by number; an id with a number is one page's own.
+        name = ".".join([tag, *sorted(set(got.get("class", "").lower().split())), re.sub(r"\d+", "", got.get("id", "").lower())]).rstrip(".")
         self.elements[parent].children.append(name)
         self.elements.append(Element(tag, f"{self.elements[parent].path}/{name}", parent, part, main))
         if main:

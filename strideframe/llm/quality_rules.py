@@ -35,7 +35,7 @@ FEATURES = {
     "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
 }
-BINS, MAX_RULES, MAX_CONDITIONS, MIN_PRECISION, MIN_COVER = 40, 10, 3, 0.6, 5
+BINS, MAX_RULES, MAX_CONDITIONS, MIN_PRECISION, MIN_COVER = 40, 10, 3, 0.75, 2
 
 
 def statistics(docs: DataFrame) -> DataFrame:
