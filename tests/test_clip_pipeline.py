@@ -40,3 +40,15 @@ def test_a_keeper_is_found_and_reported(spark, sf):
     assert {r.clip_id for r in out.keepers.collect()} == {0, 1, 2}
     assert [(r.clip_id, r.direction) for r in out.dives.orderBy("clip_id").collect()] == [(0, "right"), (1, "left"), (2, "right")]
     assert {r.dive_count for r in out.report.collect()} == {1} and out.kicks is None
+
+
+def test_command_line_settings(tmp_path, capsys):
+    from strideframe import __main__ as cli
+
+    (tmp_path / "c.json").write_text('{"tracking": {"max_age": 9}}')
+    args = cli.parser().parse_args(["run", "a", "b", "-o", "c", "-c", str(tmp_path / "c.json"), "--goal-posts", "120,300", "852,300", "--end", "2"])
+    config = cli.settings(args)
+    assert config.tracking.max_age == 9 and config.goalkeeper.enabled and config.goalkeeper.goal_posts == [[120, 300], [852, 300]] and config.video.end_s == 2
+    cli.main(["devices"])
+    cli.main(["backends"])
+    assert "iphone_recent" in capsys.readouterr().out
