@@ -158,7 +158,7 @@ def reference_height(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def track_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks.spans(features(spark, sf_dir).where("frame_index % 3 <> 1")).select("track_id", "n", "first_frame", "last_frame", "coverage")
+    return tracks.spans(features(spark, sf_dir).where("mean_conf >= 0.55D")).select("track_id", "n", "first_frame", "last_frame", "coverage")
 
 
 @query
@@ -268,13 +268,13 @@ def step_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir).where("frame_index % 4 <> 2").select(*TRACK, FRAME, "com_x")
+    f = features(spark, sf_dir).where("mean_conf >= 0.55D").select(*TRACK, FRAME, "com_x")
     return series.gap_fill(f, TRACK, FRAME, "com_x").select("track_id", FRAME, "com_x")
 
 
 @query
 def gap_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = moves(spark, sf_dir).withColumn("g", F.when(F.col("event_id") % 3 > 0, F.col("v")))
+    rows = moves(spark, sf_dir).withColumn("g", F.when(F.col("event_type") != "error", F.col("v")))
     return rows.select("user_id", "idx", series.interpolated(F.col("g"), F.col("idx"), series.over(KEY, "idx")).alias("filled"))
 
 
@@ -388,7 +388,7 @@ def goalkeeper_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def track_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = adapters.dive_tracks(spark, sf_dir)
     both = d.select("clip_id", FRAME, "det_id", g.box_of(F.col("kp")).alias("bbox"), g.mean_confidence(F.col("kp")).alias("mean_conf"))
-    second = both.where("frame_index % 5 <> 0").select("clip_id", FRAME, F.lit(1).cast("bigint").alias("det_id"), F.col("bbox").withField("x1", F.col("bbox.x1") + 900).withField("x2", F.col("bbox.x2") + 900).alias("bbox"), "mean_conf")
+    second = both.select("clip_id", FRAME, F.lit(1).cast("bigint").alias("det_id"), F.col("bbox").withField("x1", F.col("bbox.x1") + 900).withField("x2", F.col("bbox.x2") + 900).alias("bbox"), "mean_conf")
     return tracks.track_boxes(both.union(second)).select("clip_id", FRAME, "det_id", "track_id", "confirmed")
 
 
@@ -425,6 +425,11 @@ def long_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.long(adapters.poses(spark, sf_dir)).drop("clip_id")
 
 
+@query
+def trc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.trc_rows(adapters.poses3d(spark, sf_dir), "vec_id", adapters.FPS)
+
+
 @query
 def tumbling_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = windows.tumbling(moves(spark, sf_dir), "event_type", "v", width="1 day")

@@ -132,7 +132,7 @@ simple("stance_flags", f"track_id, frame_index, concat_ws(',', {', '.join(f'''CA
 
 # Tracks.
 simple("reference_height", f"track_id, {r('median(height_px)', 'reference_px')}, count(height_px) AS n_heights", where="GROUP BY track_id")
-simple("track_span", f"track_id, count(*) AS n, min(frame_index) AS first_frame, max(frame_index) AS last_frame, {r('count(*)::DOUBLE / (max(frame_index) - min(frame_index) + 1)', 'coverage')}", where="WHERE frame_index % 3 <> 1 GROUP BY track_id")
+simple("track_span", f"track_id, count(*) AS n, min(frame_index) AS first_frame, max(frame_index) AS last_frame, {r('count(*)::DOUBLE / (max(frame_index) - min(frame_index) + 1)', 'coverage')}", where="WHERE mean_conf >= 0.55 GROUP BY track_id")
 SQL["longest_track"] = "SELECT 0::BIGINT AS clip_id, label::BIGINT AS track_id, count(*) AS n FROM embeddings GROUP BY label ORDER BY n DESC, label LIMIT 1"
 simple("goal_offsets", f"track_id, frame_index, {r('lateral_m', 'lateral_m')}, {r('depth_m', 'depth_m')}, {r('coverage', 'coverage')}, in_area, CASE WHEN coverage < 0.35 THEN 'left' WHEN coverage > 0.65 THEN 'right' ELSE 'central' END AS mouth", f"(SELECT *, {GOAL} FROM features WHERE com_x IS NOT NULL)")
 SQL["goal_scale"] = f"""WITH a AS (SELECT s_suppkey, (852 - s_suppkey % 1500)::DOUBLE AS ax, 300.0e0 AS ay, 120.0e0 AS bx, (300 + s_suppkey % 7)::DOUBLE AS b_y, CASE WHEN s_suppkey % 3 > 0 THEN 56.0e0 END AS bar FROM supplier),
@@ -169,8 +169,8 @@ simple("gradient_nonuniform", f"user_id, idx, {r(uneven('v', 'm', _U), 'dv', 4)}
 simple("gradient_uniform", f"user_id, idx, {r(even('v', '(1.0e0 / 60)', _U), 'dv')}", "sig", SIGNAL)
 SQL["acceleration"] = f"WITH {SIGNAL}, a AS (SELECT user_id, idx, abs({even('v', '1.0e0', _U)}) AS s FROM sig) SELECT user_id, idx, {r('s', 'speed')}, {r(even('s', '1.0e0', _U), 'acc')} FROM a"
 simple("step_distance", f"track_id, frame_index, {r(step(_T), 'step_px')}", "usable", f"{BASE}, {USABLE}")
-SQL["gap_fill"] = f"WITH {BASE}, f AS (SELECT * FROM features WHERE frame_index % 4 <> 2), d AS (SELECT track_id, unnest(range(min(frame_index), max(frame_index) + 1)) AS frame_index FROM f GROUP BY track_id) SELECT track_id, frame_index, {r('com_x', 'com_x')} FROM d LEFT JOIN f USING (track_id, frame_index)"
-SQL["gap_interpolate"] = f"""WITH {SIGNAL}, g AS (SELECT user_id, idx, CASE WHEN event_id % 3 > 0 THEN v END AS g FROM sig),
+SQL["gap_fill"] = f"WITH {BASE}, f AS (SELECT * FROM features WHERE mean_conf >= 0.55), d AS (SELECT track_id, unnest(range(min(frame_index), max(frame_index) + 1)) AS frame_index FROM f GROUP BY track_id) SELECT track_id, frame_index, {r('com_x', 'com_x')} FROM d LEFT JOIN f USING (track_id, frame_index)"
+SQL["gap_interpolate"] = f"""WITH {SIGNAL}, g AS (SELECT user_id, idx, CASE WHEN event_type <> 'error' THEN v END AS g FROM sig),
   n AS (SELECT *, last_value(CASE WHEN g IS NOT NULL THEN idx END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS ai, last_value(g IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS a,
     first_value(CASE WHEN g IS NOT NULL THEN idx END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bi, first_value(g IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM g)
   SELECT user_id, idx, {r('coalesce(g, a + (b - a) * (idx - ai) / nullif(bi - ai, 0), a, b, 0)', 'filled')} FROM n"""
@@ -239,3 +239,5 @@ simple("capture_warnings", "clip_id, concat_ws(',', CASE WHEN device = 'android_
 # Exports.
 simple("wide_export", f"frame_index AS frame, {r('frame_index / 60.0e0', 'time_s')}, track_id, " + ", ".join(r(f"{a}{i}", f"{j}_{n}") for i, j in enumerate(sk.COCO17) for a, n in (("x", "x"), ("y", "y"), ("c", "conf"))), "pose")
 SQL["long_export"] = f"WITH pose AS ({POSE}) " + " UNION ALL ".join(f"SELECT frame_index, track_id, '{j}' AS joint, {r(f'x{i}', 'x')}, {r(f'y{i}', 'y')}, {r(f'c{i}', 'conf')} FROM pose" for i, j in enumerate(sk.COCO17))
+_PLACES = " || chr(9) || ".join(f"printf('%.6f', {_E(i)})" for i in range(51))
+SQL["trc_rows"] = f"SELECT vec_id, vec_id::VARCHAR || chr(9) || printf('%.6f', vec_id / 60.0e0) || chr(9) || {_PLACES} AS line FROM embeddings"

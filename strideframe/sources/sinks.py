@@ -49,3 +49,40 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error", b
     if fmt == "csv":
         out = out.option("header", True)
     (out.partitionBy(*by) if by else out).save(path)
+
+
+def trc_rows(rows: DataFrame, order: str, fps: float, scale: float = 1.0) -> DataFrame:
+    """order and line: number, seconds and the 3D places of a track's joints, tab-separated, blank where absent."""
+    cell = lambda c: F.coalesce(F.format_string("%.6f", c * F.lit(scale)), F.lit(""))
+    places = F.transform("kp3d", lambda k: F.concat_ws("\t", *[F.when(k[c].isNull(), F.lit("")).otherwise(cell(k[c])) for c in "xyz"]))
+    line = F.concat_ws("\t", F.col(order).cast("string"), F.format_string("%.6f", F.col(order) / F.lit(fps)), F.array_join(places, "\t"))
+    return rows.where("kp3d is not null").select(order, line.alias("line"))
+
+
+def write_trc(rows: DataFrame, path: str, order: str, fps: float, units: str = "m") -> None:
+    """Marker text of one track with 3D places; refused if there are none."""
+    lines = trc_rows(rows, order, fps, {"m": 1.0, "mm": 1000.0}[units])
+    n = lines.count()
+    if not n:
+        raise ValueError("the track has no 3D places")
+    joints = "\t".join(f"{j}\t\t" for j in COCO17)
+    axes = "\t".join(f"X{i}\tY{i}\tZ{i}" for i in range(1, len(COCO17) + 1))
+    head = ["PathFileType\t4\t(X/Y/Z)\tmarkers.trc", "DataRate\tCameraRate\tNumFrames\tNumMarkers\tUnits\tOrigDataRate\tOrigDataStartFrame\tOrigNumFrames", f"{fps:g}\t{fps:g}\t{n}\t{len(COCO17)}\t{units}\t{fps:g}\t1\t{n}", f"Frame#\tTime\t{joints}", f"\t\t{axes}"]
+    top = rows.sparkSession.createDataFrame([(-len(head) + i, h) for i, h in enumerate(head)], "n long, line string")
+    # One marker file is one track of one clip, so it is written as one sorted part.
+    top.union(lines.select(F.col(order).cast("long").alias("n"), "line")).coalesce(1).sortWithinPartitions("n").select("line").write.text(path)
+
+
+def write_all(tables: dict[str, DataFrame], directory: str, formats: list[str]) -> list[str]:
+    """Every table in every format; an unknown format or one that fails is named in the result, the others are written."""
+    problems = []
+    for fmt in formats:
+        if fmt not in ("parquet", "json", "csv"):
+            problems.append(f"no writer for {fmt}")
+            continue
+        for name, df in tables.items():
+            try:
+                write(df, f"{directory}/{fmt}/{name}", fmt)
+            except Exception as e:  # noqa: BLE001  each sink stands alone
+                problems.append(f"{fmt}/{name}: {type(e).__name__}")
+    return problems

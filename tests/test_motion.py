@@ -176,3 +176,13 @@ def test_low_pass_over_groups(spark):
     pdf = pd.DataFrame({"k": [0] * 30 + [1] * 10, "i": [*range(30), *range(10)], "v": np.random.default_rng(1).normal(size=40)})
     out = series.filtered(spark.createDataFrame(pdf), ["k"], "i", ["v"], F.lit(60.0), 6.0).toPandas().sort_values(["k", "i"], ignore_index=True)
     assert np.allclose(out["v"][:30], signal.low_pass(pdf[["v"]].to_numpy()[:30], 60, 6)[:, 0]) and np.allclose(out["v"][30:], pdf["v"][30:])
+
+
+def test_marker_text_and_formats(spark, sf, tmp_path):
+    rows = adapters.poses3d(spark, sf).where("vec_id < 20")
+    sinks.write_trc(rows, str(tmp_path / "trc"), "vec_id", 60.0)
+    lines = [r.value for r in spark.read.text(str(tmp_path / "trc")).collect()]
+    assert len(lines) == 25 and lines[3].startswith("Frame#") and all(x.count("\t") == 52 for x in lines[5:])
+    with pytest.raises(ValueError):
+        sinks.write_trc(rows.limit(0), str(tmp_path / "none"), "vec_id", 60.0)
+    assert sinks.write_all({"a": rows.select("vec_id"), "b": rows}, str(tmp_path / "out"), ["csv", "png", "json"]) == ["csv/b: AnalysisException", "no writer for png"]
