@@ -89,7 +89,10 @@ def fingerprint_links(fps: DataFrame, scratch: Scratch, hot: int = HOT) -> DataF
     meet = own.join(_near_halves(halves).withColumnRenamed("fp", "b"), ["side", "key"]).where(within)
     links = same.select("a", "b").union(meet.select("a", "b"))
     if not crowded.isEmpty():
-        touching = halves.union(_near_halves(halves)).hint("merge").join(crowded, ["side", "key"], "left_semi").select("fp").distinct()
+        # Whoever has a half within one bit of a crowded one: the few crowded halves emit their balls, not the fingerprints.
+        ball = crowded.select("side", F.expr("explode(concat(array(0L), transform(sequence(0, 31), i -> shiftleft(1L, i))))").alias("bit"), "key")
+        ball = ball.select("side", F.col("key").bitwiseXOR(F.col("bit")).alias("key")).distinct()
+        touching = halves.hint("merge").join(ball, ["side", "key"], "left_semi").select("fp").distinct()
         links = links.union(ball_links(scratch.put(touching, "touching"), scratch))
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
