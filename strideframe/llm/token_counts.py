@@ -3,10 +3,16 @@
 A document is kept as a segment tree over its pre-tokens: leaves of some LEAF
 pre-tokens hold their characters and tokens, inner nodes the sums. An edit
 finds its leaves by descending the character sums. Encoding starts again at a
-leaf boundary before the edit, with one character of context, and stops at the
-first pre-token that ends on an old leaf boundary behind the edit: from there
+leaf boundary that no pre-token before it looks across to the edit, and stops at
+the first pre-token that ends on an old leaf boundary behind the edit: from there
 on the text is the old one, so its pre-tokens are too. Only these leaves are
-encoded anew, and only the sums above them change.
+encoded anew, and only the sums above them change. Trees live as long as their
+row is worked on; they are not stored.
+
+A pre-token looks at the character behind it, a contraction at three characters
+from its apostrophe, and white space at its whole run and the character behind
+that. Encoding so starts at or before the end of the last other character ahead
+of the edit, and two characters ahead of it.
 """
 
 from __future__ import annotations
@@ -45,12 +51,13 @@ class Counter:
 class Tree:
     """Segment tree of (characters, tokens) over the leaves of a text."""
 
-    def __init__(self, text: str, counter: Counter):
-        self.text, self.counter, self.encoded = text, counter, 0
+    def __init__(self, text: str, counter: Counter, leaf: int = LEAF):
+        self.text, self.counter, self.encoded, self.leaf = text, counter, 0, leaf
         self._build(self._leaves(counter.coder.find(text)) or [(0, 0)])
 
-    def _leaves(self, pretokens: list[str], width: int = LEAF) -> list[tuple[int, int]]:
-        """(characters, tokens) of every ``width`` pre-tokens, encoded in one go."""
+    def _leaves(self, pretokens: list[str], width: int | None = None) -> list[tuple[int, int]]:
+        """(characters, tokens) of every ``width`` pre-tokens (a leaf's), encoded in one go."""
+        width = width or self.leaf
         self.encoded += len(pretokens)
         tokens, chars = self.counter.count(pretokens), list(map(len, pretokens))
         return [(sum(chars[k : k + width]), sum(tokens[k : k + width])) for k in range(0, len(pretokens), width)]
@@ -86,8 +93,9 @@ class Tree:
         position = min(max(0, position), len(self.text))
         deleted = min(max(0, deleted), len(self.text) - position)
         old_end, shift = position + deleted, len(inserted) - deleted
-        self.text = self.text[:position] + inserted + self.text[old_end:]
-        first, begin = self.find(max(0, position - 1))
+        ahead = self.text[:position]
+        self.text = ahead + inserted + self.text[old_end:]
+        first, begin = self.find(max(0, min(position - 2, len(ahead.rstrip()))))
         last, end = self.find(max(position, old_end - 1))
         end += self.chars[self.size + last]
         found, at = [], begin
@@ -102,7 +110,7 @@ class Tree:
         else:
             last = self.n - 1
         span = last - first + 1
-        if len(found) > 4 * LEAF * span or not found and span < self.n:
+        if len(found) > 4 * self.leaf * span or not found and span < self.n:
             made = self._leaves(found)
             old = list(zip(self.chars[self.size : self.size + self.n], self.tokens[self.size : self.size + self.n], strict=True))
             self._build(old[:first] + made + old[last + 1 :] or [(0, 0)])  # no other leaf is encoded again

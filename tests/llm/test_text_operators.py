@@ -73,6 +73,20 @@ def test_edits_count_like_a_new_encoding(coder):
             assert tree.total == len(coder.encode(tree.text)) and tree.chars[1] == len(tree.text)
 
 
+@pytest.mark.parametrize("leaf", [1, 2, token_counts.LEAF])
+def test_edits_beside_blanks_and_apostrophes_count_like_a_new_encoding(coder, leaf):
+    counter = token_counts.Counter(vocabulary())
+    fill = "a " * 14
+    for text in ["end.\n\n", "a  b", "it'r", "x'l y'v  ", "a \n\t \n b", "é\u3000\u00a0\u2028", fill + "it'r", fill + "b.\n\n", fill + "b  c"]:
+        for position in range(len(text) + 1):
+            for deleted in (0, 1, 2):
+                for inserted in ("", " revised", "e", "l", "\n", " ", "'", "'re"):
+                    tree = token_counts.Tree(text, counter, leaf)
+                    for _ in range(2):  # the second edit meets leaves that the first left
+                        tree.edit(position, deleted, inserted)
+                        assert tree.total == len(coder.encode(tree.text)), (text, position, deleted, inserted)
+
+
 def test_an_edit_encodes_a_small_part(spark):
     text = "alpha beta gamma delta " * 3000
     tree = token_counts.Tree(text, token_counts.Counter(vocabulary()))
