@@ -162,9 +162,14 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
-    """did and th tell a text of a document; rows that repeat both are one."""
+    """did and th tell a text of a document; rows that repeat both are one.
+
+    th is the crc32 of the text, for the order, and 31 bits of its xxhash64, as
+    many texts may share a null doc_id.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.crc32(text.cast("binary")).alias("th"), text.alias("body"), *more)
+    th = F.shiftleft(F.crc32(text.cast("binary")), 31).bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)))
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), th.alias("th"), text.alias("body"), *more)
 
 
 def _blocks(keyed: DataFrame) -> DataFrame:
@@ -185,7 +190,7 @@ _SPANS = "did bigint, th bigint, low bigint, high bigint, earlier boolean"
 
 
 def _texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted blocks (v, did, th, first, size) with their bytes."""
+    """wanted blocks (v, did, th, first, size) with their bytes, once each however many rows repeat the text."""
     lists = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("v", "first", "size")).alias("list"))  # as many as the text has blocks
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +203,7 @@ def _texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
                         out.append((a, did, th, f, raw[f : f + s + LENGTH - 1]))
                 yield pd.DataFrame(out, columns=["v", "did", "th", "first", "bytes"])
 
-    one = keyed.select("did", "th", "body").join(lists, ["did", "th"]).select("did", "th", "body", "list.v", "list.first", "list.size")
+    one = keyed.select("did", "th", "body").dropDuplicates(["did", "th"]).join(lists, ["did", "th"]).select("did", "th", "body", "list.v", "list.first", "list.size")
     return one.mapInPandas(run, "v bigint, did bigint, th bigint, first bigint, bytes binary")
 
 

@@ -104,6 +104,18 @@ def test_keeping_the_first_leaves_each_string_once(spark, crowd):
     assert all(r.n_chars == len(r.text) for r in out.values())
 
 
+@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 2])
+def test_rows_that_repeat_keep_their_first_copies(spark, crowd):
+    rng = random.Random(6)
+    passage, own = words(rng, 90), [words(rng, 60) for _ in range(8)]
+    twice = f"{own[0]} {passage} {own[1]} {passage} {own[2]}"
+    rows = [(4, twice), (5, "ab" * 400 + own[3]), (None, f"{own[4]} {own[5]}"), (None, f"{own[6]} {own[5]} {own[7]}"), (8, f"{own[7]} {passage}")]
+    out = [tuple(r) for r in suffix_dedup.remove_copies(docs(spark, rows + rows[:4]), crowd=crowd).select("doc_id", "text").collect()]
+    once = [tuple(r) for r in suffix_dedup.remove_copies(docs(spark, rows), crowd=crowd).select("doc_id", "text").collect()]
+    assert sorted(out, key=str) == sorted(once + [r for r in once if r[0] != 8], key=str)
+    assert all(any(part in t for _, t in out) for part in (passage, *own))
+
+
 def test_removal_on_odd_tables(spark):
     assert suffix_dedup.removal_digests(docs(spark, [])).count() == 0
     same = docs(spark, [(1, "q" + "w e r t " * 60), (1, "q" + "w e r t " * 60), (None, None)]).selectExpr("*", "1 as did", "'z' as body", "2 as list")
