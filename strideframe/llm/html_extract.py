@@ -9,6 +9,12 @@ importance are removed from each page, and so are those whose tag or name says
 what they are (menus, headers, footers, sidebars, notices, adverts, forms,
 comments), on hosts of any size.
 
+Article and main elements outside such named parts are the main text where they
+hold at least as many words as all else that the tree and the names leave; then
+only they are read. Otherwise (teaser cards beside a body in a plain element)
+they are elements like any other. Inside a named part they count only on a page
+that has no text outside its named parts.
+
 Pages with equal bodies count once in a host's tree, so that copies of an
 article do not make it look like a template.
 """
@@ -47,6 +53,12 @@ ENDS = {
 # Words in a class, an id or a role that name a part beside the article.
 PARTS = frozenset("ad ads advert adverts advertisement advertisements alert banner breadcrumb breadcrumbs byline-ad colophon comment comments complementary consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus foot footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets".split())
 MAIN = frozenset({"article", "main"})
+#: A word; where a script has no blanks, a character.
+WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\s\u3040-\u30ff\u3400-\u9fff]+")
+
+
+def words(text: str) -> int:
+    return len(text.split()) if text.isascii() else len(WORD.findall(text))
 
 
 @dataclass
@@ -56,6 +68,7 @@ class Element:
     parent: int
     part: bool
     main: bool
+    in_part: bool = False
     holds_main: bool = False
     children: list[str] = field(default_factory=list)
 
@@ -66,10 +79,20 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.elements = [Element("body", "", -1, False, False)]
-        self.open, self.blocks, self.now, self.links = [0], [], [], []
+        self.open, self.blocks, self.now, self.links, self.named = [0], [], [], [], []
         self.feed(html)
         self.close()
         self._end_block()
+        if self.named and not self.texts(frozenset()):
+            for at in self.named:
+                self._mark_main(at)
+
+    def _mark_main(self, at: int) -> None:
+        self.elements[at].main = True
+        at = self.elements[at].parent
+        while at >= 0 and not self.elements[at].holds_main:
+            self.elements[at].holds_main = True
+            at = self.elements[at].parent
 
     def _end_block(self) -> None:
         if self.now:
@@ -105,19 +128,21 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         got = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "href", "hidden")}
-        words = [w for k in ("class", "id", "role") for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", got.get(k, "")).lower()) if w]
+        names = [w for k in ("class", "id", "role") for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", got.get(k, "")).lower()) if w]
         parent = self.open[-1]
         inside_main = any(self.elements[e].main for e in self.open)
-        part = tag in SILENT or "hidden" in got or any(w in PARTS for w in words) or (tag == "header" and not inside_main)
+        part = tag in SILENT or "hidden" in got or any(w in PARTS for w in names) or (tag == "header" and not inside_main)
         main = tag in MAIN or got.get("role") in MAIN
         main = main and not part
         # A class tells columns apart by number; an id with a number is one page's own.
         name = ".".join([tag, *sorted(set(got.get("class", "").lower().split())), re.sub(r"\d+", "", got.get("id", "").lower())]).rstrip(".")
         self.elements[parent].children.append(name)
-        self.elements.append(Element(tag, f"{self.elements[parent].path}/{name}", parent, part, main))
-        if main:
-            for e in self.open:
-                self.elements[e].holds_main = True
+        in_part = self.elements[parent].in_part
+        self.elements.append(Element(tag, f"{self.elements[parent].path}/{name}", parent, part, False, part or in_part))
+        if main and in_part:
+            self.named.append(len(self.elements) - 1)
+        elif main:
+            self._mark_main(len(self.elements) - 1)
         self.open.append(len(self.elements) - 1)
         if tag == "a" and got.get("href"):
             self.links.append((len(self.elements) - 1, got["href"]))
@@ -133,20 +158,34 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.now.append((self.open[-1], data))
 
-    def kept(self, low: set[str]) -> list[bool]:
-        """Which elements stay, given the paths of low importance. Parents come before children."""
+    def _stays(self, low: set[str] | frozenset[str], guard: bool = True) -> list[bool]:
+        """Elements that neither a name nor a low importance removes; ``guard``: none that is or holds a main one for its importance. Parents come before children."""
         stays: list[bool] = []
-        narrow = any(e.main for e in self.elements)
-        inside: list[bool] = []
         for e in self.elements:
-            out = (e.part and (not e.holds_main or e.tag in SILENT)) or (e.path in low and not e.holds_main and not e.main)
+            out = (e.part and (not e.holds_main or e.tag in SILENT)) or (e.path in low and not (guard and (e.holds_main or e.main)))
             stays.append((e.parent < 0 or stays[e.parent]) and not out)
-            inside.append(e.main or (e.parent >= 0 and inside[e.parent]))
-        return [s and (i or not narrow) for s, i in zip(stays, inside, strict=True)]
+        return stays
 
-    def texts(self, low: set[str]) -> list[tuple[int, str]]:
-        """(element, text) of the blocks that stay, white space folded."""
-        stays, out = self.kept(low), []
+    def kept(self, low: set[str] | frozenset[str]) -> list[bool]:
+        """Which elements stay, given the paths of low importance."""
+        stays = self._stays(low)
+        if not any(e.main for e in self.elements):
+            return stays
+        inside: list[bool] = []
+        for e in self.elements:
+            inside.append(e.main or (e.parent >= 0 and inside[e.parent]))
+        mass = [0, 0]
+        for block in self.blocks:
+            for e, t in block:
+                if stays[e]:
+                    mass[inside[e]] += words(t)
+        if mass[1] >= mass[0]:
+            return [s and i for s, i in zip(stays, inside, strict=True)]
+        return self._stays(low, guard=False)
+
+    def shown(self, stays: list[bool]) -> list[tuple[int, str]]:
+        """(element, text) of the blocks of these elements, white space folded."""
+        out = []
         for block in self.blocks:
             pieces = [(e, t) for e, t in block if stays[e]]
             text = " ".join("".join(t for _, t in pieces).split())
@@ -154,6 +193,10 @@ class Page(HTMLParser):
                 out.append((pieces[0][0], text))
         return out
 
+    def texts(self, low: set[str] | frozenset[str]) -> list[tuple[int, str]]:
+        """(element, text) of the blocks that stay."""
+        return self.shown(self.kept(low))
+
 
 def extract(html: str | None, low: set[str] = frozenset()) -> str:
     return "\n\n".join(t for _, t in Page(html or "").texts(low))
@@ -166,7 +209,8 @@ def _digest(x: str) -> int:
 def page_nodes(html: str | None) -> list[tuple[str, int, int, list[int]]]:
     """(path, body, style, contents) of the nodes that no name removes already."""
     page = Page(html or "")
-    shown = page.texts(frozenset())
+    # The tree sees what is outside main elements too, as it has a say in which are the main ones.
+    shown, main = page.shown(page._stays(frozenset())), page.texts(frozenset())
     contents: dict[str, set[int]] = {}
     styles: dict[str, list[str]] = {}
     for element, what in [*shown, *((e, "\0" + href) for e, href in page.links)]:
@@ -177,7 +221,7 @@ def page_nodes(html: str | None) -> list[tuple[str, int, int, list[int]]]:
                 contents.setdefault(e.path, set()).add(mark)
                 styles.setdefault(e.path, e.children)
             at = e.parent
-    body = _digest("\0".join(t for _, t in shown))
+    body = _digest("\0".join(t for _, t in main))
     folded = lambda names: "|".join(n for i, n in enumerate(names) if i == 0 or n != names[i - 1])
     return [(path, body, _digest(folded(styles[path])), sorted(marks)) for path, marks in contents.items()]
 
@@ -213,7 +257,10 @@ def extract_pages(pages: DataFrame, scratch: Scratch | None = None, min_pages: i
 
     A null html is empty; no text gives the empty string. A null or odd url
     belongs to the host ''. Repeated rows come out as often as they come in.
-    Where a page has an article or main element, only what is in it is read.
+    Where article and main elements outside named parts hold at least as many
+    words as the rest that stays, only what is in them is read. Hosts with fewer
+    than ``min_pages`` different pages have no style tree; names and words alone
+    decide there.
     Extra columns are not read.
     """
     scratch = scratch or Scratch(pages.sparkSession)

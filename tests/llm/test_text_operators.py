@@ -223,6 +223,32 @@ def test_page_parts_by_name():
     assert html_extract.extract("<div>" * 3000 + "deep") == "deep"
 
 
+CARDS = "".join(f"<article class='card'><a href='/{i}'>Teaser {i}</a></article>" for i in range(3))
+
+
+def test_teaser_cards_and_comment_articles_are_not_the_main_text():
+    body = " ".join(f"word{i}" for i in range(30))
+    assert body in html_extract.extract(f"<div class='content'><p>{body}</p></div>{CARDS}")
+    assert html_extract.extract(f"<div><p>Site</p></div><article><p>{body}</p></article>") == body
+    reader = "<article><p>first! I disagree with all of it</p></article>"
+    assert html_extract.extract(f"<div class='content'><p>{body}</p></div><section id='comments'>{reader}</section>") == body
+    assert html_extract.extract(f"<article><p>{body}</p><section id='comments'>{reader * 9}</section></article>") == body
+    assert html_extract.extract(f"<div class='sidebar'><article><p>{body}</p></article></div>") == body
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 8])
+def test_the_tree_weighs_cards_against_the_body(spark, n):
+    body = lambda i: " ".join(f"w{i}n{j}" for j in range(30))
+    place = "Welcome to our place " * 20
+    plain = [(i, f"http://a.example.org/{i}", f"<div class=content><p>{body(i)}</p></div>{CARDS}") for i in range(n)]
+    marked = [(100 + i, f"http://b.example.org/{i}", f"<div class=x1><p>{place}</p></div><article><p>{body(i)}</p></article>") for i in range(n)]
+    out = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(plain + marked, "page_id long, url string, html string")).collect()}
+    cards = "" if n >= html_extract.MIN_PAGES else "".join(f"\n\nTeaser {i}" for i in range(3))
+    for i in range(n):
+        assert out[i] == body(i) + cards
+        assert out[100 + i] == (body(i) if n >= html_extract.MIN_PAGES else f"{place.strip()}\n\n{body(i)}")
+
+
 def test_style_tree_finds_unnamed_templates(spark):
     page = lambda i: f"<div class=x1><p>Welcome to our place</p><a href='/about'>About us</a></div><div class=x2><p>{' '.join(f'w{i}n{j}' for j in range(40))}</p></div><div class=x3>All rights are kept</div>"
     rows = [(i, f"https://Host.example.com:80/{i}", page(i)) for i in range(12)] + [(20, "http://lonely.example.org/", page(20)), (21, None, None), (22, "odd", "<p>z"), (0, "https://host.example.com/0", page(0))]
