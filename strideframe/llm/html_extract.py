@@ -4,43 +4,57 @@ The pages of a host are merged into one tree: a node is an element's path of
 tags, classes and ids. For every node Spark counts the styles (sequences of
 children) its pages use and the contents (texts and link targets) they show.
 Entropy gives the importance: many styles, or contents that differ from page
-to page, are important; what all pages repeat is not. Branches of low
-importance are removed from each page, and so are those whose tag or name says
-what they are (menus, headers, footers, sidebars, notices, adverts, forms,
-comments), on hosts of any size.
-
-Article and main elements outside such named parts are the main text where they
-hold at least as many words as all else that the tree and the names leave; then
-only they are read. Otherwise (teaser cards beside a body in a plain element)
-they are elements like any other. Inside a named part they count only on a page
-that has no text outside its named parts.
+to page, are important; what all pages repeat is not. An importance measured on
+n pages is drawn towards 1 by one page's weight, (n I + 1 - I) / n, so that one
+rule holds for hosts of every size: with few pages little is known and little
+goes. Branches of low importance are removed from each page.
+
+Entropy cannot tell what differs from page to page but is not the article:
+menus, adverts, footers, readers' comments. Tags and names weigh these:
+
+- Tags nav, footer, aside, dialog and menu and names of comments and adverts
+  are parts beside the article.
+- Other telling names, header and form weigh little: such an element is a part
+  unless the page has no article or main element and all its other text is at
+  most a ninth of the element's; then it is the layout around the article. Names that say what an element lacks or holds
+  (no-sidebar, has-sidebar) and headers of the article itself say nothing.
+- Article and main elements that stay are read alone where they hold at least
+  as many words as all else that stays. Otherwise (teaser cards beside a body in
+  a plain element) they are elements like any other. Inside a part they count
+  only on a page that has no other text.
 
 Pages with equal bodies count once in a host's tree, so that copies of an
-article do not make it look like a template.
+article do not make it look like a template. Each page is parsed once, into
+flat arrays of its elements and text pieces; all later steps read those.
 """
 
 from __future__ import annotations
 
+import functools
+import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.runtime import Scratch
 
-GAMMA, MIN_PAGES, LOW = 0.9, 5, 0.25
+GAMMA, LOW, SALT, OUTSIDE = 0.9, 0.25, 16, 9
 
 # Elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title iframe svg math object canvas audio video select datalist textarea button nav footer aside form dialog menu".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+SILENT = RAW | frozenset("noscript template head svg math object canvas audio video select datalist button".split())
+FIRM = frozenset("nav footer aside dialog menu".split())
+MAIN = frozenset({"article", "main"})
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Open elements that an opening tag ends, up to the nearest of the third set.
+P_STOPS = frozenset("td th li div article section main blockquote button".split())
+#: Open elements that an opening tag ends, up to the nearest of the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -51,8 +65,16 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 # Words in a class, an id or a role that name a part beside the article.
-PARTS = frozenset("ad ads advert adverts advertisement advertisements alert banner breadcrumb breadcrumbs byline-ad colophon comment comments complementary consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus foot footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets".split())
-MAIN = frozenset({"article", "main"})
+FIRM_WORDS = frozenset("ad ads advert adverts advertisement advertisements comment comments discussion disqus promo promoted promotion reply replies respond sponsor sponsored".split())
+SOFT_WORDS = frozenset("alert banner breadcrumb breadcrumbs colophon complementary consent contentinfo cookie cookies copyright dialog disclaimer foot footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup recommended related search share sharing sidebar signup skip social subscribe subscription tags toc toolbar topbar widget widgets".split())
+# Words that turn such a name into one of the layout, or of the article's own header.
+LACKS = frozenset("has have no non not with without".split())
+OWN = frozenset("article content entry headline page post section story title".split())
+
+_SILENT, _FIRM, _SOFT, _MAIN, _INLINE = 1, 2, 4, 8, 16
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?>=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 #: A word; where a script has no blanks, a character.
 WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\s\u3040-\u30ff\u3400-\u9fff]+")
 
@@ -61,217 +83,310 @@ def words(text: str) -> int:
     return len(text.split()) if text.isascii() else len(WORD.findall(text))
 
 
-@dataclass
-class Element:
-    tag: str
-    path: str
-    parent: int
-    part: bool
-    main: bool
-    in_part: bool = False
-    holds_main: bool = False
-    children: list[str] = field(default_factory=list)
+def _digest(x: str) -> int:
+    return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _kind(tag: str, css: str, ident: str, role: str) -> tuple[str, int]:
+    """The node's name and what tag and names say of an element."""
+    # A class tells columns apart by number; an id with a number is one page's own.
+    name = ".".join([tag, *sorted(set(css.lower().split())), re.sub(r"\d+", "", ident.lower())]).rstrip(".")
+    main = tag in MAIN or role.lower() in MAIN
+    kind = _SILENT * (tag in SILENT) | _FIRM * (tag in FIRM) | _SOFT * (tag in ("header", "form")) | _INLINE * (tag in INLINE)
+    for token in f"{css} {ident} {role}".split():
+        parts = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if w}
+        named = parts & (FIRM_WORDS | SOFT_WORDS)
+        if named <= {"header"} and parts & OWN:
+            if named and tag == "header":
+                kind &= ~_SOFT
+        elif named and not parts & LACKS and not (main and len(parts) > 1 and not parts & FIRM_WORDS):
+            kind |= _FIRM if parts & FIRM_WORDS else _SOFT
+    return name, kind | _MAIN * main
 
 
-class Page(HTMLParser):
-    """Elements of a page and its blocks: lists of (element, text) between block boundaries."""
+class Page:
+    """Elements of a page and its text pieces, each with its element and its block."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.elements = [Element("body", "", -1, False, False)]
-        self.open, self.blocks, self.now, self.links, self.named = [0], [], [], [], []
-        self.feed(html)
-        self.close()
-        self._end_block()
-        if self.named and not self.texts(frozenset()):
-            for at in self.named:
-                self._mark_main(at)
-
-    def _mark_main(self, at: int) -> None:
-        self.elements[at].main = True
-        at = self.elements[at].parent
-        while at >= 0 and not self.elements[at].holds_main:
-            self.elements[at].holds_main = True
-            at = self.elements[at].parent
-
-    def _end_block(self) -> None:
-        if self.now:
-            self.blocks.append(self.now)
-            self.now = []
+        self.parent, self.path, self.flag, self.tag = [-1], [0], [0], ["body"]
+        self.kids: list[list[str]] = [[]]
+        self.at, self.block, self.piece = [], [], []
+        self.links: list[tuple[int, str]] = []
+        self._open, self._hidden, self._in_main, self._many, self._n = [0], [False], [False], {}, 0
+        self._read(html)
+
+    def _read(self, html: str) -> None:
+        at, size = 0, len(html)
+        while at < size:
+            match = _TOKEN.search(html, at)
+            self._text(html[at : match.start() if match else size])
+            if not match:
+                break
+            at = match.end()
+            end, start, attributes = match.groups()
+            if end:
+                self._end(end.lower())
+            elif start and html[at - 1] == ">":
+                tag = start.lower()
+                self._start(tag, attributes)
+                if tag in RAW:
+                    stop = _RAW_END[tag].search(html, at)
+                    at = stop.start() if stop else size
+
+    def _text(self, data: str) -> None:
+        if data and not self._hidden[self._open[-1]]:
+            self.at.append(self._open[-1])
+            self.block.append(self._n)
+            self.piece.append(entities.unescape(data) if "&" in data else data)
 
     def _pop_to(self, depth: int) -> None:
-        if any(self.elements[e].tag not in INLINE for e in self.open[depth:]):
-            self._end_block()
-        del self.open[depth:]
-
-    def _close(self, tags: set[str] | frozenset[str], stop: set[str]) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.elements[self.open[depth]].tag
+        for e in self._open[depth:]:
+            self._many[self.tag[e]] -= 1
+            if not self.flag[e] & _INLINE:
+                self._n += 1
+        del self._open[depth:]
+
+    def _close(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
+        if not any(self._many.get(t) for t in tags):
+            return
+        for depth in range(len(self._open) - 1, 0, -1):
+            tag = self.tag[self._open[depth]]
             if tag in tags:
                 self._pop_to(depth)
                 return
             if tag in stop:
                 return
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def _start(self, tag: str, attributes: str) -> None:
         if tag in ("html", "body"):
             return
         if tag == "br":
-            self.now.append((self.open[-1], " "))
+            self._text(" ")
             return
         if tag in CLOSES_P:
-            self._close({"p"}, {"td", "th", "li", "div", "article", "section", "main", "blockquote", "button"})
+            self._close({"p"}, P_STOPS)
         if tag in ENDS:
             self._close(*ENDS[tag])
         if tag not in INLINE and tag != "img":
-            self._end_block()
+            self._n += 1
         if tag in VOID:
             return
-        got = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "href", "hidden")}
-        names = [w for k in ("class", "id", "role") for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", got.get(k, "")).lower()) if w]
-        parent = self.open[-1]
-        inside_main = any(self.elements[e].main for e in self.open)
-        part = tag in SILENT or "hidden" in got or any(w in PARTS for w in names) or (tag == "header" and not inside_main)
-        main = tag in MAIN or got.get("role") in MAIN
-        main = main and not part
-        # A class tells columns apart by number; an id with a number is one page's own.
-        name = ".".join([tag, *sorted(set(got.get("class", "").lower().split())), re.sub(r"\d+", "", got.get("id", "").lower())]).rstrip(".")
-        self.elements[parent].children.append(name)
-        in_part = self.elements[parent].in_part
-        self.elements.append(Element(tag, f"{self.elements[parent].path}/{name}", parent, part, False, part or in_part))
-        if main and in_part:
-            self.named.append(len(self.elements) - 1)
-        elif main:
-            self._mark_main(len(self.elements) - 1)
-        self.open.append(len(self.elements) - 1)
+        got = {}
+        for key, *values in _ATTRIBUTE.findall(attributes) if attributes and not attributes.isspace() else ():
+            got.setdefault(key.lower(), entities.unescape("".join(values)))
+        name, kind = _kind(tag, got.get("class", ""), got.get("id", ""), got.get("role", ""))
+        above = self._open[-1]
+        if tag == "header" and self._in_main[above] or "header" == got.get("class", "").lower() and self._in_main[above]:
+            kind &= ~_SOFT
+        if "hidden" in got:
+            kind |= _SILENT
+        here = len(self.parent)
+        self.kids[above].append(name)
+        self.kids.append([])
+        self.parent.append(above)
+        self.tag.append(tag)
+        self.flag.append(kind)
+        self.path.append(_digest(f"{self.path[above]}/{name}"))
+        self._hidden.append(self._hidden[above] or bool(kind & _SILENT))
+        self._in_main.append(self._in_main[above] or bool(kind & _MAIN and not kind & _FIRM))
+        self._open.append(here)
+        self._many[tag] = self._many.get(tag, 0) + 1
         if tag == "a" and got.get("href"):
-            self.links.append((len(self.elements) - 1, got["href"]))
-
-    def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.elements[self.open[depth]].tag == tag:
-                self._pop_to(depth)
-                return
-        if tag not in INLINE:
-            self._end_block()
-
-    def handle_data(self, data: str) -> None:
-        self.now.append((self.open[-1], data))
-
-    def _stays(self, low: set[str] | frozenset[str], guard: bool = True) -> list[bool]:
-        """Elements that neither a name nor a low importance removes; ``guard``: none that is or holds a main one for its importance. Parents come before children."""
-        stays: list[bool] = []
-        for e in self.elements:
-            out = (e.part and (not e.holds_main or e.tag in SILENT)) or (e.path in low and not (guard and (e.holds_main or e.main)))
-            stays.append((e.parent < 0 or stays[e.parent]) and not out)
-        return stays
-
-    def kept(self, low: set[str] | frozenset[str]) -> list[bool]:
-        """Which elements stay, given the paths of low importance."""
-        stays = self._stays(low)
-        if not any(e.main for e in self.elements):
-            return stays
-        inside: list[bool] = []
-        for e in self.elements:
-            inside.append(e.main or (e.parent >= 0 and inside[e.parent]))
-        mass = [0, 0]
-        for block in self.blocks:
-            for e, t in block:
-                if stays[e]:
-                    mass[inside[e]] += words(t)
-        if mass[1] >= mass[0]:
-            return [s and i for s, i in zip(stays, inside, strict=True)]
-        return self._stays(low, guard=False)
-
-    def shown(self, stays: list[bool]) -> list[tuple[int, str]]:
-        """(element, text) of the blocks of these elements, white space folded."""
-        out = []
-        for block in self.blocks:
-            pieces = [(e, t) for e, t in block if stays[e]]
-            text = " ".join("".join(t for _, t in pieces).split())
-            if text:
-                out.append((pieces[0][0], text))
-        return out
-
-    def texts(self, low: set[str] | frozenset[str]) -> list[tuple[int, str]]:
-        """(element, text) of the blocks that stay."""
-        return self.shown(self.kept(low))
-
-
-def extract(html: str | None, low: set[str] = frozenset()) -> str:
-    return "\n\n".join(t for _, t in Page(html or "").texts(low))
-
-
-def _digest(x: str) -> int:
-    return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def page_nodes(html: str | None) -> list[tuple[str, int, int, list[int]]]:
-    """(path, body, style, contents) of the nodes that no name removes already."""
-    page = Page(html or "")
-    # The tree sees what is outside main elements too, as it has a say in which are the main ones.
-    shown, main = page.shown(page._stays(frozenset())), page.texts(frozenset())
-    contents: dict[str, set[int]] = {}
-    styles: dict[str, list[str]] = {}
-    for element, what in [*shown, *((e, "\0" + href) for e, href in page.links)]:
-        mark, at = _digest(what), element
-        while at > 0:
-            e = page.elements[at]
-            if e.tag not in INLINE:
-                contents.setdefault(e.path, set()).add(mark)
-                styles.setdefault(e.path, e.children)
-            at = e.parent
-    body = _digest("\0".join(t for _, t in main))
-    folded = lambda names: "|".join(n for i, n in enumerate(names) if i == 0 or n != names[i - 1])
-    return [(path, body, _digest(folded(styles[path])), sorted(marks)) for path, marks in contents.items()]
-
-
-def with_host(pages: DataFrame) -> DataFrame:
+            self.links.append((here, got["href"]))
+
+    def _end(self, tag: str) -> None:
+        if self._many.get(tag):
+            for depth in range(len(self._open) - 1, 0, -1):
+                if self.tag[self._open[depth]] == tag:
+                    self._pop_to(depth)
+                    return
+        elif tag not in INLINE:
+            self._n += 1
+
+    def text(self, low: set[int] | frozenset[int] = frozenset()) -> str:
+        return main_text(self.parent, self.path, self.flag, self.at, self.block, self.piece, low)
+
+    def nodes(self) -> tuple[int, list[int], list[int], list[list[int]]]:
+        """Body, and path, style and contents of the nodes that no name removes already.
+
+        An element's contents are its blocks, its link targets and one digest of
+        each child with contents, so that deep pages take no more than flat ones.
+        """
+        stays = _stays(self.parent, self.path, self.flag, self.at, [words(t) for t in self.piece], frozenset(), True, False)
+        outer = [0] * len(self.parent)  # the element itself, or what an inline one stands in
+        for e in range(1, len(outer)):
+            outer[e] = outer[self.parent[e]] if self.flag[e] & _INLINE else e
+        items: list[list[int]] = [[] for _ in outer]
+        for e, what in [*_blocks(self.at, self.block, self.piece, stays), *((e, "\0" + href) for e, href in self.links if stays[e])]:
+            items[outer[e]].append(_digest(what))
+        contents: dict[int, set[int]] = {}
+        styles: dict[int, int] = {}
+        for e in range(len(outer) - 1, 0, -1):
+            if items[e]:
+                path, kids = self.path[e], self.kids[e]
+                contents.setdefault(path, set()).update(items[e])
+                styles[path] = _digest("|".join(n for i, n in enumerate(kids) if i == 0 or n != kids[i - 1]))
+                items[outer[self.parent[e]]].append(_digest(",".join(map(str, items[e]))))
+        return _digest(self.text()), list(contents), list(styles.values()), [sorted(marks) for marks in contents.values()]
+
+
+def _blocks(at: list[int], block: list[int], piece: list[str], stays: list[bool]) -> list[tuple[int, str]]:
+    """(element, text) of the blocks of elements that stay, white space folded."""
+    out, now, parts, first = [], -1, [], 0
+
+    def end() -> None:
+        text = " ".join("".join(parts).split())
+        if text:
+            out.append((first, text))
+
+    for e, b, t in zip(at, block, piece, strict=True):
+        if stays[e]:
+            if b != now:
+                end()
+                now, parts, first = b, [], e
+            parts.append(t)
+    end()
+    return out
+
+
+def _stays(parent: list[int], path: list[int], flag: list[int], at: list[int], mass: list[int], low: set[int] | frozenset[int], guard: bool, released: bool) -> list[bool]:
+    """Elements that neither a part's name nor a low importance removes. Parents come before children.
+
+    guard: a main element and what holds one are not removed for their
+    importance. released: main elements inside parts count, and so no part that
+    holds one is a part.
+    """
+    n = len(parent)
+    holds, named = [False] * n, [False] * n  # named: in a part by its name alone
+    for e in range(1, n):
+        named[e] = named[parent[e]] or bool(flag[e] & (_SILENT if released else _SILENT | _FIRM | _SOFT))
+    for e in range(1, n):
+        if flag[e] & _MAIN and not named[e]:
+            while e >= 0 and not holds[e]:
+                holds[e] = True
+                e = parent[e]
+    gone = [False] * n
+    for e in range(1, n):
+        gone[e] = gone[parent[e]] or bool(flag[e] & _SILENT or flag[e] & _FIRM and not holds[e]) or (path[e] in low and not (guard and holds[e]))
+    soft = [e for e in range(1, n) if flag[e] & _SOFT and not gone[e] and not holds[e]]
+    if not soft:
+        return [not g for g in gone]
+    layout: set[int] = set()
+    if not any(f & _MAIN and not p for f, p in zip(flag, named, strict=True)):
+        own = [0] * n
+        for e, w in zip(at, mass, strict=True):
+            if not gone[e]:
+                own[e] += w
+        # Elements with over half of all words form one chain; other named ones are parts.
+        whole = own[:]
+        for e in range(n - 1, 0, -1):
+            whole[parent[e]] += whole[e]
+        chain = [e for e in soft if 2 * whole[e] > whole[0]]
+        apart = set(soft).difference(chain)
+        plain = own[:]
+        for e in range(n - 1, 0, -1):
+            if e not in apart:
+                plain[parent[e]] += plain[e]
+        layout = {e for e in chain if OUTSIDE * (plain[0] - plain[e]) <= plain[e]}
+    parts = set(soft).difference(layout)
+    for e in range(1, n):
+        gone[e] = gone[parent[e]] or gone[e] or e in parts
+    return [not g for g in gone]
+
+
+def main_text(parent: list[int], path: list[int], flag: list[int], at: list[int], block: list[int], piece: list[str], low: set[int] | frozenset[int]) -> str:
+    """The text of a page, given the paths of low importance."""
+    mass = [words(t) for t in piece]
+    count = lambda stays: sum(w for e, w in zip(at, mass, strict=True) if stays[e])
+    released = False
+    if any(f & _MAIN for f in flag) and not count(_stays(parent, path, flag, at, mass, frozenset(), True, False)):
+        released = True
+    stays = _stays(parent, path, flag, at, mass, low, True, released)
+    if any(f & _MAIN and s for f, s in zip(flag, stays, strict=True)):
+        inside = [False] * len(parent)
+        for e in range(1, len(parent)):
+            inside[e] = stays[e] and (inside[parent[e]] or bool(flag[e] & _MAIN))
+        if 2 * count(inside) >= count(stays):
+            stays = inside
+        else:
+            stays = _stays(parent, path, flag, at, mass, low, False, released)
+    return "\n\n".join(t for _, t in _blocks(at, block, piece, stays))
+
+
+def extract(html: str | None, low: set[int] | frozenset[int] = frozenset()) -> str:
+    return Page(html or "").text(low)
+
+
+def _lists(values: list[list], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.zeros(len(values) + 1, dtype=np.int32)
+    np.cumsum([len(v) for v in values], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array([x for v in values for x in v], kind))
+
+
+_PAGE = {"parent": pa.int32(), "path": pa.int64(), "flag": pa.int32(), "at": pa.int32(), "block": pa.int32(), "piece": pa.string()}
+_PAGE_SQL = "parent array<int>, path array<bigint>, flag array<int>, at array<int>, block array<int>, piece array<string>"
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, the arrays of a page, body, and path, style and contents of its nodes."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return pages.select("page_id", "url", "html", host.alias("host"))
-
-
-def node_importance(hosted: DataFrame, scratch: Scratch) -> DataFrame:
-    """host, path, pages, importance of the nodes of every site style tree."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(host, *node) for host, html in zip(pdf["host"], pdf["html"], strict=True) for node in page_nodes(html)]
-            yield pd.DataFrame(rows, columns=["host", "path", "body", "style", "contents"])
-
-    nodes = hosted.select("host", "html").mapInPandas(run, "host string, path string, body bigint, style bigint, contents array<bigint>")
-    nodes = scratch.put(nodes.dropDuplicates(["host", "path", "body"]), "nodes")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                made = [Page((raw or b"").decode("utf-8", "replace")) for raw in part.column("html").to_pylist()]
+                nodes = [p.nodes() for p in made]
+                arrays = [_lists([getattr(p, c) for p in made], kind) for c, kind in _PAGE.items()]
+                arrays += [pa.array([n[0] for n in nodes], pa.int64()), _lists([n[1] for n in nodes], pa.int64()), _lists([n[2] for n in nodes], pa.int64()), _lists([n[3] for n in nodes], pa.list_(pa.int64()))]
+                kept = [part.column(c) for c in ("page_id", "url", "host")]
+                yield pa.RecordBatch.from_arrays([*kept, *arrays], names=["page_id", "url", "host", *_PAGE, "body", "node", "style", "contents"])
+
+    rows = pages.select("page_id", "url", host.alias("host"), F.col("html").cast("binary").alias("html"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"page_id {kind}, url string, host string, {_PAGE_SQL}, body bigint, node array<bigint>, style array<bigint>, contents array<array<bigint>>")
+
+
+def node_importance(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """host, path, pages, importance of the nodes of every site style tree; pages as ``parsed`` gives them."""
+    each = pages.select("host", "body", F.explode(F.arrays_zip("node", "style", "contents")).alias("x"))
+    nodes = scratch.put(each.select("host", "body", F.col("x.node").alias("path"), "x.style", "x.contents").dropDuplicates(["host", "path", "body"]), "nodes")
     node = ["host", "path"]
     styles = nodes.groupBy(*node, "style").count().groupBy(*node).agg(F.sum("count").alias("pages"), F.sum(F.expr("count * ln(count)")).alias("s"), F.count("*").alias("styles"))
     shown = nodes.select(*node, F.explode("contents").alias("content")).groupBy(*node, "content").count().groupBy(*node).agg(F.avg(F.log("count")).alias("h"))
-    both = styles.join(shown, node)
-    # Entropies to the base of the number of pages; with one page all is important.
+    # Entropies to the base of the number of pages; one page says nothing.
     presentation = F.expr("(ln(pages) - s / pages) / ln(pages)")
     content = F.expr("1 - h / ln(pages)")
     weight = F.pow(F.lit(GAMMA), F.col("styles"))
-    return both.select(*node, "pages", F.when(F.col("pages") < 2, F.lit(1.0)).otherwise((1 - weight) * presentation + weight * content).alias("importance"))
+    raw = F.when(F.col("pages") < 2, F.lit(1.0)).otherwise((1 - weight) * presentation + weight * content)
+    return styles.join(shown, node).select(*node, "pages", ((raw * (F.col("pages") - 1) + 1) / F.col("pages")).alias("importance"))
 
 
-def extract_pages(pages: DataFrame, scratch: Scratch | None = None, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
+def extract_pages(pages: DataFrame, scratch: Scratch | None = None, low: float = LOW) -> DataFrame:
     """page_id, url, text and n_chars of every row.
 
-    A null html is empty; no text gives the empty string. A null or odd url
-    belongs to the host ''. Repeated rows come out as often as they come in.
-    Where article and main elements outside named parts hold at least as many
-    words as the rest that stays, only what is in them is read. Hosts with fewer
-    than ``min_pages`` different pages have no style tree; names and words alone
-    decide there.
-    Extra columns are not read.
+    A null html is empty; no text gives the empty string; bytes that are no
+    UTF-8 become replacement characters; broken markup never fails. A null or
+    odd url belongs to the host ''. Repeated rows come out as often as they come
+    in. Work and memory of a page grow with its length, however deep its
+    elements nest. Extra columns are not read.
     """
     scratch = scratch or Scratch(pages.sparkSession)
-    hosted = with_host(pages)
-    dull = node_importance(hosted, scratch).where((F.col("pages") >= min_pages) & (F.col("importance") < low))
-    lists = scratch.put(dull.groupBy("host").agg(F.collect_set("path").alias("low")), "low")  # nodes of one template
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [extract(h if isinstance(h, str) else "", set(low) if low is not None else set()) for h, low in zip(pdf["html"], pdf["low"], strict=True)]
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    joined = hosted.join(lists, "host", "left").select("page_id", "url", "html", "low")
-    return joined.mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint")
+    # The number is written with the rows, so it stays theirs.
+    rows = scratch.put(parsed(pages).withColumn("uid", F.monotonically_increasing_id()), "parsed")
+    dull = node_importance(rows, scratch).where(F.col("importance") < low).select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    seen = rows.select("uid", "host", F.pmod("uid", F.lit(SALT)).cast("int").alias("salt"), F.explode("node").alias("path"))
+    lists = seen.join(dull, ["host", "path", "salt"]).groupBy("uid").agg(F.collect_set("path").alias("low"))  # as many as the page has nodes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                columns = [part.column(c).to_pylist() for c in (*_PAGE, "low")]
+                texts = [main_text(*page, frozenset(dull or ())) for *page, dull in zip(*columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    joined = rows.join(scratch.put(lists, "low"), "uid", "left").select("page_id", "url", *_PAGE, "low")
+    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -243,10 +243,11 @@ def test_the_tree_weighs_cards_against_the_body(spark, n):
     plain = [(i, f"http://a.example.org/{i}", f"<div class=content><p>{body(i)}</p></div>{CARDS}") for i in range(n)]
     marked = [(100 + i, f"http://b.example.org/{i}", f"<div class=x1><p>{place}</p></div><article><p>{body(i)}</p></article>") for i in range(n)]
     out = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(plain + marked, "page_id long, url string, html string")).collect()}
-    cards = "" if n >= html_extract.MIN_PAGES else "".join(f"\n\nTeaser {i}" for i in range(3))
+    sure = 1 / n < html_extract.LOW  # what all n pages repeat has the importance 1 / n
+    cards = "" if sure else "".join(f"\n\nTeaser {i}" for i in range(3))
     for i in range(n):
         assert out[i] == body(i) + cards
-        assert out[100 + i] == (body(i) if n >= html_extract.MIN_PAGES else f"{place.strip()}\n\n{body(i)}")
+        assert out[100 + i] == (body(i) if sure else f"{place.strip()}\n\n{body(i)}")
 
 
 def test_style_tree_finds_unnamed_templates(spark):
@@ -260,6 +261,78 @@ def test_style_tree_finds_unnamed_templates(spark):
     assert html_extract.extract_pages(frame.limit(0)).count() == 0
 
 
+BODY = " ".join(f"word{i}" for i in range(30))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div class='post has-sidebar'><h1>T</h1><p>b</p></div>", "T\n\nb"),
+        ("<div class='no-sidebar layout'><p>b</p></div>", "b"),
+        ("<div id='main-content-social'><p>b</p></div>", "b"),
+        ("<article class='post tags-politics'><p>b</p></article>", "b"),
+        ("<div class='entry-header'><h1>Head</h1></div><p>b", "Head\n\nb"),
+        ("<article><div class='article-header'><h1>H</h1></div><p>b</article>", "H\n\nb"),
+        ("<article><header><h1>H</h1></header><p>b</article>", "H\n\nb"),
+        (f"<form><nav>n</nav><div class='header'>Site</div><p>{BODY}</p><input><footer>f</footer></form>", BODY),
+        (f"<div class='layout-sidebar'><div class='menu'>one two</div><div class='post'>{BODY}</div></div>", BODY),
+        (f"<div class='sidebar'>{BODY}</div><p>a short article of more than three words</p>", "a short article of more than three words"),
+        (f"<article></article><div class='ad'>{BODY}</div><div class=sidebar>{BODY}</div>", ""),
+        ("a<![foo[x]]>b<![weird x]>c<![CDATA[d]]>e", "abce"),
+        ("<p>x<!-- unterminated <p>y", "x"),
+        ("1 < 2 <3 </ x> <a href='y", "1 < 2 <3"),
+        ("<script>var a='</p>';", ""),
+        ("<p>1<p hidden>2</p><table><tr><td>a<td>b<tr><td>c</table>", "1\n\na\n\nb\n\nc"),
+    ],
+)
+def test_a_name_alone_takes_no_article(page, want):
+    assert html_extract.extract(page) == want
+
+
+def test_no_page_breaks_the_parser():
+    rng = random.Random(1)
+    bits = ["<", "<!", "<![", "<![CDATA[", "]]>", ">", "</", "/", "p", "div", '="', "'", "a", "&", "&#x", "&#55296;", ";", " ", "\n", "<!--", "-->", "<script", "</script>", "<title>", "article", "class=", "\x00", "\ud800", "<?", "-", "é", "<br/>", "<li>", "</li>", "<form>", "hidden"]
+    for _ in range(4000):
+        page = html_extract.Page("".join(rng.choices(bits, k=rng.randint(1, 30))))
+        page.text(), page.nodes()
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    for page in ("<div>x" * 30_000, "<span class=header>x" * 30_000, "<font>" * 30_000 + "<p>y" * 30_000, "<!--" * 90_000, '<a ="' * 90_000, "<" * 300_000):
+        began = time.perf_counter()
+        deep = html_extract.Page(page)
+        deep.text(), deep.nodes()
+        assert time.perf_counter() - began < 20
+
+
+def test_the_tree_finds_the_main_text_of_pages_without_names(spark):
+    """Real pages without article, nav and footer elements and without telling names; a host's menu, notice and footer are its template."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    template: dict[str, tuple[str, str]] = {}
+    rows, want = [], {}
+    hosts = Counter(re.search("://([^/]+)", r.url)[1].lower() for r in pages)
+    for r in pages:
+        host = re.search("://([^/]+)", r.url)[1].lower()
+        article = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
+        top, foot = r.html[r.html.index("<nav>") + 5 : r.html.index("</nav>")], r.html[r.html.index("<footer>") + 8 : r.html.index("</footer>")]
+        top, foot = template.setdefault(host, (top, foot))
+        rows.append((r.page_id, r.url, f"<html><body><div class=a>{top}</div><div class=b>{article}</div><div class=c>{foot}</div></body></html>"))
+        want[r.page_id] = html_extract.extract(f"<div class=b>{article}</div>"), host
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    large = [i for i, (_, host) in want.items() if hosts[host] > 8]
+    assert len(large) > 20 and all(got[i] == want[i][0] for i in large)
+    assert not any(html_extract.extract(html) == want[i][0] for i, _, html in rows)  # no tree: the templates stay
+
+
+def test_page_ids_beside_nulls_and_bytes_that_are_no_utf8(spark):
+    big = 2**53 + 1
+    frame = spark.createDataFrame([(big, "u", bytearray(b"<p>a\xff\x00b")), (None, "u", None), (big + 2, None, bytearray(b"<p>c"))], "page_id long, url string, html binary").selectExpr("page_id", "url", "cast(html as string) as html")
+    out = {r.page_id: r.text for r in html_extract.extract_pages(frame).collect()}
+    assert out == {big: "a\ufffd\x00b", None: "", big + 2: "c"}
+
+
 def test_pages_give_their_articles(spark):
     import html
 
