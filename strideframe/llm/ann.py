@@ -1,33 +1,43 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Every vector is normalised and projected on several sets of random orthonormal
+Every vector is normalised and projected on many sets of orthonormal
 directions; each set, with a random shift of its grid, gives a Hilbert order.
-The orders are range-partitioned and sorted by Spark, so every vector gets its
-place in each order. A query looks at the keys within ``reach`` of its place
-(a share of all vectors) in every order; the windows are reranked by exact
-cosine in double precision and merged.
+The orders are cut into ranges by the keys of a sample and each range is sorted
+by Spark. A query looks at the ``reach`` places before and behind its own in
+every order, a number that does not depend on the table. The vectors travel as
+codes of four bits a component; by these the best WINDOW_TOP of each window
+go on, the windows of a query are merged, and the best MERGED_TOP are reranked by
+exact cosine in double precision.
+
+A range ends where the sample says, and windows end with it: at most ``reach``
+of RANGE places, so this costs next to nothing and no task waits for another.
 
 Equal vectors are indexed once with their smallest ids, so a vector that many
 rows share costs as much as any other, and ties still go to the smaller ids.
 
-The share matters: where vectors have no structure, as random directions in
-64 dimensions, narrow windows miss neighbours on any curve. CURVES and REACH
-are set for a recall over 0.9 on such data; see the README for figures.
+What a query costs is fixed by CURVES and REACH; what it finds depends on the
+data. Where vectors have no structure (random directions in 64 dimensions) the
+recall falls as the table grows and more curves are needed; the README has
+figures.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.llm.runtime import Scratch
 
-CURVES, DIMENSIONS, BITS, REACH, BLOCK, SAMPLE, SALT, QUERIES_A_TASK, SEED = 24, 8, 6, 0.02, 512, 4096, 16, 4096, 5
+CURVES, DIMENSIONS, BITS, REACH, WINDOW_TOP, MERGED_TOP = 72, 12, 5, 160, 16, 64
+#: Vectors that fit the grids and the ranges; rows of a range; equal vectors are found in so many salted groups first.
+SAMPLE, RANGE, SALT, SEED = 4096, 20_000, 16, 5
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -57,20 +67,27 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Orders:
-    """Directions (curves, size, dimensions), centre and spread of the grids."""
+    """The curves of vectors of one size: directions (curves, size, dimensions), centre, spread and shift of the grids, and the keys that begin ranges (curves, ranges - 1)."""
 
     directions: np.ndarray
     centre: np.ndarray
     spread: np.ndarray
     shift: np.ndarray
     bits: int
+    bounds: np.ndarray
 
     @classmethod
-    def fit(cls, sample: np.ndarray, curves: int, dimensions: int, bits: int) -> Orders:
+    def fit(cls, sample: np.ndarray, curves: int, ranges: int = 1, dimensions: int = DIMENSIONS, bits: int = BITS) -> Orders:
+        """Directions that come from one rotation are orthogonal, so that their curves differ as much as they can."""
         rng, size = np.random.default_rng(SEED), sample.shape[1]
-        directions = np.stack([np.linalg.qr(rng.normal(size=(size, min(dimensions, size))))[0] for _ in range(curves)])
+        dimensions = min(dimensions, size)
+        each = size // dimensions
+        turns = [np.linalg.qr(rng.normal(size=(size, size)))[0][:, : each * dimensions] for _ in range(-(-curves // each))]
+        directions = np.stack([t[:, k : k + dimensions] for t in turns for k in range(0, each * dimensions, dimensions)])[:curves]
         placed = np.einsum("ns,csd->cnd", sample, directions)
-        return cls(directions, placed.mean(axis=1), np.maximum(placed.std(axis=1), 1e-9), rng.uniform(-0.5, 0.5, (curves, directions.shape[2])), bits)
+        made = cls(directions, placed.mean(axis=1), np.maximum(placed.std(axis=1), 1e-9), rng.uniform(-0.5, 0.5, (curves, dimensions)), bits, np.zeros((curves, 0), np.int64))
+        keys = np.sort(made.keys(sample), axis=0)
+        return cls(*[getattr(made, c) for c in ("directions", "centre", "spread", "shift", "bits")], keys[(np.arange(1, ranges) * len(keys)) // ranges].T)
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """Hilbert keys (n, curves)."""
@@ -81,23 +98,45 @@ class Orders:
             out.append(hilbert_keys(cells.astype(np.int64), self.bits))
         return np.stack(out, axis=1).astype(np.int64)
 
+    def parts(self, keys: np.ndarray) -> np.ndarray:
+        """The range of each key, numbered through all curves."""
+        ranges = self.bounds.shape[1] + 1
+        return np.stack([c * ranges + np.searchsorted(b, keys[:, c], side="right") for c, b in enumerate(self.bounds)], axis=1)
+
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def coded(unit: np.ndarray) -> np.ndarray:
+    """Four bits a component, two in a byte (n, half the size rounded up)."""
+    steps = (np.rint(unit / np.abs(unit).max(axis=1, keepdims=True) * 7) + 8).astype(np.uint8)
+    if steps.shape[1] % 2:
+        steps = np.hstack([steps, np.full((len(steps), 1), 8, np.uint8)])
+    return steps[:, ::2] << 4 | steps[:, 1::2]
+
+
+def decoded(codes: np.ndarray) -> np.ndarray:
+    """Unit vectors of codes, in single precision."""
+    out = np.empty((len(codes), 2 * codes.shape[1]), np.float32)
+    out[:, ::2], out[:, 1::2] = codes >> 4, codes & 15
+    out -= 8
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
 def cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Cosine of every query with every vector, in double precision."""
-    return (queries @ vectors.T) / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(vectors, axis=1)[None, :])
+    """Cosine of every query with the vector of its row, in double precision; equal rows give equal numbers wherever they stand."""
+    of = lambda a, b: (a * b).sum(axis=1)
+    return of(queries, vectors) / np.sqrt(of(queries, queries) * of(vectors, vectors))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (array<double>) of the vectors that take part.
+    """vec_id and embedding of the vectors that take part.
 
     Vectors that are null, empty, zero or hold null or non-finite components do not, nor do rows with a null vec_id.
     """
     good = F.expr("vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
-    return vectors.where(good).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return vectors.where(good).select("vec_id", "embedding")
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
@@ -108,68 +147,130 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     return salted.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_set("vec_id")).alias("ids"))
 
 
-def _places(reps: DataFrame, orders: Orders, scratch: Scratch) -> DataFrame:
-    """curve, rep, place: the place of each vector in each order."""
-
-    @F.pandas_udf("array<bigint>")
-    def keys(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(orders.keys(unit(np.vstack(vectors.to_numpy()))))) if len(vectors) else pd.Series([], dtype=object)
-
-    keyed = reps.select("rep", F.posexplode(keys("embedding")).alias("curve", "key"))
-    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(parts, "curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
-    table = scratch.put(ordered.withColumn("id", F.monotonically_increasing_id()).select("curve", "rep", F.expr("id >> 33").alias("part"), F.expr("id & 8589934591").alias("n")), "ordered")
-    # One row for each partition and curve; both numbers are settings, not data.
-    sizes = table.groupBy("part", "curve").agg(F.count("*").alias("size"), F.min("n").alias("first"))
-    before = F.sum("size").over(Window.partitionBy("curve").orderBy("part")) - F.col("size")
-    offsets = scratch.put(sizes.select("part", "curve", (before - F.col("first")).alias("offset")), "offsets")
-    return table.join(offsets, ["part", "curve"]).select("curve", "rep", (F.col("n") + F.col("offset")).alias("place"))
-
-
-def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, curves: int = CURVES, reach: float = REACH, scratch: Scratch | None = None) -> DataFrame:
+def _keyed(reps: DataFrame, orders: dict[int, Orders]) -> DataFrame:
+    """part, key, rep and code of each vector in each of its orders; the first byte of a code marks queries."""
+    first = {}
+    for size, o in sorted(orders.items()):
+        first[size] = sum(o.bounds.size + len(o.bounds) for s, o in orders.items() if s < size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("embedding")
+            sizes = np.diff(lists.offsets.to_numpy())
+            starts = lists.offsets.to_numpy()[:-1]
+            values = lists.values.to_numpy(zero_copy_only=False)
+            reps, asked = batch.column("rep").to_numpy(), batch.column("asked").to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes):
+                o, rows = orders[int(size)], np.flatnonzero(sizes == size)
+                for at in range(0, len(rows), 1000):
+                    some = rows[at : at + 1000]
+                    near = unit(values[starts[some, None] + np.arange(size)].astype(np.float64))
+                    keys = o.keys(near)
+                    codes = np.hstack([asked[some, None].astype(np.uint8), coded(near)])
+                    n, curves, width = *keys.shape, codes.shape[1]
+                    code = pa.Array.from_buffers(pa.binary(), n * curves, [None, pa.py_buffer(np.arange(0, (n * curves + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.repeat(codes, curves, axis=0).tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array((first[int(size)] + o.parts(keys)).astype(np.int32).ravel()), pa.array(keys.ravel()), pa.array(np.repeat(reps[some], curves)), code], names=["part", "key", "rep", "code"])
+
+    return reps.select("rep", "asked", "embedding").mapInArrow(run, "part int, key bigint, rep bigint, code binary")
+
+
+def windows(ordered: DataFrame, reach: int, top: int) -> DataFrame:
+    """query, rep, near: the best of each query's window in each range; ordered has part, key, rep, code, sorted by the first three within partitions."""
+
+    def best(reps: np.ndarray, codes: np.ndarray, begin: int, end: int) -> pa.RecordBatch | None:
+        """Of the queries at places begin..end - 1."""
+        asked = begin + np.flatnonzero(codes[begin:end, 0])
+        if not len(asked):
+            return None
+        vectors, found = decoded(codes[:, 1:]), []
+        for at in range(0, len(asked), 512):
+            q = asked[at : at + 512]
+            places = q[:, None] + np.delete(np.arange(-reach, reach + 1), reach)
+            inside = (places >= 0) & (places < len(reps))
+            places = np.clip(places, 0, len(reps) - 1)
+            near = np.einsum("qws,qs->qw", vectors[places], vectors[q])
+            near[~inside] = -np.inf
+            take = min(top, near.shape[1])
+            chosen = np.argpartition(-near, take - 1, axis=1)[:, :take]
+            good = np.take_along_axis(inside, chosen, axis=1)
+            found.append((np.repeat(reps[q], take).reshape(-1, take)[good], reps[np.take_along_axis(places, chosen, axis=1)][good], np.take_along_axis(near, chosen, axis=1)[good]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["query", "rep", "near"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, reps, codes, done = None, None, None, 0
+        for batch in batches:
+            parts = batch.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                code = batch.column("code").slice(a, b - a)
+                width = len(code[0].as_py())
+                offset = np.frombuffer(code.buffers()[1], np.int32)[code.offset]
+                more = np.frombuffer(code.buffers()[2], np.uint8)[offset : offset + (b - a) * width].reshape(-1, width)
+                if parts[a] != part:
+                    if part is not None and (out := best(reps, codes, done, len(reps))):
+                        yield out
+                    part, reps, codes, done = parts[a], batch.column("rep").to_numpy()[a:b], more, 0
+                else:
+                    reps, codes = np.concatenate([reps, batch.column("rep").to_numpy()[a:b]]), np.concatenate([codes, more])
+                if len(reps) - done > 4 * RANGE:  # windows that are complete; what later ones need stays
+                    if out := best(reps, codes, done, len(reps) - reach):
+                        yield out
+                    keep = max(0, len(reps) - 2 * reach)
+                    reps, codes, done = reps[keep:], codes[keep:], len(reps) - reach - keep
+        if part is not None and (out := best(reps, codes, done, len(reps))):
+            yield out
+
+    return ordered.mapInArrow(run, "query bigint, rep bigint, near float")
+
+
+def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, curves: int = CURVES, reach: int = REACH, scratch: Scratch | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every query row.
 
     Candidates are all rows but the query's own. Nearest first, ties to the
     smaller vec_id; fewer than k if there are not as many candidates. Vectors
-    of different lengths are never neighbours; the most common length
-    is searched. Rows that repeat a vec_id with the same vector count once.
-    Extra columns are not read; no vectors, no rows.
+    of different lengths are never neighbours; each length has curves of its
+    own. Rows that repeat a vec_id with the same vector count once; a vec_id
+    with several vectors is a query with each. Extra columns are not read; no
+    vectors, no rows. Grids and ranges are fitted on SAMPLE vectors of all
+    lengths; all vectors are indexed.
     """
     scratch = scratch or Scratch(vectors.sparkSession)
-    rows = usable(vectors)
-    lengths = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    if not lengths:
+    rows = scratch.put(usable(vectors).distinct(), "rows")
+    counts = {r["size"]: r["count"] for r in rows.groupBy(F.size("embedding").alias("size")).count().collect()}  # a row for each length
+    if not counts:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = scratch.put(rows.where(F.size("embedding") == lengths[0]["size"]).distinct(), "rows")
     reps = scratch.put(distinct_vectors(rows, k + 1), "reps")
-    asked = scratch.put(rows.where(is_query).join(reps.select("embedding", "rep"), "embedding").select(F.col("vec_id").alias("query_id"), "rep"), "asked")
-    n = reps.count()
-    sample = np.array([r["embedding"] for r in reps.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("embedding").collect()])  # bounded by SAMPLE
-    places = scratch.put(_places(reps, Orders.fit(unit(sample), curves, DIMENSIONS, BITS), scratch), "places")
-    span = int(np.ceil(reach * n))
-    parts = max(1, int(np.ceil((2 * span + BLOCK) / 50 / QUERIES_A_TASK)))
-    packed = reps.select("rep", "embedding")
-    blocks = places.join(packed, "rep").select("curve", F.expr(f"place div {BLOCK}").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "rep", "embedding")
-    queries = places.join(asked.select("rep").distinct(), "rep").join(packed, "rep").select(F.col("curve").alias("q_curve"), F.explode(F.expr(f"sequence(greatest(0, place - {span}) div {BLOCK}, (place + {span}) div {BLOCK})")).alias("q_block"), F.pmod(F.hash("rep"), F.lit(parts)).alias("q_part"), F.col("rep").alias("q_rep"), F.col("embedding").alias("q_embedding"))
-
-    def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "rep": [], "score": []}).astype({"query": "int64", "rep": "int64"})
-        left = left.sort_values("rep")
-        ids, of = left["rep"].to_numpy(), np.vstack(left["embedding"].to_numpy())
-        take = min(k + 1, len(ids))
-        out = []
-        for at in range(0, len(right), 1024):
-            part = right.iloc[at : at + 1024]
-            near = cosines(np.vstack(part["q_embedding"].to_numpy()), of)
-            best = np.argsort(-near, axis=1, kind="stable")[:, :take]
-            out.append(pd.DataFrame({"query": np.repeat(part["q_rep"].to_numpy(), take), "rep": ids[best].ravel(), "score": np.take_along_axis(near, best, axis=1).ravel()}))
-        return pd.concat(out)
-
-    found = blocks.groupBy("curve", "block", "part").cogroup(queries.groupBy("q_curve", "q_block", "q_part")).applyInPandas(rerank, "query bigint, rep bigint, score double")
-    merged = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
-    top = merged.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("n") <= k + 1)
-    listed = top.join(reps.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
+    asked = scratch.put(rows.where(is_query).join(reps.select("embedding", "rep"), "embedding").select(F.col("vec_id").alias("query_id"), "rep", "embedding"), "asked")
+    sample = defaultdict(list)
+    for r in reps.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("embedding").collect():  # bounded by SAMPLE
+        sample[len(r["embedding"])].append(r["embedding"])
+    orders = {}
+    for size, n in counts.items():
+        drawn = unit(np.array(sample[size], dtype=np.float64)) if sample[size] else unit(np.random.default_rng(SEED).normal(size=(64, size)))
+        orders[size] = Orders.fit(drawn, curves, max(1, min(n // RANGE, len(drawn) // 8)))
+    marked = reps.join(asked.select("rep", F.lit(True).alias("asked")).distinct(), "rep", "left").select("rep", "embedding", F.coalesce("asked", F.lit(False)).alias("asked"))
+    ordered = _keyed(marked, orders).repartition("part").sortWithinPartitions("part", "key", "rep")
+    merged = windows(ordered, reach, WINDOW_TOP).groupBy("query", "rep").agg(F.max("near").alias("near"))
+    first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "rep"))
+    pairs = merged.withColumn("n", first).where(F.col("n") <= MERGED_TOP).select("query", "rep")
+    own = asked.select(F.col("rep").alias("query"), "embedding").dropDuplicates(["query"])
+    pairs = scratch.put(pairs.union(own.select("query", F.col("query").alias("rep"))), "pairs")
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.empty(len(a))
+        sizes = a.map(len).to_numpy()
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            out[at] = cosines(*(np.vstack(x.to_numpy()[at]).astype(np.float64) for x in (a, b)))
+        return pd.Series(out)
+
+    both = pairs.join(reps.select("rep", "ids", F.col("embedding").alias("b")), "rep").join(own.withColumnRenamed("embedding", "a"), "query")
+    scored = both.select("query", "rep", "ids", score("a", "b").alias("score"))
+    top = scored.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("n") <= k + 1)
+    listed = top.select("query", "score", F.explode("ids").alias("vec_id"))
     # At most (k + 1) squared ids for each query vector.
     best = scratch.put(listed.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k + 1).alias("near")), "best")
     each = asked.join(best, asked["rep"] == best["query"]).select("query_id", F.posexplode(F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("n", "x"))
@@ -178,10 +279,10 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, cu
 
 def brute_force(ids: Iterator[int], vectors: np.ndarray, k: int = 5) -> dict[int, list[tuple[int, float]]]:
     """For tests: all candidates of every query (vec_id divisible by 50)."""
-    ids = np.array(list(ids))
-    near = cosines(vectors, vectors)
-    out = {}
-    for i in np.flatnonzero(ids % 50 == 0):
-        order = sorted((j for j in range(len(ids)) if ids[j] != ids[i]), key=lambda j: (-near[i, j], ids[j]))[:k]
-        out[int(ids[i])] = [(int(ids[j]), float(near[i, j])) for j in order]
+    ids, out = np.array(list(ids)), {}
+    near = unit(vectors[ids % 50 == 0]) @ unit(vectors).T
+    for i, row in zip(ids[ids % 50 == 0], near, strict=True):
+        some = np.argpartition(-row, min(k + 8, len(ids) - 1))[: k + 9]
+        order = sorted((j for j in some if ids[j] != i), key=lambda j: (-row[j], ids[j]))[:k]
+        out[int(i)] = [(int(ids[j]), float(row[j])) for j in order]
     return out

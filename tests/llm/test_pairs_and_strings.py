@@ -149,6 +149,47 @@ def test_nearest_reach_the_recall(spark):
     assert all(abs(dict(truth[q])[i] - s) < 1e-12 for q in truth for i, s in got[q] if i in dict(truth[q]))
 
 
+def test_nearest_in_narrow_windows_of_many_vectors(spark):
+    """Half of the vectors are random directions, the worst case for any curve, half lie in clusters; codes choose 64 of 20,000 for the exact measure."""
+    rng = np.random.default_rng(8)
+    n = 20_000
+    centres = rng.normal(size=(200, 64))
+    vectors = np.where(np.arange(n)[:, None] % 2 == 0, rng.normal(size=(n, 64)), centres[np.arange(n) % 199] + 0.6 * rng.normal(size=(n, 64))).astype(np.float32)
+    ids = rng.permutation(n)
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<float>")
+    truth = ann.brute_force(ids, vectors.astype(float))
+    got = {}
+    for r in ann.search(frame).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(truth)
+    assert sum(len(got[q] & {i for i, _ in truth[q]}) for q in truth) >= 0.93 * 5 * len(truth)
+
+
+@pytest.mark.parametrize("rows", [3, 100, 700])
+def test_windows_are_the_places_around_each_query(spark, monkeypatch, rows):
+    monkeypatch.setattr(ann, "RANGE", 40)  # the buffer is cut often
+    rng = np.random.default_rng(rows)
+    codes = ann.coded(ann.unit(rng.normal(size=(rows, 7))))
+    asked = rng.random(rows) < 0.3
+    part = np.sort(rng.integers(0, 2, rows))
+    frame = spark.createDataFrame([(int(p), k, k, bytes([int(a)]) + c.tobytes()) for k, (p, a, c) in enumerate(zip(part, asked, codes, strict=True))], "part int, key long, rep long, code binary").coalesce(1)
+    got = {(r.query, r.rep) for r in ann.windows(frame, 9, 99).collect()}
+    assert got == {(q, x) for q in range(rows) if asked[q] for x in range(q - 9, q + 10) if 0 <= x < rows and x != q and part[x] == part[q]}
+
+
+def test_nearest_of_several_lengths(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=(3, 5, 64)[i % 3]).tolist()) for i in range(600)] + [(1000, [1.0, 2.0])]
+    got = {}
+    for r in sorted(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for m in range(3):
+        ids = [i for i in range(600) if i % 3 == m]
+        truth = ann.brute_force(ids, np.array([rows[i][1] for i in ids]))
+        assert all(got[q] == [i for i, _ in near] for q, near in truth.items())
+    assert 1000 not in got
+
+
 def test_nearest_leaves_unusable_vectors_out(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (50, [0.0, 2.0]), (7, [])]
     out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as rep", "2 as n")).collect()
