@@ -11,12 +11,14 @@ together by content:
    a whole repeat as a whole; counting their hashes settles them, and thousands
    of copies are one partial count.
 3. Different blocks of one anchor overlap in part (edges of passages and of
-   edits). One text of each goes to its anchor; there the windows are put into
-   suffix order, and previous and next smaller positions of that order give for
-   each window the longest factor that occurs earlier (LPF) or, mirrored,
-   later. Windows with a factor of the full length repeat.
+   edits). One text of each goes to its anchor; there the suffixes are put into
+   order with the lengths that neighbours have in common, and previous and next
+   smaller positions of that order give for each suffix the longest factor that
+   occurs earlier (LPF) or, mirrored, later. Where that is LENGTH or more, the
+   window repeats.
 4. An anchor with more than CROWD different blocks is too much for one task.
-   Its windows are hashed and counted by Spark instead, with the same result.
+   Its suffixes are split by their whole prefix of LENGTH bytes, that is, equal
+   windows are counted by Spark, with the same result.
 
 Hashes are 64-bit polynomials of the bytes; blocks are told apart by anchor and
 content together (128 bits), crowded windows by 128 bits.
@@ -36,7 +38,6 @@ from pyspark.sql import functions as F
 from strideframe.llm.runtime import Scratch
 
 LENGTH, GRAM, RUN, SEGMENT, CROWD, CHUNK = 200, 72, 256, 1 << 20, 1000, 40_000
-NO_ID = -(1 << 63)
 
 
 class Roller:
@@ -114,44 +115,54 @@ def blocks_of(raw: bytes, roller: Roller, length: int = LENGTH, gram: int = GRAM
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def suffix_order(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes at ``starts`` in the order of their first ``length`` bytes (equal ones by position), and how many of these neighbours have in common (0 for the first)."""
+    heads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[starts])
+    order = np.argsort(heads.view(f"S{length}").ravel(), kind="stable")
+    heads = heads[order]
+    differ = heads[1:] != heads[:-1]
+    return order, np.append(0, np.where(differ.any(axis=1), differ.argmax(axis=1), length))
+
+
 def longest_previous(order: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Longest previous factors of suffixes 0..n-1.
 
     order: the suffix array; common[i]: common prefix of order[i - 1] and
-    order[i] (common[0] = 0). A suffix leaves the stack when its next smaller
-    position comes; what lies below it there is its previous smaller one.
+    order[i] (common[0] = 0). A suffix that is later in the text than both its
+    neighbours has its previous and next smaller positions beside it: the longer
+    of the two prefixes is its factor. All such suffixes leave at once and their
+    neighbours meet over the shorter prefix. Where few leave in a round (a text
+    that repeats itself) a stack takes over.
     """
     out = np.zeros(len(order), dtype=np.int64)
+    at, prefix = np.asarray(order), np.append(common, 0)
+    for _ in range(40):
+        if len(at) < 64:
+            break
+        top = (at > np.append(-1, at[:-1])) & (at > np.append(at[1:], -1))
+        k = np.flatnonzero(top)
+        out[at[k]] = np.maximum(prefix[k], prefix[k + 1])
+        prefix[k + 1] = np.minimum(prefix[k], prefix[k + 1])
+        at, prefix = at[~top], prefix[np.append(~top, True)]
     stack: list[tuple[int, int]] = []  # position, common prefix with the entry below
-    for position, prefix in zip([*order.tolist(), -1], [*common.tolist(), 0], strict=True):
+    for position, shared in zip([*at.tolist(), -1], prefix.tolist(), strict=True):
         while stack and stack[-1][0] > position:
-            top, below = stack.pop()
-            out[top] = max(below, prefix)
-            prefix = min(below, prefix)
-        stack.append((position, prefix))
+            last, below = stack.pop()
+            out[last] = max(below, shared)
+            shared = min(below, shared)
+        stack.append((position, shared))
     return out
 
 
 def repeats(contents: list[bytes], length: int = LENGTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each content (in text order) which windows occur earlier, and which earlier or later."""
     sizes = [len(c) - length + 1 for c in contents]
-    buffer = np.frombuffer(b"".join(contents), np.uint8)
     ends = np.cumsum([len(c) for c in contents])
     starts = np.concatenate([np.arange(e - len(c), e - length + 1) for c, e in zip(contents, ends, strict=True)])
-    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buffer, length)[starts]).view(f"S{length}").ravel()
-    order = np.argsort(windows, kind="stable")
-    same = np.concatenate([[False], windows[order[1:]] == windows[order[:-1]]])
-    inside = same | np.append(same[1:], False)  # only these have a factor of full length
-    at = order[inside]
-    common = np.where(same[inside], length, 0)
-    rank = np.empty(len(windows), dtype=np.int64)
-    rank[np.sort(at)] = np.arange(len(at))
-    suffixes = rank[at]
-    earlier, other = np.zeros(len(windows), bool), np.zeros(len(windows), bool)
-    if len(at):
-        before = longest_previous(suffixes, common) >= length
-        after = longest_previous(len(at) - 1 - suffixes, common)[::-1] >= length
-        earlier[np.sort(at)], other[np.sort(at)] = before, before | after
+    order, common = suffix_order(np.frombuffer(b"".join(contents), np.uint8), starts, length)
+    earlier = longest_previous(order, common) >= length
+    # Read from its end, the order and its prefixes give what comes later.
+    other = earlier | (longest_previous(len(order) - 1 - order, common)[::-1] >= length)
     cuts = np.cumsum(sizes)[:-1]
     return np.split(earlier, cuts), np.split(other, cuts)
 
@@ -164,12 +175,11 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """did and th tell a text of a document; rows that repeat both are one.
 
-    th is the crc32 of the text, for the order, and 31 bits of its xxhash64, as
-    many texts may share a null doc_id.
+    th is a hash of the text. Many texts may share a null doc_id, so a second
+    hash stands in for it: 128 bits tell them apart.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    th = F.shiftleft(F.crc32(text.cast("binary")), 31).bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)))
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), th.alias("th"), text.alias("body"), *more)
+    return docs.select(F.coalesce("doc_id", F.xxhash64(F.lit(1), text)).alias("did"), F.xxhash64(text).alias("th"), text.alias("body"), *more)
 
 
 def _blocks(keyed: DataFrame) -> DataFrame:
@@ -259,7 +269,7 @@ def _by_windows(texts: DataFrame, scratch: Scratch) -> DataFrame:
 def repeated_spans(docs: DataFrame, scratch: Scratch, crowd: int = CROWD) -> DataFrame:
     """did, th and spans [low, high] of windows that occur elsewhere; earlier: also before.
 
-    The order of texts is that of (doc_id, crc32 of the text, position).
+    The order of texts is that of (doc_id, hash of the text, position).
     """
     keyed = _keyed(docs)
     blocks = scratch.put(_blocks(keyed), "blocks")
@@ -305,31 +315,32 @@ def _joined(docs: DataFrame, scratch: Scratch, crowd: int, *more: Column) -> Dat
 def removal_digests(docs: DataFrame, keep_first: bool = False, scratch: Scratch | None = None, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row.
 
-    keep_first: only later copies go, in the order of (doc_id, crc32 of the
+    keep_first: only later copies go, in the order of (doc_id, hash of the
     text, position); otherwise every copy goes. Null texts are empty. Rows that
     repeat doc_id and text are copies of each other, so all of their windows go;
-    with keep_first they are one text. A null doc_id comes first in order.
+    with keep_first they are one text. A null doc_id stands in the order where
+    a hash of the text puts it.
     Extra columns are not read.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     kind = "later" if keep_first else "all"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc, body, *spans in pdf.itertuples(index=False):
-                raw = body.encode("utf-8", "surrogatepass")
-                gone = _removed(*spans, len(raw), kind)
-                kept, at = hashlib.sha256(), 0
-                for a, b in gone:
-                    kept.update(raw[at:a])
-                    at = b
-                kept.update(raw[at:])
-                out.append((doc, len(raw), sum(b - a for a, b in gone), len(gone), kept.hexdigest()))
-            yield pd.DataFrame(out, columns=["did", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    made = _joined(docs, scratch, crowd).select("did", "body", "low", "high", "earlier").mapInPandas(run, "did bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return made.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    def of(body: str, *spans) -> tuple[int, int, int, str]:  # noqa: ANN002
+        raw = body.encode("utf-8", "surrogatepass")
+        gone = _removed(*spans, len(raw), kind)
+        kept, at = hashlib.sha256(), 0
+        for a, b in gone:
+            kept.update(raw[at:a])
+            at = b
+        kept.update(raw[at:])
+        return len(raw), sum(b - a for a, b in gone), len(gone), kept.hexdigest()
+
+    @F.pandas_udf("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    def digest(bodies: pd.Series, lows: pd.Series, highs: pd.Series, earliers: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([of(*row) for row in zip(bodies, lows, highs, earliers, strict=True)], columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    made = _joined(docs, scratch, crowd, F.col("doc_id").alias("_id"))
+    return made.select(F.col("_id").alias("doc_id"), digest("body", "low", "high", "earlier").alias("r")).select("doc_id", "r.*")
 
 
 def remove_copies(docs: DataFrame, scratch: Scratch | None = None, crowd: int = CROWD) -> DataFrame:

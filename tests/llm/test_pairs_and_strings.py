@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -132,6 +133,36 @@ def test_longest_previous_factors_of_a_word():
     assert got == want
 
 
+@pytest.mark.parametrize("length", [1, 8, 20, 200])
+def test_suffix_order_and_factors_are_those_of_the_definition(length):
+    rng = random.Random(length)
+    for turn in range(40):
+        blocks = [bytes(rng.choices(b"ab" if turn % 2 else b"abcd\0\xff", k=rng.randint(length, length + 60))) for _ in range(rng.randint(1, 5))]
+        blocks += [blocks[0]] * (turn % 3)
+        text, ends = b"".join(blocks), np.cumsum([len(b) for b in blocks])
+        starts = np.concatenate([np.arange(e - len(b), e - length + 1) for b, e in zip(blocks, ends, strict=True)])
+        heads = [text[s : s + length] for s in starts]
+        order, common = suffix_dedup.suffix_order(np.frombuffer(text, np.uint8), starts, length)
+        want = sorted(range(len(heads)), key=lambda i: (heads[i], i))
+        shared = lambda a, b: next((k for k in range(length) if a[k] != b[k]), length)
+        assert order.tolist() == want and common.tolist() == [0, *(shared(heads[a], heads[b]) for a, b in zip(want, want[1:], strict=False))]
+        factors = [max((shared(heads[j], heads[i]) for j in range(i)), default=0) for i in range(len(heads))]
+        assert suffix_dedup.longest_previous(order, common).tolist() == factors
+        earlier, other = (np.concatenate(x).tolist() for x in suffix_dedup.repeats(blocks, length))
+        assert earlier == [h in heads[:i] for i, h in enumerate(heads)] and other == [heads.count(h) > 1 for h in heads]
+
+
+def test_removal_keeps_ids_as_they_are(spark):
+    rng = random.Random(5)
+    ids = [-(1 << 63), None, 2**53 + 1, None, 0]
+    rows = [(i, words(rng, 60)) for i in ids]
+    shared = words(rng, 60)
+    out = suffix_dedup.removal_digests(docs(spark, rows + [(7, shared), (None, shared)])).collect()
+    assert Counter((r.doc_id, r.n_removed > 0) for r in out) == Counter([*((i, False) for i in ids), (7, True), (None, True)])
+    kept = suffix_dedup.remove_copies(docs(spark, rows + [(None, shared), (None, "a " + shared)])).collect()
+    assert Counter(r.doc_id for r in kept) == Counter([*ids, None, None]) and sum(shared in r.text for r in kept) == 1
+
+
 def test_nearest_reach_the_recall(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(1500, 64)).astype(np.float32)
