@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,22 +17,29 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none (single-machine tests) a temporary
-    folder is taken.
+    Only where the session names none and runs on one machine (tests) a
+    temporary folder is taken; a cluster without that setting is refused.
     """
     conf = spark.sparkContext.getConf()
     found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs no recomputation."""
+    """Tables written to the shared folder, so that a lost executor costs no recomputation.
+
+    A result may read them lazily, so they live until ``clear`` or until the
+    Python process ends, whichever comes first.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", 0
+        _OPEN.append(self)
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df once and read it again with the same schema."""
@@ -41,8 +53,33 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._scratch_path)
+
+    def clear(self) -> None:
+        """Delete all tables; results that read them must be stored by now."""
+        self._delete(self.base)
+        if self in _OPEN:
+            _OPEN.remove(self)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Scratches of this process that nobody has cleared yet.
+_OPEN: list[Scratch] = []
+
+
+def clear_all() -> None:
+    """Delete the tables of every scratch of this process; call it when the results are stored."""
+    for scratch in list(_OPEN):
+        scratch.clear()
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # a session that has been stopped deletes nothing any more
+        clear_all()
 
 
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -82,3 +119,23 @@ def clear_of(df: DataFrame, *names: str) -> DataFrame:
     """df without columns whose names the operator makes itself (in any letter case)."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (in any letter case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+@contextlib.contextmanager
+def without_gc() -> Iterator[None]:
+    """No collection of cycles meanwhile: memories that hold none make it slow. Workers are reused, so it comes back."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
