@@ -1,16 +1,19 @@
 """SimHash near-duplicate detection by meet-in-the-middle ball hashing.
 
 A fingerprint has 64 bits; two fingerprints link at RADIUS = 3 or fewer
-differing bits. The bits are cut into two halves, so of two linked
-fingerprints at least one half differs in at most half the radius (1 bit).
-Every fingerprint emits all variants of both halves within that distance; the
-variants are shuffled, and what collides with an unchanged half is verified on
-all 64 bits.
-
-A half that more than ``HOT`` different fingerprints hold unchanged would give
-quadratically many pairs. Fingerprints that touch such a half take the same
-idea on all 64 bits: a fingerprint emits its ball of one bit (near) and of two
-bits (far). Whatever meets at a variant with a near member lies within three
+differing bits. The bits are cut into three blocks. Without the block where they
+differ most, two linked fingerprints differ in at most two of some 43 bits, and
+so they meet in the middle: every fingerprint emits, for each block left out,
+all variants of the rest within half the radius (one bit), 132 in all. The
+variants are shuffled once, those that are alone go, and pairs that collide are
+deduplicated and verified on all 64 bits. Two random fingerprints collide with
+a chance of 3e-10, so candidates stay below the fingerprints' own number up to
+some billions of them.
+
+A variant at which more than ``HOT`` different fingerprints meet (they may
+differ anywhere in the block left out) would give quadratically many pairs. All
+that meet there take the same idea on all 64 bits: a fingerprint emits its ball
+of one bit (near) and of two bits (far). Whatever meets at a variant with a near member lies within three
 bits of that member, so one link to it holds the group together and the links
 grow with the emitted rows only. No case is dropped and nothing is capped.
 """
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.runtime import Scratch, connected_components
+from strideframe.llm.runtime import Scratch, connected_components, fresh
 
 RADIUS, SHINGLE, SEED, HOT = 3, 3, 42, 32
 
@@ -53,17 +56,23 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp") -> Da
     return docs.withColumn(out, of(F.col(text)))
 
 
-_LOW = 0xFFFFFFFF
+#: Bits of the three blocks; a key is a fingerprint with one of them blanked.
+BLOCKS = (range(0, 21), range(21, 42), range(42, 64))
 
 
-def _halves(fps: DataFrame) -> DataFrame:
-    """Both unchanged halves of each fingerprint: side, key, fp."""
-    return fps.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("fp").bitwiseAND(F.lit(_LOW)).alias("key")), F.struct(F.lit(1).alias("side"), F.shiftrightunsigned("fp", 32).alias("key")))).alias("h")).select("h.side", "h.key", "fp")
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _near_halves(halves: DataFrame) -> DataFrame:
-    """Variants of the halves at one bit."""
-    return halves.select("side", "fp", "key", F.explode(F.array(*[F.lit(1 << i) for i in range(32)])).alias("bit")).select("side", F.col("key").bitwiseXOR(F.col("bit")).alias("key"), "fp")
+def _variants(fps: DataFrame) -> DataFrame:
+    """key, fp: each fingerprint without one block, unchanged and with each other bit flipped.
+
+    Keys of different blanked blocks may be equal by chance; what meets is verified anyway.
+    """
+    blank = [sum(1 << b for b in block) for block in BLOCKS]
+    masks = F.array(*[F.struct(F.lit(_signed(~m & (1 << 64) - 1)).alias("mask"), F.array(F.lit(0), *[F.lit(_signed(1 << b)) for b in range(64) if not m >> b & 1]).alias("flips")) for m in blank])
+    each = fps.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseAND(F.col("m.mask")).alias("base"), F.explode("m.flips").alias("flip"))
+    return each.select(F.col("base").bitwiseXOR(F.col("flip")).alias("key"), "fp")
 
 
 def _balls(fps: DataFrame) -> DataFrame:
@@ -77,23 +86,19 @@ def fingerprint_links(fps: DataFrame, scratch: Scratch, hot: int = HOT) -> DataF
     """Links (a, b) between different fingerprints with the components of the full graph.
 
     fps: distinct bigints in column fp. Every pair within RADIUS bits is linked
-    directly or, in hot halves, over a chain of such links.
+    directly or, at crowded keys, over a chain of such links.
     """
-    halves = _halves(fps)
-    crowded = scratch.put(halves.groupBy("side", "key").count().where(F.col("count") > hot).select("side", "key"), "crowded")
-    calm = halves.hint("merge").join(crowded, ["side", "key"], "left_anti") if not crowded.isEmpty() else halves
-    within = F.expr(f"bit_count(a ^ b) <= {RADIUS}")
-    # Estimates do not see that explode multiplies rows, so the joins are told to shuffle.
-    own = calm.withColumnRenamed("fp", "a").hint("merge")
-    same = own.join(calm.withColumnRenamed("fp", "b"), ["side", "key"]).where(within & F.expr("a < b"))
-    meet = own.join(_near_halves(halves).withColumnRenamed("fp", "b"), ["side", "key"]).where(within)
-    links = same.select("a", "b").union(meet.select("a", "b"))
+    key = Window.partitionBy("key").orderBy("fp")
+    met = _variants(fps).select("key", "fp", F.lag("fp").over(key).alias("_before"), F.lead("fp").over(key).alias("_behind"))
+    # Nearly all variants are alone; the rest is small.
+    met = scratch.put(met.where("_before <> fp or _behind <> fp").select("key", "fp").distinct(), "met")
+    crowded = scratch.put(met.groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded")
+    calm = met.join(crowded, "key", "left_anti")
+    pairs = calm.withColumnRenamed("fp", "a").join(calm.withColumnRenamed("fp", "b"), "key")
+    links = pairs.where(F.expr(f"a < b and bit_count(a ^ b) <= {RADIUS}")).select("a", "b")
     if not crowded.isEmpty():
-        # Whoever has a half within one bit of a crowded one: the few crowded halves emit their balls, not the fingerprints.
-        ball = crowded.select("side", F.expr("explode(concat(array(0L), transform(sequence(0, 31), i -> shiftleft(1L, i))))").alias("bit"), "key")
-        ball = ball.select("side", F.col("key").bitwiseXOR(F.col("bit")).alias("key")).distinct()
-        touching = halves.hint("merge").join(ball, ["side", "key"], "left_semi").select("fp").distinct()
-        links = links.union(ball_links(scratch.put(touching, "touching"), scratch))
+        touching = scratch.put(met.join(crowded, "key", "left_semi").select("fp").distinct(), "touching")
+        links = links.union(ball_links(touching, scratch))
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -108,39 +113,49 @@ def ball_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     return two.union(more).where(F.expr(f"a <> b and bit_count(a ^ b) <= {RADIUS}")).distinct()
 
 
+def _rooted(marked: DataFrame, scratch: Scratch, hot: int) -> DataFrame:
+    """fp, first, n_same, root of each different fingerprint: its smallest doc_id, its rows, its component."""
+    classes = scratch.put(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_same")), "classes")
+    links = scratch.put(fingerprint_links(classes.select("fp"), scratch, hot), "links")
+    components = connected_components(links, scratch).withColumnsRenamed({"node": "fp", "component": "root"})
+    return scratch.put(classes.join(components, "fp", "left").select("fp", "first", "n_same", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, hot: int = HOT) -> DataFrame:
-    """Near-duplicate classes: doc_id, fingerprint, component_id, n_same, n_links.
+    """Near-duplicate classes: doc_id, fingerprint, component_id, n_same.
 
     fingerprint: 16 hex digits. component_id: the smallest doc_id that links
-    reach. n_same: rows with this very fingerprint. n_links: direct links found
-    for the fingerprint (chains stand for the rest within hot halves). Null and
+    reach. n_same: rows with this very fingerprint. Null and
     empty texts have the fingerprint zero and link like any other. Rows with a
     null doc_id keep their class; its component_id is null if the component
-    holds no other id. Repeated rows are returned as often as they come; extra
-    columns are not read. An empty table gives no rows.
+    holds no other id. Repeated rows are returned as often as they come; a very
+    long text is hashed whole, in memory of its own size; extra columns are not
+    read. An empty table gives no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     marked = scratch.put(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fp"), "marked")
-    classes = scratch.put(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_same")), "classes")
-    links = scratch.put(fingerprint_links(classes.select("fp"), scratch, hot), "links")
-    components = connected_components(links, scratch).withColumnsRenamed({"node": "fp", "component": "root"})
-    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    rooted = scratch.put(classes.join(components, "fp", "left").join(degree, "fp", "left").select("fp", "first", "n_same", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "rooted")
+    rooted = _rooted(marked, scratch, hot)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = scratch.put(rooted.join(smallest, "root").select("fp", "component_id", "n_same", "n_links"), "named")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same", "n_links")
+    named = scratch.put(rooted.join(smallest, "root").select("fp", "component_id", "n_same"), "named")
+    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate component: that of the smallest doc_id.
+def keep_one(docs: DataFrame, scratch: Scratch | None = None, hot: int = HOT) -> DataFrame:
+    """docs with exactly one row of each near-duplicate component.
 
-    Rows that repeat this doc_id are folded into the one with the smallest
-    text. Rows with a null doc_id have no identity to decide by; all stay.
+    It is the one with the smallest doc_id, of rows that share it the one with
+    the smallest text hash; a null doc_id comes last. A doc_id with texts in
+    several components may stay once in each. Columns as they are.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("__n", first).where("__n = 1").drop("__n")
-    return one.select(*docs.columns).union(docs.where("doc_id is null"))
+    scratch, fp = scratch or Scratch(docs.sparkSession), fresh(docs, "_fp")
+    uid = fresh(docs, "_uid")
+    # The number is written with the rows, so it stays theirs.
+    rows = scratch.put(with_fingerprint(docs, out=fp).withColumn(uid, F.monotonically_increasing_id()), "rows")
+    marked = rows.select("doc_id", F.xxhash64("text").alias("th"), F.col(fp).alias("fp"), F.col(uid).alias("uid"))
+    rooted = _rooted(marked, scratch, hot)
+    order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "th", "uid")
+    first = marked.groupBy("fp").agg(F.min(order).alias("x")).join(rooted, "fp").groupBy("root").agg(F.min("x").alias("x")).select(F.col("x.uid").alias(uid))
+    return rows.join(scratch.put(first, "first"), uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[str, int]]:
