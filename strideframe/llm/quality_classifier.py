@@ -4,23 +4,25 @@ Each text becomes a vector of statistics. Random Fourier features approximate
 a Gaussian kernel over the standardised statistics. Every partition sums its
 part of the normal equations, the parts are added up in a few groups, and the
 driver solves one system whose size depends on the number of features only.
-Raw scores are calibrated by isotonic regression on counts in a fixed grid.
+Raw scores are calibrated by isotonic regression on counts in a fixed grid, of
+rows that the scoring weights have not seen.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.runtime import Scratch
+from strideframe.llm.runtime import Scratch, fresh
 
-WIDTH, RIDGE, SEED, GROUPS, GRID, THRESHOLD = 192, 1.0, 11, 24, 1000, 0.7
+WIDTH, RIDGE, SEED, GROUPS, GRID, FOLDS, THRESHOLD = 192, 1.0, 11, 24, 1000, 2, 0.7
 NAMES = ("log_words", "word_length", "long_words", "distinct", "symbols", "upper", "digits", "marks", "stops", "non_ascii", "lines", "dup_lines", "repeats", "top_word", "ends_in_symbol")
 _SYMBOL = np.frombuffer(b"#*$%&|<>", dtype=np.uint8)
 
@@ -45,14 +47,14 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and stats (array<double>) of each row."""
+def statistics_of(column: str) -> Column:
+    """The statistics of a text column as array<double>."""
 
     @F.pandas_udf("array<double>")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([[float(v) for v in statistics(t)] for t in texts])
 
-    return docs.select("doc_id", of("text").alias("stats"))
+    return of(F.col(column))
 
 
 @dataclass(frozen=True)
@@ -89,55 +91,82 @@ def isotonic(value: np.ndarray, total: np.ndarray, count: np.ndarray) -> tuple[n
     return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
-def _normal_equations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """X'X and X'y over (stats, y): each partition sums, then GROUPS tasks add the sums."""
+def _normal_equations(rows: DataFrame, model: Model) -> list[tuple[np.ndarray, np.ndarray]]:
+    """X'X and X'y over (stats, y) of each fold: each partition sums, then GROUPS tasks a fold add the sums."""
     d = len(model.phases) + 1
     upper = np.triu_indices(d)
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b, seen = np.zeros((d, d)), np.zeros(d), False
-        first = 0
+        sums = [(np.zeros((d, d)), np.zeros(d)) for _ in range(FOLDS)]
         for pdf in batches:
-            if len(pdf):
-                x = model.features(np.vstack(pdf["stats"].to_numpy()))
-                a, b, first = a + x.T @ x, b + x.T @ pdf["y"].to_numpy(), first if seen else abs(hash(x[0].tobytes()))
-                seen = True
-        if seen:
-            yield pd.DataFrame({"g": [first % GROUPS], "v": [np.concatenate([a[upper], b]).astype("<f8").tobytes()]})
+            for fold, of in pdf.groupby("fold"):
+                x = model.features(np.vstack(of["stats"].to_numpy()))
+                sums[fold] = (sums[fold][0] + x.T @ x, sums[fold][1] + x.T @ of["y"].to_numpy())
+        group = TaskContext.get().partitionId() % GROUPS
+        yield pd.DataFrame({"fold": range(FOLDS), "g": group, "v": [np.concatenate([a[upper], b]).astype("<f8").tobytes() for a, b in sums]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(v, "<f8") for v in pdf["v"]], axis=0)
-        return pd.DataFrame({"v": [total.tobytes()]})
+        total = np.sum([np.frombuffer(v, "<f8") for v in sorted(pdf["v"])], axis=0)
+        return pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "v": [total.tobytes()]})
 
-    sums = rows.mapInPandas(part, "g int, v binary").groupBy("g").applyInPandas(add, "v binary").collect()  # at most GROUPS rows
-    total = np.sum([np.frombuffer(r["v"], "<f8") for r in sums], axis=0)
-    a = np.zeros((d, d))
-    a[upper] = total[: -d]
-    return a + np.triu(a, 1).T, total[-d:]
+    added = rows.mapInPandas(part, "fold int, g int, v binary").groupBy("fold", "g").applyInPandas(add, "fold int, v binary").collect()  # at most FOLDS x GROUPS rows
+    out = []
+    for fold in range(FOLDS):
+        total = np.sum([np.zeros(len(upper[0]) + d), *(np.frombuffer(v, "<f8") for v in sorted(bytes(r["v"]) for r in added if r["fold"] == fold))], axis=0)
+        a = np.zeros((d, d))
+        a[upper] = total[:-d]
+        out.append((a + np.triu(a, 1).T, total[-d:]))
+    return out
 
 
-def fit(train: DataFrame) -> Model | None:
-    """Fit on rows (stats, y); None if there is nothing to learn from (no rows or one class)."""
+def fit(train: DataFrame) -> Model | float | None:
+    """Fit on rows (stats, y, fold); the share of good ones if they are of one class; None without rows.
+
+    The ridge weights come from all rows. For the calibration every row is
+    scored by weights of the other folds, whose sums are at hand anyway.
+    """
     n = len(NAMES)
     moments = train.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *[f(F.col("stats")[i]).alias(f"{c}{i}") for i in range(n) for c, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    if not moments["n"] or moments["y"] in (0.0, 1.0):
+    if not moments["n"]:
         return None
+    if moments["y"] in (0.0, 1.0):
+        return float(moments["y"])
     mean = np.array([moments[f"m{i}"] for i in range(n)])
     scale = np.maximum(np.array([moments[f"s{i}"] for i in range(n)]), 1e-6)
     rng = np.random.default_rng(SEED)
     model = Model(mean, scale, rng.normal(size=(n, WIDTH)) / np.sqrt(n), rng.uniform(0, 2 * np.pi, WIDTH), np.zeros(WIDTH + 1), np.zeros(1), np.zeros(1))
-    a, b = _normal_equations(train, model)
+    sums = _normal_equations(train, model)
     ridge = RIDGE * np.eye(WIDTH + 1)
     ridge[-1, -1] = 1e-9
-    model = Model(mean, scale, model.directions, model.phases, np.linalg.solve(a + ridge, b), model.at, model.level)
+    solved = lambda some: np.linalg.solve(sum(a for a, _ in some) + ridge, sum(b for _, b in some))
+    others = [replace(model, weights=solved([s for k, s in enumerate(sums) if k != fold])) for fold in range(FOLDS)]
 
     @F.pandas_udf("int")
-    def cell(stats: pd.Series) -> pd.Series:
-        return pd.Series(np.clip((model.raw(np.vstack(stats.to_numpy())) + 0.5) * GRID / 2, 0, GRID - 1).astype(np.int32)) if len(stats) else pd.Series([], dtype="int32")
-
-    cells = sorted(train.select(cell("stats").alias("cell"), "y").groupBy("cell").agg(F.sum("y").alias("t"), F.count("*").alias("n")).collect())  # at most GRID rows
+    def cell(stats: pd.Series, fold: pd.Series) -> pd.Series:
+        out = np.zeros(len(stats), np.int32)
+        for k in np.unique(fold):
+            at = np.flatnonzero(fold == k)
+            out[at] = np.clip((others[k].raw(np.vstack(stats.to_numpy()[at])) + 0.5) * GRID / 2, 0, GRID - 1)
+        return pd.Series(out)
+
+    cells = sorted(train.select(cell("stats", "fold").alias("cell"), "y").groupBy("cell").agg(F.sum("y").alias("t"), F.count("*").alias("n")).collect())  # at most GRID rows
     at, level = isotonic(np.array([(r["cell"] + 0.5) * 2 / GRID - 0.5 for r in cells]), np.array([r["t"] for r in cells], dtype=float), np.array([r["n"] for r in cells], dtype=float))
-    return Model(mean, scale, model.directions, model.phases, model.weights, at, level)
+    return replace(model, weights=solved(sums), at=at, level=level)
+
+
+def scorer(stats: DataFrame, labels: DataFrame, scratch: Scratch) -> Callable[[Column], Column]:
+    """Learns from the labelled rows of stats (doc_id, stats) and gives the score of a stats column."""
+    known = labels.where("quality in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg(F.ceil(F.avg("quality")).cast("double").alias("y"))
+    fold = F.expr(f"cast(crc32(cast(doc_id as string)) div 4 % {FOLDS} as int)")
+    model = fit(scratch.put(stats.join(known, "doc_id").select("stats", "y", fold.alias("fold")), "train"))
+    if not isinstance(model, Model):
+        return lambda _: F.lit(1.0 if model is None else model)
+
+    @F.pandas_udf("double")
+    def of(rows: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.vstack(rows.to_numpy()))) if len(rows) else pd.Series([], dtype="float64")
+
+    return of
 
 
 def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -146,33 +175,22 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None,
     Labels are learned from rows whose crc32(doc_id as text) modulo 4 is not 2
     (held_out marks those); repeated labels of a doc_id count once, as their
     mean rounded up. Nothing but the text enters a score. Null and empty texts
-    have statistics zero. Without labels of both kinds every score is 1. A row
-    with a null doc_id is scored; it is not held out. Repeated rows get equal
-    scores. Extra columns are not read.
+    have statistics zero; a very long text is read whole, in memory of its own
+    size. With labels of one kind every score is that label, without any it is 1
+    (nothing is rejected unless a label says so). A row with a null doc_id is
+    scored; it is not held out. Repeated rows get equal scores. Extra columns
+    are not read.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    stats = scratch.put(with_statistics(docs), "statistics")
+    stats = scratch.put(docs.select("doc_id", statistics_of("text").alias("stats")), "statistics")
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False))
-    known = labels.where("quality in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg(F.ceil(F.avg("quality")).cast("double").alias("y"))
-    train = scratch.put(stats.join(known, "doc_id").select("stats", "y"), "train")
-    model = fit(train)
-    if model is None:
-        score = F.lit(1.0)
-    else:
-
-        @F.pandas_udf("double")
-        def of(rows: pd.Series) -> pd.Series:
-            return pd.Series(model.score(np.vstack(rows.to_numpy()))) if len(rows) else pd.Series([], dtype="float64")
+    score = scorer(stats, labels, scratch)
+    return stats.select("doc_id", held.alias("held_out"), score(F.col("stats")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-        score = of("stats")
-    return stats.select("doc_id", held.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-
-def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents that the classifier rejects; columns as they are.
-
-    A doc_id with several texts is rejected if any of them is. Rows with a null
-    doc_id stay, as no decision can be tied to them.
-    """
-    out = classify(docs, labels).where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+def accept(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that the classifier rejects, each judged by its own text; columns as they are."""
+    scratch, name = scratch or Scratch(docs.sparkSession), fresh(docs, "_stats")
+    rows = scratch.put(docs.select("*", statistics_of("text").alias(name)), "rows")
+    score = scorer(rows.select("doc_id", F.col(name).alias("stats")), labels, scratch)
+    return rows.where(score(F.col(name)) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
