@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.runtime import clear_of
+from strideframe.llm.runtime import Scratch, clear_of
 
 LEVELS = ("domain", "lang", "source")
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -100,7 +100,7 @@ def leaf_budgets(sized: DataFrame, mix: Mix) -> DataFrame:
     return given.withColumnRenamed("budget", "given")
 
 
-def mix_sources(docs: DataFrame, mix: Mix | None = None, tokens: Column | None = None, domain: Column | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, mix: Mix | None = None, tokens: Column | None = None, domain: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
     """The selected rows of docs with tokens, domain, epoch and take.
 
     A row comes once for each epoch it is taken in, epoch counting from 0.
@@ -110,16 +110,14 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None, tokens: Column | None =
     words or with a null doc_id take no part (nothing to draw or to order by).
     Rows that repeat a doc_id are ordered by their token counts and then stand
     together: equal rows share one place, so that either all or none are taken.
-    Extra columns are carried along; columns of docs named tokens, domain,
-    epoch or take are replaced.
+    Very long texts count like others. Extra columns are carried along; columns
+    of docs named tokens, domain, epoch or take are replaced.
     """
-    mix = mix or Mix()
-    named = clear_of(docs, "tokens", "domain", "epoch", "take", "_lang", "_source")
-    rows = measured(named, tokens, domain, keep=True)
-    chosen = choose(rows, mix).withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    rows = rows.select(*[F.col(f"_row.`{c}`") for c in named.columns], F.col("lang").alias("_lang"), F.col("source").alias("_source"), "domain", "tokens")
-    keys = ["doc_id", "domain", "_lang", "_source", "tokens"]
-    return rows.join(chosen, keys).select(*named.columns, "tokens", "domain", "epoch", "take")
+    mix, scratch = mix or Mix(), scratch or Scratch(docs.sparkSession)
+    named = clear_of(docs, "tokens", "domain", "epoch", "take")
+    rows = scratch.put(measured(named, tokens, domain, keep=True), "rows")  # words are counted once
+    joined = rows.join(choose(rows.drop("_row"), mix), ["doc_id", *LEVELS, "tokens"])
+    return joined.select(*[F.col(f"_row.`{c}`") for c in named.columns], "tokens", "domain", "epoch", "take")
 
 
 def measured(docs: DataFrame, tokens: Column | None = None, domain: Column | None = None, keep: bool = False) -> DataFrame:
@@ -129,7 +127,12 @@ def measured(docs: DataFrame, tokens: Column | None = None, domain: Column | Non
 
 
 def choose(sized: DataFrame, mix: Mix) -> DataFrame:
-    """doc_id, domain, lang, source, tokens, epoch, take of what is selected, without texts."""
+    """doc_id, domain, lang, source, tokens, epoch, take of what is selected, without texts.
+
+    sized is read several times, so it should be a stored table. A leaf has
+    16^hex_digits slices an epoch: their number is a setting, and a window over
+    them holds no more rows than that.
+    """
     leaf = list(LEVELS)
     budgets = leaf_budgets(sized, mix).where("given > 0")
     one = sized.groupBy("doc_id", *leaf, "tokens").agg(F.count("*").alias("copies"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strideframe.llm import ann, bpe, html_extract, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts
+from strideframe.llm.runtime import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.measured(table(spark, sf_dir, "documents"))
-    return mixing.choose(docs, mixing.Mix())
+    return mixing.choose(Scratch(spark).put(docs, "sized"), mixing.Mix())
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,4 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_classifier, op3_mix_sources, op4_html_extract, op5_suffix_dedup, op6_token_counts, op7_sharding, op8_byte_bpe, op9_quality_rules, op10_nearest)}
 
-ORACLES: dict[str, str] = {"op3_mix_sources": mixing.oracle()}
+ORACLES: dict[str, str] = {"op3_mix_sources": mixing.oracle(), "op7_sharding": sharding.oracle()}
