@@ -10,7 +10,6 @@ vocabulary, so it is broadcast.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -19,6 +18,9 @@ from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strideframe.llm.runtime import clear_of, fresh, without_gc
 
 #: One character for each byte, none of them white space or sentencepiece's own mark.
 BYTE_CHARS = [chr(0x4E00 + b) for b in range(256)]
@@ -143,20 +145,24 @@ class Coder:
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
-def _over_texts(docs: DataFrame, vocabulary: Vocabulary, column: str, of, schema: str) -> DataFrame:  # noqa: ANN001
-    """Columns that ``of`` (coder, text) makes, beside all those of docs but the text itself."""
+def _over_texts(docs: DataFrame, vocabulary: Vocabulary, of, schema: str) -> DataFrame:  # noqa: ANN001
+    """Columns that ``of`` (coder, text) makes, beside all those of docs but the text itself.
+
+    Only the text goes through Python; columns of docs with the new names are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.ranks, vocabulary.pattern, vocabulary.model))  # as large as the vocabulary, whatever the input
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(schema)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = Coder(Vocabulary(*shared.value))
-        gc.disable()  # what the coder remembers has no cycles, and walking over it costs a quarter of the time
-        for pdf in batches:
-            made = [of(coder, t if isinstance(t, str) else "") for t in pdf[column]]
-            yield pd.concat([pdf.drop(columns=column), pd.DataFrame(made, columns=names, index=pdf.index)], axis=1)
+        with without_gc():
+            for texts in batches:
+                yield pd.DataFrame([of(coder, t if isinstance(t, str) else "") for t in texts], columns=names)
 
-    names = [x.split()[0] for x in schema.split(", ")]
-    rest = [f for f in docs.schema.fields if f.name != column]
-    return docs.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), schema]))
+    rest, made = clear_of(docs, "text", *names), fresh(docs, "_coded")
+    kept = [F.col(f"`{c}`") for c in rest.columns]
+    return docs.select(*kept, run("text").alias(made)).select(*kept, *[F.col(f"{made}.{n}").alias(n) for n in names])
 
 
 def token_digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -166,31 +172,35 @@ def token_digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     Repeated rows come out as often as they come in; extra columns are not
     read; an empty table gives no rows.
     """
-    return _over_texts(docs.select("doc_id", "text"), vocabulary, "text", Coder.digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _over_texts(docs.select("doc_id", "text"), vocabulary, Coder.digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id and ids (array<int>) of each row."""
-    return _over_texts(docs.select("doc_id", "text"), vocabulary, "text", lambda coder, text: (coder.encode(text),), "ids array<int>")
+    return _over_texts(docs.select("doc_id", "text"), vocabulary, lambda coder, text: (coder.encode(text),), "ids array<int>")
 
 
 def encode_rows(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """docs without the text, with n_tokens, ids and decoded_sha256 (of the bytes that the ids decode to)."""
+    """docs without the text, with n_tokens, ids and decoded_sha256 (of the bytes that the ids decode to).
+
+    Columns of docs with these three names are replaced.
+    """
 
     def of(coder: Coder, text: str) -> tuple[int, list[int], str]:
         ids = coder.encode(text)
         return len(ids), ids, hashlib.sha256(coder.decode(ids)).hexdigest()
 
-    return _over_texts(docs, vocabulary, "text", of, "n_tokens bigint, ids array<int>, decoded_sha256 string")
+    return _over_texts(docs, vocabulary, of, "n_tokens bigint, ids array<int>, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id and bytes of rows (doc_id, ids); null ids give empty bytes."""
     shared = encoded.sparkSession.sparkContext.broadcast((vocabulary.ranks, vocabulary.pattern, vocabulary.model))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = Coder(Vocabulary(*shared.value))
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "bytes": [coder.decode([]) if ids is None else coder.decode(list(ids)) for ids in pdf["ids"]]})
+        for ids in batches:
+            yield pd.Series([b"" if i is None else coder.decode(i.tolist()) for i in ids], dtype=object)
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id bigint, bytes binary")
+    return encoded.select("doc_id", run("ids").alias("bytes"))

@@ -9,15 +9,15 @@ on the text is the old one, so its pre-tokens are too. Only these leaves are
 encoded anew, and only the sums above them change. Trees live as long as their
 row is worked on; they are not stored.
 
-A pre-token looks at the character behind it, a contraction at three characters
-from its apostrophe, and white space at its whole run and the character behind
-that. Encoding so starts at or before the end of the last other character ahead
+How far a pre-token looks is that of the pattern given (public_tokenizers.PATTERN
+and others of its family, whose white-space rules stop at the run's end): at the
+character behind it, a contraction at three characters from its apostrophe, and
+white space at its whole run and the character behind that. Encoding so starts at or before the end of the last other character ahead
 of the edit, and two characters ahead of it.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.bpe import Coder, Vocabulary
+from strideframe.llm.runtime import without_gc
 
-LEAF, REMEMBER = 16, 500_000
+LEAF, REMEMBER, SHORT = 16, 500_000, 200
 EDITS = "array<struct<position: bigint, deleted: bigint, inserted: string>>"
 
 
 class Counter:
-    """Tokens of pre-tokens; two generations of short ones are remembered."""
+    """Tokens of pre-tokens; two generations are remembered, long ones for the text at hand only."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.coder, self.known, self.older = Coder(vocabulary), {}, {}
@@ -40,12 +41,16 @@ class Counter:
         if len(self.known) > REMEMBER:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = set(pretokens).difference(known)
+        new = list(set(pretokens).difference(known))
         if new:
             known.update((p, older[p]) for p in new if p in older)
             new = [p for p in new if p not in known]
             known.update(zip(new, map(len, self.coder.ids_of(new)), strict=True))
-        return [known[p] for p in pretokens]
+        out = [known[p] for p in pretokens]
+        for p in new:
+            if len(p) > SHORT:
+                del known[p]
+        return out
 
 
 class Tree:
@@ -140,25 +145,25 @@ def edited_counts(docs: DataFrame, vocabulary: Vocabulary, edits: str = "edits")
     its end. Repeated rows are counted one by one. Extra columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.ranks, vocabulary.pattern, vocabulary.model))  # as large as the vocabulary
+    names = ["n_tokens", "n_edits", "n_chars_after", "n_tokens_after", "n_pretokens", "n_reencoded", "n_leaves"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(", ".join(f"{n} bigint" for n in names))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         counter = Counter(Vocabulary(*shared.value))
-        gc.disable()  # nothing here makes cycles
-        for pdf in batches:
-            out = []
-            for text, todo in zip(pdf["text"], pdf["edits"], strict=True):
-                tree = Tree(text or "", counter)
-                before, built = tree.total, tree.encoded
-                todo = [e for e in todo if e is not None] if todo is not None else []
-                for e in todo:
-                    tree.edit(int(e["position"] or 0), int(e["deleted"] or 0), e["inserted"] or "")
-                out.append((before, len(todo), len(tree.text), tree.total, built, tree.encoded - built, tree.n))
-            made = pd.DataFrame(out, columns=["n_tokens", "n_edits", "n_chars_after", "n_tokens_after", "n_pretokens", "n_reencoded", "n_leaves"])
-            made.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            yield made
-
-    rows = docs.select("doc_id", "text", F.col(edits).cast(EDITS).alias("edits"))
-    return rows.mapInPandas(run, "doc_id bigint, n_tokens bigint, n_edits bigint, n_chars_after bigint, n_tokens_after bigint, n_pretokens bigint, n_reencoded bigint, n_leaves bigint")
+        with without_gc():
+            for texts, edited in batches:
+                out = []
+                for text, todo in zip(texts, edited, strict=True):
+                    tree = Tree(text or "", counter)
+                    before, built = tree.total, tree.encoded
+                    todo = [e for e in todo if e is not None] if todo is not None else []
+                    for e in todo:
+                        tree.edit(int(e["position"] or 0), int(e["deleted"] or 0), e["inserted"] or "")
+                    out.append((before, len(todo), len(tree.text), tree.total, built, tree.encoded - built, tree.n))
+                yield pd.DataFrame(out, columns=names)
+
+    made = docs.select("doc_id", run("text", F.col(edits).cast(EDITS)).alias("_made"))
+    return made.select("doc_id", *[F.col(f"_made.{n}").alias(n) for n in names])
 
 
 def sample_edits(docs: DataFrame) -> DataFrame:

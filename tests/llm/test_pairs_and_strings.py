@@ -68,7 +68,57 @@ def test_keep_one_keeps_the_smallest(spark, near_rows):
     want = {i for i, (_, c) in simhash.brute_force(near_rows).items() if i == c}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
     repeated = docs(spark, [(1, "x y z"), (1, "x y z"), (None, "x y z")])
-    assert sorted(str(r.doc_id) for r in simhash.keep_one(repeated).collect()) == ["1", "None"]
+    assert [r.doc_id for r in simhash.keep_one(repeated.selectExpr("*", "1 as _fp", "2 as __n", "3 as _uid")).collect()] == [1]
+    # One id with two unrelated texts: each group keeps one row, and so do groups without any id.
+    rng = random.Random(3)
+    p, q, r = (words(rng, 40) for _ in range(3))
+    rows = [(1, p), (1, q), (2, p), (3, q), (None, r), (None, r)]
+    assert sorted((str(x.doc_id), x.text) for x in simhash.keep_one(docs(spark, rows)).collect()) == sorted([("1", p), ("1", q), ("None", r)])
+
+
+def test_fingerprints_that_share_all_but_one_block_link_as_they_should(spark):
+    """A crowd in one block, chains of three bits and far ones: links by balls and by blocks have the same components as all pairs."""
+    rng = random.Random(12)
+    base = rng.getrandbits(64)
+    fps = {base ^ rng.getrandbits(21) for _ in range(150)} | {base ^ rng.getrandbits(22) << 42 for _ in range(150)}
+    for _ in range(120):
+        fps.add(rng.choice(sorted(fps)) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))))
+    fps = sorted(fps)
+    root = {f: f for f in fps}
+
+    def top(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for n, a in enumerate(fps):
+        for b in fps[:n]:
+            if (a ^ b).bit_count() <= 3:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    want = sorted(sorted(signed(f) for f in fps if top(f) == t) for t in {top(f) for f in fps})
+    frame = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    for hot in (2, simhash.HOT, 10_000):
+        scratch = runtime.Scratch(spark)
+        links = scratch.put(simhash.fingerprint_links(frame, scratch, hot), "links")
+        assert all((r.a ^ r.b).bit_count() <= 3 or ((r.a ^ r.b) % 2**64).bit_count() <= 3 for r in links.collect())
+        groups = {}
+        for r in runtime.connected_components(links, scratch).collect():
+            groups.setdefault(r.component, []).append(r.node)
+        linked = {f for g in groups.values() for f in g}
+        assert sorted(map(sorted, [*groups.values(), *([signed(f)] for f in fps if signed(f) not in linked)])) == want
+
+
+def test_scratch_tables_go_when_told(spark, tmp_path):
+    import os
+
+    scratch = runtime.Scratch(spark)
+    scratch.put(spark.range(3), "t")
+    at = scratch.base.removeprefix("file://")
+    assert os.listdir(at)
+    scratch.clear()
+    assert not os.path.exists(at)
 
 
 def test_components_of_long_chains_and_loops(spark):

@@ -58,9 +58,29 @@ def test_bpe_round_trip_and_extra_columns(spark):
     v = vocabulary()
     back = {r.doc_id: bytes(r.bytes) for r in bpe.decode(bpe.encode(docs(spark, rows), v), v).collect()}
     assert back == {i: (t or "").encode() for i, t in rows}
-    clash = docs(spark, rows).selectExpr("*", "1 as n_tokens_", "2 as ids_")
+    clash = docs(spark, rows).selectExpr("*", "1 as n_tokens", "2 as IDS", "3 as _coded", "4 as other")
     out = bpe.encode_rows(clash, v)
-    assert {r.doc_id: r.n_tokens for r in out.collect()}[3] == 1 and "text" not in out.columns
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "_coded", "other", "n_tokens", "ids", "decoded_sha256"]
+    assert {r.doc_id: (r.n_tokens, r._coded, r.other) for r in out.collect()}[3] == (1, 3, 4)
+
+
+def test_large_ids_stay_exact_beside_nulls(spark, labels):
+    ids = [2**53 + 1, None, -(2**63), 2**63 - 1]
+    rows = docs(spark, [(i, "some words here") for i in ids]).coalesce(1)
+    v = vocabulary()
+    for out in (bpe.token_digests(rows, v), bpe.encode(rows, v), bpe.decode(bpe.encode(rows, v), v), token_counts.edited_counts(token_counts.sample_edits(rows), v), quality_classifier.classify(rows, labels), sharding.shard_documents(rows), quality_rules.quality_rules(rows, labels)):
+        assert {r.doc_id for r in out.select("doc_id").collect()} == set(ids)
+
+
+def test_workers_collect_garbage_again():
+    import gc
+
+    from strideframe.llm import runtime
+
+    with pytest.raises(ValueError), runtime.without_gc():
+        assert not gc.isenabled()
+        raise ValueError
+    assert gc.isenabled()
 
 
 def test_edits_count_like_a_new_encoding(coder):
@@ -149,11 +169,41 @@ def test_classifier_on_odd_tables(spark, labels):
     rows = docs(spark, [*enumerate(ODD), (None, "x"), (0, "")]).selectExpr("*", "1 as stats", "2 as y", "3 as score")
     assert len(quality_classifier.classify(rows, labels).collect()) == len(ODD) + 2
     assert {r.score for r in quality_classifier.classify(rows, labels.limit(0)).collect()} == {1.0}
+    for kind in (0, 1):  # labels of one kind: every score is that label
+        one = spark.createDataFrame([(0, kind, 0), (1, kind, 0), (3, kind, 0)], "doc_id long, quality int, toxic int")
+        assert {(r.score, r.predicted) for r in quality_classifier.classify(rows, one).collect()} == {(float(kind), kind)}
     assert quality_classifier.classify(docs(spark, []), labels).count() == 0
     odd = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (None, 1, 0), (3, None, 0), (4, 0, 1), (5, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality_classifier.classify(rows, odd).count() == len(ODD) + 2
 
 
+def test_classifier_equals_plain_numpy(spark, real, labels):
+    """Statistics, ridge on all labelled rows, calibration by weights of the other fold: the same numbers as on one machine."""
+    q, marks = quality_classifier, {r.doc_id: r.quality for r in labels.where("quality in (0, 1)").collect()}
+    texts = {r.doc_id: r.text for r in real.collect()}
+    crc = {i: zlib.crc32(str(i).encode()) for i in texts}
+    train = [i for i in sorted(texts) if i in marks and crc[i] % 4 != 2]
+    x, y = np.array([q.statistics(texts[i]) for i in train]), np.array([float(marks[i]) for i in train])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    rng = np.random.default_rng(q.SEED)
+    directions, phases = rng.normal(size=(len(q.NAMES), q.WIDTH)) / np.sqrt(len(q.NAMES)), rng.uniform(0, 2 * np.pi, q.WIDTH)
+    lifted = lambda v: np.hstack([np.cos(np.clip((v - mean) / scale, -8, 8) @ directions + phases) * np.sqrt(2 / q.WIDTH), np.ones((len(v), 1))])
+    penalty = np.diag([q.RIDGE] * q.WIDTH + [1e-9])
+    ridge = lambda a, b: np.linalg.solve(a.T @ a + penalty, a.T @ b)
+    fold = np.array([crc[i] // 4 % q.FOLDS for i in train])
+    raw = np.zeros(len(train))
+    for k in range(q.FOLDS):
+        raw[fold == k] = lifted(x[fold == k]) @ ridge(lifted(x[fold != k]), y[fold != k])
+    cell = np.clip((raw + 0.5) * q.GRID / 2, 0, q.GRID - 1).astype(int)
+    at = np.unique(cell)
+    steps = q.isotonic((at + 0.5) * 2 / q.GRID - 0.5, np.array([y[cell == c].sum() for c in at]), np.array([float((cell == c).sum()) for c in at]))
+    ids = sorted(texts)
+    want = dict(zip(ids, np.clip(np.interp(lifted(np.array([q.statistics(texts[i]) for i in ids])) @ ridge(lifted(x), y), *steps), 0, 1), strict=True))
+    got = {r.doc_id: r.score for r in q.classify(real, labels).collect()}
+    far = [i for i in ids if abs(got[i] - want[i]) > 1e-6]
+    assert set(got) == set(want) and len(far) <= 0.01 * len(ids)  # a raw score on the edge of a cell may fall to either side
+
+
 def test_isotonic_steps_rise():
     at, level = quality_classifier.isotonic(np.arange(6.0), np.array([0, 2, 1, 3, 2, 4.0]), np.full(6, 4.0))
     assert (np.diff(level) > 0).all() and (np.diff(at) > 0).all() and len(at) == 4
@@ -181,6 +231,8 @@ def test_mix_redistributes_among_siblings_first(spark):
 
 def test_mix_on_odd_tables(spark):
     rows = spark.createDataFrame([(1, "a b", None, None, 7), (1, "a b", None, None, 7), (2, None, "en", "s", 7), (None, "x y", "en", "s", 7), (3, "", "en", "s", 7), (4, "c d e", "en", "srcX", 7)], "doc_id long, text string, lang string, source string, tokens long")
+    clash = mixing.mix_sources(rows.selectExpr("*", "1 as _lang", "2 as _source", "3 as copies", "4 as place"), mixing.Mix(share=1000, epochs=1))
+    assert {(r._lang, r._source, r.copies, r.place) for r in clash.collect()} == {(1, 2, 3, 4)}
     out = mixing.mix_sources(rows, mixing.Mix(share=1000, epochs=1))
     assert sorted((r.doc_id, r.tokens) for r in out.collect()) == [(1, 2), (1, 2), (4, 3)]
     assert mixing.mix_sources(rows.limit(0)).count() == 0
@@ -203,6 +255,18 @@ def test_shards_move_into_the_new_one_only(spark):
     assert sharding.shard_documents(docs(spark, [])).count() == 0
 
 
+def test_shards_equal_their_sql(spark, real):
+    con = duckdb.connect()
+    con.execute("create view documents as select * from read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    cur = con.execute(sharding.oracle())
+    names = [c[0] for c in cur.description]
+    want = sorted(cur.fetchall())
+    for slice_rows in (sharding.SLICE_ROWS, 3):
+        assert sorted(tuple(r) for r in sharding.shard_documents(small, slice_rows=slice_rows).select(*names).collect()) == want
+    assert len(want) == small.count()
+
+
 def test_weights_draw_in_proportion(spark):
     tree = sharding.Tree(((((0, 1.0), (1, 3.0)),), (((2, 4.0),),)))
     out = sharding.with_shard(spark.range(8000).selectExpr("cast(id as string) as k"), "k", tree, "s").groupBy("s").count().collect()
