@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +42,7 @@ def height_class(lowest: Column, reach: Column) -> Column:
 
 def detect_dives(signals: DataFrame, goals: DataFrame | None = None, shots: DataFrame | None = None, speed: float = SPEED, min_rows: int = MIN_ROWS, min_lean: float = LEAN) -> DataFrame:
     """One row per dive: span, peak, displacement, lean, reach, classes, phases, reaction time and notes."""
-    # Both the bursts and their phases read the signals, so these are kept.
-    marked = series.islands(signals, TRACK, FRAME, F.col("speed") >= speed).where("n >= 5").persist(StorageLevel.MEMORY_AND_DISK)
+    marked = series.islands(signals, TRACK, FRAME, F.col("speed") >= speed).where("n >= 5")
     burst = marked.where("island is not null")
     bounds = burst.groupBy(*TRACK, "island").agg(
         F.count("*").alias("rows"),
@@ -60,7 +60,7 @@ def detect_dives(signals: DataFrame, goals: DataFrame | None = None, shots: Data
         F.max("reach_bh").alias("peak_reach_bh"),
         F.min("com_h_bh").alias("lowest_bh"),
         F.avg("mean_conf").alias("confidence"),
-    ).where(F.col("rows") >= min_rows).where(f"max_lean_deg is null or max_lean_deg >= {min_lean}").persist(StorageLevel.MEMORY_AND_DISK)
+    ).where(F.col("rows") >= min_rows).where(f"max_lean_deg is null or max_lean_deg >= {min_lean}")
     out = phases(bounds, marked)
     out = out.withColumns({"direction": direction(F.col("lateral_bh")), "height": height_class(F.col("lowest_bh"), F.col("peak_reach_bh")), "duration_s": (F.col("end_frame") - F.col("start_frame")) / F.col("fps"), "time_to_peak_s": (F.col("peak_frame") - F.col("start_frame")) / F.col("fps")})
     if goals is not None:
@@ -72,21 +72,41 @@ def detect_dives(signals: DataFrame, goals: DataFrame | None = None, shots: Data
     return out.withColumn("notes", F.array_compact(F.array(*notes))).drop("rows", "start_i", "end_i", "n", "island", "lowest_bh")
 
 
+def phase_frames(speed: np.ndarray, ankle: np.ndarray, frames: np.ndarray, start: int, end: int) -> tuple[int | None, int, int | None]:
+    """Set, preparatory and flight frame of a dive that fills rows start..end of a track.
+
+    Set: the slowest row of the tenth of the track before the dive. Preparatory:
+    behind the last row before the dive that is no faster than QUIET times the
+    median speed until then. Flight: the first row of the dive whose ankles are
+    FOOT_LIFT above their median until then.
+    """
+    known = lambda x: x[~np.isnan(x)]
+    before = speed[:start]
+    baseline = float(np.median(known(before))) if len(known(before)) else 0.0
+    begin = max(0, start - round(len(speed) * 0.1) - 1)
+    quiet = np.flatnonzero(before <= QUIET * baseline)
+    near = before[begin:]
+    still = None if np.isnan(near).all() else int(frames[begin + np.nanargmin(near)])
+    ground = known(ankle[:start])
+    lifted = np.flatnonzero(ankle[start : end + 1] < np.median(ground) - FOOT_LIFT) if len(ground) else []
+    return still, int(frames[quiet[-1] + 1 if len(quiet) else 0]), int(frames[start + lifted[0]]) if len(lifted) else None
+
+
 def phases(bounds: DataFrame, signals: DataFrame) -> DataFrame:
-    """Adds the phase frames. Each dive is joined with its own track's rows up to its end."""
-    rows = signals.select(*TRACK, F.col("i").alias("row_i"), F.col(FRAME).alias("row_frame"), "speed", "ankle_bh")
-    both = bounds.join(rows, TRACK).where("row_i <= end_i")
-    key = [*TRACK, "island"]
-    whole = Window.partitionBy(*key)
-    before = F.col("row_i") < F.col("start_i")
-    both = both.withColumns({"baseline": F.coalesce(F.expr("percentile(case when row_i < start_i then speed end, 0.5)").over(whole), F.lit(0.0)), "ground": F.expr("percentile(case when row_i < start_i then ankle_bh end, 0.5)").over(whole), "lookback": F.greatest(F.lit(0), F.col("start_i") - F.bround(F.col("n") * 0.1).cast("bigint") - 1)})
-    found = both.groupBy(*key).agg(
-        F.min_by(F.when(before & (F.col("row_i") >= F.col("lookback")), F.col("row_frame")), F.when(before & (F.col("row_i") >= F.col("lookback")), F.struct("speed", "row_i"))).alias("set_frame"),
-        F.coalesce(F.max(F.when(before & (F.col("speed") <= QUIET * F.col("baseline")), F.col("row_i"))) + 1, F.lit(0)).alias("prep_i"),
-        F.min(F.when((F.col("row_i") >= F.col("start_i")) & (F.col("ankle_bh") < F.col("ground") - FOOT_LIFT), F.col("row_frame"))).alias("flight_start"),
-    )
-    prepared = found.join(rows.select(*TRACK, F.col("row_i").alias("prep_i"), F.col("row_frame").alias("preparatory_start")), [*TRACK, "prep_i"]).drop("prep_i")
-    return bounds.join(prepared, key).withColumns({"takeoff": F.col("start_frame"), "peak": F.col("peak_frame"), "landing": F.col("end_frame")})
+    """Adds the phase frames. A track's dives meet its rows once, as one cogroup; no row is repeated for a dive."""
+    rows = signals.select(*[F.col(c).alias(c) for c in (*TRACK, "i", FRAME, "speed", "ankle_bh")])  # other columns than those of the bounds
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in bounds.schema.fields), "set_frame bigint", "preparatory_start bigint", "flight_start bigint"])
+
+    def run(dives: pd.DataFrame, track: pd.DataFrame) -> pd.DataFrame:
+        track = track.sort_values("i")
+        columns = [track[c].to_numpy(dtype=t) for c, t in (("speed", float), ("ankle_bh", float), (FRAME, np.int64))]
+        found = [phase_frames(*columns, int(a), int(b)) for a, b in zip(dives["start_i"], dives["end_i"], strict=True)]
+        for k, name in enumerate(("set_frame", "preparatory_start", "flight_start")):
+            dives[name] = pd.array([f[k] for f in found], dtype="Int64")
+        return dives
+
+    found = bounds.groupBy(*TRACK).cogroup(rows.groupBy(*TRACK)).applyInPandas(run, schema)
+    return found.withColumns({"takeoff": F.col("start_frame"), "peak": F.col("peak_frame"), "landing": F.col("end_frame")})
 
 
 def reaction_times(dives: DataFrame, shots: DataFrame) -> DataFrame:

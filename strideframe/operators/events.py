@@ -31,13 +31,12 @@ def detect_kicks(features: DataFrame, clips: DataFrame, speed: float = 3.0, sepa
     feet, w = foot_series(features, clips, cutoff_hz), series.over(KEY, FRAME)
     v = {a: series.gradient(F.col(a), F.col("time_s"), w) / F.col("reference_px") for a in "xy"}
     moving = feet.withColumns({"vx": v["x"], "vy": v["y"]}).withColumn("speed", F.hypot("vx", "vy")).withColumn("acc", series.gradient(F.col("speed"), F.col("time_s"), w))
-    # The rows ahead that a peak looks at depend on the frame rate, so they are compared by position.
-    ahead = moving.withColumns({"i": series.number(KEY, FRAME), "reach": F.greatest(F.lit(2), (F.col("fps") * 0.05).cast("int"))})
-    ahead = ahead.withColumn("tail", F.collect_list(F.struct("i", "acc", "conf")).over(w.rowsBetween(0, 31)))
-    tail = F.filter("tail", lambda t: t["i"] < F.col("i") + F.col("reach"))
-    peaks = ahead.withColumn("peak", series.local_peak(F.col("speed"), speed, w)).where("peak").withColumn("tail", tail)
-    mean = F.aggregate("tail", F.lit(0.0), lambda a, t: a + t["conf"]) / F.size("tail")
-    kicks = peaks.select(*TRACK, FRAME, "time_s", "foot", "foot_order", F.col("speed").alias("peak_speed_bh_s"), F.array_min(F.transform("tail", lambda t: t["acc"])).alias("deceleration_bh_s2"), mean.alias("confidence"))
+    moving = moving.withColumn("i", series.number(KEY, FRAME))
+    peaks = moving.withColumn("peak", series.local_peak(F.col("speed"), speed, w)).where("peak").select(*KEY, FRAME, "time_s", "speed", "i", F.greatest(F.lit(2), (F.col("fps") * 0.05).cast("int")).alias("reach"))
+    # How many rows behind a peak count depends on the frame rate; only peaks ask for them, by position.
+    asked = peaks.select(*KEY, F.col("i").alias("peak_i"), F.explode(F.expr("sequence(i, i + reach - 1)")).alias("i"))
+    tails = asked.join(moving.select(*KEY, "i", "acc", "conf"), [*KEY, "i"]).groupBy(*KEY, F.col("peak_i").alias("i")).agg(F.min("acc").alias("deceleration_bh_s2"), F.avg("conf").alias("confidence"))
+    kicks = peaks.withColumnRenamed("speed", "peak_speed_bh_s").join(tails, [*KEY, "i"])
     return series.refractory(kicks, TRACK, "time_s", "peak_speed_bh_s", separation_s, "foot_order", "foot", FRAME, "deceleration_bh_s2", "confidence")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +14,10 @@ from strideframe.schema import FRAME, TRACK
 
 
 def goalkeeper_report(features: DataFrame, clips: DataFrame, goals: DataFrame, shots: DataFrame | None = None, cutoff_hz: float | None = 6.0) -> DataFrame:
-    """One row per track of features: measures, nested dives and warnings."""
-    features = features.persist(StorageLevel.MEMORY_AND_DISK)  # four measures read them
+    """One row per track of features: measures, nested dives and warnings.
+
+    Five measures read the features; a caller to whom these are dear passes a stored or cached table.
+    """
     dives = dv.detect_dives(dv.dive_signals(features, clips, (cutoff_hz or 6.0) + 2.0), goals, shots)
     where = pos.positioning(features, goals, clips, cutoff_hz)
     ready = st.set_positions(features).select(*TRACK, FRAME)

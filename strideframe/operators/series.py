@@ -6,6 +6,8 @@ that exchange.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -42,11 +44,15 @@ def step_length(x: Column, y: Column, w: WindowSpec) -> Column:
     return F.coalesce(F.hypot(x - F.lag(x).over(w), y - F.lag(y).over(w)), F.lit(0.0))
 
 
-def interpolated(value: Column, at: Column, w: WindowSpec) -> Column:
-    """NULLs filled linearly by position and flat at the ends; 0 if the series has no value."""
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+def interpolated(value: Column, at: Column, keys: list[str], order: str) -> Column:
+    """NULLs filled linearly by position and flat at the ends; 0 if the series has no value.
+
+    Both neighbours come from running windows, one along the order and one against it.
+    """
+    so_far = (Window.unboundedPreceding, 0)
+    back, ahead = over(keys, order).rowsBetween(*so_far), Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(*so_far)
     mark = F.when(value.isNotNull(), F.struct(at.alias("at"), value.alias("v")))
-    a, b = F.last(mark, ignorenulls=True).over(back), F.first(mark, ignorenulls=True).over(ahead)
+    a, b = F.last(mark, ignorenulls=True).over(back), F.last(mark, ignorenulls=True).over(ahead)
     between = a["v"] + (b["v"] - a["v"]) * (at - a["at"]) / (b["at"] - a["at"])
     return F.coalesce(value, between, a["v"], b["v"], F.lit(0.0))
 
@@ -73,18 +79,37 @@ def gap_fill(rows: DataFrame, keys: list[str], order: str, *values: str) -> Data
 
 
 def refractory(events: DataFrame, keys: list[str], at: str, strength: str, gap: float, *more: str) -> DataFrame:
-    """Of events closer than ``gap`` to the one kept last, the stronger stays and becomes the new anchor."""
-    fields = [at, strength, *more]
-    listed = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))  # the events of one track
-    kind = "array<struct<" + ", ".join(f"{f}: {events.schema[f].dataType.simpleString()}" for f in fields) + ">>"
+    """Of events closer than ``gap`` to the one kept last, the stronger stays and becomes the new anchor.
 
-    def fold(kept: Column, e: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        close = e[at] - last[at] < gap
-        return F.when(F.size(kept) == 0, F.array(e)).when(~close, F.concat(kept, F.array(e))).when(e[strength] > last[strength], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(e))).otherwise(kept)
-
-    kept = F.aggregate("all", F.array().cast(kind), fold)
-    return listed.select(*keys, F.explode(kept).alias("e")).select(*keys, *[F.col(f"e.{f}").alias(f) for f in fields])
+    After an event that is ``gap`` or more behind the one before it the rule
+    starts anew, so a key's events are cut there and the pieces are worked on
+    apart. Within a piece only the event kept last is remembered.
+    """
+    fields = [at, strength, *more]
+    w = over(keys, at)
+    apart = F.coalesce(F.col(at) - F.lag(at).over(w) >= gap, F.lit(True))
+    pieces = events.select(*keys, *fields).withColumn("_piece", F.sum(F.when(apart, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the event kept last; all that the next batch needs to know
+        for pdf in batches:
+            rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            of = rows[[*keys, "_piece"]]
+            begins = (of != of.shift()).any(axis=1).to_numpy()
+            times, strengths, kept, last = rows[at].tolist(), rows[strength].tolist(), [], 0
+            for i in range(1, len(rows)):
+                if begins[i] or times[i] - times[last] >= gap:
+                    kept.append(last)
+                    last = i
+                elif strengths[i] > strengths[last]:
+                    last = i
+            held = rows.iloc[[last]] if len(rows) else None
+            yield rows.iloc[kept].drop(columns="_piece")
+        if held is not None:
+            yield held.drop(columns="_piece")
+
+    ordered = pieces.repartition(*keys, "_piece").sortWithinPartitions(*keys, "_piece", *fields)
+    return ordered.mapInPandas(run, pieces.drop("_piece").schema)
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, out: str) -> DataFrame:
@@ -110,7 +135,7 @@ def strided(rows: DataFrame, keys: list[str], order: str, at: str, stride: int =
 
 
 def filtered(rows: DataFrame, keys: list[str], order: str, values: list[str], fps: Column, cutoff_hz: float | None) -> DataFrame:
-    """Zero-phase low-pass of the value columns within each key, the one series operator outside the JVM."""
+    """Zero-phase low-pass of the value columns within each key; both passes run through the whole series, so a key is one group."""
     if cutoff_hz is None:
         return rows
     narrow = rows.withColumn("_fps", fps.cast("double"))

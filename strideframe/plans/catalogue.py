@@ -275,7 +275,7 @@ def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def gap_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = moves(spark, sf_dir).withColumn("g", F.when(F.col("event_type") != "error", F.col("v")))
-    return rows.select("user_id", "idx", series.interpolated(F.col("g"), F.col("idx"), series.over(KEY, "idx")).alias("filled"))
+    return rows.select("user_id", "idx", series.interpolated(F.col("g"), F.col("idx"), KEY, "idx").alias("filled"))
 
 
 @query

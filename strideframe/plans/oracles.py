@@ -13,7 +13,7 @@ def r(value: str, name: str, digits: int = 6) -> str:
     return f"round({value}, {digits}) + 0.0e0 AS {name}"
 
 
-POSE = "SELECT 0::BIGINT AS clip_id, label::BIGINT AS track_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS frame_index, vec_id AS det_id, " + ", ".join(f"640 + 600 * embedding[{2 * j + 1}]::DOUBLE AS x{j}, 360 + 600 * embedding[{2 * j + 2}]::DOUBLE AS y{j}, least(1.0e0, 6 * abs(embedding[{35 + j}]::DOUBLE)) AS c{j}" for j in range(17)) + " FROM embeddings"
+POSE = "SELECT 0::BIGINT AS clip_id, vec_id // 50 AS track_id, vec_id % 50 + 1 AS frame_index, vec_id AS det_id, " + ", ".join(f"640 + 600 * embedding[{2 * j + 1}]::DOUBLE AS x{j}, 360 + 600 * embedding[{2 * j + 2}]::DOUBLE AS y{j}, least(1.0e0, 6 * abs(embedding[{35 + j}]::DOUBLE)) AS c{j}" for j in range(17)) + " FROM embeddings"
 
 
 def dist(ax: str, ay: str, bx: str, by: str) -> str:
@@ -133,7 +133,7 @@ simple("stance_flags", f"track_id, frame_index, concat_ws(',', {', '.join(f'''CA
 # Tracks.
 simple("reference_height", f"track_id, {r('median(height_px)', 'reference_px')}, count(height_px) AS n_heights", where="GROUP BY track_id")
 simple("track_span", f"track_id, count(*) AS n, min(frame_index) AS first_frame, max(frame_index) AS last_frame, {r('count(*)::DOUBLE / (max(frame_index) - min(frame_index) + 1)', 'coverage')}", where="WHERE mean_conf >= 0.55 GROUP BY track_id")
-SQL["longest_track"] = "SELECT 0::BIGINT AS clip_id, label::BIGINT AS track_id, count(*) AS n FROM embeddings GROUP BY label ORDER BY n DESC, label LIMIT 1"
+SQL["longest_track"] = "SELECT 0::BIGINT AS clip_id, vec_id // 50 AS track_id, count(*) AS n FROM embeddings GROUP BY vec_id // 50 ORDER BY n DESC, track_id LIMIT 1"
 simple("goal_offsets", f"track_id, frame_index, {r('lateral_m', 'lateral_m')}, {r('depth_m', 'depth_m')}, {r('coverage', 'coverage')}, in_area, CASE WHEN coverage < 0.35 THEN 'left' WHEN coverage > 0.65 THEN 'right' ELSE 'central' END AS mouth", f"(SELECT *, {GOAL} FROM features WHERE com_x IS NOT NULL)")
 SQL["goal_scale"] = f"""WITH a AS (SELECT s_suppkey, (852 - s_suppkey % 1500)::DOUBLE AS ax, 300.0e0 AS ay, 120.0e0 AS bx, (300 + s_suppkey % 7)::DOUBLE AS b_y, CASE WHEN s_suppkey % 3 > 0 THEN 56.0e0 END AS bar FROM supplier),
   g AS (SELECT s_suppkey, bar, CASE WHEN ax > bx THEN bx ELSE ax END AS lx, CASE WHEN ax > bx THEN b_y ELSE ay END AS ly, CASE WHEN ax > bx THEN ax ELSE bx END AS rx, CASE WHEN ax > bx THEN ay ELSE b_y END AS ry FROM a),

@@ -6,14 +6,13 @@ operator rows to work on, at any scale factor.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FPS = 60.0
+#: Frames of a track of ``poses``; their number grows with the table, a track does not.
+TRACK_ROWS = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +24,11 @@ def _kp(x: list[Column], y: list[Column], conf: list[Column]) -> Column:
 
 
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as one clip with a track for each label: 17 keypoints from the first 51 numbers."""
+    """embeddings as one clip with a track for every TRACK_ROWS of them: 17 keypoints from the first 51 numbers."""
     e = table(spark, sf_dir, "embeddings")
     v = lambda i: F.get("embedding", F.lit(i)).cast("double")
     kp = _kp([640 + 600 * v(2 * j) for j in range(17)], [360 + 600 * v(2 * j + 1) for j in range(17)], [F.least(F.lit(1.0), 6 * F.abs(v(34 + j))) for j in range(17)])
-    frame = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("bigint")
-    return e.select(F.lit(0).cast("bigint").alias("clip_id"), F.col("label").cast("bigint").alias("track_id"), frame.alias("frame_index"), F.col("vec_id").alias("det_id"), kp.alias("kp"))
+    return e.select(F.lit(0).cast("bigint").alias("clip_id"), F.expr(f"vec_id div {TRACK_ROWS}").alias("track_id"), F.expr(f"vec_id % {TRACK_ROWS} + 1").alias("frame_index"), F.col("vec_id").alias("det_id"), kp.alias("kp"))
 
 
 def landmarks33(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,37 +47,36 @@ def poses3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIVE_FRAMES = 120
 
 
-def dive_pose(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """x (n, 17), y (n, 17) and confidence (n) of the k-th keeper, who dives once, at frame f."""
-    side = np.where(k % 2 == 0, 1.0, -1.0)
-    u = np.clip((f - (40.0 + k % 7)) / 20.0, 0, 1)
-    p = u * u * (3 - 2 * u)
-    h = 300.0 + k % 5
-    x = 320.0 + 10.0 * (k % 20) + side * (220.0 + 5.0 * (k % 9)) * p + 1.5 * np.sin(0.9 * f + k)
-    y = 340.0 - 40.0 * np.sin(np.pi * p) + 0.35 * h * p * p + 0.06 * h
-    tilt, bend, arm = np.radians(55.0 * side * p), np.radians(12.5 * (1 - p)), np.minimum(1.0, 1.4 * p)
-    up = lambda d, a: (d * h * np.sin(a), -d * h * np.cos(a))
-    sx, sy = x + up(0.35, tilt)[0], y + up(0.35, tilt)[1]
-    nx, ny = x + up(0.47, tilt)[0], y + up(0.47, tilt)[1]
-    kx, ky = x - up(0.22, tilt - bend)[0], y - up(0.22, tilt - bend)[1]
-    ax, ay = kx - up(0.22, tilt + bend)[0], ky - up(0.22, tilt + bend)[1]
-    wy = sy + 0.31 * h * (1 - 2 * arm)
+def with_dive_pose(rows: DataFrame) -> DataFrame:
+    """rows with ``kp``: the k-th keeper, who dives once, at frame f."""
+    k, f = F.col("k"), F.col("f")
+    name = lambda x: F.col(f"_{x}")
+    side, h, p, x, y, tilt, bend, sx, sy, kx, ky, ax, ay, wy = map(name, "side h p x y tilt bend sx sy kx ky ax ay wy".split())
+    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (f - (40.0 + k % 7)) / 20.0))
+    along = lambda d, a: (d * h * F.sin(a), -d * h * F.cos(a))
+    steps = [
+        {"side": F.when(k % 2 == 0, 1.0).otherwise(-1.0), "u": u, "h": 300.0 + k % 5},
+        {"p": name("u") * name("u") * (3 - 2 * name("u"))},
+        {"x": 320.0 + 10.0 * (k % 20) + side * (220.0 + 5.0 * (k % 9)) * p + 1.5 * F.sin(0.9 * f + k), "y": 340.0 - 40.0 * F.sin(np.pi * p) + 0.35 * h * p * p + 0.06 * h, "tilt": F.radians(55.0 * side * p), "bend": F.radians(12.5 * (1 - p))},
+        {"sx": x + along(0.35, tilt)[0], "sy": y + along(0.35, tilt)[1], "nx": x + along(0.47, tilt)[0], "ny": y + along(0.47, tilt)[1], "kx": x - along(0.22, tilt - bend)[0], "ky": y - along(0.22, tilt - bend)[1]},
+        {"ax": kx - along(0.22, tilt + bend)[0], "ay": ky - along(0.22, tilt + bend)[1], "wy": sy + 0.31 * h * (1 - 2 * F.least(F.lit(1.0), 1.4 * p))},
+    ]
+    out = rows
+    for step in steps:
+        out = out.withColumns({f"_{n}": c for n, c in step.items()})
     pair = lambda px, py, w: [(px - w * h, py), (px + w * h, py)]
-    points = [(nx, ny)] * 5 + pair(sx, sy, 0.1) + pair(sx, (sy + wy) / 2, 0.12) + pair(sx, wy, 0.14) + pair(x, y, 0.06) + pair(kx, ky, 0.07) + pair(ax, ay, 0.12)
-    return np.stack([a for a, _ in points], axis=1), np.stack([b for _, b in points], axis=1), 0.95 - 0.001 * (f % 7)
+    points = [(name("nx"), name("ny"))] * 5 + pair(sx, sy, 0.1) + pair(sx, (sy + wy) / 2, 0.12) + pair(sx, wy, 0.14) + pair(x, y, 0.06) + pair(kx, ky, 0.07) + pair(ax, ay, 0.12)
+    conf = 0.95 - 0.001 * (f % 7)
+    made = _kp([a for a, _ in points], [b for _, b in points], [conf] * 17)
+    # A generator stands between, or else the optimiser writes these formulas out wherever a joint is read.
+    return out.select(*rows.columns, F.inline(F.array(F.struct(made.alias("kp")))).alias("kp"))
 
 
 def dive_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier as clips of one keeper each who dives once, to the right for even keys."""
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("k"), F.explode(F.expr(f"sequence(0L, {DIVE_FRAMES - 1}L)")).alias("f"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x, y, conf = dive_pose(pdf["k"].to_numpy(), pdf["f"].to_numpy())
-            kp = [[{"x": a, "y": b, "conf": c} for a, b in zip(xs, ys, strict=True)] for xs, ys, c in zip(x.tolist(), y.tolist(), conf.tolist(), strict=True)]
-            yield pd.DataFrame({"clip_id": pdf["k"], "track_id": 0, "frame_index": pdf["f"], "det_id": 0, "kp": kp})
-
-    return rows.mapInPandas(run, "clip_id bigint, track_id bigint, frame_index bigint, det_id bigint, kp array<struct<x: double, y: double, conf: double>>")
+    none = F.lit(0).cast("bigint")
+    return with_dive_pose(rows).select(F.col("k").alias("clip_id"), none.alias("track_id"), F.col("f").alias("frame_index"), none.alias("det_id"), "kp")
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:

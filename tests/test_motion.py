@@ -120,9 +120,9 @@ def test_every_keeper_dives_once(spark, sf):
 
 
 def test_a_side_step_is_no_dive(spark):
-    pose = adapters.dive_pose(np.zeros(90, dtype=int), np.zeros(90))
-    rows = [(0, 0, i, [(float(x + 6 * i), float(y), 0.9) for x, y in zip(pose[0][i], pose[1][i], strict=True)]) for i in range(90)]
-    d = spark.createDataFrame(rows, "clip_id long, track_id long, frame_index long, kp array<struct<x: double, y: double, conf: double>>")
+    still = adapters.with_dive_pose(spark.range(90).select("id", F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("f")))
+    moved = F.transform("kp", lambda k: F.struct((k["x"] + 6 * F.col("id")).alias("x"), k["y"].alias("y"), k["conf"].alias("conf")))
+    d = still.select(F.lit(0).cast("bigint").alias("clip_id"), F.lit(0).cast("bigint").alias("track_id"), F.col("id").alias("frame_index"), moved.alias("kp"))
     assert dives.detect_dives(dives.dive_signals(feat.pose_features(d), adapters.pose_clips(spark))).count() == 0
 
 
@@ -135,7 +135,7 @@ def test_features_of_absent_joints(spark):
 def test_gaps_and_interpolation(spark):
     d = spark.createDataFrame([("a", 1, 1.0), ("a", 4, 4.0), ("b", 2, None)], "k string, i long, v double")
     dense = series.gap_fill(d, ["k"], "i", "v")
-    full = dense.select("k", "i", series.interpolated(F.col("v"), F.col("i"), series.over(["k"], "i")).alias("v"))
+    full = dense.select("k", "i", series.interpolated(F.col("v"), F.col("i"), ["k"], "i").alias("v"))
     assert sorted(map(tuple, full.collect())) == [("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, 3.0), ("a", 4, 4.0), ("b", 2, 0.0)]
 
 
@@ -144,6 +144,67 @@ def test_refractory_keeps_the_stronger(spark):
     assert sorted((r.t, r.v) for r in series.refractory(d, ["k"], "t", "v", 0.4).collect()) == [(0.3, 9.0), (1.2, 2.0)]
 
 
+def plain_refractory(rows, gap):
+    kept = []
+    for t, v in sorted(rows):
+        if not kept or t - kept[-1][0] >= gap:
+            kept.append((t, v))
+        elif v > kept[-1][1]:
+            kept[-1] = (t, v)
+    return kept
+
+
+def test_refractory_is_the_plain_fold(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(k), float(t), float(v)) for k, t, v in zip(rng.integers(0, 5, 4000), rng.integers(0, 3000, 4000) / 4, rng.integers(0, 6, 4000), strict=True)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # state passes from batch to batch
+    try:
+        out = series.refractory(spark.createDataFrame(rows, "k int, t double, v double"), ["k"], "t", "v", 0.6).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in range(5):
+        assert sorted((r.t, r.v) for r in out if r.k == k) == plain_refractory([(t, v) for i, t, v in rows if i == k], 0.6)
+
+
+def test_a_long_key_takes_time_in_proportion(spark):
+    import time
+
+    n = 200_000
+    rows = spark.range(n).select(F.lit(0).alias("k"), F.col("id").alias("i"), F.when(F.col("id") % 977 == 5, F.col("id").cast("double")).alias("v"), (F.col("id") / 50).alias("t"), F.pmod(F.hash("id"), F.lit(1000)).cast("double").alias("s"))
+    began = time.perf_counter()
+    out = rows.select("i", series.interpolated(F.col("v"), F.col("i"), ["k"], "i").alias("v")).where("i between 5 and 199000").agg(F.max(F.abs(F.col("v") - F.col("i")))).first()[0]
+    assert out < 1e-6
+    kept = series.refractory(rows, ["k"], "t", "s", 0.5).agg(F.count("*"), F.min(F.col("s"))).first()
+    assert 0 < kept[0] <= n / 25 + 1
+    assert time.perf_counter() - began < 60
+
+
+def test_phases_of_many_dives_of_a_long_track(spark):
+    n = 60_000
+    speed = F.when(F.col("id") % 600 >= 580, 3.0).otherwise(0.5 + F.pmod(F.col("id"), F.lit(7)) / 100)
+    lift = F.when(F.col("id") % 600 >= 585, 0.2).otherwise(1.0)
+    rows = spark.range(n).select(F.lit(0).cast("bigint").alias("clip_id"), F.lit(0).cast("bigint").alias("track_id"), (F.col("id") + 10).alias("frame_index"), F.col("id").alias("i"), F.lit(n).cast("bigint").alias("n"), F.lit(60.0).alias("fps"), F.lit(300.0).alias("reference_px"), speed.alias("speed"), lift.alias("ankle_bh"), F.lit(0.0).alias("com_x"), F.lit(40.0).alias("lean_deg"), F.lit(0.3).alias("reach_bh"), F.lit(0.3).alias("com_h_bh"), F.lit(0.9).alias("mean_conf"))
+    out = {r.start_frame: r for r in dives.detect_dives(rows).collect()}
+    assert len(out) == 100 and all(r.takeoff == s and r.preparatory_start == s and r.flight_start == s + 5 and r.landing == s + 19 for s, r in out.items())
+    plain = np.array([3.0 if i % 600 >= 580 else 0.5 + i % 7 / 100 for i in range(n)])
+    for start in (580, 1180, 30_580):
+        begin = max(0, start - 6001)
+        assert out[start + 10].set_frame == begin + int(np.argmin(plain[begin:start])) + 10
+
+
+def test_kicks_read_their_whole_tail_at_high_frame_rates(spark):
+    """1000 frames a second: 50 rows count behind a peak, not 32."""
+    from strideframe.operators import events
+
+    ankle = [float(x) for x in np.cumsum([0.0] * 20 + [1.0, 3.0, 6.0, 3.0] + [2.9] * 40 + [0.0] * 60)]
+    rows = [(0, 0, f, [(100.0, 100.0, 0.9)] * 15 + [(x, 400.0, 0.9 if f < 60 else 0.5), (50.0, 400.0, 0.0)], 300.0) for f, x in enumerate(ankle)]
+    d = spark.createDataFrame(rows, "clip_id long, track_id long, frame_index long, kp array<struct<x: double, y: double, conf: double>>, height_px double")
+    out = events.detect_kicks(d, adapters.pose_clips(spark, 1000.0), cutoff_hz=None).collect()
+    assert len(out) == 1
+    seen = [0.9 if f < 60 else 0.5 for f in range(out[0].frame_index, out[0].frame_index + 50)]
+    assert abs(out[0].confidence - sum(seen) / 50) < 1e-9 and out[0].deceleration_bh_s2 < -1000
+
+
 def test_readers_turn_nan_into_null(spark, tmp_path):
     d = spark.createDataFrame([(1, 2.0, 3.0, float("nan"), 5.0, float("inf"))], "clip_id long, lx double, ly double, rx double, ry double, crossbar_y double")
     d.write.parquet(str(tmp_path / "g"))
