@@ -1,6 +1,6 @@
 """Command line: run the clip pipeline over stored tables, show clips, devices and backends.
 
-    python -m strideframe run CLIPS DETECTIONS -o OUT [-c SETTINGS.json] [--profile P] [--start S] [--end S] [--goal-posts "x,y" "x,y"] [--gk-track N]
+    python -m strideframe run CLIPS DETECTIONS -o OUT [-c SETTINGS.yaml] [--profile P] [--start S] [--end S] [--goal-posts "x,y" "x,y"] [--gk-track N]
     python -m strideframe probe CLIPS
     python -m strideframe devices | backends
 """
@@ -8,7 +8,8 @@
 from __future__ import annotations
 
 import argparse
-import json
+import os
+import time
 
 from strideframe.operators import clips
 from strideframe.plans.config import Config
@@ -23,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("detections")
     run.add_argument("-o", "--output", required=True)
     run.add_argument("-c", "--config")
-    run.add_argument("--format", default="parquet", choices=["parquet", "json"])
+    run.add_argument("--format", action="append", help="instead of the formats that the settings name")
     run.add_argument("--profile", choices=[p[0] for p in clips.PROFILES])
     run.add_argument("--start", type=float)
     run.add_argument("--end", type=float)
@@ -37,10 +38,7 @@ def parser() -> argparse.ArgumentParser:
 
 def settings(args: argparse.Namespace) -> Config:
     """The settings file with what the command line says on top; posts or a track ask for the keeper."""
-    config = Config()
-    if args.config:
-        with open(args.config) as f:
-            config = Config.from_dict(json.load(f))
+    config = Config.load(args.config) if args.config else Config()
     config.video.profile = args.profile or config.video.profile
     config.video.start_s = args.start if args.start is not None else config.video.start_s
     config.video.end_s = args.end if args.end is not None else config.video.end_s
@@ -72,11 +70,22 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "probe":
         clips.with_advice(clips.with_profile(known)).select("clip_id", "display_width", "display_height", "fps", "device", "profile", "frame_stride", "warnings", "tips").show(truncate=False)
         return
-    out = pipeline.run(known, readers.read(spark, "detections", args.detections), settings(args))
-    for name in ("tracked", "pitch", "kicks", "contacts", "keepers", "dives", "report"):
+    config = settings(args)
+    out = pipeline.run(known, readers.read(spark, "detections", args.detections), config)
+    target = f"{args.output}/{sinks.run_name(os.path.basename(args.clips.rstrip('/')) or 'run')}"
+    took = {}
+    for name in ("tracked", "pitch", "kicks", "contacts", "keepers", "uncertain", "dives", "report"):
         table = getattr(out, name)
         if table is not None:
-            sinks.write(table, f"{args.output}/{name}", args.format)
+            began = time.perf_counter()
+            for problem in sinks.write_all({name: table}, target, args.format or config.output.formats):
+                print(problem)
+            took[name] = time.perf_counter() - began
+            print(f"{name} written")
+    if config.output.report:
+        sinks.write(out.summary().select("text"), f"{target}/summary", "text")
+    out.release()
+    print(f"{sum(took.values()):.1f}s total ({', '.join(f'{k} {v:.1f}s' for k, v in took.items())})")
 
 
 if __name__ == "__main__":

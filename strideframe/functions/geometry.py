@@ -14,6 +14,8 @@ from strideframe.functions import skeleton as sk
 
 USABLE, MIN_HEIGHT_PX = 0.2, 20.0
 GOAL_WIDTH_M, GOAL_HEIGHT_M, GOAL_AREA_M = 7.32, 2.44, 5.5
+#: Width and height of a goal in metres; functions that measure by a goal take another size.
+REGULAR = (GOAL_WIDTH_M, GOAL_HEIGHT_M)
 #: Shares of stature: nose to shoulders, shoulders to hips, hips to knees, knees to ankles.
 CHAIN = (0.12, 0.29, 0.245, 0.246)
 #: Joints and their shares of body mass.
@@ -206,13 +208,15 @@ class Goal:
     rx: Column
     ry: Column
     bar: Column
+    width_m: float = GOAL_WIDTH_M
+    height_m: float = GOAL_HEIGHT_M
 
     @classmethod
-    def of(cls, prefix: str = "") -> Goal:
+    def of(cls, prefix: str = "", size: tuple[float, float] = REGULAR) -> Goal:
         c = lambda n: F.col(prefix + n)
         swap = c("lx") > c("rx")
         pick = lambda a, b: F.when(swap, c(b)).otherwise(c(a))
-        return cls(pick("lx", "rx"), pick("ly", "ry"), pick("rx", "lx"), pick("ry", "ly"), c("crossbar_y"))
+        return cls(pick("lx", "rx"), pick("ly", "ry"), pick("rx", "lx"), pick("ry", "ly"), c("crossbar_y"), *size)
 
     @property
     def width_px(self) -> Column:
@@ -221,7 +225,7 @@ class Goal:
     @property
     def px_per_m(self) -> Column:
         """NULL where the posts coincide."""
-        return F.nullif(self.width_px, F.lit(0.0)) / GOAL_WIDTH_M
+        return F.nullif(self.width_px, F.lit(0.0)) / self.width_m
 
     @property
     def middle(self) -> Point:
@@ -229,12 +233,12 @@ class Goal:
 
     @property
     def height_px(self) -> Column:
-        return F.coalesce(F.abs(self.middle.y - self.bar), self.px_per_m * GOAL_HEIGHT_M)
+        return F.coalesce(F.abs(self.middle.y - self.bar), self.px_per_m * self.height_m)
 
     @property
     def consistency(self) -> Column:
         """Measured over expected crossbar height; NULL without a crossbar."""
-        return F.abs(self.middle.y - self.bar) / (self.px_per_m * GOAL_HEIGHT_M)
+        return F.abs(self.middle.y - self.bar) / (self.px_per_m * self.height_m)
 
     @property
     def direction(self) -> Point:
@@ -255,14 +259,14 @@ class Goal:
         return p.minus(self.middle).dot(self.normal) / self.px_per_m
 
     def coverage(self, p: Point) -> Column:
-        return 0.5 + self.lateral_m(p) / GOAL_WIDTH_M
+        return 0.5 + self.lateral_m(p) / self.width_m
 
     def in_area(self, p: Point) -> Column:
         depth = self.depth_m(p)
-        return (F.abs(self.lateral_m(p)) <= GOAL_WIDTH_M / 2 + GOAL_AREA_M) & (depth >= 0) & (depth <= GOAL_AREA_M)
+        return (F.abs(self.lateral_m(p)) <= self.width_m / 2 + GOAL_AREA_M) & (depth >= 0) & (depth <= GOAL_AREA_M)
 
     def in_mouth(self, p: Point) -> Column:
-        return F.abs(self.lateral_m(p)) <= GOAL_WIDTH_M / 2 + GOAL_AREA_M
+        return F.abs(self.lateral_m(p)) <= self.width_m / 2 + GOAL_AREA_M
 
 
 def project(h: Column, p: Point) -> Point:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 
 ORDER, PAD = 4, 15
@@ -73,3 +75,29 @@ def fit_homography(image: np.ndarray, pitch: np.ndarray) -> np.ndarray | None:
     if abs(h[2, 2]) < 1e-12 or abs(np.linalg.det(h)) < 1e-12:
         return None
     return h / h[2, 2]
+
+
+def fit_robust_homography(image: np.ndarray, pitch: np.ndarray, limit_px: float, tries: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """The points that agree with the best fit through four of them, to ``limit_px`` in the image.
+
+    All fours are tried, or ``tries`` seeded ones where there are more. Of
+    fits that as many points agree with, the one with the smaller errors wins. With
+    under five points, or if no four fit, all points come back.
+    """
+    n = len(image)
+    if n < 5:
+        return image, pitch
+    fours = list(combinations(range(n), 4)) if n <= 15 else [tuple(c) for c in np.random.default_rng(0).permuted(np.tile(np.arange(n), (tries, 1)), axis=1)[:, :4]]
+    best, kept = (0, 0.0), None
+    for four in fours:
+        h = fit_homography(image[list(four)], pitch[list(four)])
+        if h is None:
+            continue
+        back = np.column_stack([pitch, np.ones(n)]) @ np.linalg.inv(h).T
+        with np.errstate(all="ignore"):
+            error = np.linalg.norm(back[:, :2] / back[:, 2:] - image, axis=1)
+        near = error <= limit_px
+        score = (int(near.sum()), -float(error[near].sum()))
+        if kept is None or score > best:
+            best, kept = score, near
+    return (image, pitch) if kept is None or best[0] < 4 else (image[kept], pitch[kept])

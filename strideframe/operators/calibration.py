@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.functions import geometry as g
-from strideframe.functions.signal import fit_homography
+from strideframe.functions.signal import fit_homography, fit_robust_homography
 
 RELIABLE_PX = 5.0
 
@@ -54,20 +54,23 @@ def unknown(clicks: DataFrame, points: DataFrame) -> DataFrame:
     return clicks.join(F.broadcast(points), "landmark", "left_anti").select("clip_id", "landmark").distinct()
 
 
-def fit(pairs: DataFrame) -> DataFrame:
+def fit(pairs: DataFrame, robust_px: float | None = None) -> DataFrame:
     """Homography of each clip from (image_x, image_y, pitch_x, pitch_y): h, reproj_err_px, n_points, reliable.
 
     Clips with under four points or a singular fit have a NULL h. The few points of a clip are one group.
+    With ``robust_px`` points that a fit of most others misses by more than that are left out; n_points counts those used.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         image, pitch = pdf[["image_x", "image_y"]].to_numpy(float), pdf[["pitch_x", "pitch_y"]].to_numpy(float)
+        if robust_px is not None:
+            image, pitch = fit_robust_homography(image, pitch, robust_px)
         h = fit_homography(image, pitch)
         err = None
         if h is not None:
             back = np.column_stack([pitch, np.ones(len(pitch))]) @ np.linalg.inv(h).T
             err = float(np.nanmean(np.linalg.norm(back[:, :2] / back[:, 2:] - image, axis=1)))
-        return pd.DataFrame({"clip_id": pdf["clip_id"].iloc[:1], "h": [None if h is None else h.ravel().tolist()], "reproj_err_px": [err], "n_points": [len(pdf)]})
+        return pd.DataFrame({"clip_id": pdf["clip_id"].iloc[:1], "h": [None if h is None else h.ravel().tolist()], "reproj_err_px": [err], "n_points": [len(image)]})
 
     found = pairs.where("image_x is not null and image_y is not null and pitch_x is not null and pitch_y is not null").groupBy("clip_id").applyInPandas(run, "clip_id bigint, h array<double>, reproj_err_px double, n_points bigint")
     return found.withColumn("reliable", F.coalesce(F.col("reproj_err_px") < RELIABLE_PX, F.lit(False)))
@@ -79,3 +82,24 @@ def to_pitch(rows: DataFrame, calibrations: DataFrame, x: str = "feet_x", y: str
     h = [F.get("h", F.lit(i)) for i in range(9)]
     p = g.project(h, g.columns(x, y))
     return joined.withColumns({"pitch_x": p.x, "pitch_y": p.y}).drop("h")
+
+
+def ground_distance(rows: DataFrame, calibrations: DataFrame, a: tuple[str, str], b: tuple[str, str], out: str = "distance_m") -> DataFrame:
+    """rows with the distance on the ground, in metres, of two image points; NULL without a calibration or at its horizon."""
+    joined = rows.join(calibrations.select("clip_id", "h"), "clip_id", "left")
+    h = [F.get("h", F.lit(i)) for i in range(9)]
+    return joined.withColumn(out, g.project(h, g.columns(*a)).distance(g.project(h, g.columns(*b)))).drop("h")
+
+
+def records(calibrations: DataFrame) -> DataFrame:
+    """clip_id and one JSON record of each calibration: homography by rows, error, reliable, number of points."""
+    rows = F.array(*[F.slice("h", 3 * i + 1, 3) for i in range(3)])
+    fields = F.struct(F.when(F.col("h").isNotNull(), rows).alias("homography"), F.col("reproj_err_px").alias("reprojection_error_px"), F.col("reliable").alias("is_reliable"), F.col("n_points").alias("num_points"))
+    return calibrations.select("clip_id", F.to_json(fields).alias("value"))
+
+
+def goal_records(goals: DataFrame, size: tuple[float, float] = g.REGULAR) -> DataFrame:
+    """clip_id and one JSON record of each goal: posts, crossbar, size and scale."""
+    goal = g.Goal.of(size=size)
+    fields = F.struct(F.array(goal.lx, goal.ly).alias("left_post"), F.array(goal.rx, goal.ry).alias("right_post"), F.col("crossbar_y"), F.lit(size[0]).alias("width_m"), F.lit(size[1]).alias("height_m"), goal.px_per_m.alias("px_per_m"), goal.consistency.alias("scale_consistency"))
+    return goals.select("clip_id", F.to_json(fields).alias("value"))

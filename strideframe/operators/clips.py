@@ -74,6 +74,12 @@ def scale_to(edge: str = "target_long_edge") -> Column:
     return F.least(F.lit(1.0), F.coalesce(F.col(edge) / F.greatest("width", "height"), F.lit(1.0)))
 
 
+def device(name: str) -> tuple:
+    """The fixed values of a device; an unknown name has those of a generic one."""
+    known = {d[0]: d for d in DEVICES}
+    return known.get(name, known["generic"])
+
+
 def frame_time(pts: Column, time_base: Column, frame: Column, fps: Column) -> Column:
     """Seconds of a frame: from its own stamp, else from its number."""
     return F.coalesce(pts * time_base, frame / fps)

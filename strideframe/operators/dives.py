@@ -40,7 +40,7 @@ def height_class(lowest: Column, reach: Column) -> Column:
     return F.when(lowest.isNotNull(), known).when(reach > 0.40, "high").when(reach < 0.10, "low").otherwise("mid")
 
 
-def detect_dives(signals: DataFrame, goals: DataFrame | None = None, shots: DataFrame | None = None, speed: float = SPEED, min_rows: int = MIN_ROWS, min_lean: float = LEAN) -> DataFrame:
+def detect_dives(signals: DataFrame, goals: DataFrame | None = None, shots: DataFrame | None = None, speed: float = SPEED, min_rows: int = MIN_ROWS, min_lean: float = LEAN, size: tuple[float, float] = g.REGULAR) -> DataFrame:
     """One row per dive: span, peak, displacement, lean, reach, classes, phases, reaction time and notes."""
     marked = series.islands(signals, TRACK, FRAME, F.col("speed") >= speed).where("n >= 5")
     burst = marked.where("island is not null")
@@ -64,7 +64,7 @@ def detect_dives(signals: DataFrame, goals: DataFrame | None = None, shots: Data
     out = phases(bounds, marked)
     out = out.withColumns({"direction": direction(F.col("lateral_bh")), "height": height_class(F.col("lowest_bh"), F.col("peak_reach_bh")), "duration_s": (F.col("end_frame") - F.col("start_frame")) / F.col("fps"), "time_to_peak_s": (F.col("peak_frame") - F.col("start_frame")) / F.col("fps")})
     if goals is not None:
-        out = out.join(goals.select("clip_id", "lx", "ly", "rx", "ry", "crossbar_y"), "clip_id", "left").withColumn("lateral_m", F.col("lateral_bh") * F.col("reference_px") / g.Goal.of().px_per_m).drop("lx", "ly", "rx", "ry", "crossbar_y")
+        out = out.join(goals.select("clip_id", "lx", "ly", "rx", "ry", "crossbar_y"), "clip_id", "left").withColumn("lateral_m", F.col("lateral_bh") * F.col("reference_px") / g.Goal.of(size=size).px_per_m).drop("lx", "ly", "rx", "ry", "crossbar_y")
     else:
         out = out.withColumn("lateral_m", F.lit(None).cast("double"))
     out = reaction_times(out, shots) if shots is not None else out.withColumn("reaction_time_s", F.lit(None).cast("double"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from strideframe.functions.signal import low_pass
-from strideframe.schema import FRAME, TRACK
+from strideframe.schema import FRAME, TRACK, BackendNotAvailable
 
 MIN_ROWS = 10
 
@@ -30,3 +32,17 @@ def smooth(tracked: DataFrame, clips: DataFrame, cutoff_hz: float | None = 6.0)
         return pdf.drop(columns="fps")
 
     return tracked.where("track_id is not null").join(clips.select("clip_id", "fps"), "clip_id").groupBy(*TRACK).applyInPandas(run, tracked.schema)
+
+
+def monocular(tracked: DataFrame, clips: DataFrame, cutoff_hz: float | None = 6.0) -> DataFrame:
+    raise BackendNotAvailable("lifting 2D poses needs a learned model, which is not part of the engine")
+
+
+#: Lifters by name: they take tracked rows, clips and a cutoff.
+LIFTERS: dict[str, Callable[[DataFrame, DataFrame, float | None], DataFrame]] = {"passthrough": smooth, "monocular": monocular}
+
+
+def lifter(name: str = "passthrough") -> Callable[[DataFrame, DataFrame, float | None], DataFrame]:
+    if name not in LIFTERS:
+        raise KeyError(f"no lifter {name!r}; there are {', '.join(sorted(LIFTERS))}")
+    return LIFTERS[name]

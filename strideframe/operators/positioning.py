@@ -16,14 +16,14 @@ def with_goal(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return rows.join(goals.select("clip_id", "lx", "ly", "rx", "ry", "crossbar_y"), "clip_id", "left")
 
 
-def offsets(rows: DataFrame, goals: DataFrame, x: str = "com_x", y: str = "com_y") -> DataFrame:
+def offsets(rows: DataFrame, goals: DataFrame, x: str = "com_x", y: str = "com_y", size: tuple[float, float] = g.REGULAR) -> DataFrame:
     """lateral_m, depth_m, coverage, in_area, in_mouth and px_per_m of a point of each row."""
-    goal, p = g.Goal.of(), g.columns(x, y)
+    goal, p = g.Goal.of(size=size), g.columns(x, y)
     out = with_goal(rows, goals)
     return out.withColumns({"px_per_m": goal.px_per_m, "lateral_m": goal.lateral_m(p), "depth_m": goal.depth_m(p), "coverage": goal.coverage(p), "in_area": goal.in_area(p), "in_mouth": goal.in_mouth(p)})
 
 
-def positioning(features: DataFrame, goals: DataFrame, clips: DataFrame, cutoff_hz: float | None = 6.0) -> DataFrame:
+def positioning(features: DataFrame, goals: DataFrame, clips: DataFrame, cutoff_hz: float | None = 6.0, size: tuple[float, float] = g.REGULAR) -> DataFrame:
     """One row per track: frames, distance, peak speed and, with a goal, depth, coverage and time in the area.
 
     Tracks with fewer than two usable rows have counts only.
@@ -33,7 +33,7 @@ def positioning(features: DataFrame, goals: DataFrame, clips: DataFrame, cutoff_
     w = series.over(TRACK, FRAME)
     ref = F.expr("percentile(height_px, 0.5)").over(Window.partitionBy(*TRACK))
     path = path.withColumn("reference_px", ref).withColumns({"step_px": series.step_length(F.col("com_x"), F.col("com_y"), w), "speed": F.hypot(*[series.uniform_gradient(F.col(c), 1.0, w) for c in ("com_x", "com_y")]) * F.col("fps") / F.col("reference_px")})
-    placed = offsets(path, goals)
+    placed = offsets(path, goals, size=size)
     many = F.count("*") >= 2
     of = lambda c: F.when(many, c)
     fraction = lambda c: F.avg(F.col(c).cast("double"))
@@ -54,11 +54,11 @@ def mouth_position(coverage) -> object:  # noqa: ANN001
     return F.when(coverage < 0.35, "left").when(coverage > 0.65, "right").when(coverage.isNotNull(), "central")
 
 
-def score_geometry(features: DataFrame, goals: DataFrame, min_frames: int = 10) -> DataFrame:
+def score_geometry(features: DataFrame, goals: DataFrame, min_frames: int = 10, size: tuple[float, float] = g.REGULAR) -> DataFrame:
     """Scores of tracks by closeness to the line, stay within the mouth and stillness, best first."""
     path = features.where("com_x is not null and com_y is not null").select(*TRACK, FRAME, "com_x", "com_y")
     w = series.over(TRACK, FRAME)
-    placed = offsets(path.withColumn("step_px", series.step_length(F.col("com_x"), F.col("com_y"), w)), goals).where("px_per_m is not null")
+    placed = offsets(path.withColumn("step_px", series.step_length(F.col("com_x"), F.col("com_y"), w)), goals, size=size).where("px_per_m is not null")
     by = placed.groupBy(*TRACK).agg(F.count("*").alias("frames"), F.min(FRAME).alias("first_frame"), F.median("depth_m").alias("median_depth_m"), F.avg(F.col("in_mouth").cast("double")).alias("within_mouth"), (F.sum("step_px") / F.first("px_per_m")).alias("distance_m")).where(F.col("frames") >= min_frames)
     proximity = F.exp(-F.greatest(F.lit(0.0), F.col("median_depth_m")) / 8.0)
     stillness = F.exp(-(F.col("distance_m") / F.col("frames")) / 0.05)
@@ -70,6 +70,12 @@ def ranked(candidates: DataFrame, score: str = "score") -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("clip_id").orderBy(F.desc(score), "first_frame", "track_id")))
 
 
+def uncertain(candidates: DataFrame, least: float = 0.5) -> DataFrame:
+    """clip_id, candidates, score and uncertain: more than one candidate and the best one scores under ``least``."""
+    by = candidates.groupBy("clip_id").agg(F.count("*").alias("candidates"), F.max("score").alias("score"))
+    return by.withColumn("uncertain", (F.col("candidates") > 1) & (F.col("score") < least))
+
+
 def score_colour(samples: DataFrame, min_samples: int = 5) -> DataFrame:
     """Scores of tracks by how far their kit's colour is from the clip's median; samples have r, g, b.
 
@@ -83,7 +89,7 @@ def score_colour(samples: DataFrame, min_samples: int = 5) -> DataFrame:
     return far.withColumn("score", F.col("distance") / F.coalesce(F.nullif(F.max("distance").over(clip), F.lit(0.0)), F.lit(1.0))).select(*TRACK, "n", "first_frame", "distance", "score")
 
 
-def identify(features: DataFrame, goals: DataFrame | None = None, manual: dict[int, int] | None = None, colours: DataFrame | None = None) -> DataFrame:
+def identify(features: DataFrame, goals: DataFrame | None = None, manual: dict[int, int] | None = None, colours: DataFrame | None = None, size: tuple[float, float] = g.REGULAR) -> DataFrame:
     """The keeper's track of each clip and how it was found: manual, geometry, colour or longest."""
     from strideframe.operators.tracks import longest_track
 
@@ -93,7 +99,7 @@ def identify(features: DataFrame, goals: DataFrame | None = None, manual: dict[i
         known = features.select(*TRACK).distinct()
         found.append(known.where(F.element_at(pairs, F.col("clip_id")) == F.col("track_id")).select(*TRACK, F.lit("manual").alias("method"), F.lit(1.0).alias("score"), F.lit(0).alias("_order")))
     if goals is not None:
-        found.append(ranked(score_geometry(features, goals)).where("rank = 1").select(*TRACK, F.lit("geometry").alias("method"), "score", F.lit(1).alias("_order")))
+        found.append(ranked(score_geometry(features, goals, size=size)).where("rank = 1").select(*TRACK, F.lit("geometry").alias("method"), "score", F.lit(1).alias("_order")))
     if colours is not None:
         found.append(ranked(score_colour(colours)).where("rank = 1").select(*TRACK, F.lit("colour").alias("method"), "score", F.lit(2).alias("_order")))
     found.append(longest_track(features).select(*TRACK, F.lit("longest").alias("method"), F.lit(0.3).alias("score"), F.lit(3).alias("_order")))

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions import geometry as g
@@ -157,6 +157,14 @@ def track_boxes(detections: DataFrame, tracker: Tracker | None = None, min_conf:
     return detections.groupBy("clip_id").applyInPandas(run, schema)
 
 
+def tall_boxes(detections: DataFrame, frame_height: Column | float, least: float = 0.05) -> DataFrame:
+    """Detections whose box is at least that share of the frame tall, with ``rank`` from 1 within the frame: the largest first, then by det_id."""
+    b = F.col("bbox")
+    frame = Window.partitionBy(*[c for c in ("clip_id", FRAME) if c in detections.columns])
+    tall = detections.where((b["y2"] - b["y1"]) >= least * (frame_height if isinstance(frame_height, Column) else F.lit(frame_height)))
+    return tall.withColumn("rank", F.row_number().over(frame.orderBy(F.desc(g.area(b)), "det_id")).cast("bigint"))
+
+
 def spans(rows: DataFrame) -> DataFrame:
     """Rows, first and last frame and coverage of each track."""
     n = F.count("*")

@@ -234,6 +234,39 @@ def homography_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.select("clip_id", *[F.round(F.get("h", F.lit(i)), 4).alias(f"h{i}") for i in range(9)], "n_points", "reliable")
 
 
+@query
+def ground_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = adapters.pose_clips(spark).withColumn("h", F.array(*[F.lit(v) for v in H]))
+    out = calibration.ground_distance(features(spark, sf_dir), h, ("feet_x", "feet_y"), ("com_x", "com_y"))
+    return out.select("track_id", FRAME, "distance_m")
+
+
+@query
+def detector_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.tall_boxes(adapters.boxes(spark, sf_dir), 720.0).select(FRAME, "det_id", "rank")
+
+
+@query
+def identity_uncertain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features(spark, sf_dir)
+    return positioning.uncertain(positioning.score_geometry(f, adapters.fixed_goals(adapters.pose_clips(spark))))
+
+
+@query
+def report_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report without any low-pass, as SQL can follow it."""
+    f = dive_features(spark, sf_dir)
+    out = report.goalkeeper_report(f, adapters.dive_clips(spark, sf_dir), adapters.fixed_goals(adapters.dive_clips(spark, sf_dir)), cutoff_hz=None, dive_cutoff_hz=None)
+    return out.select("clip_id", "track_id", "n", "duration_s", F.col("dive_count").cast("bigint").alias("dive_count"), "frames_analysed", "median_depth_m", "median_coverage", "time_in_goal_area", "distance_covered_m", "mouth", report.summary_line().alias("summary"))
+
+
+@query
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = dive_features(spark, sf_dir)
+    out = report.goalkeeper_report(f, adapters.dive_clips(spark, sf_dir), adapters.fixed_goals(adapters.dive_clips(spark, sf_dir)))
+    return out.select("clip_id", report.text_report().alias("text"))
+
+
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.signals(spark, sf_dir)
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 from typing import Any
 
+from strideframe.schema import ConfigError
 
-class ConfigError(ValueError):
-    """A setting that does not exist or does not fit."""
+# Names of the settings and their defaults are an interface that users' files follow.
 
 
 @dataclass
@@ -72,13 +73,13 @@ class Analysis:
 class Output:
     directory: str = "outputs"
     formats: list[str] = field(default_factory=lambda: ["json"])
-    overlay_video: bool = True
+    overlay_video: bool = False
     report: bool = True
 
 
 @dataclass
 class Config:
-    """All sections. Accepted without an effect: tracking.method, calibration.method, goal sizes, filter_order, kinematics, overlay_video."""
+    """All sections. Settings that the engine could only ignore are refused unless they ask for what it does anyway."""
 
     name: str = "default"
     video: Video = field(default_factory=Video)
@@ -94,7 +95,52 @@ class Config:
 
     @classmethod
     def from_dict(cls, values: dict[str, Any]) -> Config:
-        return _filled(cls(), values, "")
+        return _filled(cls(), values, "").checked()
+
+    def checked(self) -> Config:
+        """Itself, or ConfigError."""
+        for path, allowed in ONLY.items():
+            section, name = path.split(".")
+            value = getattr(getattr(self, section), name)
+            if value not in allowed:
+                raise ConfigError(f"{path} must be {' or '.join(map(repr, allowed))}, not {value!r}")
+        if self.goalkeeper.goal_width_m <= 0 or self.goalkeeper.goal_height_m <= 0:
+            raise ConfigError("a goal has a width and a height")
+        if self.goalkeeper.identification == "manual" and self.goalkeeper.track_id is None:
+            raise ConfigError("goalkeeper.identification 'manual' needs goalkeeper.track_id")
+        return self
+
+    def to_yaml(self) -> str:
+        return _yaml().safe_dump(self.to_dict(), sort_keys=False)
+
+    @classmethod
+    def from_yaml(cls, text: str) -> Config:
+        return cls.from_dict(_yaml().safe_load(text) or {})
+
+    @classmethod
+    def load(cls, path: str) -> Config:
+        """A settings file: YAML, or JSON by its name."""
+        with open(path) as f:
+            return cls.from_dict(json.load(f)) if path.endswith(".json") else cls.from_yaml(f.read())
+
+
+#: What these settings may say.
+ONLY = {
+    "tracking.method": ("iou",),
+    "calibration.method": ("manual",),
+    "analysis.filter_order": (4,),
+    "analysis.kinematics": (True,),
+    "output.overlay_video": (False,),
+    "goalkeeper.identification": ("auto", "manual", "geometry", "colour"),
+}
+
+
+def _yaml() -> Any:
+    try:
+        import yaml
+    except ImportError as e:
+        raise ConfigError("YAML settings need PyYAML; JSON works without") from e
+    return yaml
 
 
 def _filled(section: Any, values: Any, path: str) -> Any:

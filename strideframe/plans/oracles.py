@@ -158,6 +158,13 @@ SQL["set_position"] = f"""WITH {BASE}, {USABLE}, {PATH}, a AS (SELECT track_id,
   SELECT track_id, frame_index, {r('cost', 'cost')} FROM c WHERE fastest < 3 OR i < fastest QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY cost, i) = 1"""
 _w = f"({H[6]}e0 * feet_x + {H[7]}e0 * feet_y + {H[8]}e0)"
 simple("pitch_project", f"track_id, frame_index, {r(f'({H[0]}e0 * feet_x + {H[1]}e0 * feet_y + {H[2]}e0) / {_w}', 'pitch_x')}, {r(f'({H[3]}e0 * feet_x + {H[4]}e0 * feet_y + {H[5]}e0) / {_w}', 'pitch_y')}, {r('feet_x', 'image_x')}, {r('feet_y', 'image_y')}")
+_cw = f"({H[6]}e0 * com_x + {H[7]}e0 * com_y + {H[8]}e0)"
+_ON = lambda x, y, w: tuple(f"(({H[k]}e0 * {x} + {H[k + 1]}e0 * {y} + {H[k + 2]}e0) / {w})" for k in (0, 3))
+simple("ground_distance", f"track_id, frame_index, {r(dist(*_ON('feet_x', 'feet_y', _w), *_ON('com_x', 'com_y', _cw)), 'distance_m')}")
+simple("detector_filter", "frame_index, det_id, row_number() OVER (PARTITION BY frame_index ORDER BY w * h DESC, det_id) AS rank", "box", BOXES, "WHERE y2 - y1 >= 0.05 * 720")
+simple("identity_uncertain", f"0::BIGINT AS clip_id, count(*) AS candidates, {r('max(score)', 'score')}, count(*) > 1 AND max(score) < 0.5 AS uncertain", "ranked", f"{BASE}, {IDENT}", "HAVING count(*) > 0")
+# The clicks are made by the inverse of H, so its values come back.
+SQL["homography_fit"] = "SELECT s_suppkey::BIGINT AS clip_id, " + ", ".join(f"{v}e0 AS h{i}" for i, v in enumerate(f"{h:.4f}" for h in H)) + ", 6::BIGINT AS n_points, TRUE AS reliable FROM supplier"
 _NAMES = ", ".join(f"'{n}'" for n, _, _ in LANDMARKS)
 _CLICKS = f"clicks AS (SELECT s_suppkey::BIGINT AS clip_id, CASE WHEN j = 6 THEN 'nowhere' ELSE [{_NAMES}][(s_suppkey + j * 5) % {len(LANDMARKS)} + 1] END AS landmark FROM supplier, range(7) t(j))"
 simple("landmark_lookup", "clip_id, landmark, pitch_x::DOUBLE AS pitch_x, pitch_y::DOUBLE AS pitch_y", f"clicks JOIN (VALUES {', '.join(str(x) for x in LANDMARKS)}) l(landmark, pitch_x, pitch_y) USING (landmark)", _CLICKS)
@@ -226,6 +233,12 @@ simple("phase_label", "clip_id, frame_index, CASE WHEN frame_index >= end_frame
 _RE = lambda v, n, d: f"round_even({v}, {d}) + 0.0e0 AS {n}"
 simple("dive_table", f"clip_id, {_RE('start_frame / 60.0e0', 'start_s', 3)}, {_RE('(end_frame - start_frame) / 60.0e0', 'duration_s', 3)}, direction, height, {_RE('peak_speed_bh_s', 'peak_speed_bh_s', 2)}, {_RE('lateral_bh', 'lateral_bh', 2)}, {_RE('max_lean_deg', 'max_lean_deg', 1)}, {_RE('confidence', 'confidence', 2)}", "p", DIVES)
 
+_STEP = step(_C)
+SQL["report_row"] = f"""WITH {DIVES}, placed AS (SELECT clip_id, {_STEP} AS step_px, {GOAL} FROM usable), pos AS (SELECT clip_id, count(*) AS frames_analysed, median(depth_m) AS dm, median(coverage) AS cm, avg(in_area::INT) AS area, sum(step_px / 100.0e0) AS dist FROM placed GROUP BY clip_id),
+  span AS (SELECT clip_id, count(*) AS n FROM features GROUP BY clip_id), counted AS (SELECT clip_id, count(*) AS k FROM p GROUP BY clip_id),
+  rows_ AS (SELECT clip_id, n, frames_analysed, coalesce(k, 0) AS k, dm, cm, area, dist, CASE WHEN cm < 0.35 THEN 'left' WHEN cm > 0.65 THEN 'right' ELSE 'central' END AS mouth FROM span LEFT JOIN pos USING (clip_id) LEFT JOIN counted USING (clip_id))
+  SELECT clip_id, 0::BIGINT AS track_id, n, {r('n / 60.0e0', 'duration_s')}, k AS dive_count, frames_analysed, {r('dm', 'median_depth_m')}, {r('cm', 'median_coverage')}, {r('area', 'time_in_goal_area')}, {r('dist', 'distance_covered_m')}, mouth, 'track 0 | ' || n || ' frames | ' || k || ' dives | ' || printf('%.2f', dm) || ' m off the line | ' || mouth AS summary FROM rows_"""
+
 # Clips.
 _CLIP = "clip AS (SELECT p_partkey::BIGINT AS clip_id, CASE p_partkey % 3 WHEN 0 THEN 3840 WHEN 1 THEN 1920 ELSE 1280 END AS width, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 1600 ELSE 2160 END WHEN 1 THEN 1080 ELSE 720 END AS height, CASE p_partkey % 5 WHEN 0 THEN 120.0e0 WHEN 1 THEN 24.0e0 WHEN 2 THEN 60.0e0 ELSE 30.0e0 END AS fps, (p_size * 60)::BIGINT AS frame_count, (p_partkey % 4 * 90)::INT AS rotation, CASE WHEN p_partkey % 7 < 3 THEN 'HEVC' ELSE 'h264' END AS codec, (p_size * 4)::DOUBLE AS duration_s FROM part)"
 _DEVICE = "CASE WHEN codec = 'HEVC' AND greatest(width, height) / least(width, height)::DOUBLE > 1.9 THEN 'action_cam' WHEN codec = 'HEVC' THEN 'iphone_recent' WHEN greatest(width, height) >= 3000 THEN 'android_flagship' WHEN fps <= 30.5 AND greatest(width, height) <= 1920 THEN 'android_midrange' ELSE 'generic' END"

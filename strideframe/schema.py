@@ -13,3 +13,15 @@ SHOTS = "clip_id bigint, shot_time_s double"
 #: What a track is keyed by, and the order of its rows.
 TRACK = ["clip_id", "track_id"]
 FRAME = "frame_index"
+
+
+class StrideframeError(Exception):
+    """What the engine itself refuses to do."""
+
+
+class BackendNotAvailable(StrideframeError, RuntimeError):
+    """The backend cannot run here."""
+
+
+class ConfigError(StrideframeError, ValueError):
+    """A setting that does not exist or does not fit."""

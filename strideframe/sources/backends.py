@@ -14,11 +14,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from strideframe.schema import DETECTIONS
-
-
-class BackendNotAvailable(RuntimeError):
-    """The backend cannot run here."""
+from strideframe.schema import DETECTIONS, BackendNotAvailable
 
 
 class Backend(ABC):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions.skeleton import COCO17
@@ -25,22 +27,23 @@ def long(detections: DataFrame) -> DataFrame:
     return detections.select("clip_id", FRAME, "track_id", F.explode(named).alias("z")).select("clip_id", FRAME, "track_id", "z.joint", "z.k.x", "z.k.y", "z.k.conf")
 
 
-def nested(detections: DataFrame, clips: DataFrame, reports: DataFrame | None = None) -> DataFrame:
-    """One JSON document per clip: video, skeleton, frames of people and the reports.
+def nested(detections: DataFrame, clips: DataFrame, reports: DataFrame | None = None, frames_each: int = 10_000) -> DataFrame:
+    """JSON documents of each clip: video, skeleton, frames of people and the reports.
 
-    Frames are grouped first, so a clip's array holds one entry per frame.
+    A document holds ``frames_each`` frames at most, so that it stays bounded:
+    ``part`` numbers the documents of a clip, and the first carries the reports.
     """
     people = F.sort_array(F.collect_list(F.struct("det_id", "track_id", "kp")))
     frames = detections.groupBy("clip_id", FRAME).agg(people.alias("people"))
-    listed = frames.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct(FRAME, "people"))).alias("frames"))
+    listed = frames.groupBy("clip_id", F.expr(f"{FRAME} div {frames_each}").alias("part")).agg(F.sort_array(F.collect_list(F.struct(FRAME, "people"))).alias("frames"))
     video = F.struct(*[c for c in clips.columns if c != "clip_id"])
     out = clips.select("clip_id", video.alias("video")).join(listed, "clip_id")
     fields = ["video", "frames"]
     if reports is not None:
         found = reports.groupBy("clip_id").agg(F.collect_list(F.struct(*[c for c in reports.columns if c != "clip_id"])).alias("goalkeeper"))
-        out, fields = out.join(found, "clip_id", "left"), [*fields, "goalkeeper"]
-    body = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_utc"), F.array(*[F.lit(j) for j in COCO17]).alias("skeleton"), *fields)
-    return out.select("clip_id", F.to_json(body).alias("value"))
+        out, fields = out.join(found, "clip_id", "left"), [*fields, F.when(F.col("part") == F.min("part").over(Window.partitionBy("clip_id")), F.col("goalkeeper")).alias("goalkeeper")]
+    body = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_utc"), F.array(*[F.lit(j) for j in COCO17]).alias("skeleton"), F.col("part"), *fields)
+    return out.select("clip_id", "part", F.to_json(body).alias("value"))
 
 
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error", by: list[str] | None = None) -> None:
@@ -73,6 +76,11 @@ def write_trc(rows: DataFrame, path: str, order: str, fps: float, units: str = "
     top.union(lines.select(F.col(order).cast("long").alias("n"), "line")).coalesce(1).sortWithinPartitions("n").select("line").write.text(path)
 
 
+def run_name(stem: str, at: datetime | None = None) -> str:
+    """A folder name for a run: the stem and the time."""
+    return f"{stem}_{(at or datetime.now()):%Y%m%d_%H%M%S}"
+
+
 def write_all(tables: dict[str, DataFrame], directory: str, formats: list[str]) -> list[str]:
     """Every table in every format; an unknown format or one that fails is named in the result, the others are written."""
     problems = []

@@ -16,37 +16,48 @@ from strideframe.schema import FRAME
 OUT = "clip_id bigint, frame_index bigint, det_id bigint, track_id bigint, confirmed boolean"
 
 
-def stream_tracks(detections: DataFrame, settings: Tracker | None = None, idle_ms: int = 60_000) -> DataFrame:
+def stream_tracks(detections: DataFrame, settings: Tracker | None = None, idle_ms: int = 60_000, wait_frames: int = 30) -> DataFrame:
     """clip_id, frame_index, det_id, track_id, confirmed of boxes as they arrive.
 
-    The state of a clip is its trails, bounded by max_age. Frames of a batch
-    are taken in order; frames at or before the last one processed come too late
-    and are left out. A clip without rows for idle_ms is forgotten.
+    Frames must be taken in order, but may arrive out of it: a frame waits until
+    one ``wait_frames`` or more ahead of it has been seen, as a watermark would
+    have it, or until the clip has had no rows for ``idle_ms``. A frame at or
+    before the last one taken is later than that and is left out. The state of
+    a clip is its trails, bounded by max_age, and the boxes of the frames that
+    wait; it is forgotten when the clip is idle.
     """
     base = settings or Tracker()
 
     def run(key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         own, last = Tracker(base.min_iou, base.reach, base.max_age, base.min_hits, base.smoothing, base.decay), None
+        waiting: dict[int, list[tuple[int, list[float]]]] = {}  # frame: its boxes
         if state.exists:
             last, dump = state.get
-            own.load(*json.loads(dump))
-        pdf = pd.concat(list(batches)).sort_values([FRAME, "det_id"])
+            trails, held = json.loads(dump)
+            own.load(*trails)
+            waiting = {int(f): [(d, b) for d, b in boxes] for f, boxes in held.items()}
+        idle = state.hasTimedOut
+        if not idle:
+            for pdf in batches:
+                for frame, det, box in zip(pdf[FRAME].tolist(), pdf["det_id"].tolist(), pdf["bbox"], strict=True):
+                    if last is None or frame > last:
+                        boxes = waiting.setdefault(int(frame), [])
+                        if box is not None:
+                            boxes.append((int(det), [float(box[c]) for c in ("x1", "y1", "x2", "y2")]))
+        ready = max(waiting, default=0) + (1 if idle else 1 - wait_frames)
         out = []
-        for frame, rows in pdf.groupby(FRAME):
-            if last is not None and frame <= last:
-                continue
-            for _ in range(min(int(frame - last) - 1, own.max_age + 1) if last is not None else 0):
+        for frame in sorted(f for f in waiting if f < ready):
+            boxes = sorted(waiting.pop(frame))
+            for _ in range(min(frame - last - 1, own.max_age + 1) if last is not None else 0):
                 own.step(np.zeros((0, 4)))
-            known = rows[rows["bbox"].notna()]
-            found = own.step(np.array([[b[c] for c in ("x1", "y1", "x2", "y2")] for b in known["bbox"]]).reshape(-1, 4))
-            out += [(key[0], frame, det, track, sure) for det, (track, sure) in zip(known["det_id"], found, strict=True)]
+            found = own.step(np.array([b for _, b in boxes]).reshape(-1, 4))
+            out += [(key[0], frame, det, track, sure) for (det, _), (track, sure) in zip(boxes, found, strict=True)]
             last = frame
-        if last is not None:
-            state.update((int(last), json.dumps(own.dump())))
-        state.setTimeoutDuration(idle_ms)
+        if idle:
+            state.remove()
+        else:
+            state.update((last, json.dumps([own.dump(), waiting])))
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["clip_id", FRAME, "det_id", "track_id", "confirmed"])
 
     return detections.select("clip_id", FRAME, "det_id", "bbox").groupBy("clip_id").applyInPandasWithState(run, OUT, "last bigint, dump string", "append", GroupStateTimeout.ProcessingTimeTimeout)

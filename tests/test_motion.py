@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from datetime import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -45,6 +48,14 @@ def test_homography_of_four_points():
     h = signal.fit_homography(image, pitch)
     out = np.column_stack([image, np.ones(4)]) @ h.T
     assert np.allclose(out[:, :2] / out[:, 2:], pitch, atol=1e-8)
+    # One bad click among ten is left out, whatever it is off by.
+    rng = np.random.default_rng(3)
+    seen = rng.uniform(0, 900, (10, 2))
+    ground = np.column_stack([seen, np.ones(10)]) @ h.T
+    ground = ground[:, :2] / ground[:, 2:]
+    ground[4] += (9.0, -4.0)
+    good = signal.fit_robust_homography(seen, ground, 5.0)
+    assert len(good[0]) == 9 and np.allclose(signal.fit_homography(*good), h, atol=1e-6) and len(signal.fit_robust_homography(image, pitch, 5.0)[0]) == 4
     assert signal.fit_homography(image[:3], pitch[:3]) is None and signal.fit_homography(np.ones((4, 2)), pitch) is None
 
 
@@ -100,6 +111,35 @@ def test_stream_tracks_like_the_batch(spark, sf, tmp_path):
     assert got == sorted((r.clip_id, r.frame_index, r.track_id, r.confirmed) for r in batch) and len(got) == 360
 
 
+@pytest.mark.parametrize(("wait", "late"), [(40, False), (5, True)])
+def test_stream_waits_for_late_frames(spark, sf, tmp_path, wait, late):
+    """Files bring frames out of order; those within the wait are put in order, later ones are left out."""
+    d = adapters.dive_tracks(spark, sf).where("clip_id < 2").select("clip_id", "frame_index", "det_id", g.box_of(F.col("kp")).alias("bbox"))
+    for n, part in enumerate(("frame_index < 30 or frame_index between 50 and 59", "frame_index between 30 and 49", "frame_index >= 60")):
+        d.where(part).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        for file in sorted((tmp_path / "in").glob("part-*")):  # by time of change, files are read in this order
+            if not file.name.startswith("part-9"):
+                file.rename(file.with_name(f"part-9{n}-{file.name}"))
+                import os
+
+                os.utime(file.with_name(f"part-9{n}-{file.name}"), (1_700_000_000 + 100 * n,) * 2)
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    name = f"waited{wait}"
+    query = tracking.stream_tracks(stream, idle_ms=1000, wait_frames=wait).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(processingTime="1 second").start()
+    import time
+
+    want = {(r.clip_id, r.frame_index, r.track_id, r.confirmed) for r in tracks.track_boxes(d.withColumn("mean_conf", F.lit(1.0))).collect()}
+    got, end = set(), time.time() + 90
+    while len(got) < (200 if late else len(want)) and time.time() < end:
+        time.sleep(1)
+        got = {tuple(r) for r in spark.table(name).select("clip_id", "frame_index", "track_id", "confirmed").collect()}
+    query.stop()
+    if late:
+        assert {f for _, f, _, _ in got} == {f for f in range(120) if not 30 <= f < 50}
+    else:
+        assert got == want and len(got) == 240
+
+
 def test_windows_on_a_stream_drop_nothing_in_time(spark, sf, tmp_path):
     rows = adapters.signals(spark, sf).select("event_type", "v", "ts")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -219,8 +259,11 @@ def test_sinks_write_what_they_say(spark, sf, tmp_path):
     assert len(wide.columns) == 4 + 51
     sinks.write(wide, str(tmp_path / "csv"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == d.count()
-    text = sinks.nested(d, adapters.pose_clips(spark))
-    assert text.count() == 1 and text.first().value.startswith('{"schema_version":1')
+    text = sinks.nested(d, adapters.pose_clips(spark), d.select("clip_id", F.lit(3).alias("dives")).limit(1), frames_each=20)
+    parts = {r.part: json.loads(r.value) for r in text.collect()}
+    assert sorted(parts) == [0, 1, 2] and [len(parts[k]["frames"]) for k in range(3)] == [19, 20, 11]  # frames 1 to 50
+    assert parts[0]["goalkeeper"] == [{"dives": 3}] and "goalkeeper" not in parts[1] and all(p["schema_version"] == 1 for p in parts.values())
+    assert sinks.run_name("clip", datetime(2024, 5, 6, 7, 8, 9)) == "clip_20240506_070809"
 
 
 def test_unknown_names_are_refused(spark):
