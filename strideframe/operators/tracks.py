@@ -140,14 +140,15 @@ def track_boxes(detections: DataFrame, tracker: Tracker | None = None, min_conf:
         own = Tracker(settings.min_iou, settings.reach, settings.max_age, settings.min_hits, settings.smoothing, settings.decay)
         ids, sure = np.full(len(pdf), -1), np.zeros(len(pdf), bool)
         ok = (pdf["bbox"].notna() & (pdf["mean_conf"] >= min_conf)).to_numpy()
-        rows = {f: np.array([i for i in at if ok[i]], dtype=int) for f, at in pdf.groupby(FRAME).indices.items()}
+        every = np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] if b is not None else [0.0] * 4 for b in pdf["bbox"]], dtype=float).reshape(-1, 4)
+        frames, begins = np.unique(pdf[FRAME].to_numpy(), return_index=True)
         last = None
-        for frame in sorted(rows):
+        for frame, a, b in zip(frames.tolist(), begins, np.append(begins[1:], len(pdf)), strict=True):
             if last is not None:
-                for _ in range(min(int(frame - last) - 1, own.max_age + 1)):
+                for _ in range(min(frame - last - 1, own.max_age + 1)):
                     own.step(np.zeros((0, 4)))
-            boxes = np.array([[pdf["bbox"][i][c] for c in ("x1", "y1", "x2", "y2")] for i in rows[frame]]).reshape(-1, 4)
-            for i, (track, confirmed) in zip(rows[frame], own.step(boxes), strict=True):
+            at = a + np.flatnonzero(ok[a:b])
+            for i, (track, confirmed) in zip(at, own.step(every[at]), strict=True):
                 ids[i], sure[i] = track, confirmed
             last = frame
         pdf["track_id"] = pd.Series(ids, dtype="Int64").where(ids >= 0)
