@@ -115,14 +115,17 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None, tokens: Column | None =
     """
     mix, scratch = mix or Mix(), scratch or Scratch(docs.sparkSession)
     named = clear_of(docs, "tokens", "domain", "epoch", "take")
-    rows = scratch.put(measured(named, tokens, domain, keep=True), "rows")  # words are counted once
-    joined = rows.join(choose(rows.drop("_row"), mix), ["doc_id", *LEVELS, "tokens"])
+    identity = F.xxhash64("text", *[c for c in (tokens, domain) if c is not None])
+    sized = scratch.put(measured(named, tokens, domain, identity), "sized")  # words are counted once
+    chosen = sized.join(choose(sized.drop("th"), mix), ["doc_id", *LEVELS, "tokens"]).distinct()
+    rows = named.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), identity.alias("th"), F.struct("*").alias("_row"))
+    joined = rows.join(chosen.hint("merge"), ["doc_id", "lang", "source", "th"])
     return joined.select(*[F.col(f"_row.`{c}`") for c in named.columns], "tokens", "domain", "epoch", "take")
 
 
-def measured(docs: DataFrame, tokens: Column | None = None, domain: Column | None = None, keep: bool = False) -> DataFrame:
-    """doc_id, domain, lang, source, tokens of the rows that take part; keep adds the row itself as _row."""
-    out = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), (tokens if tokens is not None else n_words(F.col("text"))).alias("tokens"), (domain if domain is not None else domain_of(F.coalesce("source", F.lit("")))).alias("domain"), *([F.struct("*").alias("_row")] if keep else []))
+def measured(docs: DataFrame, tokens: Column | None = None, domain: Column | None = None, identity: Column | None = None) -> DataFrame:
+    """doc_id, domain, lang, source, tokens of the rows that take part; identity is added as th."""
+    out = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), (tokens if tokens is not None else n_words(F.col("text"))).alias("tokens"), (domain if domain is not None else domain_of(F.coalesce("source", F.lit("")))).alias("domain"), *([identity.alias("th")] if identity is not None else []))
     return out.where("tokens > 0 and doc_id is not null")
 
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.runtime import Scratch, fresh
+from strideframe.llm.runtime import Scratch
 
 WIDTH, RIDGE, SEED, GROUPS, GRID, FOLDS, THRESHOLD = 192, 1.0, 11, 24, 1000, 2, 0.7
 NAMES = ("log_words", "word_length", "long_words", "distinct", "symbols", "upper", "digits", "marks", "stops", "non_ascii", "lines", "dup_lines", "repeats", "top_word", "ends_in_symbol")
@@ -189,8 +189,13 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None,
 
 
 def accept(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that the classifier rejects, each judged by its own text; columns as they are."""
-    scratch, name = scratch or Scratch(docs.sparkSession), fresh(docs, "_stats")
-    rows = scratch.put(docs.select("*", statistics_of("text").alias(name)), "rows")
-    score = scorer(rows.select("doc_id", F.col(name).alias("stats")), labels, scratch)
-    return rows.where(score(F.col(name)) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the rows that the classifier rejects, each judged by its own text; columns as they are.
+
+    Statistics of the labelled rows are stored for the fit; to judge the rest
+    they are computed where the row is, so that no text is copied or shuffled.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    known = labels.where("quality in (0, 1)").select("doc_id").distinct()
+    stats = docs.select("doc_id", "text").join(known, "doc_id", "left_semi").select("doc_id", statistics_of("text").alias("stats"))
+    score = scorer(stats, labels, scratch)
+    return docs.where(score(statistics_of("text")) >= threshold)

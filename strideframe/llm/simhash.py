@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.runtime import Scratch, connected_components, fresh
+from strideframe.llm.runtime import Scratch, connected_components
 
 RADIUS, SHINGLE, SEED, HOT = 3, 3, 42, 32
 
@@ -115,7 +115,7 @@ def ball_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _rooted(marked: DataFrame, scratch: Scratch, hot: int) -> DataFrame:
     """fp, first, n_same, root of each different fingerprint: its smallest doc_id, its rows, its component."""
-    classes = scratch.put(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_same")), "classes")
+    classes = scratch.put(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.sum("n").alias("n_same")), "classes")
     links = scratch.put(fingerprint_links(classes.select("fp"), scratch, hot), "links")
     components = connected_components(links, scratch).withColumnsRenamed({"node": "fp", "component": "root"})
     return scratch.put(classes.join(components, "fp", "left").select("fp", "first", "n_same", F.coalesce("root", "fp").alias("root")), "rooted")
@@ -133,7 +133,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, hot: int =
     read. An empty table gives no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    marked = scratch.put(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fp"), "marked")
+    marked = scratch.put(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fp", F.lit(1).alias("n")), "marked")
     rooted = _rooted(marked, scratch, hot)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = scratch.put(rooted.join(smallest, "root").select("fp", "component_id", "n_same"), "named")
@@ -144,18 +144,22 @@ def keep_one(docs: DataFrame, scratch: Scratch | None = None, hot: int = HOT) ->
     """docs with exactly one row of each near-duplicate component.
 
     It is the one with the smallest doc_id, of rows that share it the one with
-    the smallest text hash; a null doc_id comes last. A doc_id with texts in
+    the smallest text hash; a null doc_id comes last. Rows equal in both are one. A doc_id with texts in
     several components may stay once in each. Columns as they are.
     """
-    scratch, fp = scratch or Scratch(docs.sparkSession), fresh(docs, "_fp")
-    uid = fresh(docs, "_uid")
-    # The number is written with the rows, so it stays theirs.
-    rows = scratch.put(with_fingerprint(docs, out=fp).withColumn(uid, F.monotonically_increasing_id()), "rows")
-    marked = rows.select("doc_id", F.xxhash64("text").alias("th"), F.col(fp).alias("fp"), F.col(uid).alias("uid"))
+    scratch = scratch or Scratch(docs.sparkSession)
+    marked = with_fingerprint(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("th"), "fp")
+    marked = scratch.put(marked.groupBy("doc_id", "th", "fp").agg(F.count("*").alias("n")), "marked")
     rooted = _rooted(marked, scratch, hot)
-    order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "th", "uid")
-    first = marked.groupBy("fp").agg(F.min(order).alias("x")).join(rooted, "fp").groupBy("root").agg(F.min("x").alias("x")).select(F.col("x.uid").alias(uid))
-    return rows.join(scratch.put(first, "first"), uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "th")
+    first = marked.groupBy("fp").agg(F.min(order).alias("x")).join(rooted, "fp").groupBy("root").agg(F.min("x").alias("x"))
+    same = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_no"), F.xxhash64("text").alias("_th")]
+    chosen = scratch.put(first.select(F.coalesce("x.doc_id", F.lit(0)).alias("_id"), F.col("x.no_id").alias("_no"), F.col("x.th").alias("_th")), "first")
+    keys = ["_id", "_no", "_th"]
+    # Rows equal in id and text meet in one place anyway; one of them stays.
+    rows = docs.select(*same, F.struct("*").alias("_row")).join(chosen.hint("merge"), keys, "left_semi")
+    one = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_th"))).where("_n = 1")
+    return one.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[str, int]]:
