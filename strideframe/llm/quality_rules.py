@@ -24,6 +24,8 @@ BLANK = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
 BLANKS = "".join(map(chr, [0x20, *range(0x09, 0x0E)]))
 
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+
 #: Ratios that conditions may test, as SQL over the columns of ``statistics``.
 FEATURES = {
     "words": "cast(n_words as double)",
@@ -57,6 +59,25 @@ def statistics(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_words", (F.col("_all") - F.col("_blank")).alias("word_chars"), "n_symbols", (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"), F.when(F.size("r") > 0, covered).otherwise(0).cast("bigint").alias("n_repeat_words"), "n_upper", "n_marks", "n_digits", F.size("l").cast("bigint").alias("n_lines"))
 
 
+def base(stats: DataFrame) -> DataFrame:
+    """The base statistics and base_failed of rows of ``statistics``; no labels needed."""
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(BASE_FAILED).alias("base_failed"))
+
+
+def base_oracle() -> str:
+    """``base`` over documents as DuckDB SQL."""
+    word = r"[^\x20\x09-\x0D]"
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    split AS (SELECT r, doc_id, t, regexp_extract_all(t, '{word}+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM docs),
+    grams AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM split)),
+    twice AS (SELECT r, i FROM grams QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
+    covered AS (SELECT r, count(DISTINCT i + d) AS n FROM twice, range(3) x(d) GROUP BY r)
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
+      SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM split LEFT JOIN covered USING (r))"""
+
+
 @dataclass(frozen=True)
 class Condition:
     """feature >= bound or feature < bound."""
@@ -162,5 +183,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, scratch: Scratch | None =
     marks = labels.where("quality in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg((1 - F.min("quality")).alias("bad"))
     labelled = stats.join(marks, "doc_id").withColumn("grow", F.expr("crc32(cast(doc_id as string)) % 3 <> 0"))
     rules = learn(labelled, scratch)
-    base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    return stats.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & rules.keeps())
+    return stats.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & rules.keeps())

@@ -58,10 +58,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the base rule of op9 reads, without any learning."""
+    return quality_rules.base(quality_rules.statistics(table(spark, sf_dir, "documents")))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_classifier, op3_mix_sources, op4_html_extract, op5_suffix_dedup, op6_token_counts, op7_sharding, op8_byte_bpe, op9_quality_rules, op10_nearest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_classifier, op3_mix_sources, op4_html_extract, op5_suffix_dedup, op6_token_counts, op7_sharding, op8_byte_bpe, op9_quality_rules, op10_nearest, text_statistics)}
 
-ORACLES: dict[str, str] = {"op3_mix_sources": mixing.oracle(), "op7_sharding": sharding.oracle()}
+ORACLES: dict[str, str] = {"op3_mix_sources": mixing.oracle(), "op7_sharding": sharding.oracle(), "text_statistics": quality_rules.base_oracle()}
