@@ -140,6 +140,16 @@ def test_rule_statistics_match_their_definition(spark, real):
     assert got == Counter((i, *word_counts(t)) for i, t in rows)
 
 
+def test_base_statistics_equal_their_sql(spark):
+    con = duckdb.connect()
+    con.execute("create view documents as select * from read_parquet('/root/testdata/sf0.001/documents.parquet') union all by name select null as doc_id, null as text union all by name select -1 as doc_id, E'é x\ty\nx\n \nx é x y z é x\n' as text")
+    cur = con.execute(quality_rules.base_oracle())
+    names = [c[0] for c in cur.description]
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(None, None), (-1, "é x\ty\nx\n \nx é x y z é x\n")], "doc_id long, text string"))
+    got = Counter(tuple(r) for r in quality_rules.base(quality_rules.statistics(small)).select(*names).collect())
+    assert got == Counter(cur.fetchall())
+
+
 def test_learned_rules_keep_the_good(spark, real, labels):
     out = quality_rules.quality_rules(real, labels).join(labels.where("crc32(cast(doc_id as string)) % 4 = 2"), "doc_id").where("not base_failed").collect()
     wrong = sum(r.kept != (r.quality == 1) for r in out)
