@@ -20,13 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.runtime import clear_of, fresh, without_gc
+from strideframe.llm.runtime import clear_of, fresh, text_batches, without_gc
 
 #: One character for each byte, none of them white space or sentencepiece's own mark.
 BYTE_CHARS = [chr(0x4E00 + b) for b in range(256)]
 _TO_CHARS = dict(enumerate(BYTE_CHARS))
 #: Pre-tokens that a generation of the coder's memory holds; two are kept.
-CACHE = 150_000
+CACHE = 75_000
 
 
 def _varint(n: int) -> bytes:
@@ -150,6 +150,7 @@ def _over_texts(docs: DataFrame, vocabulary: Vocabulary, of, schema: str) -> Dat
 
     Only the text goes through Python; columns of docs with the new names are replaced.
     """
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.ranks, vocabulary.pattern, vocabulary.model))  # as large as the vocabulary, whatever the input
     names = [x.split()[0] for x in schema.split(", ")]
 

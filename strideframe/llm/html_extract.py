@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.runtime import Scratch
+from strideframe.llm.runtime import Scratch, text_batches
 
 GAMMA, LOW, SALT, OUTSIDE = 0.9, 0.25, 16, 9
 
@@ -373,6 +373,7 @@ def extract_pages(pages: DataFrame, scratch: Scratch | None = None, low: float =
     elements nest. Extra columns are not read.
     """
     scratch = scratch or Scratch(pages.sparkSession)
+    text_batches(pages.sparkSession)
     # The number is written with the rows, so it stays theirs.
     rows = scratch.put(parsed(pages).withColumn("uid", F.monotonically_increasing_id()), "parsed")
     dull = node_importance(rows, scratch).where(F.col("importance") < low).select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))

@@ -17,10 +17,10 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm.runtime import Scratch
+from strideframe.llm.runtime import Scratch, text_batches
 
 WIDTH, RIDGE, SEED, GROUPS, GRID, FOLDS, THRESHOLD = 192, 1.0, 11, 24, 1000, 2, 0.7
 NAMES = ("log_words", "word_length", "long_words", "distinct", "symbols", "upper", "digits", "marks", "stops", "non_ascii", "lines", "dup_lines", "repeats", "top_word", "ends_in_symbol")
@@ -50,6 +50,8 @@ def statistics(text: str | None) -> list[float]:
 def statistics_of(column: str) -> Column:
     """The statistics of a text column as array<double>."""
 
+    text_batches(SparkSession.active())
+
     @F.pandas_udf("array<double>")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([[float(v) for v in statistics(t)] for t in texts])

@@ -41,7 +41,7 @@ BINS, MAX_RULES, MAX_CONDITIONS, MIN_PRECISION, MIN_COVER = 40, 10, 3, 0.75, 2
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and counts of each whole text (null: an empty text).
+    """doc_id and counts of each whole text (null: an empty text; a very long one is read whole).
 
     Words are runs of other characters than ASCII white space. A 3-word window
     is told from others by its XXH64, within one text.

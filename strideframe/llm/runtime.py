@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TEXT_ROWS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
@@ -121,6 +124,18 @@ def clear_of(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of TEXT_ROWS rows at most.
+
+    Spark's own limit is made for narrow rows; with texts it costs each
+    worker, and the buffers of its executor, some hundred MB. The setting stays for
+    the session, as plans are made when results are asked for.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have (in any letter case)."""
     taken = {c.lower() for c in df.columns}

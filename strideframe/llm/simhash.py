@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.runtime import Scratch, connected_components
+from strideframe.llm.runtime import Scratch, connected_components, text_batches
 
 RADIUS, SHINGLE, SEED, HOT = 3, 3, 42, 32
 
@@ -46,6 +46,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
     """The rows of docs with the column ``out``, a signed bigint."""
+    text_batches(docs.sparkSession)
 
     @F.pandas_udf("bigint")
     def of(texts):  # noqa: ANN001, ANN202

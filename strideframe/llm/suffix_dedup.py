@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.runtime import Scratch
+from strideframe.llm.runtime import Scratch, text_batches
 
 LENGTH, GRAM, RUN, SEGMENT, CROWD, CHUNK = 200, 72, 256, 1 << 20, 1000, 40_000
 
@@ -271,6 +271,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, crowd: int = CROWD) -> Dat
 
     The order of texts is that of (doc_id, hash of the text, position).
     """
+    text_batches(docs.sparkSession)
     keyed = _keyed(docs)
     blocks = scratch.put(_blocks(keyed), "blocks")
     anchors = scratch.put(blocks.groupBy("v").agg(F.count("*").alias("n"), F.min("c").alias("a"), F.max("c").alias("b"), F.max("inner").alias("inner")).where("n > 1 or inner").select("v", F.expr("a <> b or inner").alias("mixed")), "anchors")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.bpe import Coder, Vocabulary
-from strideframe.llm.runtime import without_gc
+from strideframe.llm.runtime import text_batches, without_gc
 
 LEAF, REMEMBER, SHORT = 16, 500_000, 200
 EDITS = "array<struct<position: bigint, deleted: bigint, inserted: string>>"
@@ -142,8 +142,10 @@ def edited_counts(docs: DataFrame, vocabulary: Vocabulary, edits: str = "edits")
     n_tokens_after, n_pretokens, n_reencoded (pre-tokens encoded for the edits)
     and n_leaves. Null texts and inserts are empty, a null list has no edits,
     a null edit is left out, null numbers are 0; positions beyond the text mean
-    its end. Repeated rows are counted one by one. Extra columns are not read.
+    its end. Repeated rows are counted one by one. A very long text has a tree in
+    proportion to it, in the memory of its own task. Extra columns are not read.
     """
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.ranks, vocabulary.pattern, vocabulary.model))  # as large as the vocabulary
     names = ["n_tokens", "n_edits", "n_chars_after", "n_tokens_after", "n_pretokens", "n_reencoded", "n_leaves"]
 
