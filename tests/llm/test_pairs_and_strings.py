@@ -110,6 +110,17 @@ def test_fingerprints_that_share_all_but_one_block_link_as_they_should(spark):
         assert sorted(map(sorted, [*groups.values(), *([signed(f)] for f in fps if signed(f) not in linked)])) == want
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    nothing = SimpleNamespace(get=lambda *_: None)
+    on = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None), sparkContext=SimpleNamespace(getConf=lambda: nothing, master=master))
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,512]"):
+        with pytest.raises(ValueError):
+            runtime.shared_dir(on(master))
+    assert runtime.shared_dir(on("local[4]")).startswith("file:///tmp/spark-")
+
+
 def test_scratch_tables_go_when_told(spark, tmp_path):
     import os
 
