@@ -8,8 +8,12 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +122,34 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return labels
 
 
+def summed(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], groups: int = 24) -> np.ndarray:
+    """The sum over all partitions of the flat array that ``part`` makes of each one's batches.
+
+    part gives arrays of one length and type (int64 or float64), whatever its
+    batches; what comes to the driver is ``groups`` arrays at most. They are
+    added in one order, so that equal parts give equal sums.
+    """
+    kinds = {"i": "<i8", "f": "<f8"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = np.asarray(part(batches))
+        kind = made.dtype.kind
+        yield pa.RecordBatch.from_pydict({"g": [TaskContext.get().partitionId() % groups], "kind": [kind], "v": [made.astype(kinds[kind]).tobytes()]}, pa.schema([("g", pa.int32()), ("kind", pa.string()), ("v", pa.binary())]))
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        kind = pdf["kind"].iloc[0]
+        total = np.sum([np.frombuffer(v, kinds[kind]) for v in sorted(pdf["v"])], axis=0)
+        return pd.DataFrame({"kind": [kind], "v": [total.astype(kinds[kind]).tobytes()]})
+
+    found = rows.mapInArrow(run, "g int, kind string, v binary").groupBy("g").applyInPandas(add, "kind string, v binary").collect()
+    return np.sum([np.frombuffer(v, kinds[k]) for k, v in sorted((r["kind"], bytes(r["v"])) for r in found)], axis=0)
+
+
+def matrix(column: pa.Array, size: int) -> np.ndarray:
+    """The lists of ``size`` values of an Arrow column as rows; the column has no nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
 def clear_of(df: DataFrame, *names: str) -> DataFrame:
     """df without columns whose names the operator makes itself (in any letter case)."""
     taken = {n.lower() for n in names}
