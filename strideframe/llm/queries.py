@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideframe.llm import ann, bpe, html_extract, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, vector_codes, whitening
+from strideframe.llm import ann, bpe, html_extract, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, toxicity, vector_codes, whitening
 from strideframe.llm.runtime import Scratch
 
 
@@ -71,10 +71,14 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_classifier, op3_mix_sources, op4_html_extract, op5_suffix_dedup, op6_token_counts, op7_sharding, op8_byte_bpe, op9_quality_rules, op10_nearest, op11_whitening, op13_vector_codes, text_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_classifier, op3_mix_sources, op4_html_extract, op5_suffix_dedup, op6_token_counts, op7_sharding, op8_byte_bpe, op9_quality_rules, op10_nearest, op11_whitening, op12_toxicity, op13_vector_codes, text_statistics)}
 
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.oracle(), "op7_sharding": sharding.oracle(), "text_statistics": quality_rules.base_oracle(), "op13_vector_codes": vector_codes.oracle()}
