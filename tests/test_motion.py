@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime
+import os
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
@@ -99,45 +100,84 @@ def test_duplicates_of_a_frame(spark):
     assert sorted((r.frame_index, r.det_id) for r in out.collect()) == [(0, 0), (1, 0), (1, 1), (2, 1), (2, 2)]
 
 
-def test_stream_tracks_like_the_batch(spark, sf, tmp_path):
-    d = adapters.dive_tracks(spark, sf).where("clip_id < 3").select("clip_id", "frame_index", "det_id", g.box_of(F.col("kp")).alias("bbox"))
-    d.where("frame_index < 60").write.json(str(tmp_path / "in"))
-    d.where("frame_index >= 60").write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 100).json(str(tmp_path / "in"))
-    query = tracking.stream_tracks(stream).writeStream.format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = sorted((r.clip_id, r.frame_index, r.track_id, r.confirmed) for r in spark.table("tracked").collect())
-    batch = tracks.track_boxes(d.withColumn("mean_conf", F.lit(1.0))).collect()
-    assert got == sorted((r.clip_id, r.frame_index, r.track_id, r.confirmed) for r in batch) and len(got) == 360
-
-
-@pytest.mark.parametrize(("wait", "late"), [(40, False), (5, True)])
-def test_stream_waits_for_late_frames(spark, sf, tmp_path, wait, late):
-    """Files bring frames out of order; those within the wait are put in order, later ones are left out."""
-    d = adapters.dive_tracks(spark, sf).where("clip_id < 2").select("clip_id", "frame_index", "det_id", g.box_of(F.col("kp")).alias("bbox"))
-    for n, part in enumerate(("frame_index < 30 or frame_index between 50 and 59", "frame_index between 30 and 49", "frame_index >= 60")):
-        d.where(part).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-        for file in sorted((tmp_path / "in").glob("part-*")):  # by time of change, files are read in this order
-            if not file.name.startswith("part-9"):
-                file.rename(file.with_name(f"part-9{n}-{file.name}"))
-                import os
-
-                os.utime(file.with_name(f"part-9{n}-{file.name}"), (1_700_000_000 + 100 * n,) * 2)
-    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    name = f"waited{wait}"
-    query = tracking.stream_tracks(stream, idle_ms=1000, wait_frames=wait).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(processingTime="1 second").start()
-    import time
-
-    want = {(r.clip_id, r.frame_index, r.track_id, r.confirmed) for r in tracks.track_boxes(d.withColumn("mean_conf", F.lit(1.0))).collect()}
-    got, end = set(), time.time() + 90
-    while len(got) < (200 if late else len(want)) and time.time() < end:
-        time.sleep(1)
-        got = {tuple(r) for r in spark.table(name).select("clip_id", "frame_index", "track_id", "confirmed").collect()}
-    query.stop()
-    if late:
-        assert {f for _, f, _, _ in got} == {f for f in range(120) if not 30 <= f < 50}
-    else:
-        assert got == want and len(got) == 240
+@pytest.fixture
+def clip_stream(spark, sf, tmp_path):
+    """Boxes of clips with event times, a folder that a stream reads one file at a time, and the stream's rows so far."""
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    keepers = adapters.dive_tracks(spark, sf).where("clip_id < 4").select("clip_id", "frame_index", "det_id", g.box_of(F.col("kp")).alias("bbox"))
+    # A second person far to the right who is away for 50 frames.
+    other = keepers.where("clip_id < 3 and not frame_index between 40 and 89").withColumns({"det_id": F.lit(1).cast("bigint"), "bbox": F.struct(*[(F.col(f"bbox.{c}") + (1500 if c in ("x1", "x2") else 0)).alias(c) for c in ("x1", "y1", "x2", "y2", "score")])})
+    told = spark.createDataFrame([(k, start, 60.0) for k in range(10)], "clip_id long, started timestamp, fps double")
+    boxes = tracking.frame_times(keepers.union(other), told).cache()
+    tracking.use_rocksdb(spark)
+    n = [0]
+
+    def arrives(rows):
+        rows.coalesce(1).write.json(str(tmp_path / f"one{n[0]}"))
+        (part,) = (tmp_path / f"one{n[0]}").glob("part-*.json")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        to = tmp_path / "in" / f"{n[0]:03}.json"
+        part.rename(to)
+        os.utime(to, (1_700_000_000 + n[0],) * 2)
+        n[0] += 1
+
+    def beat(seconds):
+        """A row without a box, so much later."""
+        arrives(boxes.limit(1).select(F.lit(99).cast("bigint").alias("clip_id"), "frame_index", "det_id", F.lit(None).cast(boxes.schema["bbox"].dataType).alias("bbox"), (F.lit(start) + F.expr(f"interval {seconds} seconds")).alias("at")))
+
+    def run(late="2 seconds", idle_s=600.0, table="out"):
+        stream = spark.readStream.schema(boxes.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        query = tracking.stream_tracks(stream, late=late, idle_s=idle_s).writeStream.format("parquet").option("path", str(tmp_path / table)).option("checkpointLocation", str(tmp_path / f"{table}-ck")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(240)
+        return sorted(tuple(r) for r in spark.read.schema(tracking.OUT).parquet(str(tmp_path / table)).collect())
+
+    want = sorted((r.clip_id, r.frame_index, r.det_id, r.track_id, r.confirmed) for r in tracks.track_boxes(boxes.withColumn("mean_conf", F.lit(1.0))).collect())
+    yield boxes, arrives, beat, run, want
+    boxes.unpersist()
+
+
+def test_stream_of_shuffled_batches_tracks_like_the_batch(clip_stream):
+    boxes, arrives, beat, run, want = clip_stream
+    for k in range(5):  # every file has frames from everywhere in the clips
+        arrives(boxes.where(F.pmod(F.xxhash64("clip_id", "frame_index", "det_id"), F.lit(5)) == k).orderBy(F.desc("frame_index")))
+    beat(60)
+    assert run() == want and len({r[3] for r in want if r[0] == 1}) == 3
+
+
+def test_stream_goes_on_from_its_checkpoint(clip_stream):
+    boxes, arrives, beat, run, want = clip_stream
+    seen = []
+    for low, high in ((0, 29), (30, 64), (65, 119)):
+        arrives(boxes.where(F.col("frame_index").between(low, high)))
+        seen.append(len(run(late="100 milliseconds")))  # a query of its own each time
+    beat(60)
+    assert run(late="100 milliseconds") == want and 0 < seen[0] < seen[1] < seen[2] < len(want)
+
+
+def test_stream_ids_survive_a_silent_clip(spark, clip_stream):
+    """A clip that is silent for longer than idle_s starts new tracks, with ids that it has not had."""
+    boxes, arrives, beat, run, want = clip_stream
+    arrives(boxes)
+    beat(10)
+    beat(30)
+    later = boxes.where("clip_id = 1").withColumns({"frame_index": F.col("frame_index") + 3600, "at": F.col("at") + F.expr("interval 60 seconds")})
+    arrives(later)
+    beat(120)
+    got = run(idle_s=5.0)
+    whole = tracks.track_boxes(boxes.unionByName(later).withColumn("mean_conf", F.lit(1.0))).collect()
+    assert got == sorted((r.clip_id, r.frame_index, r.det_id, r.track_id, r.confirmed) for r in whole)
+    early, late = ({r[3] for r in got if r[0] == 1 and (r[1] >= 3600) == x} for x in (False, True))
+    assert early and late and not early & late
+
+
+def test_stream_leaves_rows_behind_the_watermark_out(clip_stream):
+    boxes, arrives, beat, run, want = clip_stream
+    arrives(boxes.where("frame_index < 30 or frame_index between 60 and 69"))
+    beat(1.3)  # the watermark is behind frame 77 less the wait
+    arrives(boxes.where("frame_index between 30 and 49 or frame_index >= 80"))
+    beat(60)
+    got = run(late="100 milliseconds")
+    assert {r[1] for r in got} == {f for f in range(120) if f < 30 or 60 <= f < 70 or f >= 80}
 
 
 def test_windows_on_a_stream_drop_nothing_in_time(spark, sf, tmp_path):
