@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,28 +43,26 @@ def height_class(lowest: Column, reach: Column) -> Column:
     return F.when(lowest.isNotNull(), known).when(reach > 0.40, "high").when(reach < 0.10, "low").otherwise("mid")
 
 
+DIVE = "{track}, fps double, reference_px double, start_frame bigint, end_frame bigint, peak_frame bigint, peak_speed_bh_s double, lateral_bh double, max_lean_deg double, peak_reach_bh double, lowest_bh double, confidence double, set_frame bigint, preparatory_start bigint, flight_start bigint"
+
+
 def detect_dives(signals: DataFrame, goals: DataFrame | None = None, shots: DataFrame | None = None, speed: float = SPEED, min_rows: int = MIN_ROWS, min_lean: float = LEAN, size: tuple[float, float] = g.REGULAR) -> DataFrame:
-    """One row per dive: span, peak, displacement, lean, reach, classes, phases, reaction time and notes."""
-    marked = series.islands(signals, TRACK, FRAME, F.col("speed") >= speed).where("n >= 5")
-    burst = marked.where("island is not null")
-    bounds = burst.groupBy(*TRACK, "island").agg(
-        F.count("*").alias("rows"),
-        F.min("i").alias("start_i"),
-        F.max("i").alias("end_i"),
-        F.first("n").alias("n"),
-        F.first("fps").alias("fps"),
-        F.first("reference_px").alias("reference_px"),
-        F.min(FRAME).alias("start_frame"),
-        F.max(FRAME).alias("end_frame"),
-        F.max_by(FRAME, F.struct("speed", -F.col("i"))).alias("peak_frame"),
-        F.max("speed").alias("peak_speed_bh_s"),
-        ((F.max_by("com_x", "i") - F.min_by("com_x", "i")) / F.first("reference_px")).alias("lateral_bh"),
-        F.max(F.abs("lean_deg")).alias("max_lean_deg"),
-        F.max("reach_bh").alias("peak_reach_bh"),
-        F.min("com_h_bh").alias("lowest_bh"),
-        F.avg("mean_conf").alias("confidence"),
-    ).where(F.col("rows") >= min_rows).where(f"max_lean_deg is null or max_lean_deg >= {min_lean}")
-    out = phases(bounds, marked)
+    """One row per dive: span, peak, displacement, lean, reach, classes, phases, reaction time and notes.
+
+    Signals are read once: a track is one group, which the windows of
+    ``dive_signals`` have brought together already, and one pass over its rows
+    finds its dives and their phases in n log n steps, however many there are.
+    """
+
+    def run(key: tuple, track: pd.DataFrame) -> pd.DataFrame:
+        found = track_dives(track.sort_values("i"), speed, min_rows, min_lean)
+        return pd.DataFrame([[*key, *row] for row in found], columns=names)
+
+    schema = DIVE.format(track=", ".join(f"{c} {signals.schema[c].dataType.simpleString()}" for c in TRACK))
+    names = [part.split()[0] for part in schema.split(", ")]
+    rows = signals.where("n >= 5").select(*TRACK, "i", FRAME, *_READ)
+    out = rows.groupBy(*TRACK).applyInPandas(run, schema)
+    out = out.withColumns({"takeoff": F.col("start_frame"), "peak": F.col("peak_frame"), "landing": F.col("end_frame")})
     out = out.withColumns({"direction": direction(F.col("lateral_bh")), "height": height_class(F.col("lowest_bh"), F.col("peak_reach_bh")), "duration_s": (F.col("end_frame") - F.col("start_frame")) / F.col("fps"), "time_to_peak_s": (F.col("peak_frame") - F.col("start_frame")) / F.col("fps")})
     if goals is not None:
         out = out.join(goals.select("clip_id", "lx", "ly", "rx", "ry", "crossbar_y"), "clip_id", "left").withColumn("lateral_m", F.col("lateral_bh") * F.col("reference_px") / g.Goal.of(size=size).px_per_m).drop("lx", "ly", "rx", "ry", "crossbar_y")
@@ -69,44 +70,103 @@ def detect_dives(signals: DataFrame, goals: DataFrame | None = None, shots: Data
         out = out.withColumn("lateral_m", F.lit(None).cast("double"))
     out = reaction_times(out, shots) if shots is not None else out.withColumn("reaction_time_s", F.lit(None).cast("double"))
     notes = [F.when(F.col("reaction_time_s") < 0.10, F.lit("early_reaction")), F.when(F.col("max_lean_deg").isNull(), F.lit("trunk_unseen")), F.when(F.col("confidence") < 0.5, F.lit("unsure_pose"))]
-    return out.withColumn("notes", F.array_compact(F.array(*notes))).drop("rows", "start_i", "end_i", "n", "island", "lowest_bh")
+    return out.withColumn("notes", F.array_compact(F.array(*notes))).drop("lowest_bh")
+
+
+_READ = ("fps", "reference_px", "speed", "com_x", "lean_deg", "reach_bh", "com_h_bh", "ankle_bh", "mean_conf")
+
+
+def track_dives(track: pd.DataFrame, speed: float, min_rows: int, min_lean: float) -> list[tuple]:
+    """The dives of one track, whose rows are in order; columns of DIVE behind the track's."""
+    fps, reference, v, x, lean, reach, lowest, ankle, conf = (track[c].to_numpy(dtype=float) for c in _READ)
+    frames = track[FRAME].to_numpy(dtype=np.int64)
+    fast = np.concatenate([[False], v >= speed, [False]])
+    turns = np.flatnonzero(fast[1:] != fast[:-1])
+    before, out = Before(len(v)), []
+    for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):  # rows a..b - 1
+        if b - a < min_rows:
+            continue
+        most_lean = _known(np.max, np.abs(lean[a:b]))
+        if most_lean is not None and most_lean < min_lean:
+            continue
+        before.read(v, ankle, a)
+        lifted = np.flatnonzero(ankle[a:b] < before.ground() - FOOT_LIFT)
+        still, quiet = before.slowest(), before.last_quiet()
+        row = (
+            fps[a], reference[a], frames[a], frames[b - 1], frames[a + int(np.argmax(v[a:b]))], v[a:b].max(), (x[b - 1] - x[a]) / reference[a],
+            most_lean, _known(np.max, reach[a:b]), _known(np.min, lowest[a:b]), _known(np.mean, conf[a:b]),
+            None if still is None else frames[still], frames[0 if quiet is None else quiet + 1], frames[a + lifted[0]] if len(lifted) else None,
+        )
+        out.append(row)
+    return out
+
+
+def _known(of, values: np.ndarray) -> float | None:  # noqa: ANN001
+    values = values[~np.isnan(values)]
+    return float(of(values)) if len(values) else None
 
 
-def phase_frames(speed: np.ndarray, ankle: np.ndarray, frames: np.ndarray, start: int, end: int) -> tuple[int | None, int, int | None]:
-    """Set, preparatory and flight frame of a dive that fills rows start..end of a track.
+class RunningMedian:
+    """Median of the values so far: a heap of the lower half and one of the upper half."""
 
-    Set: the slowest row of the tenth of the track before the dive. Preparatory:
-    behind the last row before the dive that is no faster than QUIET times the
-    median speed until then. Flight: the first row of the dive whose ankles are
-    FOOT_LIFT above their median until then.
+    def __init__(self) -> None:
+        self.low: list[float] = []  # negated
+        self.high: list[float] = []
+
+    def add(self, value: float) -> None:
+        if len(self.low) > len(self.high):
+            heapq.heappush(self.high, -heapq.heappushpop(self.low, -value))
+        else:
+            heapq.heappush(self.low, -heapq.heappushpop(self.high, value))
+
+    def value(self) -> float:
+        """NaN if there was none."""
+        if len(self.low) > len(self.high):
+            return -self.low[0]
+        return (self.high[0] - self.low[0]) / 2 if self.low else float("nan")
+
+
+class Before:
+    """What a dive asks of the rows before it, each row read once.
+
+    Rows slower than all behind them form a stack with rising speeds; the
+    slowest row since some row and the last one that is slow enough are found
+    in it by bisection.
     """
-    known = lambda x: x[~np.isnan(x)]
-    before = speed[:start]
-    baseline = float(np.median(known(before))) if len(known(before)) else 0.0
-    begin = max(0, start - round(len(speed) * 0.1) - 1)
-    quiet = np.flatnonzero(before <= QUIET * baseline)
-    near = before[begin:]
-    still = None if np.isnan(near).all() else int(frames[begin + np.nanargmin(near)])
-    ground = known(ankle[:start])
-    lifted = np.flatnonzero(ankle[start : end + 1] < np.median(ground) - FOOT_LIFT) if len(ground) else []
-    return still, int(frames[quiet[-1] + 1 if len(quiet) else 0]), int(frames[start + lifted[0]]) if len(lifted) else None
-
-
-def phases(bounds: DataFrame, signals: DataFrame) -> DataFrame:
-    """Adds the phase frames. A track's dives meet its rows once, as one cogroup; no row is repeated for a dive."""
-    rows = signals.select(*[F.col(c).alias(c) for c in (*TRACK, "i", FRAME, "speed", "ankle_bh")])  # other columns than those of the bounds
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in bounds.schema.fields), "set_frame bigint", "preparatory_start bigint", "flight_start bigint"])
-
-    def run(dives: pd.DataFrame, track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("i")
-        columns = [track[c].to_numpy(dtype=t) for c, t in (("speed", float), ("ankle_bh", float), (FRAME, np.int64))]
-        found = [phase_frames(*columns, int(a), int(b)) for a, b in zip(dives["start_i"], dives["end_i"], strict=True)]
-        for k, name in enumerate(("set_frame", "preparatory_start", "flight_start")):
-            dives[name] = pd.array([f[k] for f in found], dtype="Int64")
-        return dives
-
-    found = bounds.groupBy(*TRACK).cogroup(rows.groupBy(*TRACK)).applyInPandas(run, schema)
-    return found.withColumns({"takeoff": F.col("start_frame"), "peak": F.col("peak_frame"), "landing": F.col("end_frame")})
+
+    def __init__(self, rows: int):
+        self.tenth, self.at = round(rows * 0.1) + 1, 0
+        self.speeds, self.ankles = RunningMedian(), RunningMedian()
+        self.slow: list[float] = []
+        self.rows: list[int] = []
+
+    def read(self, speed: np.ndarray, ankle: np.ndarray, end: int) -> None:
+        for i, v, height in zip(range(self.at, end), speed[self.at : end].tolist(), ankle[self.at : end].tolist(), strict=True):
+            if v == v:
+                self.speeds.add(v)
+                while self.slow and self.slow[-1] > v:
+                    self.slow.pop()
+                    self.rows.pop()
+                self.slow.append(v)
+                self.rows.append(i)
+            if height == height:
+                self.ankles.add(height)
+        self.at = end
+
+    def ground(self) -> float:
+        """Median height of the ankles until now."""
+        return self.ankles.value()
+
+    def slowest(self) -> int | None:
+        """The slowest row (the first of equal ones) of the tenth of the track before now."""
+        k = bisect.bisect_left(self.rows, self.at - self.tenth)
+        return self.rows[k] if k < len(self.rows) else None
+
+    def last_quiet(self) -> int | None:
+        """The last row that is no faster than QUIET times the median speed until now."""
+        middle = self.speeds.value()
+        k = bisect.bisect_right(self.slow, QUIET * middle if middle == middle else 0.0)
+        return self.rows[k - 1] if k else None
 
 
 def reaction_times(dives: DataFrame, shots: DataFrame) -> DataFrame:
@@ -124,8 +184,18 @@ def phase_of(frame: Column) -> Column:
 
 
 def frames_in_dives(frames: DataFrame, dives: DataFrame) -> DataFrame:
-    """Frames of a track that fall into one of its dives, with the phase."""
-    return frames.join(dives, TRACK).where(F.col(FRAME).between(F.col("start_frame"), F.col("end_frame"))).withColumn("phase", phase_of(F.col(FRAME)))
+    """Frames of a track that fall into one of its dives, with the phase.
+
+    Dives of a track do not overlap, so the one that began last is the only one
+    a frame can be in: both meet in one ordered window, and no frame is
+    multiplied by the dives of its track.
+    """
+    at = dives.select(*TRACK, *_PHASES, "end_frame", "start_frame")
+    met = series.latest(frames, at, TRACK, FRAME, "start_frame", [*_PHASES, "start_frame", "end_frame"])
+    return met.where(F.col(FRAME) <= F.col("end_frame")).withColumn("phase", phase_of(F.col(FRAME)))
+
+
+_PHASES = ("set_frame", "preparatory_start", "takeoff", "flight_start", "landing")
 
 
 def dive_table(dives: DataFrame) -> DataFrame:

@@ -13,14 +13,17 @@ from strideframe.operators import positioning as pos
 from strideframe.operators import stance as st
 from strideframe.operators.tracks import spans
 from strideframe.schema import FRAME, TRACK
+from strideframe.sources.store import stored
 
 
-def goalkeeper_report(features: DataFrame, clips: DataFrame, goals: DataFrame, shots: DataFrame | None = None, cutoff_hz: float | None = 6.0, size: tuple[float, float] = g.REGULAR, dive_cutoff_hz: float | None = -1.0) -> DataFrame:
+def goalkeeper_report(features: DataFrame, clips: DataFrame, goals: DataFrame, shots: DataFrame | None = None, cutoff_hz: float | None = 6.0, size: tuple[float, float] = g.REGULAR, dive_cutoff_hz: float | None = -1.0, kept: bool = False) -> DataFrame:
     """One row per track of features: measures, nested dives and warnings.
 
     Dives move faster, so their cutoff is 2 Hz above the other unless ``dive_cutoff_hz`` says what it is.
-    Five measures read the features; a caller to whom these are dear passes a stored or cached table.
+    Five measures read the features, so these are written once to the shared folder, unless the caller has ``kept`` them.
     """
+    if not kept:
+        features = stored(features.drop("kp"), "features")
     faster = (cutoff_hz or 6.0) + 2.0 if dive_cutoff_hz == -1.0 else dive_cutoff_hz
     dives = dv.detect_dives(dv.dive_signals(features, clips, faster), goals, shots, size=size)
     where = pos.positioning(features, goals, clips, cutoff_hz, size)

@@ -24,26 +24,40 @@ def number(keys: list[str], order: str) -> Column:
     return (F.row_number().over(over(keys, order)) - 1).cast("bigint")
 
 
-def gradient(value: Column, at: Column, w: WindowSpec) -> Column:
-    """Second-order difference quotient over uneven steps, one-sided at the ends; NULL for a single row."""
-    before, after = F.lag(value).over(w), F.lead(value).over(w)
-    hs, hd = at - F.lag(at).over(w), F.lead(at).over(w) - at
+def quotient(value: Column, before: Column, after: Column, at: Column, at_before: Column, at_after: Column) -> Column:
+    """Second-order difference quotient over uneven steps, one-sided where a neighbour is absent; NULL without any."""
+    hs, hd = at - at_before, at_after - at
     inner = (hs * hs * after + (hd * hd - hs * hs) * value - hd * hd * before) / (hs * hd * (hd + hs))
     return F.when(hs.isNull(), (after - value) / hd).when(hd.isNull(), (value - before) / hs).otherwise(inner)
 
 
-def uniform_gradient(value: Column, step: Column | float, w: WindowSpec) -> Column:
-    """Central differences over even steps, one-sided at the ends; 0 for a single row."""
-    before, after = F.lag(value).over(w), F.lead(value).over(w)
-    step = F.lit(step) if isinstance(step, float | int) else step
+def central(value: Column, before: Column, after: Column, step: Column) -> Column:
+    """Central differences over even steps, one-sided where a neighbour is absent; 0 without any."""
     return F.coalesce((after - before) / (2 * step), (after - value) / step, (value - before) / step, F.lit(0.0))
 
 
+def gradient(value: Column, at: Column, w: WindowSpec) -> Column:
+    """``quotient`` with the neighbours in a window's order."""
+    beside = lambda c: (c, F.lag(c).over(w), F.lead(c).over(w))
+    return quotient(*beside(value), *beside(at))
+
+
+def uniform_gradient(value: Column, step: Column | float, w: WindowSpec) -> Column:
+    """``central`` with the neighbours in a window's order."""
+    return central(value, F.lag(value).over(w), F.lead(value).over(w), F.lit(step) if isinstance(step, float | int) else step)
+
+
 def step_length(x: Column, y: Column, w: WindowSpec) -> Column:
     """Distance from the row before, 0 for the first."""
     return F.coalesce(F.hypot(x - F.lag(x).over(w), y - F.lag(y).over(w)), F.lit(0.0))
 
 
+def between(value: Column, at: Column, a: Column, b: Column) -> Column:
+    """A value, or else what lies on the line between the known ones (at, v) on both sides, or the only one, or 0."""
+    line = a["v"] + (b["v"] - a["v"]) * (at - a["at"]) / (b["at"] - a["at"])
+    return F.coalesce(value, line, a["v"], b["v"], F.lit(0.0))
+
+
 def interpolated(value: Column, at: Column, keys: list[str], order: str) -> Column:
     """NULLs filled linearly by position and flat at the ends; 0 if the series has no value.
 
@@ -52,9 +66,7 @@ def interpolated(value: Column, at: Column, keys: list[str], order: str) -> Colu
     so_far = (Window.unboundedPreceding, 0)
     back, ahead = over(keys, order).rowsBetween(*so_far), Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(*so_far)
     mark = F.when(value.isNotNull(), F.struct(at.alias("at"), value.alias("v")))
-    a, b = F.last(mark, ignorenulls=True).over(back), F.last(mark, ignorenulls=True).over(ahead)
-    between = a["v"] + (b["v"] - a["v"]) * (at - a["at"]) / (b["at"] - a["at"])
-    return F.coalesce(value, between, a["v"], b["v"], F.lit(0.0))
+    return between(value, at, F.last(mark, ignorenulls=True).over(back), F.last(mark, ignorenulls=True).over(ahead))
 
 
 def local_peak(value: Column, threshold: Column | float, w: WindowSpec) -> Column:
@@ -112,17 +124,26 @@ def refractory(events: DataFrame, keys: list[str], at: str, strength: str, gap:
     return ordered.mapInPandas(run, pieces.drop("_piece").schema)
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, out: str) -> DataFrame:
-    """left with ``out``, the latest right_at of its key at or before left_at (NULL without one).
+def latest(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, fields: list[str]) -> DataFrame:
+    """left with ``fields`` of the row of right that is the latest of its key at or before left_at (NULL without one).
 
     Both sides go through one ordered window on the key, so no row of one side
-    is multiplied by the rows of the other.
+    is multiplied by the rows of the other. Of rows of right at one time the
+    one with the largest fields counts.
     """
     kind = left.select(F.struct("*").alias("row")).schema["row"].dataType
-    asked = left.select(*keys, F.col(left_at).alias("_at"), F.lit(1).alias("_turn"), F.lit(None).cast("double").alias("_seen"), F.struct("*").alias("_row"))
-    known = right.select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_turn"), F.col(right_at).cast("double").alias("_seen"), F.lit(None).cast(kind).alias("_row"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
-    return asked.union(known).withColumn(out, F.last("_seen", ignorenulls=True).over(w)).where("_turn = 1").select("_row.*", out)
+    told = right.select(F.struct(*fields).alias("row")).schema["row"].dataType
+    asked = left.select(*keys, F.col(left_at).alias("_at"), F.lit(1).alias("_turn"), F.lit(None).cast(told).alias("_seen"), F.struct("*").alias("_row"))
+    known = right.select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_turn"), F.struct(*fields).alias("_seen"), F.lit(None).cast(kind).alias("_row"))
+    w = Window.partitionBy(*keys).orderBy("_at", "_turn", "_seen").rowsBetween(Window.unboundedPreceding, 0)
+    met = asked.union(known).withColumn("_met", F.last("_seen", ignorenulls=True).over(w)).where("_turn = 1")
+    return met.select("_row.*", *[F.col(f"_met.{c}").alias(c) for c in fields])
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, out: str) -> DataFrame:
+    """left with ``out``, the latest right_at of its key at or before left_at (NULL without one)."""
+    known = right.select(*keys, F.col(right_at).alias(out))
+    return latest(left, known, keys, left_at, out, [out])
 
 
 def strided(rows: DataFrame, keys: list[str], order: str, at: str, stride: int = 1, start: float | None = None, end: float | None = None) -> DataFrame:

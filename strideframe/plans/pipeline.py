@@ -132,4 +132,4 @@ def keeper(out: Result, clip_rows: DataFrame, config: Config, shots: DataFrame |
     cutoff = config.analysis.filter_cutoff_hz
     signals = dives.dive_signals(own, clip_rows, (cutoff or 6.0) + 2.0)
     out.dives = dives.detect_dives(signals, goals, shots, gk.dive_speed_threshold, gk.min_dive_frames, gk.dive_lean_threshold_deg, size)
-    out.report = report.goalkeeper_report(own, clip_rows, none if goals is None else goals, shots, cutoff, size)
+    out.report = report.goalkeeper_report(own, clip_rows, none if goals is None else goals, shots, cutoff, size, kept=True)
