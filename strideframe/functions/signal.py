@@ -48,14 +48,25 @@ def low_pass(x: np.ndarray, fps: float, cutoff_hz: float | None) -> np.ndarray:
     if cutoff_hz is None or cutoff_hz >= fps / 2 or len(x) <= PAD:
         return x
     gone = ~np.isfinite(x)
-    full = fill_gaps(x)
-    b, a = butterworth(cutoff_hz, fps)
-    longer = np.concatenate([2 * full[0] - full[PAD:0:-1], full, 2 * full[-1] - full[-2 : -PAD - 2 : -1]])
-    out = _recursive(b, a, _recursive(b, a, longer)[::-1])[::-1][PAD:-PAD].copy()
+    out = low_pass_piece(fill_gaps(x), fps, cutoff_hz, True, True)
     out[gone] = np.nan
     return out
 
 
+def low_pass_piece(full: np.ndarray, fps: float, cutoff_hz: float, starts: bool, ends: bool) -> np.ndarray:
+    """Both passes over a piece of a longer series without gaps.
+
+    Where the series itself starts or ends it is continued by its mirrored
+    rows; elsewhere the outer rows of the piece only bring the filter up to
+    speed and are not to be used. A piece at an end of the series has over PAD rows.
+    """
+    b, a = butterworth(cutoff_hz, fps)
+    before, after = [2 * full[0] - full[PAD:0:-1]] if starts else [], [2 * full[-1] - full[-2 : -PAD - 2 : -1]] if ends else []
+    longer = np.concatenate([*before, full, *after])
+    out = _recursive(b, a, _recursive(b, a, longer)[::-1])[::-1]
+    return out[PAD * starts : len(out) - PAD * ends].copy()
+
+
 def fit_homography(image: np.ndarray, pitch: np.ndarray) -> np.ndarray | None:
     """Normalised direct linear transform from image to pitch points; None if singular or under four."""
     if len(image) < 4 or image.shape != pitch.shape:

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions import geometry as g
+from strideframe.operators import long_series
 from strideframe.schema import FRAME, TRACK
+from strideframe.sources.store import stored
 
 
 def suppress_duplicates(detections: DataFrame, keys: list[str], max_iou: float = 0.6, max_containment: float = 0.8, conf: str = "mean_conf", ordinal: str = "det_id", box: str = "bbox") -> DataFrame:
@@ -130,8 +132,36 @@ def track_boxes(detections: DataFrame, tracker: Tracker | None = None, min_conf:
 
     One clip is one group, as its frames depend on each other; clips are
     independent. Frames without detections inside a clip count as misses.
+    ``track_long_clips`` gives the same for clips that are too long for one task.
+    """
+    return _tracked(detections, ["clip_id"], tracker or Tracker(), min_conf)
+
+
+def track_long_clips(detections: DataFrame, tracker: Tracker | None = None, min_conf: float = 0.0, slice_rows: int = long_series.SLICE_ROWS) -> DataFrame:
+    """What ``track_boxes`` gives, a segment of a clip at a time.
+
+    When no box has come for max_age + 1 frames every trail has been given up:
+    the tracker's state is empty but for its next id. So a clip is cut there,
+    segments are tracked apart, and the ids of a segment go on from how many
+    all earlier ones of its clip have used. Finding the cuts takes slices of
+    ``slice_rows`` rows. The tracked rows are written once to the shared folder,
+    as both the numbers of ids and the result read them.
     """
     settings = tracker or Tracker()
+    usable = F.col("bbox").isNotNull() & (F.col("mean_conf") >= min_conf)
+    seen = F.when(usable, F.col(FRAME))
+    met = long_series.with_known(detections, ["clip_id"], FRAME, seen, F.col(FRAME), slice_rows, here=False)
+    begins = F.when(usable & (F.col(FRAME) - F.col("back.v") > settings.max_age + 1), 1).otherwise(0)
+    cut = long_series.counted(met.withColumn("_begins", begins).drop("back", "ahead"), ["clip_id"], FRAME, F.col("_begins"), "_segment", slice_rows, ties=True).drop("_begins")
+    done = stored(_tracked(cut, ["clip_id", "_segment"], settings, min_conf), "tracked")
+    used = done.groupBy("clip_id", "_segment").agg((F.max("track_id") + 1).alias("ids"))
+    before = Window.partitionBy("clip_id").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    offset = used.select("clip_id", "_segment", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("_offset"))
+    out = done.join(offset, ["clip_id", "_segment"])
+    return out.withColumn("track_id", F.col("track_id") + F.col("_offset")).select(*detections.columns, "track_id", "confirmed")
+
+
+def _tracked(detections: DataFrame, keys: list[str], settings: Tracker, min_conf: float) -> DataFrame:
     kind = detections.schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kind.fields), "track_id bigint", "confirmed boolean"])
 
@@ -155,7 +185,7 @@ def track_boxes(detections: DataFrame, tracker: Tracker | None = None, min_conf:
         pdf["confirmed"] = sure
         return pdf
 
-    return detections.groupBy("clip_id").applyInPandas(run, schema)
+    return detections.groupBy(*keys).applyInPandas(run, schema)
 
 
 def tall_boxes(detections: DataFrame, frame_height: Column | float, least: float = 0.05) -> DataFrame:
