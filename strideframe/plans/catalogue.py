@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import geometry as g
 from strideframe.functions import skeleton as sk
-from strideframe.operators import calibration, clips, dives, events, positioning, report, series, stance, tracks
+from strideframe.operators import calibration, clips, dives, events, long_series, positioning, report, series, stance, tracks
 from strideframe.operators import features as feat
 from strideframe.schema import FRAME, TRACK
 from strideframe.sources import adapters, sinks
-from strideframe.streaming import windows
+from strideframe.streaming import tracking, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -348,6 +348,57 @@ def asof_reaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "event_id", F.round(F.col("t") - F.col("last_shot"), 3).alias("reaction_s"))
 
 
+#: So few that the test tables are cut as well.
+SLICE = 3000
+ONE = ["k"]
+
+
+def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series in the order of their numbers: a key that a cluster has to share."""
+    e = adapters.table(spark, sf_dir, "events")
+    return e.select(F.lit(0).alias("k"), "event_id", "event_type", F.col("value").alias("v"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000 - 1.7e9).alias("t"))
+
+
+@query
+def long_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_series.gradient(one_series(spark, sf_dir), ONE, "event_id", "v", "event_id", "dv", SLICE).select("event_id", "dv")
+
+
+@query
+def long_uniform_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_series.uniform_gradient(one_series(spark, sf_dir), ONE, "event_id", "v", 0.5, "dv", SLICE).select("event_id", "dv")
+
+
+@query
+def long_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = one_series(spark, sf_dir).withColumn("w", F.pmod(F.col("event_id"), F.lit(97)).cast("double"))
+    return long_series.step_length(rows, ONE, "event_id", "v", "w", "step", SLICE).select("event_id", "step")
+
+
+@query
+def long_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_series.local_peaks(one_series(spark, sf_dir), ONE, "event_id", "v", 20.0, "peak", SLICE).where("peak").select("event_id", "v")
+
+
+@query
+def long_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = long_series.islands(one_series(spark, sf_dir), ONE, "event_id", F.coalesce(F.col("v") >= 10, F.lit(False)), SLICE).where("island is not null")
+    return runs.groupBy("island").agg(F.min("event_id").alias("start"), F.max("event_id").alias("end"), F.count("*").alias("n")).where("n >= 2")
+
+
+@query
+def long_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = one_series(spark, sf_dir).withColumn("g", F.when(F.col("event_type") == "purchase", F.col("v")))
+    return long_series.interpolated(rows, ONE, "event_id", "g", "event_id", "filled", SLICE).select("event_id", "filled")
+
+
+@query
+def long_low_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series, filtered in pieces of 2,000 rows."""
+    rows = one_series(spark, sf_dir).withColumn("smooth", F.col("v"))
+    return long_series.filtered(rows, ONE, "event_id", ["smooth"], F.lit(60.0), 8.0, 2000, SLICE).select("event_id", "v", "smooth")
+
+
 @query
 def stride_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.strided(moves(spark, sf_dir), KEY, "idx", "idx", 3, 2, 40).select("user_id", "idx", "v")
@@ -398,6 +449,15 @@ def dive_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dives.dive_table(raw_dives(spark, sf_dir)).drop("track_id")
 
 
+@query
+def dive_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dives with what to be careful about; shots 0.05 s before some of them make reactions too early to be true."""
+    clips_, f = adapters.dive_clips(spark, sf_dir), dive_features(spark, sf_dir).withColumn("lean_deg", F.when(F.col("clip_id") % 3 > 0, F.col("lean_deg")))
+    shots = clips_.select("clip_id", F.when(F.col("clip_id") % 4 == 0, 0.7).otherwise(0.2).alias("shot_time_s"))
+    found = dives.detect_dives(dives.dive_signals(f, clips_, None), None, shots)
+    return found.select("clip_id", "start_frame", "reaction_time_s", F.concat_ws(",", "notes").alias("notes"))
+
+
 @query
 def dives_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = dive_features(spark, sf_dir)
@@ -425,6 +485,25 @@ def track_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.track_boxes(both.union(second)).select("clip_id", FRAME, "det_id", "track_id", "confirmed")
 
 
+@query
+def track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keepers one after another in one long clip, 80 frames apart, each beside a second person."""
+    d = adapters.dive_tracks(spark, sf_dir)
+    rows = d.select(F.lit(0).cast("bigint").alias("clip_id"), (F.col("clip_id") * 200 + F.col(FRAME)).alias(FRAME), "det_id", g.box_of(F.col("kp")).alias("bbox"), g.mean_confidence(F.col("kp")).alias("mean_conf"))
+    second = rows.withColumns({"det_id": F.lit(1).cast("bigint"), "bbox": F.col("bbox").withField("x1", F.col("bbox.x1") + 900).withField("x2", F.col("bbox.x2") + 900)})
+    return tracks.track_long_clips(rows.union(second), slice_rows=SLICE).select(FRAME, "det_id", "track_id", "confirmed")
+
+
+@query
+def streamed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keepers' boxes through the stateful stream; one more frame without a box lets the last ones go."""
+    keys = spark.readStream.schema("s_suppkey bigint").parquet(f"{sf_dir}/supplier.parque[t]")  # a pattern, as a stream takes no single file
+    rows = adapters.keeper_boxes(keys.select(F.col("s_suppkey").alias("k")), adapters.DIVE_FRAMES + 1)
+    last = F.col(FRAME) == adapters.DIVE_FRAMES
+    rows = rows.withColumns({"bbox": F.when(~last, F.col("bbox")), "at": F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.round(F.col(FRAME) / adapters.FPS * 1e6).cast("bigint"))})
+    return tracking.run_to_end(tracking.stream_tracks(rows, late="0 seconds"), "tracks")
+
+
 @query
 def display_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.with_display(adapters.clips(spark, sf_dir)).select("clip_id", "display_width", "display_height", "is_portrait", "is_high_speed")

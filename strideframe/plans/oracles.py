@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from strideframe.functions import skeleton as sk
+from strideframe.functions.signal import PAD, butterworth
 from strideframe.operators.calibration import LANDMARKS
 from strideframe.plans.catalogue import H
 
@@ -239,6 +242,71 @@ SQL["report_row"] = f"""WITH {DIVES}, placed AS (SELECT clip_id, {_STEP} AS step
   rows_ AS (SELECT clip_id, n, frames_analysed, coalesce(k, 0) AS k, dm, cm, area, dist, CASE WHEN cm < 0.35 THEN 'left' WHEN cm > 0.65 THEN 'right' ELSE 'central' END AS mouth FROM span LEFT JOIN pos USING (clip_id) LEFT JOIN counted USING (clip_id))
   SELECT clip_id, 0::BIGINT AS track_id, n, {r('n / 60.0e0', 'duration_s')}, k AS dive_count, frames_analysed, {r('dm', 'median_depth_m')}, {r('cm', 'median_coverage')}, {r('area', 'time_in_goal_area')}, {r('dist', 'distance_covered_m')}, mouth, 'track 0 | ' || n || ' frames | ' || k || ' dives | ' || printf('%.2f', dm) || ' m off the line | ' || mouth AS summary FROM rows_"""
 
+# Low-pass: the recursion forwards and backwards over the series continued by its mirrored rows.
+def low_passed(name: str, source: str, keys: str, order: str, values: list[str], fps: float, cutoff: float) -> str:
+    """CTEs that end in ``name``: source with its values filtered."""
+    b, a = butterworth(cutoff, fps)
+    n, pad = len(a) - 1, PAD
+    companion = np.zeros((n, n))
+    companion[0], companion[1:, :-1] = -a[1:], np.eye(n - 1)
+    start = np.linalg.solve(np.eye(n) - companion.T, b[1:] - a[1:] * b[0])
+    e = lambda v: f"({float(v)!r})::DOUBLE"
+    using = f"USING ({keys})"
+
+    def states(x: str, v: str, before: list[str]) -> str:
+        y = f"({e(b[0])} * {x} + {before[0]})"
+        rest = ", ".join(f"{e(b[k + 1])} * {x} - {e(a[k + 1])} * {y}" + (f" + {before[k + 1]}" if k + 1 < n else "") + f" AS s{k}_{v}" for k in range(n))
+        return f"{y} AS y_{v}, {rest}"
+
+    def passed(to: str, of: str) -> str:
+        first = ", ".join(states(f"p.{v}", v, [f"{e(z)} * p.{v}" for z in start]) for v in values)
+        then = ", ".join(states(f"p.{v}", v, [f"q.s{k}_{v}" for k in range(n)]) for v in values)
+        same = " AND ".join(f"p.{k.strip()} = q.{k.strip()}" for k in keys.split(","))
+        of_p = ", ".join(f"p.{k.strip()}" for k in keys.split(","))
+        return f"{to} AS (SELECT {of_p}, p.t_, {first} FROM {of} p WHERE p.t_ = 0 UNION ALL SELECT {of_p}, p.t_, {then} FROM {to} q JOIN {of} p ON {same} AND p.t_ = q.t_ + 1)"
+
+    mirrored = lambda end: ", ".join(f"2 * {end}.{v} - a.{v} AS {v}" for v in values)
+    plain = ", ".join(f"a.{v}" for v in values)
+    of_a = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+    return f"""{name}_i AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS i_, count(*) OVER (PARTITION BY {keys}) AS n_ FROM {source}),
+  {name}_p AS MATERIALIZED (SELECT {of_a}, a.i_ + {pad} AS t_, {plain} FROM {name}_i a WHERE a.n_ > {pad}
+    UNION ALL SELECT {of_a}, {pad} - a.i_, {mirrored('f')} FROM {name}_i a JOIN {name}_i f {using} WHERE f.i_ = 0 AND a.i_ BETWEEN 1 AND {pad} AND a.n_ > {pad}
+    UNION ALL SELECT {of_a}, 2 * a.n_ + {pad - 2} - a.i_, {mirrored('l')} FROM {name}_i a JOIN {name}_i l {using} WHERE l.i_ = l.n_ - 1 AND a.i_ BETWEEN a.n_ - {pad + 1} AND a.n_ - 2 AND a.n_ > {pad}),
+  {passed(f'{name}_f', f'{name}_p')},
+  {name}_r AS MATERIALIZED (SELECT {keys}, max(t_) OVER (PARTITION BY {keys}) - t_ AS t_, {', '.join(f'y_{v} AS {v}' for v in values)} FROM {name}_f),
+  {passed(f'{name}_b', f'{name}_r')},
+  {name} AS MATERIALIZED (SELECT a.* REPLACE ({', '.join(f'coalesce(b.y_{v}, a.{v}) AS {v}' for v in values)}) FROM {name}_i a LEFT JOIN {name}_b b ON {' AND '.join(f'a.{k.strip()} = b.{k.strip()}' for k in keys.split(','))} AND b.t_ = a.n_ - 1 - a.i_ + {pad})"""
+
+
+_SMOOTH = low_passed("smooth", "raw", "clip_id", "frame_index", ["com_x", "com_y"], 60.0, 8.0)
+#: The dives of the filtered path; heights of the centre of mass stay those of the raw one.
+DIVES_FILTERED = DIVES.replace(USABLE, f"{USABLE.replace('usable AS (SELECT *', 'raw AS (SELECT *, com_y AS raw_com_y')}, {_SMOOTH}, usable AS (SELECT * FROM smooth)").replace("(ankle_y - com_y) / reference_px AS com_h_bh", "(ankle_y - raw_com_y) / reference_px AS com_h_bh")
+SQL["dives_filtered"] = f"WITH RECURSIVE {DIVES_FILTERED} SELECT clip_id, start_frame, end_frame, peak_frame, {r('peak_speed_bh_s', 'peak_speed_bh_s')}, {r('lateral_bh', 'lateral_bh')}, direction, height FROM p"
+SQL["kicks_filtered"] = SQL["kicks_raw"].replace("n >= 8)", "n >= 8)", 1).replace("FROM series WHERE n >= 8), spd", "FROM steady), spd").replace(", vel AS (", f", cut AS (SELECT * FROM series WHERE n >= 8), {low_passed('steady', 'cut', 'track_id, foot', 'frame_index', ['x', 'y'], 60.0, 12.0)}, vel AS (")
+SQL["kicks_filtered"] = f"SELECT track_id, frame_index, foot, peak_speed_bh_s FROM ({SQL['kicks_filtered']})"
+_LEANLESS = DIVES.replace("max(abs(lean_deg)) AS max_lean_deg", "max(CASE WHEN clip_id % 3 > 0 THEN abs(lean_deg) END) AS max_lean_deg").replace("coalesce(max(abs(lean_deg)), 90)", "coalesce(max(CASE WHEN clip_id % 3 > 0 THEN abs(lean_deg) END), 90)")
+SQL["dive_notes"] = f"""WITH {_LEANLESS}, n AS (SELECT clip_id, start_frame, max_lean_deg, confidence, CASE WHEN start_frame / 60.0e0 >= CASE WHEN clip_id % 4 = 0 THEN 0.7e0 ELSE 0.2e0 END THEN start_frame / 60.0e0 - CASE WHEN clip_id % 4 = 0 THEN 0.7e0 ELSE 0.2e0 END END AS late FROM b)
+  SELECT clip_id, start_frame, {r('late', 'reaction_time_s')}, concat_ws(',', CASE WHEN late < 0.1 THEN 'early_reaction' END, CASE WHEN max_lean_deg IS NULL THEN 'trunk_unseen' END, CASE WHEN confidence < 0.5 THEN 'unsure_pose' END) AS notes FROM n"""
+
+# Tracking: the two people of a clip are far apart and move slowly, so each keeps its id and is confirmed in its third frame.
+_FRAMES = "supplier, range(120) t(f)"
+SQL["track_boxes"] = f"SELECT s_suppkey::BIGINT AS clip_id, f AS frame_index, d AS det_id, d AS track_id, f >= 2 AS confirmed FROM {_FRAMES}, range(2) u(d)"
+SQL["track_segments"] = f"SELECT s_suppkey::BIGINT * 200 + f AS frame_index, d AS det_id, 2 * (dense_rank() OVER (ORDER BY s_suppkey) - 1) + d AS track_id, f >= 2 AS confirmed FROM {_FRAMES}, range(2) u(d)"
+SQL["streamed_tracks"] = f"SELECT s_suppkey::BIGINT AS clip_id, f AS frame_index, 0::BIGINT AS det_id, 0::BIGINT AS track_id, f >= 2 AS confirmed FROM {_FRAMES}"
+
+# One long series.
+_O = "(ORDER BY event_id)"
+SQL["long_gradient"] = f"SELECT event_id, {r(uneven('value', 'event_id', _O), 'dv')} FROM events"
+SQL["long_uniform_gradient"] = f"SELECT event_id, {r(even('value', '0.5e0', _O), 'dv')} FROM events"
+SQL["long_steps"] = f"SELECT event_id, {r(f'coalesce(sqrt(power(value - lag(value) OVER {_O}, 2) + power(event_id % 97 - lag(event_id % 97) OVER {_O}, 2)), 0)', 'step')} FROM events"
+SQL["long_peaks"] = f"SELECT event_id, {r('value', 'v')} FROM events QUALIFY value >= 20 AND value >= lag(value) OVER {_O} AND value > lead(value) OVER {_O}"
+SQL["long_islands"] = f"""WITH b AS (SELECT event_id, coalesce(value >= 10, FALSE) AS f, coalesce(lag(value >= 10) OVER {_O}, FALSE) AS before FROM events), i AS (SELECT *, sum((f AND NOT before)::INT) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS island FROM b)
+  SELECT island::BIGINT AS island, min(event_id) AS start, max(event_id) AS "end", count(*) AS n FROM i WHERE f GROUP BY island HAVING count(*) >= 2"""
+SQL["long_interpolate"] = f"""WITH g AS (SELECT event_id, CASE WHEN event_type = 'purchase' THEN value END AS g FROM events),
+  n AS (SELECT *, last_value(CASE WHEN g IS NOT NULL THEN event_id END IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS ai, last_value(g IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS a,
+    first_value(CASE WHEN g IS NOT NULL THEN event_id END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bi, first_value(g IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM g)
+  SELECT event_id, {r('coalesce(g, a + (b - a) * (event_id - ai) / nullif(bi - ai, 0), a, b, 0)', 'filled')} FROM n"""
+
 # Clips.
 _CLIP = "clip AS (SELECT p_partkey::BIGINT AS clip_id, CASE p_partkey % 3 WHEN 0 THEN 3840 WHEN 1 THEN 1920 ELSE 1280 END AS width, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 1600 ELSE 2160 END WHEN 1 THEN 1080 ELSE 720 END AS height, CASE p_partkey % 5 WHEN 0 THEN 120.0e0 WHEN 1 THEN 24.0e0 WHEN 2 THEN 60.0e0 ELSE 30.0e0 END AS fps, (p_size * 60)::BIGINT AS frame_count, (p_partkey % 4 * 90)::INT AS rotation, CASE WHEN p_partkey % 7 < 3 THEN 'HEVC' ELSE 'h264' END AS codec, (p_size * 4)::DOUBLE AS duration_s FROM part)"
 _DEVICE = "CASE WHEN codec = 'HEVC' AND greatest(width, height) / least(width, height)::DOUBLE > 1.9 THEN 'action_cam' WHEN codec = 'HEVC' THEN 'iphone_recent' WHEN greatest(width, height) >= 3000 THEN 'android_flagship' WHEN fps <= 30.5 AND greatest(width, height) <= 1920 THEN 'android_midrange' ELSE 'generic' END"

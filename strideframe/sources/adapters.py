@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strideframe.functions.geometry import box_of
+
 FPS = 60.0
 #: Frames of a track of ``poses``; their number grows with the table, a track does not.
 TRACK_ROWS = 50
@@ -74,11 +76,21 @@ def with_dive_pose(rows: DataFrame) -> DataFrame:
 
 def dive_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier as clips of one keeper each who dives once, to the right for even keys."""
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("k"), F.explode(F.expr(f"sequence(0L, {DIVE_FRAMES - 1}L)")).alias("f"))
+    return keepers(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("k")))
+
+
+def keepers(keys: DataFrame, frames: int = DIVE_FRAMES) -> DataFrame:
+    """The keepers of keys k, frame by frame."""
+    rows = keys.select("k", F.explode(F.expr(f"sequence(0L, {frames - 1}L)")).alias("f"))
     none = F.lit(0).cast("bigint")
     return with_dive_pose(rows).select(F.col("k").alias("clip_id"), none.alias("track_id"), F.col("f").alias("frame_index"), none.alias("det_id"), "kp")
 
 
+def keeper_boxes(keys: DataFrame, frames: int = DIVE_FRAMES) -> DataFrame:
+    """The boxes of the keepers of keys k."""
+    return keepers(keys, frames).select("clip_id", "frame_index", "det_id", box_of(F.col("kp")).alias("bbox"))
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a series for each user: idx, t (seconds) and v."""
     e = table(spark, sf_dir, "events")
