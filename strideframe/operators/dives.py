@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import geometry as g
 from strideframe.operators import series
-from strideframe.operators.features import usable
+from strideframe.operators.features import usable_columns
 from strideframe.schema import FRAME, TRACK
 
 SPEED, MIN_ROWS, LEAN, CUTOFF, FOOT_LIFT, QUIET = 1.2, 4, 25.0, 8.0, 0.04, 1.5
@@ -20,7 +20,7 @@ SPEED, MIN_ROWS, LEAN, CUTOFF, FOOT_LIFT, QUIET = 1.2, 4, 25.0, 8.0, 0.04, 1.5
 
 def dive_signals(features: DataFrame, clips: DataFrame, cutoff_hz: float | None = CUTOFF) -> DataFrame:
     """Series that dives are found in: one row per usable frame of tracks with five or more."""
-    rows = usable(features).select(*TRACK, FRAME, "com_x", "com_y", "height_px", "lean_deg", "midhip_y", "min_wrist_y", "ankle_y", "mean_conf", F.col("com_y").alias("raw_com_y")).join(clips.select("clip_id", "fps"), "clip_id")
+    rows = usable_columns(features, "lean_deg", "midhip_y", "min_wrist_y", "ankle_y", "mean_conf").withColumn("raw_com_y", F.col("com_y")).join(clips.select("clip_id", "fps"), "clip_id")
     whole, w = Window.partitionBy(*TRACK), series.over(TRACK, FRAME)
     path = series.filtered(rows, TRACK, FRAME, ["com_x", "com_y"], F.col("fps"), cutoff_hz)
     path = path.withColumns({"n": F.count("*").over(whole), "i": series.number(TRACK, FRAME), "reference_px": F.expr("percentile(height_px, 0.5)").over(whole), "time_s": F.col(FRAME) / F.col("fps")}).where("n >= 5")
@@ -49,19 +49,21 @@ DIVE = "{track}, fps double, reference_px double, start_frame bigint, end_frame
 def detect_dives(signals: DataFrame, goals: DataFrame | None = None, shots: DataFrame | None = None, speed: float = SPEED, min_rows: int = MIN_ROWS, min_lean: float = LEAN, size: tuple[float, float] = g.REGULAR) -> DataFrame:
     """One row per dive: span, peak, displacement, lean, reach, classes, phases, reaction time and notes.
 
-    Signals are read once: a track is one group, which the windows of
-    ``dive_signals`` have brought together already, and one pass over its rows
-    finds its dives and their phases in n log n steps, however many there are.
+    Signals are read once, tracks side by side: one pass over the rows of a
+    track finds its dives and their phases in n log n steps, however many there are.
     """
 
-    def run(key: tuple, track: pd.DataFrame) -> pd.DataFrame:
-        found = track_dives(track.sort_values("i"), speed, min_rows, min_lean)
-        return pd.DataFrame([[*key, *row] for row in found], columns=names)
+    def run(rows: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
+        columns = [rows[c].to_numpy(dtype=float) for c in _READ]
+        frames, found = rows[FRAME].to_numpy(dtype=np.int64), []
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            dives = track_dives(*(c[a:b] for c in columns), frames[a:b], speed, min_rows, min_lean)
+            found += [(rows[TRACK[0]].iloc[a], rows[TRACK[1]].iloc[a], *d) for d in dives]
+        return pd.DataFrame(found, columns=names)
 
     schema = DIVE.format(track=", ".join(f"{c} {signals.schema[c].dataType.simpleString()}" for c in TRACK))
     names = [part.split()[0] for part in schema.split(", ")]
-    rows = signals.where("n >= 5").select(*TRACK, "i", FRAME, *_READ)
-    out = rows.groupBy(*TRACK).applyInPandas(run, schema)
+    out = series.by_key(signals.where("n >= 5").select(*TRACK, "i", FRAME, *_READ), TRACK, "i", run, schema)
     out = out.withColumns({"takeoff": F.col("start_frame"), "peak": F.col("peak_frame"), "landing": F.col("end_frame")})
     out = out.withColumns({"direction": direction(F.col("lateral_bh")), "height": height_class(F.col("lowest_bh"), F.col("peak_reach_bh")), "duration_s": (F.col("end_frame") - F.col("start_frame")) / F.col("fps"), "time_to_peak_s": (F.col("peak_frame") - F.col("start_frame")) / F.col("fps")})
     if goals is not None:
@@ -76,10 +78,8 @@ def detect_dives(signals: DataFrame, goals: DataFrame | None = None, shots: Data
 _READ = ("fps", "reference_px", "speed", "com_x", "lean_deg", "reach_bh", "com_h_bh", "ankle_bh", "mean_conf")
 
 
-def track_dives(track: pd.DataFrame, speed: float, min_rows: int, min_lean: float) -> list[tuple]:
+def track_dives(fps: np.ndarray, reference: np.ndarray, v: np.ndarray, x: np.ndarray, lean: np.ndarray, reach: np.ndarray, lowest: np.ndarray, ankle: np.ndarray, conf: np.ndarray, frames: np.ndarray, speed: float, min_rows: int, min_lean: float) -> list[tuple]:
     """The dives of one track, whose rows are in order; columns of DIVE behind the track's."""
-    fps, reference, v, x, lean, reach, lowest, ankle, conf = (track[c].to_numpy(dtype=float) for c in _READ)
-    frames = track[FRAME].to_numpy(dtype=np.int64)
     fast = np.concatenate([[False], v >= speed, [False]])
     turns = np.flatnonzero(fast[1:] != fast[:-1])
     before, out = Before(len(v)), []

@@ -52,6 +52,16 @@ def usable(features: DataFrame) -> DataFrame:
     return features.where("com_x is not null and com_y is not null and height_px > 0")
 
 
+def usable_columns(features: DataFrame, *columns: str) -> DataFrame:
+    """Track, frame and some columns of the rows with a centre of mass and a height.
+
+    A generator stands between, or else the optimiser would test the rows by
+    writing the formulas of what it tests out a second time.
+    """
+    named = dict.fromkeys(("com_x", "com_y", "height_px", *columns))
+    return usable(features.select(*TRACK, FRAME, F.inline(F.array(F.struct(*named)))))
+
+
 def with_reference(rows: DataFrame, height: str = "height_px", by: list[str] | None = None) -> DataFrame:
     """Adds ``reference_px``, the median height of each track."""
     by = by or TRACK

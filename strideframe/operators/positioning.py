@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import geometry as g
 from strideframe.operators import series
-from strideframe.operators.features import usable
+from strideframe.operators.features import usable_columns
 from strideframe.schema import FRAME, TRACK
 
 
@@ -28,7 +28,7 @@ def positioning(features: DataFrame, goals: DataFrame, clips: DataFrame, cutoff_
 
     Tracks with fewer than two usable rows have counts only.
     """
-    rows = usable(features).select(*TRACK, FRAME, "com_x", "com_y", "height_px").join(clips.select("clip_id", "fps"), "clip_id")
+    rows = usable_columns(features).join(clips.select("clip_id", "fps"), "clip_id")
     path = series.filtered(rows, TRACK, FRAME, ["com_x", "com_y"], F.col("fps"), cutoff_hz)
     w = series.over(TRACK, FRAME)
     ref = F.expr("percentile(height_px, 0.5)").over(Window.partitionBy(*TRACK))

@@ -6,11 +6,13 @@ that exchange.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strideframe.functions.signal import low_pass
 
@@ -155,17 +157,61 @@ def strided(rows: DataFrame, keys: list[str], order: str, at: str, stride: int =
     return rows.withColumn("_n", number(keys, order)).where(F.col("_n") % stride == 0).drop("_n")
 
 
+def by_key(rows: DataFrame, keys: list[str], order: str, run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: StructType | str) -> DataFrame:
+    """What ``run`` makes of whole keys, many at a time: it gets their rows in order and where each key begins (and the end).
+
+    Rows come in large batches instead of one for each key, so that short keys
+    cost no more than their rows. Of a key that goes on in the next batch the
+    rows are held back, so memory is that of a batch and of the longest key.
+    """
+
+    def over_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if len(pdf):
+                begins = _begins(pdf[keys])  # the last of them is the end of the keys that are whole
+                held = pdf.iloc[begins[-1] :]
+                if len(begins) > 1:
+                    yield run(pdf.iloc[: begins[-1]], begins)
+        if held is not None:
+            held = held.reset_index(drop=True)
+            yield run(held, np.array([0, len(held)]))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(over_batches, schema)
+
+
+def _begins(keys: pd.DataFrame) -> np.ndarray:
+    """Rows at which another key begins; nulls are one key."""
+    other = np.zeros(len(keys), bool)
+    other[0] = True
+    for c in keys.columns:
+        v = keys[c]
+        before = v.shift()
+        other[1:] |= ((v != before) & ~(v.isna() & before.isna())).to_numpy()[1:]
+    return np.flatnonzero(other)
+
+
 def filtered(rows: DataFrame, keys: list[str], order: str, values: list[str], fps: Column, cutoff_hz: float | None) -> DataFrame:
-    """Zero-phase low-pass of the value columns within each key; both passes run through the whole series, so a key is one group."""
+    """Zero-phase low-pass of the value columns within each key; both passes run through the whole series.
+
+    Keys of one length are filtered side by side. ``long_series.filtered`` is for keys that one task can't hold.
+    """
     if cutoff_hz is None:
         return rows
     narrow = rows.withColumn("_fps", fps.cast("double"))
-    schema = rows.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = pdf[values].to_numpy(dtype=float)
-        pdf[values] = low_pass(x, float(pdf["_fps"].iloc[0]), cutoff_hz)
-        return pdf.drop(columns="_fps")
 
-    return narrow.groupBy(*keys).applyInPandas(run, schema)
+    def run(pdf: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
+        x, rates = pdf[values].to_numpy(dtype=float), pdf["_fps"].to_numpy(dtype=float)
+        alike: dict[tuple[int, float], list[int]] = {}
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            alike.setdefault((b - a, rates[a]), []).append(a)
+        for (n, rate), starts in alike.items():
+            at = np.array(starts)[None, :] + np.arange(n)[:, None]  # rows of each key as a column
+            x[at] = low_pass(x[at].reshape(n, -1), rate, cutoff_hz).reshape(n, len(starts), -1)
+        out = pdf.drop(columns="_fps")
+        for k, v in enumerate(values):
+            out[v] = x[:, k]
+        return out
+
+    return by_key(narrow, keys, order, run, rows.schema)
