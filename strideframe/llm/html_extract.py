@@ -14,6 +14,8 @@ menus, adverts, footers, readers' comments. Tags and names weigh these:
 
 - Tags nav, footer, aside, dialog and menu and names of comments and adverts
   are parts beside the article.
+- A telling word beside a word of any topic (related-work) names nothing inside the article, and
+  what has a telling name there is still its prose if it has words enough outside links, unless it is a form or a notice.
 - Other telling names, header and form weigh little: such an element is a part
   unless the page has no article or main element and all its other text is at
   most a ninth of the element's; then it is the layout around the article. Names that say what an element lacks or holds
@@ -30,7 +32,6 @@ flat arrays of its elements and text pieces; all later steps read those.
 
 from __future__ import annotations
 
-import functools
 import html as entities
 import re
 from collections.abc import Iterator
@@ -48,12 +49,12 @@ GAMMA, LOW, SALT, OUTSIDE = 0.9, 0.25, 16, 9
 # Elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
-SILENT = RAW | frozenset("noscript template head svg math object canvas audio video select datalist button".split())
+SILENT = RAW | frozenset("noscript template head svg object canvas audio video select datalist button annotation".split())
 FIRM = frozenset("nav footer aside dialog menu".split())
 MAIN = frozenset({"article", "main"})
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var math maction merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-P_STOPS = frozenset("td th li div article section main blockquote button".split())
+P_STOPS = SILENT | frozenset("td th li div article section main blockquote".split())
 #: Open elements that an opening tag ends, up to the nearest of the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -67,11 +68,19 @@ ENDS = {
 # Words in a class, an id or a role that name a part beside the article.
 FIRM_WORDS = frozenset("ad ads advert adverts advertisement advertisements comment comments discussion disqus promo promoted promotion reply replies respond sponsor sponsored".split())
 SOFT_WORDS = frozenset("alert banner breadcrumb breadcrumbs colophon complementary consent contentinfo cookie cookies copyright dialog disclaimer foot footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup recommended related search share sharing sidebar signup skip social subscribe subscription tags toc toolbar topbar widget widgets".split())
+# Of these, what is a notice or a form to fill in however much it says.
+NOTICES = frozenset("consent cookie cookies disclaimer gdpr newsletter signup subscribe subscription".split())
+# Words for pieces of a layout; beside any other word a telling one is part of a topic (related-work, social-policy).
+LAYOUT = frozenset("area bar block body bottom box btn button buttons card cards col column container footer global group head icon icons inner item items left link links list main module outer panel posts primary right row secondary side site stories sub top wrap wrapper".split())
 # Words that turn such a name into one of the layout, or of the article's own header.
 LACKS = frozenset("has have no non not with without".split())
 OWN = frozenset("article content entry headline page post section story title".split())
 
-_SILENT, _FIRM, _SOFT, _MAIN, _INLINE = 1, 2, 4, 8, 16
+_SILENT, _FIRM, _SOFT, _MAIN, _INLINE, _NOTICE, _LINK = 1, 2, 4, 8, 16, 32, 64
+#: What names say of an element inside the article is kept apart, until it is known whether it is in one.
+_INSIDE = 128
+#: Elements remembered by what tag and names say of them; words outside links that make a part of an article prose.
+KINDS, PROSE = 1 << 16, 8
 _TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?>=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
@@ -87,28 +96,32 @@ def _digest(x: str) -> int:
     return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-@functools.lru_cache(maxsize=1 << 16)
 def _kind(tag: str, css: str, ident: str, role: str) -> tuple[str, int]:
-    """The node's name and what tag and names say of an element."""
+    """The node's name and what tag and names say of an element: flags, and those it has inside an article times _INSIDE."""
     # A class tells columns apart by number; an id with a number is one page's own.
     name = ".".join([tag, *sorted(set(css.lower().split())), re.sub(r"\d+", "", ident.lower())]).rstrip(".")
     main = tag in MAIN or role.lower() in MAIN
-    kind = _SILENT * (tag in SILENT) | _FIRM * (tag in FIRM) | _SOFT * (tag in ("header", "form")) | _INLINE * (tag in INLINE)
+    kind = _SILENT * (tag in SILENT) | _FIRM * (tag in FIRM) | _SOFT * (tag in ("header", "form")) | _INLINE * (tag in INLINE) | _NOTICE * (tag == "form") | _LINK * (tag == "a")
+    inside = kind
     for token in f"{css} {ident} {role}".split():
         parts = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if w}
         named = parts & (FIRM_WORDS | SOFT_WORDS)
         if named <= {"header"} and parts & OWN:
             if named and tag == "header":
-                kind &= ~_SOFT
+                kind, inside = kind & ~_SOFT, inside & ~_SOFT
         elif named and not parts & LACKS and not (main and len(parts) > 1 and not parts & FIRM_WORDS):
-            kind |= _FIRM if parts & FIRM_WORDS else _SOFT
-    return name, kind | _MAIN * main
+            says = (_FIRM if parts & FIRM_WORDS else _SOFT) | _NOTICE * bool(parts & NOTICES)
+            kind |= says
+            if not parts - named - LAYOUT - OWN:
+                inside |= says
+    return name, kind | _MAIN * main | (inside | _MAIN * main) * _INSIDE
 
 
 class Page:
     """Elements of a page and its text pieces, each with its element and its block."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, kinds: dict[tuple[str, str, str, str], tuple[str, int]] | None = None):
+        self._kinds = {} if kinds is None else kinds
         self.parent, self.path, self.flag, self.tag = [-1], [0], [0], ["body"]
         self.kids: list[list[str]] = [[]]
         self.at, self.block, self.piece = [], [], []
@@ -143,7 +156,7 @@ class Page:
     def _pop_to(self, depth: int) -> None:
         for e in self._open[depth:]:
             self._many[self.tag[e]] -= 1
-            if not self.flag[e] & _INLINE:
+            if not self.flag[e] & _INLINE and not self._hidden[e]:  # what is not seen ends no block
                 self._n += 1
         del self._open[depth:]
 
@@ -168,19 +181,25 @@ class Page:
             self._close({"p"}, P_STOPS)
         if tag in ENDS:
             self._close(*ENDS[tag])
-        if tag not in INLINE and tag != "img":
-            self._n += 1
         if tag in VOID:
+            self._n += tag == "hr"
             return
         got = {}
         for key, *values in _ATTRIBUTE.findall(attributes) if attributes and not attributes.isspace() else ():
             got.setdefault(key.lower(), entities.unescape("".join(values)))
-        name, kind = _kind(tag, got.get("class", ""), got.get("id", ""), got.get("role", ""))
+        said = (tag, got.get("class", ""), got.get("id", ""), got.get("role", ""))
+        if said not in self._kinds:
+            if len(self._kinds) >= KINDS:
+                self._kinds.clear()
+            self._kinds[said] = _kind(*said)
+        name, kind = self._kinds[said]
         above = self._open[-1]
+        kind = kind // _INSIDE if self._in_main[above] else kind % _INSIDE
         if tag == "header" and self._in_main[above] or "header" == got.get("class", "").lower() and self._in_main[above]:
             kind &= ~_SOFT
         if "hidden" in got:
             kind |= _SILENT
+        self._n += not kind & (_INLINE | _SILENT) and not self._hidden[above]
         here = len(self.parent)
         self.kids[above].append(name)
         self.kids.append([])
@@ -201,7 +220,7 @@ class Page:
                 if self.tag[self._open[depth]] == tag:
                     self._pop_to(depth)
                     return
-        elif tag not in INLINE:
+        elif tag not in INLINE | SILENT | VOID:
             self._n += 1
 
     def text(self, low: set[int] | frozenset[int] = frozenset()) -> str:
@@ -289,12 +308,30 @@ def _stays(parent: list[int], path: list[int], flag: list[int], at: list[int], m
             if e not in apart:
                 plain[parent[e]] += plain[e]
         layout = {e for e in chain if OUTSIDE * (plain[0] - plain[e]) <= plain[e]}
-    parts = set(soft).difference(layout)
+    parts = set(soft).difference(layout, _prose(parent, flag, at, mass, soft))
     for e in range(1, n):
         gone[e] = gone[parent[e]] or gone[e] or e in parts
     return [not g for g in gone]
 
 
+def _prose(parent: list[int], flag: list[int], at: list[int], mass: list[int], soft: list[int]) -> list[int]:
+    """Of elements with a telling name, those inside an article that are its prose: words enough outside links, and most of them there."""
+    inside, linked = [False] * len(parent), [False] * len(parent)
+    for e in range(1, len(parent)):
+        inside[e] = inside[parent[e]] or bool(flag[parent[e]] & _MAIN)
+        linked[e] = linked[parent[e]] or bool(flag[e] & _LINK)
+    asked = [e for e in soft if inside[e] and not flag[e] & (_FIRM | _NOTICE)]
+    if not asked:
+        return []
+    text, links = [0] * len(parent), [0] * len(parent)
+    for e, w in zip(at, mass, strict=True):
+        (links if linked[e] else text)[e] += w
+    for e in range(len(parent) - 1, 0, -1):
+        text[parent[e]] += text[e]
+        links[parent[e]] += links[e]
+    return [e for e in asked if text[e] >= PROSE and text[e] >= links[e]]
+
+
 def main_text(parent: list[int], path: list[int], flag: list[int], at: list[int], block: list[int], piece: list[str], low: set[int] | frozenset[int]) -> str:
     """The text of a page, given the paths of low importance."""
     mass = [words(t) for t in piece]
@@ -333,10 +370,11 @@ def parsed(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: dict[tuple[str, str, str, str], tuple[str, int]] = {}
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
-                made = [Page((raw or b"").decode("utf-8", "replace")) for raw in part.column("html").to_pylist()]
+                made = [Page((raw or b"").decode("utf-8", "replace"), kinds) for raw in part.column("html").to_pylist()]
                 nodes = [p.nodes() for p in made]
                 arrays = [_lists([getattr(p, c) for p in made], kind) for c, kind in _PAGE.items()]
                 arrays += [pa.array([n[0] for n in nodes], pa.int64()), _lists([n[1] for n in nodes], pa.int64()), _lists([n[2] for n in nodes], pa.int64()), _lists([n[3] for n in nodes], pa.list_(pa.int64()))]

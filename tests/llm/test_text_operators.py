@@ -363,6 +363,32 @@ def test_a_name_alone_takes_no_article(page, want):
     assert html_extract.extract(page) == want
 
 
+BODY = "<p>The long body of the article has many words that say a lot about its topic and go on for a while here.</p>"
+
+
+@pytest.mark.parametrize("part", [
+    "<section id='copyright'><h2>Copyright law</h2><p>Authors hold the rights in their works for many years.</p></section>",
+    "<div class='social-policy'><p>Social policy shapes welfare in every state.</p></div>",
+    "<div id='login'><h2>Log in</h2><p>Open the terminal, type your name and then your password.</p></div>",
+    "<section class='related-work'><h2>Related work</h2><p>Others have tried it.</p></section>",
+    "<section id='notes-and-comments'><h2>Notes</h2><p>These tell more.</p></section>",
+])
+def test_sections_of_an_article_keep_their_text(part):
+    said = re.sub("<[^>]*>", " ", part).split()
+    for tag in ("article", "main"):
+        assert html_extract.extract(f"<{tag}>{BODY}{part}</{tag}>").split()[-len(said) :] == said
+
+
+def test_parts_inside_an_article_still_go():
+    parts = "<div class='related'><a href=x>One more story to read</a> <a href=y>And another story</a></div><div class='newsletter'>Subscribe to our newsletter for weekly news and offers in your inbox today</div><form><p>Tell us what you think about this article in many words here please</p></form><div id='comments'><p>Nice article, I liked it so very much, thank you all</p></div><div class='share'>Share this</div>"
+    assert html_extract.extract(f"<article>{BODY}{parts}</article>") == BODY[3:-4]
+
+
+def test_what_is_not_seen_ends_no_block():
+    page = "<p>hello<script>x</script>world</p><p>a <button>b</button>c <noscript><div>d</div></noscript>e <math><mi>x</mi><mo>=</mo><mn>1</mn></math> f<svg><text>no</text></svg> g<wbr>h</p>one<hr>two"
+    assert html_extract.extract(page) == "helloworld\n\na c e x=1 f gh\n\none\n\ntwo"
+
+
 def test_no_page_breaks_the_parser():
     rng = random.Random(1)
     bits = ["<", "<!", "<![", "<![CDATA[", "]]>", ">", "</", "/", "p", "div", '="', "'", "a", "&", "&#x", "&#55296;", ";", " ", "\n", "<!--", "-->", "<script", "</script>", "<title>", "article", "class=", "\x00", "\ud800", "<?", "-", "é", "<br/>", "<li>", "</li>", "<form>", "hidden"]
