@@ -104,7 +104,13 @@ class Orders:
         return np.stack([c * ranges + np.searchsorted(b, keys[:, c], side="right") for c, b in enumerate(self.bounds)], axis=1)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors whose largest component lies in [0.5, 1): divided by a power of two, so that no digit changes and no square overflows or vanishes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -126,6 +132,7 @@ def decoded(codes: np.ndarray) -> np.ndarray:
 
 def cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Cosine of every query with the vector of its row, in double precision; equal rows give equal numbers wherever they stand."""
+    queries, vectors = scaled(queries), scaled(vectors)
     of = lambda a, b: (a * b).sum(axis=1)
     return of(queries, vectors) / np.sqrt(of(queries, queries) * of(vectors, vectors))
 
@@ -225,7 +232,7 @@ def windows(ordered: DataFrame, reach: int, top: int) -> DataFrame:
     return ordered.mapInArrow(run, "query bigint, rep bigint, near float")
 
 
-def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, curves: int = CURVES, reach: int = REACH, scratch: Scratch | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, curves: int = CURVES, reach: int = REACH, scratch: Scratch | None = None, window_top: int | None = WINDOW_TOP, merged_top: int | None = MERGED_TOP) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every query row.
 
     Candidates are all rows but the query's own. Nearest first, ties to the
@@ -233,7 +240,10 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, cu
     of different lengths are never neighbours; each length has curves of its
     own. Rows that repeat a vec_id with the same vector count once; a vec_id
     with several vectors is a query with each. Extra columns are not read; no
-    vectors, no rows. Grids and ranges are fitted on SAMPLE vectors of all
+    vectors, no rows. ``window_top`` of each window and ``merged_top`` of a query's
+    windows go on to the exact measure; with None for both, all vectors that any
+    window has seen are measured, and with a reach of the table's size that is
+    an exact search. Grids and ranges are fitted on SAMPLE vectors of all
     lengths; all vectors are indexed.
     """
     scratch = scratch or Scratch(vectors.sparkSession)
@@ -252,9 +262,9 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, cu
         orders[size] = Orders.fit(drawn, curves, max(1, min(n // RANGE, len(drawn) // 8)))
     marked = reps.join(asked.select("rep", F.lit(True).alias("asked")).distinct(), "rep", "left").select("rep", "embedding", F.coalesce("asked", F.lit(False)).alias("asked"))
     ordered = _keyed(marked, orders).repartition("part").sortWithinPartitions("part", "key", "rep")
-    merged = windows(ordered, reach, WINDOW_TOP).groupBy("query", "rep").agg(F.max("near").alias("near"))
+    merged = windows(ordered, reach, window_top or 2 * reach).groupBy("query", "rep").agg(F.max("near").alias("near"))
     first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "rep"))
-    pairs = merged.withColumn("n", first).where(F.col("n") <= MERGED_TOP).select("query", "rep")
+    pairs = (merged.withColumn("n", first).where(F.col("n") <= merged_top) if merged_top else merged).select("query", "rep")
     own = asked.select(F.col("rep").alias("query"), "embedding").dropDuplicates(["query"])
     pairs = scratch.put(pairs.union(own.select("query", F.col("query").alias("rep"))), "pairs")
 

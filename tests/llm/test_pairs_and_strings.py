@@ -283,6 +283,26 @@ def test_nearest_of_several_lengths(spark):
     assert 1000 not in got
 
 
+def test_cosines_of_very_large_and_very_small_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1.0, 0.5]), (2, [1e-200, 2e-200]), (3, [-1e308, 1e308]), (4, [5e-324, 0.0]), (5, [0.25, 0.25])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in ann.search(d, is_query="vec_id = 0").collect()}
+    want = {1: 1.5 / np.sqrt(2.5), 2: 3 / np.sqrt(10), 3: 0.0, 4: 1 / np.sqrt(2), 5: 1.0}
+    assert got.keys() == want.keys() and all(abs(got[i] - w) < 1e-12 for i, w in want.items())
+    v = np.random.default_rng(0).normal(size=(50, 64))
+    assert (ann.scaled(v) / v == (ann.scaled(v) / v)[:, :1]).all()
+
+
+def test_a_search_without_tops_is_exact(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(400, 24))
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(d, curves=1, reach=400, window_top=None, merged_top=None).collect():
+        found.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert {q: [x[k] for k in sorted(x)] for q, x in found.items()} == {q: [i for i, _ in x] for q, x in ann.brute_force(range(400), v).items()}
+
+
 def test_nearest_leaves_unusable_vectors_out(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (50, [0.0, 2.0]), (7, [])]
     out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as rep", "2 as n")).collect()
