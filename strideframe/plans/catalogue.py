@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import geometry as g
 from strideframe.functions import skeleton as sk
-from strideframe.operators import calibration, clips, dives, events, long_series, positioning, report, series, stance, tracks
+from strideframe.operators import calibration, clips, dives, events, kit, lifting, long_series, positioning, report, series, stance, tracks
 from strideframe.operators import features as feat
+from strideframe.plans import pipeline
+from strideframe.plans.config import Config
 from strideframe.schema import FRAME, TRACK
-from strideframe.sources import adapters, sinks
-from strideframe.streaming import tracking, windows
+from strideframe.sources import adapters, readers, sinks, store
+from strideframe.streaming import smoothing, tracking, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -504,6 +506,67 @@ def streamed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.run_to_end(tracking.stream_tracks(rows, late="0 seconds"), "tracks")
 
 
+def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Poses at a tenth of their size, and a picture of 128 x 72 for each frame, whose colours follow a formula."""
+    p = adapters.poses(spark, sf_dir)
+    small = p.withColumn("kp", F.transform("kp", lambda k: F.struct((k["x"] * 0.1).alias("x"), (k["y"] * 0.1).alias("y"), k["conf"].alias("conf"))))
+    value = "pmod(i div 3 % 128 * 3 + i div 3 div 128 * 5 + frame_index * 7 + i % 3 * 11, 256)"
+    pixels = F.expr(f"unhex(array_join(transform(sequence(0, {3 * 128 * 72 - 1}), i -> lpad(hex({value}), 2, '0')), ''))")
+    return small, p.select("clip_id", FRAME).distinct().select("clip_id", FRAME, F.lit(128).alias("width"), F.lit(72).alias("height"), pixels.alias("pixels"))
+
+
+@query
+def kit_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kit.samples(*_drawn(spark, sf_dir)).select("track_id", FRAME, "r", "g", "b")
+
+
+@query
+def kit_keeper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The track whose kit, seen in pictures, is farthest from the clip's."""
+    found = positioning.ranked(positioning.score_colour(kit.samples(*_drawn(spark, sf_dir))))
+    return found.select("track_id", F.col("n").cast("bigint").alias("n"), "distance", "score", "rank")
+
+
+@query
+def torso_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patch = g.torso_patch(F.col("kp"), F.lit(1280), F.lit(720))
+    return adapters.poses(spark, sf_dir).select("det_id", patch.alias("p")).where("p is not null").select("det_id", *[F.col(f"p.{c}").cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query
+def pixel_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landmarks in shares of a turned, downscaled image, in the pixels of the original."""
+    kp = readers.from_normalised(F.col("kp"), F.lit(640.0), F.lit(360.0))
+    kp = readers.from_pixels(readers.rotate(kp, F.pmod(F.col("vec_id"), F.lit(4)) * 90, F.lit(640), F.lit(360)), F.lit(0.5))
+    return adapters.landmarks33(spark, sf_dir).select("vec_id", F.posexplode(kp).alias("joint", "k")).select("vec_id", F.col("joint").cast("bigint").alias("joint"), "k.x", "k.y", "k.conf")
+
+
+@query
+def smoothed_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Low-passed 3D places of each track, summed over the joints of a frame (the filter is linear)."""
+    p = adapters.poses3d(spark, sf_dir).select(F.lit(0).cast("bigint").alias("clip_id"), F.expr("vec_id div 50").alias("track_id"), F.expr("vec_id % 50").alias(FRAME), "kp3d")
+    sums = [F.aggregate(F.transform("kp3d", lambda k: k[c]), F.lit(0.0), lambda a, v: a + v).alias(c) for c in "xyz"]  # noqa: B023
+    return lifting.smooth(p, adapters.pose_clips(spark)).select("track_id", FRAME, *sums)
+
+
+@query
+def session_low_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = smoothing.smoothed_sessions(moves(spark, sf_dir), "user_id", "ts", ["v"], 60.0, 8.0, 4 * 86400.0)
+    return out.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("ts").alias("at_us"), "v")
+
+
+@query
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines on each clip of a run of the whole pipeline."""
+    rows = adapters.dive_clips(spark, sf_dir).selectExpr("clip_id", "cast(null as string) path", "1280 width", "720 height", "fps", "120L frame_count", "0 rotation", "'h264' codec", "2.0D duration_s")
+    seen = adapters.dive_tracks(spark, sf_dir).select("clip_id", FRAME, (F.col(FRAME) / 60.0).alias("ts"), F.col("det_id").cast("int").alias("det_id"), "kp", F.lit(None).cast("struct<x1: double, y1: double, x2: double, y2: double, score: double>").alias("bbox"))
+    posts = {"goalkeeper": {"enabled": True, "goal_posts": [[120, 300], [852, 300]]}, "analysis": {"filter_cutoff_hz": None}}
+    out = pipeline.run(rows, seen, Config.from_dict(posts))
+    text = store.stored(out.summary(), "summary")
+    out.release()
+    return text.select("clip_id", F.substring_index(F.substring_index("text", "\nWarnings", 1), "\nGoalkeeper:", 1).alias("text"))
+
+
 @query
 def display_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.with_display(adapters.clips(spark, sf_dir)).select("clip_id", "display_width", "display_height", "is_portrait", "is_high_speed")

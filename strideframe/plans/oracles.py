@@ -307,6 +307,40 @@ SQL["long_interpolate"] = f"""WITH g AS (SELECT event_id, CASE WHEN event_type =
     first_value(CASE WHEN g IS NOT NULL THEN event_id END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bi, first_value(g IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM g)
   SELECT event_id, {r('coalesce(g, a + (b - a) * (event_id - ai) / nullif(bi - ai, 0), a, b, 0)', 'filled')} FROM n"""
 
+# Pictures.
+def _corner(size: tuple[str, str]) -> dict[str, str]:
+    """Edges of a torso's patch, with the joints' columns as they are."""
+    out = {}
+    for axis, far, low, high in (("x", size[0], "x1", "x2"), ("y", size[1], "y1", "y2")):
+        places = ", ".join(f"{axis}{j}" for j in (5, 6, 11, 12))
+        least, most = f"least({places})", f"greatest({places})"
+        out[low] = f"greatest(0, trunc({least} + ({most} - {least}) * 0.2e0))::BIGINT"
+        out[high] = f"least({far}, trunc({most} - ({most} - {least}) * 0.2e0))::BIGINT"
+    return out
+
+
+def _patch(source: str, size: tuple[str, str]) -> str:
+    edges = ", ".join(f"{v} AS {n}" for n, v in _corner(size).items())
+    return f"patch AS (SELECT clip_id, track_id, frame_index, det_id, {edges} FROM {source} WHERE {_TRUNK}), framed AS (SELECT * FROM patch WHERE x2 > x1 AND y2 > y1)"
+
+
+simple("torso_patch", "det_id, x1, y1, x2, y2", "framed", f"{BASE}, {_patch('sure', ('1280', '720'))}")
+_TENTH = "tenth AS (SELECT * REPLACE (" + ", ".join(f"{a}{j} * 0.1e0 AS {a}{j}" for j in (5, 6, 11, 12) for a in "xy") + ") FROM sure)"
+_PICTURE = f"""{_TENTH}, {_patch('tenth', ('128', '72'))}, seen AS (SELECT track_id, frame_index, {', '.join(f'median((px * 3 + py * 5 + frame_index * 7 + {11 * k}) % 256) AS {c}' for k, c in enumerate('rgb'))}
+  FROM framed, range(128) u(px), range(72) v(py) WHERE px >= x1 AND px < x2 AND py >= y1 AND py < y2 GROUP BY track_id, frame_index)"""
+simple("kit_samples", f"track_id, frame_index, {r('r', 'r')}, {r('g', 'g')}, {r('b', 'b')}", "seen", f"{BASE}, {_PICTURE}")
+SQL["kit_keeper"] = f"""WITH {BASE}, {_PICTURE}, t AS (SELECT track_id, count(*) AS n, min(frame_index) AS first_frame, median(r) AS r, median(g) AS g, median(b) AS b FROM seen GROUP BY track_id HAVING count(*) >= 5), m AS (SELECT median(r) AS mr, median(g) AS mg, median(b) AS mb FROM t),
+  d AS (SELECT track_id, n, first_frame, sqrt(power(r - mr, 2) + power(g - mg, 2) + power(b - mb, 2)) AS distance FROM t, m)
+  SELECT track_id, n, {r('distance', 'distance')}, {r('distance / coalesce(nullif(max(distance) OVER (), 0), 1)', 'score')}, row_number() OVER (ORDER BY distance DESC, first_frame, track_id) AS rank FROM d"""
+_TURNED = {"x": "CASE vec_id % 4 WHEN 1 THEN 359 - y WHEN 2 THEN 639 - x WHEN 3 THEN y ELSE x END", "y": "CASE vec_id % 4 WHEN 1 THEN x WHEN 2 THEN 359 - y WHEN 3 THEN 639 - x ELSE y END"}
+SQL["pixel_landmarks"] = "WITH k AS (" + " UNION ALL ".join(f"SELECT vec_id, {j}::BIGINT AS joint, {_E(j)} * 640 AS x, {_E(j + 31)} * 360 AS y, abs({_E(j)}) AS conf FROM embeddings" for j in range(33)) + f") SELECT vec_id, joint, {r(f'({_TURNED['x']}) / 0.5e0', 'x')}, {r(f'({_TURNED['y']}) / 0.5e0', 'y')}, {r('conf', 'conf')} FROM k"
+_PLACED = "places AS (SELECT vec_id // 50 AS track_id, vec_id % 50 AS frame_index, " + ", ".join(" + ".join(_E(3 * j + n) for j in range(17)) + f" AS {a}" for n, a in enumerate("xyz")) + " FROM embeddings)"
+SQL["smoothed_3d"] = f"WITH RECURSIVE {_PLACED}, {low_passed('calm', 'places', 'track_id', 'frame_index', ['x', 'y', 'z'], 60.0, 6.0)} SELECT track_id, frame_index, {r('x', 'x')}, {r('y', 'y')}, {r('z', 'z')} FROM calm"
+SQL["session_low_pass"] = f"""WITH RECURSIVE gaps AS (SELECT user_id, ts, value AS v, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 4 DAY THEN 0 ELSE 1 END AS new FROM events), runs AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM gaps),
+  {low_passed('calm', 'runs', 'user_id, run', 'ts', ['v'], 60.0, 8.0)} SELECT user_id, epoch_us(min(ts) OVER (PARTITION BY user_id, run)) AS start_us, epoch_us(ts) AS at_us, {r('v', 'v')} FROM calm"""
+SQL["run_summary"] = f"""WITH {DIVES}, k AS (SELECT clip_id, count(*) AS dives FROM p GROUP BY clip_id)
+  SELECT s_suppkey::BIGINT AS clip_id, 'Clip       : ' || s_suppkey || chr(10) || 'Resolution : 1280x720  (landscape)' || chr(10) || 'Frame rate : 60.00 fps' || chr(10) || 'Frames     : 120 processed' || chr(10) || 'People     : 1 track(s)' || chr(10) || 'Dives      : ' || coalesce(dives, 0) AS text FROM supplier LEFT JOIN k ON clip_id = s_suppkey"""
+
 # Clips.
 _CLIP = "clip AS (SELECT p_partkey::BIGINT AS clip_id, CASE p_partkey % 3 WHEN 0 THEN 3840 WHEN 1 THEN 1920 ELSE 1280 END AS width, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 1600 ELSE 2160 END WHEN 1 THEN 1080 ELSE 720 END AS height, CASE p_partkey % 5 WHEN 0 THEN 120.0e0 WHEN 1 THEN 24.0e0 WHEN 2 THEN 60.0e0 ELSE 30.0e0 END AS fps, (p_size * 60)::BIGINT AS frame_count, (p_partkey % 4 * 90)::INT AS rotation, CASE WHEN p_partkey % 7 < 3 THEN 'HEVC' ELSE 'h264' END AS codec, (p_size * 4)::DOUBLE AS duration_s FROM part)"
 _DEVICE = "CASE WHEN codec = 'HEVC' AND greatest(width, height) / least(width, height)::DOUBLE > 1.9 THEN 'action_cam' WHEN codec = 'HEVC' THEN 'iphone_recent' WHEN greatest(width, height) >= 3000 THEN 'android_flagship' WHEN fps <= 30.5 AND greatest(width, height) <= 1920 THEN 'android_midrange' ELSE 'generic' END"

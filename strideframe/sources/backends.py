@@ -12,7 +12,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import arrow_udtf
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from strideframe.schema import DETECTIONS, BackendNotAvailable
 
@@ -99,3 +103,41 @@ def detect(frames: DataFrame, name: str, **options: Any) -> DataFrame:
             own.close()
 
     return frames.select("clip_id", "frame_index", "ts", "image").mapInPandas(run, DETECTIONS)
+
+
+def table_function(name: str, **options: Any) -> Any:
+    """A registered backend as a table function over frames: ``spark.udtf.register("pose", table_function("own"))``, then
+
+        SELECT * FROM pose(TABLE(frames))
+
+    Frames come as Arrow batches. The backend is made and set up with the first
+    batch of a partition and closed at its end, or when a batch fails.
+    """
+    if not BACKENDS[name].available():
+        raise BackendNotAvailable(name)
+    kind = BACKENDS[name]
+
+    class Pose:
+        def __init__(self) -> None:
+            self.own: Backend | None = None
+
+        def eval(self, frames: pa.RecordBatch) -> Iterator[pa.Table]:
+            if self.own is None:
+                self.own = kind(**options)
+                self.own.setup()
+            try:
+                columns = [frames.column(c).to_pylist() for c in ("clip_id", "frame_index", "ts", "image")]
+                found = [(clip, frame, ts, n, p["kp"], p.get("bbox")) for clip, frame, ts, image in zip(*columns, strict=True) for n, p in enumerate(self.own.estimate(image))]
+            except BaseException:
+                self.terminate()
+                raise
+            yield pa.Table.from_pylist([dict(zip(names, row, strict=True)) for row in found], schema=schema)
+
+        def terminate(self) -> Iterator[pa.Table]:
+            if self.own is not None:
+                self.own.close()
+                self.own = None
+            return iter(())
+
+    schema, names = to_arrow_schema(StructType.fromDDL(DETECTIONS)), [f.name for f in StructType.fromDDL(DETECTIONS)]
+    return arrow_udtf(Pose, returnType=DETECTIONS)

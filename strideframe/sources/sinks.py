@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions.skeleton import COCO17
@@ -54,12 +54,15 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error", b
     (out.partitionBy(*by) if by else out).save(path)
 
 
-def trc_rows(rows: DataFrame, order: str, fps: float, scale: float = 1.0) -> DataFrame:
-    """order and line: number, seconds and the 3D places of a track's joints, tab-separated, blank where absent."""
+def _marker_line(order: str, fps: float, scale: float) -> Column:
     cell = lambda c: F.coalesce(F.format_string("%.6f", c * F.lit(scale)), F.lit(""))
     places = F.transform("kp3d", lambda k: F.concat_ws("\t", *[F.when(k[c].isNull(), F.lit("")).otherwise(cell(k[c])) for c in "xyz"]))
-    line = F.concat_ws("\t", F.col(order).cast("string"), F.format_string("%.6f", F.col(order) / F.lit(fps)), F.array_join(places, "\t"))
-    return rows.where("kp3d is not null").select(order, line.alias("line"))
+    return F.concat_ws("\t", F.col(order).cast("string"), F.format_string("%.6f", F.col(order) / F.lit(fps)), F.array_join(places, "\t"))
+
+
+def trc_rows(rows: DataFrame, order: str, fps: float, scale: float = 1.0) -> DataFrame:
+    """order and line: number, seconds and the 3D places of a track's joints, tab-separated, blank where absent."""
+    return rows.where("kp3d is not null").select(order, _marker_line(order, fps, scale).alias("line"))
 
 
 def write_trc(rows: DataFrame, path: str, order: str, fps: float, units: str = "m") -> None:
@@ -76,6 +79,15 @@ def write_trc(rows: DataFrame, path: str, order: str, fps: float, units: str = "
     top.union(lines.select(F.col(order).cast("long").alias("n"), "line")).coalesce(1).sortWithinPartitions("n").select("line").write.text(path)
 
 
+def marker_rows(rows: DataFrame, fps: float, units: str = "m") -> DataFrame:
+    """clip_id, track_id, n and line of tracks with 3D places, each track together and in order: what ``files.Markers`` writes."""
+    known = rows.where("kp3d is not null")
+    n = F.count("*").over(Window.partitionBy("clip_id", "track_id"))
+    scale = {"m": 1.0, "mm": 1000.0}[units]
+    lines = known.select("clip_id", "track_id", FRAME, n.alias("n"), _marker_line(FRAME, fps, scale).alias("line"))
+    return lines.repartition("clip_id", "track_id").sortWithinPartitions("clip_id", "track_id", FRAME)
+
+
 def run_name(stem: str, at: datetime | None = None) -> str:
     """A folder name for a run: the stem and the time."""
     return f"{stem}_{(at or datetime.now()):%Y%m%d_%H%M%S}"
