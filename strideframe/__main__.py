@@ -1,6 +1,6 @@
 """Command line: run the clip pipeline over stored tables, show clips, devices and backends.
 
-    python -m strideframe run CLIPS DETECTIONS -o OUT [-c SETTINGS.yaml] [--profile P] [--start S] [--end S] [--goal-posts "x,y" "x,y"] [--gk-track N]
+    python -m strideframe run CLIPS DETECTIONS [-o OUT] [-c SETTINGS.yaml] [--profile P] [--start S] [--end S] [--goal-posts "x,y" "x,y"] [--gk-track N]
     python -m strideframe probe CLIPS
     python -m strideframe devices | backends
 """
@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     run = sub.add_parser("run")
     run.add_argument("clips")
     run.add_argument("detections")
-    run.add_argument("-o", "--output", required=True)
+    run.add_argument("-o", "--output", help="instead of the directory that the settings name")
     run.add_argument("-c", "--config")
     run.add_argument("--format", action="append", help="instead of the formats that the settings name")
     run.add_argument("--profile", choices=[p[0] for p in clips.PROFILES])
@@ -46,6 +46,7 @@ def settings(args: argparse.Namespace) -> Config:
         config.goalkeeper.goal_posts = [[float(v) for v in p.split(",")] for p in args.goal_posts]
     if args.gk_track is not None:
         config.goalkeeper.track_id, config.goalkeeper.identification = args.gk_track, "manual"
+    config.output.directory = args.output or config.output.directory
     config.goalkeeper.enabled |= bool(args.goal_posts) or args.gk_track is not None
     return config
 
@@ -63,7 +64,8 @@ def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
     from strideframe.plans import pipeline
-    from strideframe.sources import readers, sinks
+    from strideframe.sources import readers, sinks, store
+    from strideframe.streaming import progress
 
     spark = SparkSession.builder.appName("strideframe").getOrCreate()
     known = readers.read(spark, "clips", args.clips)
@@ -72,13 +74,15 @@ def main(argv: list[str] | None = None) -> None:
         return
     config = settings(args)
     out = pipeline.run(known, readers.read(spark, "detections", args.detections), config)
-    target = f"{args.output}/{sinks.run_name(os.path.basename(args.clips.rstrip('/')) or 'run')}"
+    out.tracked = store.stored(out.tracked, "tracked")  # what is written, summed up and measured is tracked once
+    target = f"{config.output.directory}/{sinks.run_name(os.path.basename(args.clips.rstrip('/')) or 'run')}"
     took = {}
     for name in ("tracked", "pitch", "kicks", "contacts", "keepers", "uncertain", "dives", "report"):
         table = getattr(out, name)
         if table is not None:
             began = time.perf_counter()
-            for problem in sinks.write_all({name: table}, target, args.format or config.output.formats):
+            write = lambda: sinks.write_all({name: table}, target, args.format or config.output.formats)  # noqa: B023, E731
+            for problem in progress.reported(spark, write, lambda share, text: print(f"{share:4.0%} {text}"), name, 2.0):
                 print(problem)
             took[name] = time.perf_counter() - began
             print(f"{name} written")

@@ -40,12 +40,15 @@ def device_of() -> Column:
     return F.when(hevc & (long / F.greatest(F.lit(1), short) > 1.9), "action_cam").when(hevc, "iphone_recent").when(long >= 3000, "android_flagship").when((F.col("fps") <= 30.5) & (long <= 1920), "android_midrange").otherwise("generic")
 
 
-def with_profile(clips: DataFrame, override: str | None = None) -> DataFrame:
-    """Adds device, profile, frame_stride and target_long_edge; fast clips are strided, long ones made smaller."""
+def with_profile(clips: DataFrame, override: str | None = None, preset: str | None = None) -> DataFrame:
+    """Adds device, profile, frame_stride and target_long_edge; fast clips are strided, long ones made smaller.
+
+    preset names the device of all clips (an unknown one is generic); without it each clip's own is inferred.
+    """
     spark = clips.sparkSession
     if override is not None and override not in {p[0] for p in PROFILES}:
         raise KeyError(f"no profile {override!r}")
-    known = with_display(clips).withColumn("device", device_of()).join(F.broadcast(devices(spark).drop("device_codec")), "device")  # six rows
+    known = with_display(clips).withColumn("device", device_of() if preset is None else F.lit(device(preset)[0])).join(F.broadcast(devices(spark).drop("device_codec")), "device")  # six rows
     if override is not None:
         known = known.withColumn("profile", F.lit(override))
     known = known.join(F.broadcast(profiles(spark)), "profile")  # three rows

@@ -124,8 +124,14 @@ class Config:
             return cls.from_dict(json.load(f)) if path.endswith(".json") else cls.from_yaml(f.read())
 
 
-#: What these settings may say.
+#: What these settings may say: detections come as tables, so what decoding, inference or drawing would do is as it is.
 ONLY = {
+    "video.apply_rotation": (True,),
+    "video.decoder": ("auto",),
+    "pose.backend": ("mediapipe",),
+    "pose.backend_options": ({},),
+    "pose.min_joint_confidence": (0.3,),
+    "calibration.assumed_player_height_m": (1.80,),
     "tracking.method": ("iou",),
     "calibration.method": ("manual",),
     "analysis.filter_order": (4,),

@@ -80,8 +80,8 @@ def run(clip_rows: DataFrame, detections: DataFrame, config: Config, shots: Data
     features are kept in executors until ``release``.
     """
     config.checked()
-    override = config.video.profile
-    known = clips.with_advice(clips.with_profile(clip_rows, override))
+    preset = None if config.video.device_preset in ("auto", "") else config.video.device_preset
+    known = clips.with_advice(clips.with_profile(clip_rows, config.video.profile, preset))
     timed = detections.join(known.select("clip_id", F.col("fps").alias("_fps"), F.col("frame_stride").alias("_stride")), "clip_id")
     at = F.col(FRAME) / F.col("_fps")
     if config.video.start_s is not None:

@@ -20,6 +20,23 @@ def test_settings_are_strict():
             Config.from_dict(bad)
 
 
+@pytest.mark.parametrize(("path", "value"), [("video.apply_rotation", False), ("video.decoder", "opencv"), ("pose.backend", "sapiens"), ("pose.backend_options", {"a": 1}), ("pose.min_joint_confidence", 0.5), ("calibration.assumed_player_height_m", 1.9)])
+def test_settings_without_effect_are_refused(path, value):
+    section, name = path.split(".")
+    with pytest.raises(ConfigError, match=path):
+        Config.from_dict({section: {name: value}})
+
+
+def test_the_device_preset_and_the_output_directory_act(spark):
+    from strideframe import __main__ as cli
+    from strideframe.operators import clips
+
+    d = spark.createDataFrame([(1, 1920, 1080, 30.0, 100, 0, "h264", 3.0)], "clip_id long, width int, height int, fps double, frame_count long, rotation int, codec string, duration_s double")
+    of = lambda preset: clips.with_profile(d, None, preset).first().device
+    assert (of(None), of("action_cam"), of("no such")) == ("android_midrange", "action_cam", "generic")
+    assert cli.settings(cli.parser().parse_args(["run", "a", "b"])).output.directory == "outputs" and cli.settings(cli.parser().parse_args(["run", "a", "b", "-o", "c"])).output.directory == "c"
+
+
 def test_backends_say_what_they_are(spark):
     assert backends.default() is None and [n for n, _ in backends.listing()] == ["mediapipe", "posepipeline", "rtmpose", "sapiens"]
     with pytest.raises(backends.BackendNotAvailable):
