@@ -25,8 +25,8 @@ from strideframe.llm.runtime import clear_of, fresh, text_batches, without_gc
 #: One character for each byte, none of them white space or sentencepiece's own mark.
 BYTE_CHARS = [chr(0x4E00 + b) for b in range(256)]
 _TO_CHARS = dict(enumerate(BYTE_CHARS))
-#: Pre-tokens that a generation of the coder's memory holds; two are kept.
-CACHE = 75_000
+#: Pre-tokens that a generation of the memory of a coder holds (two are kept), and the letters of the longest of them.
+CACHE, SHORT = 75_000, 200
 
 
 def _varint(n: int) -> bytes:
@@ -70,8 +70,19 @@ class Vocabulary:
         return cls(ranks, pattern, serialise(ranks))
 
 
+def forget(memory: dict, new: list[str]) -> None:
+    """Long pre-tokens leave the memory with the slice of text they came in, so that its entries are bounded in bytes as in number."""
+    for p in new:
+        if len(p) > SHORT:
+            del memory[p]
+
+
 class Coder:
-    """Encodes and decodes on one executor."""
+    """Encodes and decodes on one executor.
+
+    What it remembers is bounded: 2 CACHE and as many lists of pre-tokens of
+    SHORT letters at most.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         import regex
@@ -97,7 +108,7 @@ class Coder:
         return [[order[i - 1] for i in next(merged)] if w is None else [w] for w in whole]
 
     def encode(self, text: str) -> list[int]:
-        """The ids of a text; those of short pre-tokens are remembered."""
+        """The ids of a text; those of pre-tokens of up to SHORT letters are remembered."""
         found, lists, out = self.find(text), self.lists, []
         if len(lists) > 2 * CACHE:
             lists.clear()
@@ -107,13 +118,14 @@ class Coder:
             if new:
                 lists.update(zip(new, self.ids_of(new), strict=True))
             out.extend(chain.from_iterable([lists[p] for p in part]))
+            forget(lists, new)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
     def learn(self, pretokens: list[str]) -> None:
-        """Remember number of tokens, ids as text and decoded bytes of pre-tokens."""
+        """Number of tokens, ids as text and decoded bytes of pre-tokens, until they are forgotten."""
         older, new = self.older, []
         for p in pretokens:
             if p in older:
@@ -142,6 +154,7 @@ class Coder:
             n += sum([m[0] for m in made])
             ids.update((b"," if k else b"") + b",".join([m[1] for m in made]))
             decoded.update(b"".join([m[2] for m in made]))
+            forget(known, new)
         return n, ids.hexdigest(), decoded.hexdigest()
 
 

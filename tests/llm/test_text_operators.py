@@ -72,6 +72,18 @@ def test_large_ids_stay_exact_beside_nulls(spark, labels):
         assert {r.doc_id for r in out.select("doc_id").collect()} == set(ids)
 
 
+def test_long_pretokens_are_not_remembered(coder):
+    texts = ["".join(random.Random(k).choices("abcdefgh", k=10_000)) + " and short ones" for k in range(30)]
+    fresh_coder = bpe.Coder(vocabulary())
+    for t in [*texts, texts[0]]:
+        ids = fresh_coder.encode(t)
+        n, ids_sha, decoded_sha = fresh_coder.digest(t)
+        assert n == len(ids) and ids_sha == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and decoded_sha == hashlib.sha256(t.encode()).hexdigest()
+        assert fresh_coder.decode(ids) == t.encode()
+    for memory in (fresh_coder.known, fresh_coder.older, fresh_coder.lists):
+        assert all(len(p) <= bpe.SHORT for p in memory) and len(memory) < 10
+
+
 def test_workers_collect_garbage_again():
     import gc
 
