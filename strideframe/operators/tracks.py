@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions import geometry as g
-from strideframe.operators import long_series
+from strideframe.operators import long_series, series
 from strideframe.schema import FRAME, TRACK
 from strideframe.sources.store import stored
 
@@ -34,12 +36,17 @@ def suppress_duplicates(detections: DataFrame, keys: list[str], max_iou: float =
     return listed.select(*keys, F.posexplode(kept).alias("rank", "e")).select(*keys, *[F.col(f"e.{c}").alias(c) for c in columns], F.col("rank").cast("bigint").alias("rank"))
 
 
+Box = tuple[float, float, float, float]
+#: Pairs of a frame up to which plain numbers are faster than arrays.
+FEW_PAIRS = 100
+
+
 @dataclass
 class Trail:
     """State of one track: its box, velocity, hits and misses."""
 
-    box: np.ndarray
-    velocity: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    box: Box
+    velocity: Box = (0.0, 0.0, 0.0, 0.0)
     hits: int = 1
     misses: int = 0
 
@@ -61,55 +68,76 @@ class Tracker:
     trails: dict[int, Trail] = field(default_factory=dict)
     next_id: int = 0
 
-    def step(self, boxes: np.ndarray) -> list[tuple[int, bool]]:
-        """(track id, confirmed) of each box (n, 4) of the next frame."""
-        ids = list(self.trails)
-        ahead = np.array([self.trails[i].box + self.trails[i].velocity for i in ids]).reshape(-1, 4)
+    def step(self, boxes: Sequence[Sequence[float]]) -> list[tuple[int, bool]]:
+        """(track id, confirmed) of each box of the next frame."""
+        ids, new = list(self.trails), [tuple(map(float, b)) for b in boxes]
+        ahead = [tuple(b + v for b, v in zip(t.box, t.velocity, strict=True)) for t in self.trails.values()]
         pairs: dict[int, int] = {}
-        if ids and len(boxes):
-            self._pick(_overlaps(ahead, boxes), self.min_iou, True, pairs)
-            self._pick(_nearness(ahead, boxes, self.reach), 0.0, False, pairs)
-        out: list[tuple[int, bool]] = [(-1, False)] * len(boxes)
-        for t, d in pairs.items():
-            trail = self.trails[ids[t]]
-            trail.velocity = self.smoothing * (boxes[d] - trail.box) + (1 - self.smoothing) * trail.velocity
-            trail.box, trail.hits, trail.misses = boxes[d], trail.hits + 1, 0
-            out[d] = (ids[t], trail.hits >= self.min_hits)
+        if ids and new:
+            for found in self._scored(ahead, new):
+                taken = set(pairs.values())
+                for _, t, d in sorted(found):
+                    if t not in pairs and d not in taken:
+                        pairs[t] = d
+                        taken.add(d)
+                if len(pairs) == min(len(ids), len(new)):
+                    break
+        out: list[tuple[int, bool]] = [(-1, False)] * len(new)
+        s, decay = self.smoothing, self.decay
         for t, i in enumerate(ids):
-            if t not in pairs:
-                trail = self.trails[i]
-                trail.box, trail.velocity, trail.misses = ahead[t], trail.velocity * self.decay, trail.misses + 1
+            trail = self.trails[i]
+            if t in pairs:
+                d = pairs[t]
+                trail.velocity = tuple(s * (n - b) + (1 - s) * v for n, b, v in zip(new[d], trail.box, trail.velocity, strict=True))
+                trail.box, trail.hits, trail.misses = new[d], trail.hits + 1, 0
+                out[d] = (i, trail.hits >= self.min_hits)
+            else:
+                trail.box, trail.velocity, trail.misses = ahead[t], tuple(v * decay for v in trail.velocity), trail.misses + 1
                 if trail.misses > self.max_age:
                     del self.trails[i]
-        for d in range(len(boxes)):
+        for d, box in enumerate(new):
             if out[d][0] < 0:
-                self.trails[self.next_id] = Trail(boxes[d])
+                self.trails[self.next_id] = Trail(box)
                 out[d] = (self.next_id, self.min_hits <= 1)
                 self.next_id += 1
         return out
 
-    @staticmethod
-    def _pick(score: np.ndarray, least: float, inclusive: bool, pairs: dict[int, int]) -> None:
-        """Largest scores first, each row and column once; ties go to earlier tracks, then earlier boxes."""
-        free = score.copy()
-        free[list(pairs)] = -1
-        free[:, list(pairs.values())] = -1
-        for flat in np.argsort(-free, axis=None, kind="stable"):
-            t, d = divmod(int(flat), score.shape[1])
-            if free[t, d] < least or (not inclusive and free[t, d] <= least):
-                return
-            if t not in pairs and d not in pairs.values():
-                pairs[t] = d
+    def _scored(self, ahead: list[Box], new: list[Box]) -> Iterator[list[tuple[float, int, int]]]:
+        """For each pass the pairs that may link, as (-score, track, box): the best come first, ties go to earlier tracks, then to earlier boxes."""
+        if len(ahead) * len(new) <= FEW_PAIRS:
+            every = [(t, d, a, b) for t, a in enumerate(ahead) for d, b in enumerate(new)]
+            yield [(-v, t, d) for t, d, a, b in every if (v := _overlap(a, b)) >= self.min_iou]
+            yield [(-v, t, d) for t, d, a, b in every if (v := _near(a, b, self.reach)) > 0]
+            return
+        a, b = np.array(ahead), np.array(new)
+        for score, allowed in ((_overlaps(a, b), lambda v: v >= self.min_iou), (_nearness(a, b, self.reach), lambda v: v > 0)):
+            t, d = np.nonzero(allowed(score))
+            yield list(zip((-score[t, d]).tolist(), t.tolist(), d.tolist(), strict=True))
 
     def dump(self) -> tuple[int, list[tuple[int, list[float], list[float], int, int]]]:
-        return self.next_id, [(i, t.box.tolist(), t.velocity.tolist(), t.hits, t.misses) for i, t in self.trails.items()]
+        return self.next_id, [(i, list(t.box), list(t.velocity), t.hits, t.misses) for i, t in self.trails.items()]
 
     def load(self, next_id: int, trails: list[tuple[int, list[float], list[float], int, int]]) -> Tracker:
         self.next_id = next_id
-        self.trails = {i: Trail(np.array(b), np.array(v), h, m) for i, b, v, h, m in trails}
+        self.trails = {i: Trail(tuple(b), tuple(v), h, m) for i, b, v, h, m in trails}
         return self
 
 
+def _overlap(a: Box, b: Box) -> float:
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    inter = w * h if w > 0 and h > 0 else 0.0
+    size = lambda x: max(0.0, x[2] - x[0]) * max(0.0, x[3] - x[1])
+    union = size(a) + size(b) - inter
+    return inter / union if union > 0 else 0.0
+
+
+def _near(a: Box, b: Box, reach: float) -> float:
+    long = lambda x: math.sqrt(max(0.0, x[2] - x[0]) ** 2 + max(0.0, x[3] - x[1]) ** 2)
+    scale = (long(a) + long(b)) / 2
+    dx, dy = (a[0] + a[2]) / 2 - (b[0] + b[2]) / 2, (a[1] + a[3]) / 2 - (b[1] + b[3]) / 2
+    return max(0.0, 1 - math.sqrt(dx * dx + dy * dy) / scale / reach) if scale > 0 else 0.0
+
+
 def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
     inter = np.prod(np.maximum(0, high - low), axis=2)
@@ -162,30 +190,36 @@ def track_long_clips(detections: DataFrame, tracker: Tracker | None = None, min_
 
 
 def _tracked(detections: DataFrame, keys: list[str], settings: Tracker, min_conf: float) -> DataFrame:
-    kind = detections.schema
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kind.fields), "track_id bigint", "confirmed boolean"])
+    """Rows with track_id and confirmed, whole keys at a time; a frame without boxes is a miss."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in detections.schema.fields), "track_id bigint", "confirmed boolean"])
+    corner = [F.col(f"bbox.{c}").cast("double").alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")]
+    usable = (F.col("bbox").isNotNull() & (F.col("mean_conf") >= min_conf)).alias("_usable")
+    rows = detections.select(*detections.columns, *corner, F.coalesce(usable, F.lit(False)).alias("_usable"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([FRAME, "det_id"], ignore_index=True)
-        own = Tracker(settings.min_iou, settings.reach, settings.max_age, settings.min_hits, settings.smoothing, settings.decay)
+    def run(pdf: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
         ids, sure = np.full(len(pdf), -1), np.zeros(len(pdf), bool)
-        ok = (pdf["bbox"].notna() & (pdf["mean_conf"] >= min_conf)).to_numpy()
-        every = np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] if b is not None else [0.0] * 4 for b in pdf["bbox"]], dtype=float).reshape(-1, 4)
-        frames, begins = np.unique(pdf[FRAME].to_numpy(), return_index=True)
-        last = None
-        for frame, a, b in zip(frames.tolist(), begins, np.append(begins[1:], len(pdf)), strict=True):
-            if last is not None:
-                for _ in range(min(frame - last - 1, own.max_age + 1)):
-                    own.step(np.zeros((0, 4)))
-            at = a + np.flatnonzero(ok[a:b])
-            for i, (track, confirmed) in zip(at, own.step(every[at]), strict=True):
-                ids[i], sure[i] = track, confirmed
-            last = frame
-        pdf["track_id"] = pd.Series(ids, dtype="Int64").where(ids >= 0)
-        pdf["confirmed"] = sure
-        return pdf
-
-    return detections.groupBy(*keys).applyInPandas(run, schema)
+        boxes, ok = pdf[["_x1", "_y1", "_x2", "_y2"]].to_numpy(dtype=float).tolist(), pdf["_usable"].tolist()
+        frames, turn = pdf[FRAME].tolist(), pdf["det_id"].tolist()
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            own, last, i = Tracker(settings.min_iou, settings.reach, settings.max_age, settings.min_hits, settings.smoothing, settings.decay), None, a
+            while i < b:
+                frame, at = frames[i], []
+                while i < b and frames[i] == frame:
+                    if ok[i]:
+                        at.append(i)
+                    i += 1
+                at.sort(key=turn.__getitem__)
+                for _ in range(min(frame - last - 1, own.max_age + 1) if last is not None else 0):
+                    own.step([])
+                for k, (track, confirmed) in zip(at, own.step([boxes[k] for k in at]), strict=True):
+                    ids[k], sure[k] = track, confirmed
+                last = frame
+        out = pdf.drop(columns=["_x1", "_y1", "_x2", "_y2", "_usable"])
+        out["track_id"] = pd.Series(ids, index=out.index, dtype="Int64").where(ids >= 0)
+        out["confirmed"] = sure
+        return out
+
+    return series.by_key(rows, keys, FRAME, run, schema)
 
 
 def tall_boxes(detections: DataFrame, frame_height: Column | float, least: float = 0.05) -> DataFrame:

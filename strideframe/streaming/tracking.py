@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -108,8 +107,8 @@ class ClipProcessor(StatefulProcessor):
         for frame in sorted(frames):
             boxes = sorted(frames[frame])
             for _ in range(min(frame - last - 1, own.max_age + 1) if last is not None else 0):
-                own.step(np.zeros((0, 4)))
-            found = own.step(np.array([b for _, b in boxes]).reshape(-1, 4))
+                own.step([])
+            found = own.step([b for _, b in boxes])
             out += [(clip, frame, det, track, sure) for (det, _), (track, sure) in zip(boxes, found, strict=True)]
             last = frame
         next_id, trails = own.dump()

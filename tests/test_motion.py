@@ -77,6 +77,20 @@ def test_tracker_links(frames, want):
     assert all(f == found[0] for f in found) or len(frames) == 2
 
 
+def test_few_and_many_pairs_link_alike(monkeypatch):
+    rng = np.random.default_rng(3)
+    frames = []
+    for _ in range(60):
+        at = rng.uniform(0, 900, (rng.integers(0, 14), 2)).round(-1)
+        frames.append(np.hstack([at, at + rng.integers(20, 200, at.shape)]))
+    found = []
+    for few in (0, 10_000):
+        monkeypatch.setattr(tracks, "FEW_PAIRS", few)
+        tracker = tracks.Tracker(max_age=4)
+        found.append([tracker.step(f) for f in frames])
+    assert found[0] == found[1] and max(t for f in found[0] for t, _ in f) > 30
+
+
 def test_tracker_forgets_after_max_age():
     tracker = tracks.Tracker(max_age=3)
     tracker.step(boxes([[0, 0, 10, 10]])[0])
@@ -272,6 +286,38 @@ def test_phases_of_many_dives_of_a_long_track(spark):
         assert out[start + 10].set_frame == begin + int(np.argmin(plain[begin:start])) + 10
 
 
+def test_many_dives_cost_little_more_than_few():
+    """What a dive asks of the rows before it: 10,000 dives of a track of 200,000 rows within twice the time of 100."""
+    import time
+
+    n, took = 200_000, {}
+    for dives_each in (100, 10_000):
+        gap = n // dives_each
+        v = np.where(np.arange(n) % gap >= gap - 6, 3.0, 0.5 + np.arange(n) % 7 / 100)
+        ones = np.ones(n)
+        began = time.perf_counter()
+        out = dives.track_dives(60 * ones, 300 * ones, v, 0 * ones, 40 * ones, 0.3 * ones, 0.3 * ones, np.where(np.arange(n) % gap >= gap - 2, 0.2, 1.0), 0.9 * ones, np.arange(n), 1.2, 4, 25.0)
+        took[dives_each] = time.perf_counter() - began
+        assert len(out) == dives_each and all(r[-1] == r[2] + 4 and r[-2] == r[2] for r in out[:50])
+    assert took[10_000] < 2 * took[100] + 0.5
+
+
+def test_running_medians_are_medians():
+    rng, seen = np.random.default_rng(1), dives.RunningMedian()
+    assert np.isnan(seen.value())
+    values = rng.integers(0, 20, 300) / 4
+    for k, v in enumerate(values, 1):
+        seen.add(float(v))
+        assert seen.value() == np.median(values[:k])
+
+
+def test_dives_read_their_signals_once(spark, sf):
+    rows = feat.pose_features(adapters.dive_tracks(spark, sf))
+    plan = dives.detect_dives(dives.dive_signals(rows, adapters.dive_clips(spark, sf)))._jdf.queryExecution().toString()
+    plan = plan[plan.index("== Physical Plan ==") :]
+    assert plan.count("Generate explode") == 1 and plan.count("FileScan") == 2  # the tracks and the clips
+
+
 def test_kicks_read_their_whole_tail_at_high_frame_rates(spark):
     """1000 frames a second: 50 rows count behind a peak, not 32."""
     from strideframe.operators import events
