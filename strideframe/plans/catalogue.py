@@ -567,6 +567,55 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("clip_id", F.substring_index(F.substring_index("text", "\nWarnings", 1), "\nGoalkeeper:", 1).alias("text"))
 
 
+@query
+def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds of each clip's last frame: by its own stamp where the container has one, else by its number."""
+    c = adapters.clips(spark, sf_dir)
+    stamp = F.when(F.col("clip_id") % 3 > 0, F.col("frame_count") * 1001)
+    return c.select("clip_id", clips.frame_time(stamp, F.lit(1 / 30000), F.col("frame_count") - 1, F.col("fps")).alias("time_s"))
+
+
+@query
+def parse_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points written as text; what is not two numbers is none."""
+    p, k = adapters.table(spark, sf_dir, "part"), F.col("p_partkey")
+    text = F.when(k % 4 == 0, F.concat_ws(",", k, "p_size")).when(k % 4 == 1, F.concat(F.lit(" "), k, F.lit(".5 ,  "), "p_size", F.lit(" "))).when(k % 4 == 2, F.col("p_name")).otherwise(F.concat_ws(",", k, k, k))
+    point = readers.parse_point(text)
+    return p.select("p_partkey", point[0].alias("x"), point[1].alias("y"))
+
+
+@query
+def clean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Goals of which some values are NaN or infinite."""
+    k, odd = F.col("p_partkey"), lambda v, bad: F.when(F.col("p_partkey") % 5 == bad[0], F.lit(float(bad[1]))).otherwise(v)
+    rows = adapters.table(spark, sf_dir, "part").select(k.alias("clip_id"), *[odd((k + i).cast("double"), bad).alias(c) for i, (c, bad) in enumerate({"lx": (0, "nan"), "ly": (1, "inf"), "rx": (2, "-inf"), "ry": (0, "inf"), "crossbar_y": (4, "nan")}.items())])
+    return readers.clean(rows)
+
+
+@query
+def untracked_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections without a track have no features."""
+    p = adapters.poses(spark, sf_dir).withColumn("track_id", F.when(F.col("det_id") % 3 > 0, F.col("track_id")))
+    return feat.pose_features(p).groupBy("track_id").agg(F.count("*").alias("n"), F.count("com_x").alias("placed"))
+
+
+@query
+def set_position_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set position between two frames, both included."""
+    return stance.set_positions(features(spark, sf_dir), (10, 30)).select("track_id", FRAME, "cost")
+
+
+@query
+def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips that were clicked exactly have no error; those with three points have no calibration."""
+    known = calibration.located(clicks(spark, sf_dir), calibration.landmarks(spark)).withColumn("hi", g.inverse([F.lit(v) for v in H]))
+    first = F.row_number().over(Window.partitionBy("clip_id").orderBy("landmark"))
+    known = known.withColumn("j", first).where("clip_id % 2 = 0 or j <= 3")
+    image = g.project([F.get("hi", F.lit(i)) for i in range(9)], g.columns("pitch_x", "pitch_y"))
+    fitted = calibration.fit(known.select("clip_id", image.x.alias("image_x"), image.y.alias("image_y"), "pitch_x", "pitch_y"))
+    return fitted.select("clip_id", F.abs("reproj_err_px").alias("reproj_err_px"), "n_points", "reliable")
+
+
 @query
 def display_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.with_display(adapters.clips(spark, sf_dir)).select("clip_id", "display_width", "display_height", "is_portrait", "is_high_speed")

@@ -341,8 +341,17 @@ SQL["session_low_pass"] = f"""WITH RECURSIVE gaps AS (SELECT user_id, ts, value
 SQL["run_summary"] = f"""WITH {DIVES}, k AS (SELECT clip_id, count(*) AS dives FROM p GROUP BY clip_id)
   SELECT s_suppkey::BIGINT AS clip_id, 'Clip       : ' || s_suppkey || chr(10) || 'Resolution : 1280x720  (landscape)' || chr(10) || 'Frame rate : 60.00 fps' || chr(10) || 'Frames     : 120 processed' || chr(10) || 'People     : 1 track(s)' || chr(10) || 'Dives      : ' || coalesce(dives, 0) AS text FROM supplier LEFT JOIN k ON clip_id = s_suppkey"""
 
+SQL["parse_points"] = f"SELECT p_partkey, {r('CASE p_partkey % 4 WHEN 0 THEN p_partkey WHEN 1 THEN p_partkey + 0.5e0 END', 'x')}, {r('CASE WHEN p_partkey % 4 < 2 THEN p_size END', 'y')} FROM part"
+SQL["clean_values"] = "SELECT p_partkey AS clip_id, " + ", ".join(f"CASE WHEN p_partkey % 5 <> {bad} THEN (p_partkey + {i})::DOUBLE END AS {c}" for i, (c, bad) in enumerate({"lx": 0, "ly": 1, "rx": 2, "ry": 0, "crossbar_y": 4}.items())) + " FROM part"
+simple("untracked_skipped", "track_id, count(*) AS n, count(com_x) AS placed", where="WHERE det_id % 3 > 0 GROUP BY track_id")
+SQL["set_position_window"] = f"""WITH {BASE}, usable AS (SELECT * FROM features WHERE com_x IS NOT NULL AND height_px > 0 AND frame_index BETWEEN 10 AND 30), {PATH},
+  a AS (SELECT track_id, frame_index, step_px / reference_px AS step, com_y / reference_px AS depth, row_number() OVER {_T} - 1 AS i, count(*) OVER (PARTITION BY track_id) AS n FROM path JOIN ref USING (track_id)), c AS (SELECT *, step - 0.05e0 * (depth - avg(depth) OVER (PARTITION BY track_id)) AS cost FROM a WHERE n >= 3)
+  SELECT track_id, frame_index, {r('cost', 'cost')} FROM c QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY cost, i) = 1"""
+SQL["calibration_error"] = "SELECT s_suppkey::BIGINT AS clip_id, CASE WHEN s_suppkey % 2 = 0 THEN 0.0e0 END AS reproj_err_px, CASE WHEN s_suppkey % 2 = 0 THEN 6 ELSE 3 END::BIGINT AS n_points, s_suppkey % 2 = 0 AS reliable FROM supplier"
+
 # Clips.
 _CLIP = "clip AS (SELECT p_partkey::BIGINT AS clip_id, CASE p_partkey % 3 WHEN 0 THEN 3840 WHEN 1 THEN 1920 ELSE 1280 END AS width, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 1600 ELSE 2160 END WHEN 1 THEN 1080 ELSE 720 END AS height, CASE p_partkey % 5 WHEN 0 THEN 120.0e0 WHEN 1 THEN 24.0e0 WHEN 2 THEN 60.0e0 ELSE 30.0e0 END AS fps, (p_size * 60)::BIGINT AS frame_count, (p_partkey % 4 * 90)::INT AS rotation, CASE WHEN p_partkey % 7 < 3 THEN 'HEVC' ELSE 'h264' END AS codec, (p_size * 4)::DOUBLE AS duration_s FROM part)"
+simple("frame_times", f"clip_id, {r('CASE WHEN clip_id % 3 > 0 THEN frame_count * 1001 / 30000.0e0 ELSE (frame_count - 1) / fps END', 'time_s')}", "clip", _CLIP)
 _DEVICE = "CASE WHEN codec = 'HEVC' AND greatest(width, height) / least(width, height)::DOUBLE > 1.9 THEN 'action_cam' WHEN codec = 'HEVC' THEN 'iphone_recent' WHEN greatest(width, height) >= 3000 THEN 'android_flagship' WHEN fps <= 30.5 AND greatest(width, height) <= 1920 THEN 'android_midrange' ELSE 'generic' END"
 _SHOWN = "shown AS (SELECT *, CASE WHEN rotation IN (90, 270) THEN height ELSE width END AS display_width, CASE WHEN rotation IN (90, 270) THEN width ELSE height END AS display_height, fps >= 100 AS is_high_speed FROM clip)"
 simple("display_size", "clip_id, display_width, display_height, display_height > display_width AS is_portrait, is_high_speed", "shown", f"{_CLIP}, {_SHOWN}")
