@@ -18,11 +18,14 @@ from strideframe.schema import FRAME, TRACK
 SPEED, MIN_ROWS, LEAN, CUTOFF, FOOT_LIFT, QUIET = 1.2, 4, 25.0, 8.0, 0.04, 1.5
 
 
-def dive_signals(features: DataFrame, clips: DataFrame, cutoff_hz: float | None = CUTOFF) -> DataFrame:
-    """Series that dives are found in: one row per usable frame of tracks with five or more."""
-    rows = usable_columns(features, "lean_deg", "midhip_y", "min_wrist_y", "ankle_y", "mean_conf").withColumn("raw_com_y", F.col("com_y")).join(clips.select("clip_id", "fps"), "clip_id")
+def dive_signals(features: DataFrame, clips: DataFrame, cutoff_hz: float | None = CUTOFF, even_time: bool = False) -> DataFrame:
+    """Series that dives are found in: one row per usable frame of tracks with five or more.
+
+    even_time: the low-pass goes by the clock, over gaps and at the rate that the clips' ``frame_stride`` leaves.
+    """
+    rows = usable_columns(features, "lean_deg", "midhip_y", "min_wrist_y", "ankle_y", "mean_conf").withColumn("raw_com_y", F.col("com_y")).join(series.rates(clips), "clip_id")
     whole, w = Window.partitionBy(*TRACK), series.over(TRACK, FRAME)
-    path = series.filtered(rows, TRACK, FRAME, ["com_x", "com_y"], F.col("fps"), cutoff_hz)
+    path = series.smoothed(rows, TRACK, FRAME, ["com_x", "com_y"], cutoff_hz, even_time)
     path = path.withColumns({"n": F.count("*").over(whole), "i": series.number(TRACK, FRAME), "reference_px": F.expr("percentile(height_px, 0.5)").over(whole), "time_s": F.col(FRAME) / F.col("fps")}).where("n >= 5")
     speed = {a: series.gradient(F.col(f"com_{a}"), F.col("time_s"), w) / F.col("reference_px") for a in "xy"}
     return path.withColumns({"vx": speed["x"], "vy": speed["y"]}).withColumns({

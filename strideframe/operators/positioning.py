@@ -23,13 +23,13 @@ def offsets(rows: DataFrame, goals: DataFrame, x: str = "com_x", y: str = "com_y
     return out.withColumns({"px_per_m": goal.px_per_m, "lateral_m": goal.lateral_m(p), "depth_m": goal.depth_m(p), "coverage": goal.coverage(p), "in_area": goal.in_area(p), "in_mouth": goal.in_mouth(p)})
 
 
-def positioning(features: DataFrame, goals: DataFrame, clips: DataFrame, cutoff_hz: float | None = 6.0, size: tuple[float, float] = g.REGULAR) -> DataFrame:
+def positioning(features: DataFrame, goals: DataFrame, clips: DataFrame, cutoff_hz: float | None = 6.0, size: tuple[float, float] = g.REGULAR, even_time: bool = False) -> DataFrame:
     """One row per track: frames, distance, peak speed and, with a goal, depth, coverage and time in the area.
 
-    Tracks with fewer than two usable rows have counts only.
+    Tracks with fewer than two usable rows have counts only. even_time: the low-pass goes by the clock (``series.filtered_in_time``).
     """
-    rows = usable_columns(features).join(clips.select("clip_id", "fps"), "clip_id")
-    path = series.filtered(rows, TRACK, FRAME, ["com_x", "com_y"], F.col("fps"), cutoff_hz)
+    rows = usable_columns(features).join(series.rates(clips), "clip_id")
+    path = series.smoothed(rows, TRACK, FRAME, ["com_x", "com_y"], cutoff_hz, even_time)
     w = series.over(TRACK, FRAME)
     ref = F.expr("percentile(height_px, 0.5)").over(Window.partitionBy(*TRACK))
     path = path.withColumn("reference_px", ref).withColumns({"step_px": series.step_length(F.col("com_x"), F.col("com_y"), w), "speed": F.hypot(*[series.uniform_gradient(F.col(c), 1.0, w) for c in ("com_x", "com_y")]) * F.col("fps") / F.col("reference_px")})

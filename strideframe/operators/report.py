@@ -16,7 +16,7 @@ from strideframe.schema import FRAME, TRACK
 from strideframe.sources.store import stored
 
 
-def goalkeeper_report(features: DataFrame, clips: DataFrame, goals: DataFrame, shots: DataFrame | None = None, cutoff_hz: float | None = 6.0, size: tuple[float, float] = g.REGULAR, dive_cutoff_hz: float | None = -1.0, kept: bool = False) -> DataFrame:
+def goalkeeper_report(features: DataFrame, clips: DataFrame, goals: DataFrame, shots: DataFrame | None = None, cutoff_hz: float | None = 6.0, size: tuple[float, float] = g.REGULAR, dive_cutoff_hz: float | None = -1.0, kept: bool = False, even_time: bool = False) -> DataFrame:
     """One row per track of features: measures, nested dives and warnings.
 
     Dives move faster, so their cutoff is 2 Hz above the other unless ``dive_cutoff_hz`` says what it is.
@@ -25,8 +25,8 @@ def goalkeeper_report(features: DataFrame, clips: DataFrame, goals: DataFrame, s
     if not kept:
         features = stored(features.drop("kp"), "features")
     faster = (cutoff_hz or 6.0) + 2.0 if dive_cutoff_hz == -1.0 else dive_cutoff_hz
-    dives = dv.detect_dives(dv.dive_signals(features, clips, faster), goals, shots, size=size)
-    where = pos.positioning(features, goals, clips, cutoff_hz, size)
+    dives = dv.detect_dives(dv.dive_signals(features, clips, faster, even_time), goals, shots, size=size)
+    where = pos.positioning(features, goals, clips, cutoff_hz, size, even_time)
     ready = st.set_positions(features).select(*TRACK, FRAME)
     stance = st.with_flags(st.stance(features).join(ready, [*TRACK, FRAME])).select(*TRACK, F.struct(F.col(FRAME), "stance_width_ratio", "mean_knee_deg", "trunk_lean_deg", "trunk_flexion_deg", "hand_height_ratio", "com_height_ratio", "is_valid", "flags").alias("set_position"))
     listed = dives.groupBy(*TRACK).agg(F.array_sort(F.collect_list(F.struct("start_frame", "end_frame", "peak_frame", "direction", "height", "peak_speed_bh_s", "lateral_bh", "lateral_m", "max_lean_deg", "reaction_time_s", "confidence", "notes"))).alias("dives"))

@@ -215,3 +215,33 @@ def filtered(rows: DataFrame, keys: list[str], order: str, values: list[str], fp
         return out
 
     return by_key(narrow, keys, order, run, rows.schema)
+
+
+def filtered_in_time(rows: DataFrame, keys: list[str], order: str, values: list[str], fps: str, cutoff_hz: float | None, stride: str | None = None) -> DataFrame:
+    """``filtered`` by the clock instead of by rows: a step of the filter is a step of the order.
+
+    Absent steps between the first and the last row of a key are filled along
+    the line between their neighbours while the filter runs and are absent again
+    afterwards. fps names the column with the steps per second; where rows come
+    only every so many steps, the column ``stride`` says how many, and the filter
+    runs at that rate. Rows off that grid are steps of their own.
+    """
+    if cutoff_hz is None:
+        return rows
+    every = F.lit(1) if stride is None else F.first(stride)
+    span = rows.groupBy(*keys).agg(F.min(order).alias("_a"), F.max(order).alias("_b"), every.cast("bigint").alias("_every"), (F.first(fps) / every).alias("_rate"))
+    steps = span.select(*keys, "_rate", F.explode(F.expr("sequence(_a, _b, _every)")).alias(order))
+    dense = steps.join(rows.withColumn("_here", F.lit(True)), [*keys, order], "full")
+    out = filtered(dense, keys, order, values, F.col("_rate"), cutoff_hz)
+    return out.where("_here").select(*rows.columns)
+
+
+def rates(clips: DataFrame) -> DataFrame:
+    """clip_id, fps and the stride of the clip's frames (1 where the clips do not say)."""
+    return clips.select("clip_id", "fps", (F.col("frame_stride") if "frame_stride" in clips.columns else F.lit(1)).alias("frame_stride"))
+
+
+def smoothed(rows: DataFrame, keys: list[str], order: str, values: list[str], cutoff_hz: float | None, even_time: bool) -> DataFrame:
+    """rows (with fps and frame_stride) low-passed by rows or by the clock; the stride has done its duty."""
+    done = filtered_in_time(rows, keys, order, values, "fps", cutoff_hz, "frame_stride") if even_time else filtered(rows, keys, order, values, F.col("fps"), cutoff_hz)
+    return done.drop("frame_stride")

@@ -67,6 +67,8 @@ class Analysis:
     filter_order: int = 4
     kinematics: bool = True
     events: bool = True
+    #: Of this engine: the low-pass goes by the clock, over gaps and strides, instead of by rows.
+    even_time: bool = False
 
 
 @dataclass

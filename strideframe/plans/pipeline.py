@@ -130,6 +130,8 @@ def keeper(out: Result, clip_rows: DataFrame, config: Config, shots: DataFrame |
     own = out.features.join(out.keepers.select(*TRACK), TRACK, "left_semi")
     none = clip_rows.select("clip_id", *[F.lit(None).cast("double").alias(n) for n in ("lx", "ly", "rx", "ry", "crossbar_y")])
     cutoff = config.analysis.filter_cutoff_hz
-    signals = dives.dive_signals(own, clip_rows, (cutoff or 6.0) + 2.0)
+    even = config.analysis.even_time
+    rated = out.clips if even else clip_rows
+    signals = dives.dive_signals(own, rated, (cutoff or 6.0) + 2.0, even)
     out.dives = dives.detect_dives(signals, goals, shots, gk.dive_speed_threshold, gk.min_dive_frames, gk.dive_lean_threshold_deg, size)
-    out.report = report.goalkeeper_report(own, clip_rows, none if goals is None else goals, shots, cutoff, size, kept=True)
+    out.report = report.goalkeeper_report(own, rated, none if goals is None else goals, shots, cutoff, size, kept=True, even_time=even)

@@ -368,6 +368,23 @@ def test_low_pass_over_groups(spark):
     assert np.allclose(out["v"][:30], signal.low_pass(pdf[["v"]].to_numpy()[:30], 60, 6)[:, 0]) and np.allclose(out["v"][30:], pdf["v"][30:])
 
 
+def test_low_pass_by_the_clock_sees_gaps_and_strides(spark):
+    """Rows of every frame, filtered, are what the rows that are left give when every second one or a stretch is absent."""
+    t = np.arange(400)
+    wave = 100 * np.sin(t / 25)  # slow beside the cutoff
+    rows = [(k, int(i), float(wave[i] + (8 if i % 4 < 2 else -8)), 60.0, 2 if k == "strided" else 1) for k in ("whole", "strided", "gap") for i in t if not (k == "strided" and i % 2) and not (k == "gap" and 150 <= i < 180)]
+    d = spark.createDataFrame(rows, "k string, i long, v double, fps double, frame_stride int")
+    out = {(r.k, r.i): r.v for r in series.filtered_in_time(d, ["k"], "i", ["v"], "fps", 5.0, "frame_stride").collect()}
+    assert len(out) == len(rows)
+    inner = [i for i in range(40, 360) if i % 2 == 0 and not 110 <= i < 220]
+    by_rows = {(r.k, r.i): r.v for r in series.filtered(d, ["k"], "i", ["v"], F.col("fps"), 5.0).collect()}
+    assert all(out["whole", i] == by_rows["whole", i] for i in range(400))
+    assert max(abs(out["gap", i] - out["whole", i]) for i in inner) < 0.5
+    assert max(abs(out["strided", i] - wave[i]) for i in inner) < 2 * max(abs(out["whole", i] - wave[i]) for i in inner) + 1
+    expect = signal.low_pass(np.array([[wave[i] + (8 if i % 4 < 2 else -8)] for i in t[::2]]), 30.0, 5.0)[:, 0]
+    assert np.allclose([out["strided", i] for i in t[::2].tolist()], expect)
+
+
 def test_marker_text_and_formats(spark, sf, tmp_path):
     rows = adapters.poses3d(spark, sf).where("vec_id < 20")
     sinks.write_trc(rows, str(tmp_path / "trc"), "vec_id", 60.0)
