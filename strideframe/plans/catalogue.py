@@ -476,7 +476,7 @@ def kicks_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def goalkeeper_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = dive_features(spark, sf_dir)
     out = report.goalkeeper_report(f, adapters.dive_clips(spark, sf_dir), adapters.fixed_goals(adapters.dive_clips(spark, sf_dir)))
-    return out.select("clip_id", "track_id", "n", "duration_s", "dive_count", "median_depth_m", "mouth", F.concat_ws(",", "warnings").alias("warnings"), report.summary_line().alias("summary"))
+    return out.select("clip_id", "track_id", "n", "duration_s", F.col("dive_count").cast("bigint").alias("dive_count"), "median_depth_m", "mouth", F.concat_ws(",", "warnings").alias("warnings"), report.summary_line().alias("summary"))
 
 
 @query

@@ -282,6 +282,13 @@ _SMOOTH = low_passed("smooth", "raw", "clip_id", "frame_index", ["com_x", "com_y
 #: The dives of the filtered path; heights of the centre of mass stay those of the raw one.
 DIVES_FILTERED = DIVES.replace(USABLE, f"{USABLE.replace('usable AS (SELECT *', 'raw AS (SELECT *, com_y AS raw_com_y')}, {_SMOOTH}, usable AS (SELECT * FROM smooth)").replace("(ankle_y - com_y) / reference_px AS com_h_bh", "(ankle_y - raw_com_y) / reference_px AS com_h_bh")
 SQL["dives_filtered"] = f"WITH RECURSIVE {DIVES_FILTERED} SELECT clip_id, start_frame, end_frame, peak_frame, {r('peak_speed_bh_s', 'peak_speed_bh_s')}, {r('lateral_bh', 'lateral_bh')}, direction, height FROM p"
+# Every joint of these keepers is sure, so their set positions are valid; there are no shots, and the posts and the bar agree.
+SQL["goalkeeper_report"] = f"""WITH RECURSIVE {DIVES_FILTERED}, {low_passed('calm', 'raw', 'clip_id', 'frame_index', ['com_x', 'com_y'], 60.0, 6.0)},
+  pos AS (SELECT clip_id, count(*) AS frames, median(depth_m) AS dm, median(coverage) AS cm FROM (SELECT clip_id, {GOAL} FROM calm) GROUP BY clip_id), span AS (SELECT clip_id, count(*) AS n, max(frame_index) - min(frame_index) + 1 AS wide FROM features GROUP BY clip_id), counted AS (SELECT clip_id, count(*) AS k FROM p GROUP BY clip_id),
+  rows_ AS (SELECT *, coalesce(k, 0) AS dives, CASE WHEN cm < 0.35 THEN 'left' WHEN cm > 0.65 THEN 'right' ELSE 'central' END AS mouth FROM span LEFT JOIN pos USING (clip_id) LEFT JOIN counted USING (clip_id))
+  SELECT clip_id, 0::BIGINT AS track_id, n, {r('n / 60.0e0', 'duration_s')}, dives AS dive_count, {r('dm', 'median_depth_m')}, mouth,
+    concat_ws(',', 'scale_holds_at_line', CASE WHEN dives > 0 THEN 'no_shot_times' END, CASE WHEN n < 0.8 * wide THEN 'gaps' END, CASE WHEN frames < 15 THEN 'few_frames' END, CASE WHEN abs(cm - 0.5) * 7.32e0 > 1.5 THEN 'off_centre' END) AS warnings,
+    'track 0 | ' || n || ' frames | ' || dives || ' dives | ' || printf('%.2f', dm) || ' m off the line | ' || mouth AS summary FROM rows_"""
 SQL["kicks_filtered"] = SQL["kicks_raw"].replace("n >= 8)", "n >= 8)", 1).replace("FROM series WHERE n >= 8), spd", "FROM steady), spd").replace(", vel AS (", f", cut AS (SELECT * FROM series WHERE n >= 8), {low_passed('steady', 'cut', 'track_id, foot', 'frame_index', ['x', 'y'], 60.0, 12.0)}, vel AS (")
 SQL["kicks_filtered"] = f"SELECT track_id, frame_index, foot, peak_speed_bh_s FROM ({SQL['kicks_filtered']})"
 _LEANLESS = DIVES.replace("max(abs(lean_deg)) AS max_lean_deg", "max(CASE WHEN clip_id % 3 > 0 THEN abs(lean_deg) END) AS max_lean_deg").replace("coalesce(max(abs(lean_deg)), 90)", "coalesce(max(CASE WHEN clip_id % 3 > 0 THEN abs(lean_deg) END), 90)")
