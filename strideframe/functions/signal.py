@@ -1,7 +1,8 @@
-"""Kernels on one track's series: zero-phase low-pass, gap filling, homography fit."""
+"""Kernels on one track's series: zero-phase low-pass, gap filling, running median, homography fit."""
 
 from __future__ import annotations
 
+import heapq
 from itertools import combinations
 
 import numpy as np
@@ -112,3 +113,23 @@ def fit_robust_homography(image: np.ndarray, pitch: np.ndarray, limit_px: float,
         if kept is None or score > best:
             best, kept = score, near
     return (image, pitch) if kept is None or best[0] < 4 else (image[kept], pitch[kept])
+
+
+class RunningMedian:
+    """Median of the values so far: a heap of the lower half and one of the upper half."""
+
+    def __init__(self) -> None:
+        self.low: list[float] = []  # negated
+        self.high: list[float] = []
+
+    def add(self, value: float) -> None:
+        if len(self.low) > len(self.high):
+            heapq.heappush(self.high, -heapq.heappushpop(self.low, -value))
+        else:
+            heapq.heappush(self.low, -heapq.heappushpop(self.high, value))
+
+    def value(self) -> float:
+        """NaN if there was none."""
+        if len(self.low) > len(self.high):
+            return -self.low[0]
+        return (self.high[0] - self.low[0]) / 2 if self.low else float("nan")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import heapq
 
 import numpy as np
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions import geometry as g
+from strideframe.functions.signal import RunningMedian
 from strideframe.operators import series
 from strideframe.operators.features import usable_columns
 from strideframe.schema import FRAME, TRACK
@@ -109,26 +109,6 @@ def _known(of, values: np.ndarray) -> float | None:  # noqa: ANN001
     return float(of(values)) if len(values) else None
 
 
-class RunningMedian:
-    """Median of the values so far: a heap of the lower half and one of the upper half."""
-
-    def __init__(self) -> None:
-        self.low: list[float] = []  # negated
-        self.high: list[float] = []
-
-    def add(self, value: float) -> None:
-        if len(self.low) > len(self.high):
-            heapq.heappush(self.high, -heapq.heappushpop(self.low, -value))
-        else:
-            heapq.heappush(self.low, -heapq.heappushpop(self.high, value))
-
-    def value(self) -> float:
-        """NaN if there was none."""
-        if len(self.low) > len(self.high):
-            return -self.low[0]
-        return (self.high[0] - self.low[0]) / 2 if self.low else float("nan")
-
-
 class Before:
     """What a dive asks of the rows before it, each row read once.
 

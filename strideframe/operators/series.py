@@ -12,9 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from strideframe.functions.signal import low_pass
+from strideframe.functions.signal import RunningMedian, low_pass
 
 
 def over(keys: list[str], order: str) -> WindowSpec:
@@ -217,6 +217,26 @@ def filtered(rows: DataFrame, keys: list[str], order: str, values: list[str], fp
     return by_key(narrow, keys, order, run, rows.schema)
 
 
+def running_median(rows: DataFrame, keys: list[str], order: str, value: str, out: str, here: bool = True) -> DataFrame:
+    """rows with ``out``, the median of a key's known values up to each row (here: its own among them), in log n steps a row; NULL before the first."""
+
+    def run(pdf: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
+        values, found = pdf[value].to_numpy(dtype=float).tolist(), []
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            seen = RunningMedian()
+            for v in values[a:b]:
+                if not here:
+                    found.append(seen.value())
+                if v == v:
+                    seen.add(v)
+                if here:
+                    found.append(seen.value())
+        return pdf.assign(**{out: np.array(found, dtype=float)})
+
+    schema = StructType([*rows.schema.fields, StructField(out, DoubleType())])
+    return by_key(rows, keys, order, run, schema)
+
+
 def filtered_in_time(rows: DataFrame, keys: list[str], order: str, values: list[str], fps: str, cutoff_hz: float | None, stride: str | None = None) -> DataFrame:
     """``filtered`` by the clock instead of by rows: a step of the filter is a step of the order.
 

@@ -339,8 +339,14 @@ def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def prefix_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median of the values before each user's largest one."""
-    rows = moves(spark, sf_dir).withColumn("top", F.max_by("idx", F.struct("v", -F.col("idx"))).over(Window.partitionBy("user_id")))
-    return rows.groupBy("user_id").agg(F.first("top").alias("top"), F.median(F.when(F.col("idx") < F.col("top"), F.col("v"))).alias("baseline"))
+    rows = moves(spark, sf_dir).withColumn("top", F.max_by("idx", F.struct("v", -F.col("idx"))).over(Window.partitionBy("user_id"))).select("user_id", "idx", "v", "top")
+    return series.running_median(rows, KEY, "idx", "v", "baseline", here=False).where("idx = top").select("user_id", "top", "baseline")
+
+
+@query
+def running_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = moves(spark, sf_dir).select("user_id", "idx", F.when(F.col("event_type") != "error", F.col("v")).alias("v"))
+    return series.running_median(rows, KEY, "idx", "v", "median").select("user_id", "idx", "median")
 
 
 @query

@@ -194,6 +194,8 @@ SQL["refractory_events"] = f"""WITH RECURSIVE {SIGNAL}, e AS (SELECT user_id, id
 SQL["islands"] = f"""WITH {SIGNAL}, b AS (SELECT *, coalesce(v >= 30, FALSE) AS f, coalesce(lag(coalesce(v >= 30, FALSE)) OVER {_U}, FALSE) AS before FROM sig), i AS (SELECT *, sum((f AND NOT before)::INT) OVER (PARTITION BY user_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS island FROM b)
   SELECT user_id, island::BIGINT AS island, min(idx) AS start, max(idx) AS "end", count(*) AS n, arg_max(idx, v * 1e6 - idx) AS peak FROM i WHERE f GROUP BY user_id, island HAVING count(*) >= 2"""
 SQL["prefix_median"] = f"WITH {SIGNAL}, t AS (SELECT *, first_value(idx) OVER (PARTITION BY user_id ORDER BY v DESC NULLS LAST, idx) AS top FROM sig) SELECT user_id, any_value(top) AS top, {r('median(CASE WHEN idx < top THEN v END)', 'baseline')} FROM t GROUP BY user_id"
+_SO_FAR = "median(CASE WHEN event_type <> 'error' THEN v END) OVER (PARTITION BY user_id ORDER BY idx ROWS UNBOUNDED PRECEDING)"
+SQL["running_median"] = f"WITH {SIGNAL} SELECT user_id, idx, {r(_SO_FAR, 'median')} FROM sig"
 SQL["asof_reaction"] = f"WITH {SIGNAL}, e AS (SELECT user_id, event_id, t FROM sig WHERE event_type = 'error'), p AS (SELECT user_id, t AS shot FROM sig WHERE event_type = 'purchase') SELECT e.user_id, event_id, {r('t - shot', 'reaction_s', 3)} FROM e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.t >= p.shot"
 SQL["stride_trim"] = f"WITH {SIGNAL}, w AS (SELECT *, row_number() OVER {_U} - 1 AS n FROM sig WHERE idx >= 2 AND idx < 40) SELECT user_id, idx, {r('v', 'v')} FROM w WHERE n % 3 = 0"
 SQL["tumbling_summary"] = f"SELECT event_type, epoch_us(date_trunc('day', ts)) AS start_us, count(*) AS n, {r('avg(value)', 'mean_value')}, {r('max(value)', 'max_value')} FROM events GROUP BY event_type, date_trunc('day', ts)"

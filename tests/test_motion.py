@@ -303,7 +303,7 @@ def test_many_dives_cost_little_more_than_few():
 
 
 def test_running_medians_are_medians():
-    rng, seen = np.random.default_rng(1), dives.RunningMedian()
+    rng, seen = np.random.default_rng(1), signal.RunningMedian()
     assert np.isnan(seen.value())
     values = rng.integers(0, 20, 300) / 4
     for k, v in enumerate(values, 1):
