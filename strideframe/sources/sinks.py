@@ -54,10 +54,15 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error", b
     (out.partitionBy(*by) if by else out).save(path)
 
 
+def _six(value: Column) -> Column:
+    """A number with six digits, rounded by its exact binary value and ties to even, as printf does; format_string rounds ties up."""
+    return F.call_function("format_number", value, F.lit("0.000000"))
+
+
 def _marker_line(order: str, fps: float, scale: float) -> Column:
-    cell = lambda c: F.coalesce(F.format_string("%.6f", c * F.lit(scale)), F.lit(""))
+    cell = lambda c: F.coalesce(_six(c * F.lit(scale)), F.lit(""))
     places = F.transform("kp3d", lambda k: F.concat_ws("\t", *[F.when(k[c].isNull(), F.lit("")).otherwise(cell(k[c])) for c in "xyz"]))
-    return F.concat_ws("\t", F.col(order).cast("string"), F.format_string("%.6f", F.col(order) / F.lit(fps)), F.array_join(places, "\t"))
+    return F.concat_ws("\t", F.col(order).cast("string"), _six(F.col(order) / F.lit(fps)), F.array_join(places, "\t"))
 
 
 def trc_rows(rows: DataFrame, order: str, fps: float, scale: float = 1.0) -> DataFrame:

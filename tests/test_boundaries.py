@@ -149,3 +149,12 @@ def test_a_picture_gives_its_colour(spark):
     poses = spark.createDataFrame([(1, 7, 0, kp), (1, 8, 0, unsure), (1, 9, 1, kp), (1, 9, 2, kp)], "clip_id long, track_id long, frame_index long, kp array<struct<x: double, y: double, conf: double>>")
     images = spark.createDataFrame([(1, 0, 60, 40, image.tobytes()), (1, 1, 60, 40, b"short")], "clip_id long, frame_index long, width int, height int, pixels binary")
     assert [tuple(r) for r in kit.samples(poses, images).collect()] == [(1, 7, 0, 200.0, 30.0, 90.0)]
+
+
+def test_marker_lines_round_as_printf_does(spark):
+    """Ties go to the even digit and the exact binary value decides, as in C and in SQL."""
+    values = [0.0078125, 0.0234375, -0.0078125, 3.0000005, -4e-7, 0.0, 1234.5, 1e-6, None]
+    place = lambda v: {"x": v, "y": v, "z": v}
+    rows = spark.createDataFrame([(1, [place(v) for v in values])], "n long, kp3d array<struct<x: double, y: double, z: double>>")
+    line = sinks.trc_rows(rows, "n", 60.0).first()["line"]
+    assert line.split("\t") == ["1", "0.016667", *["" if v is None else "%.6f" % v for v in values for _ in "xyz"]]
