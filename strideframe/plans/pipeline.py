@@ -12,6 +12,7 @@ from strideframe.functions import geometry as g
 from strideframe.operators import calibration, clips, dives, events, features, lifting, positioning, report, tracks
 from strideframe.plans.config import Config
 from strideframe.schema import FRAME, TRACK
+from strideframe.sources.store import stored
 
 
 @dataclass
@@ -73,7 +74,11 @@ def track(detections: DataFrame, config: Config) -> DataFrame:
 
 
 def run(clip_rows: DataFrame, detections: DataFrame, config: Config, shots: DataFrame | None = None, colours: DataFrame | None = None) -> Result:
-    """All stages that the settings ask for, declared lazily; nothing is collected.
+    """All stages that the settings ask for; nothing is collected.
+
+    What several stages read is written once to the shared folder (the tracked rows, and with a
+    keeper the keepers, their features and their dives), so that no plan holds another one many
+    times over; the rest is declared lazily.
 
     Of the trimmed frames every ``frame_stride``-th of the clip's profile counts.
     colours: kit colour samples (clip_id, track_id, frame_index, r, g, b). The
@@ -92,6 +97,7 @@ def run(clip_rows: DataFrame, detections: DataFrame, config: Config, shots: Data
     tracked = track(timed.where(F.pmod(F.col(FRAME) - first, F.col("_stride")) == 0).drop("_fps", "_stride"), config)
     if "kp3d" in tracked.columns:
         tracked = lifting.lifter()(tracked, clip_rows, config.analysis.filter_cutoff_hz)
+    tracked = stored(tracked, "tracked")
     rows = features.pose_features(tracked).persist(StorageLevel.MEMORY_AND_DISK)
     out = Result(known, tracked, rows, cached=[rows])
     if config.calibration.enabled and config.calibration.image_points:
@@ -127,11 +133,12 @@ def keeper(out: Result, clip_rows: DataFrame, config: Config, shots: DataFrame |
         out.keepers = positioning.identify(out.features, by_goal, colours=by_colour, size=size)
         # Kept by clip: more than one candidate and no good one.
         out.uncertain = positioning.uncertain(positioning.score_geometry(out.features, by_goal, size=size) if by_goal is not None else positioning.score_colour(by_colour)) if by_goal is not None or by_colour is not None else None
-    own = out.features.join(out.keepers.select(*TRACK), TRACK, "left_semi")
+    out.keepers = stored(out.keepers, "keepers")
+    own = stored(out.features.join(out.keepers.select(*TRACK), TRACK, "left_semi").drop("kp"), "own")
     none = clip_rows.select("clip_id", *[F.lit(None).cast("double").alias(n) for n in ("lx", "ly", "rx", "ry", "crossbar_y")])
     cutoff = config.analysis.filter_cutoff_hz
     even = config.analysis.even_time
     rated = out.clips if even else clip_rows
     signals = dives.dive_signals(own, rated, (cutoff or 6.0) + 2.0, even)
-    out.dives = dives.detect_dives(signals, goals, shots, gk.dive_speed_threshold, gk.min_dive_frames, gk.dive_lean_threshold_deg, size)
+    out.dives = stored(dives.detect_dives(signals, goals, shots, gk.dive_speed_threshold, gk.min_dive_frames, gk.dive_lean_threshold_deg, size), "dives")
     out.report = report.goalkeeper_report(own, rated, none if goals is None else goals, shots, cutoff, size, kept=True, even_time=even)

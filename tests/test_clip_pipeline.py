@@ -113,3 +113,12 @@ def test_command_line_settings(tmp_path, capsys):
     cli.main(["devices"])
     cli.main(["backends"])
     assert "iphone_recent" in capsys.readouterr().out
+
+
+def test_the_summary_reads_each_stage_once(spark, sf):
+    """Plans that hold the keepers' plan again and again fill the driver: 158 exchanges before they were stored."""
+    d = adapters.dive_tracks(spark, sf).where("clip_id < 1").select("clip_id", "frame_index", (F.col("frame_index") / 60.0).alias("ts"), F.col("det_id").cast("int").alias("det_id"), "kp", F.lit(None).cast("struct<x1: double, y1: double, x2: double, y2: double, score: double>").alias("bbox"))
+    rows = clips_of(spark, sf).where("clip_id < 1")
+    out = pipeline.run(rows, d, Config.from_dict({"goalkeeper": {"enabled": True, "goal_posts": [[120, 300], [852, 300]]}, "analysis": {"filter_cutoff_hz": None}}))
+    assert out.summary()._jdf.queryExecution().executedPlan().toString().count("Exchange") < 50
+    out.release()
