@@ -485,12 +485,19 @@ def goalkeeper_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("clip_id", "track_id", "n", "duration_s", F.col("dive_count").cast("bigint").alias("dive_count"), "median_depth_m", "mouth", F.concat_ws(",", "warnings").alias("warnings"), report.summary_line().alias("summary"))
 
 
+def beside(boxes: DataFrame) -> DataFrame:
+    """boxes, and a second person 900 pixels beside each; a box is made once for both."""
+    b, rest = F.col("bbox"), [c for c in boxes.columns if c not in ("det_id", "bbox")]
+    moved = b.withField("x1", b["x1"] + 900).withField("x2", b["x2"] + 900)
+    two = F.array(F.struct(F.col("det_id"), b.alias("bbox")), F.struct(F.lit(1).cast("bigint").alias("det_id"), moved.alias("bbox")))
+    return boxes.select(*rest, F.inline(two)).select(*boxes.columns)
+
+
 @query
 def track_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = adapters.dive_tracks(spark, sf_dir)
-    both = d.select("clip_id", FRAME, "det_id", g.box_of(F.col("kp")).alias("bbox"), g.mean_confidence(F.col("kp")).alias("mean_conf"))
-    second = both.select("clip_id", FRAME, F.lit(1).cast("bigint").alias("det_id"), F.col("bbox").withField("x1", F.col("bbox.x1") + 900).withField("x2", F.col("bbox.x2") + 900).alias("bbox"), "mean_conf")
-    return tracks.track_boxes(both.union(second)).select("clip_id", FRAME, "det_id", "track_id", "confirmed")
+    one = d.select("clip_id", FRAME, "det_id", g.box_of(F.col("kp")).alias("bbox"), g.mean_confidence(F.col("kp")).alias("mean_conf"))
+    return tracks.track_boxes(beside(one)).select("clip_id", FRAME, "det_id", "track_id", "confirmed")
 
 
 @query
@@ -498,8 +505,7 @@ def track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All keepers one after another in one long clip, 80 frames apart, each beside a second person."""
     d = adapters.dive_tracks(spark, sf_dir)
     rows = d.select(F.lit(0).cast("bigint").alias("clip_id"), (F.col("clip_id") * 200 + F.col(FRAME)).alias(FRAME), "det_id", g.box_of(F.col("kp")).alias("bbox"), g.mean_confidence(F.col("kp")).alias("mean_conf"))
-    second = rows.withColumns({"det_id": F.lit(1).cast("bigint"), "bbox": F.col("bbox").withField("x1", F.col("bbox.x1") + 900).withField("x2", F.col("bbox.x2") + 900)})
-    return tracks.track_long_clips(rows.union(second), slice_rows=SLICE).select(FRAME, "det_id", "track_id", "confirmed")
+    return tracks.track_long_clips(beside(rows), slice_rows=SLICE).select(FRAME, "det_id", "track_id", "confirmed")
 
 
 @query

@@ -49,6 +49,11 @@ def poses3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIVE_FRAMES = 120
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Few rows of which each makes much work, shared out to as many tasks as a shuffle has: their bytes would put them into one."""
+    return rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def with_dive_pose(rows: DataFrame) -> DataFrame:
     """rows with ``kp``: the k-th keeper, who dives once, at frame f."""
     k, f = F.col("k"), F.col("f")
@@ -81,7 +86,7 @@ def dive_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keepers(keys: DataFrame, frames: int = DIVE_FRAMES) -> DataFrame:
     """The keepers of keys k, frame by frame."""
-    rows = keys.select("k", F.explode(F.expr(f"sequence(0L, {frames - 1}L)")).alias("f"))
+    rows = dealt(keys, "k").select("k", F.explode(F.expr(f"sequence(0L, {frames - 1}L)")).alias("f"))
     none = F.lit(0).cast("bigint")
     return with_dive_pose(rows).select(F.col("k").alias("clip_id"), none.alias("track_id"), F.col("f").alias("frame_index"), none.alias("det_id"), "kp")
 

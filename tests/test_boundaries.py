@@ -158,3 +158,10 @@ def test_marker_lines_round_as_printf_does(spark):
     rows = spark.createDataFrame([(1, [place(v) for v in values])], "n long, kp3d array<struct<x: double, y: double, z: double>>")
     line = sinks.trc_rows(rows, "n", 60.0).first()["line"]
     assert line.split("\t") == ["1", "0.016667", *["" if v is None else "%.6f" % v for v in values for _ in "xyz"]]
+
+
+def test_keepers_are_dealt_to_tasks(spark, sf):
+    """A small table of keys is one file and one task; the frames made of it are not."""
+    keys = spark.range(0, 40, 1, 1).withColumnRenamed("id", "k")
+    parts = adapters.keepers(keys, 2).select("clip_id", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len({r.p for r in parts}) == 4 and len(parts) == 40
