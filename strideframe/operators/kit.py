@@ -31,20 +31,22 @@ def samples(poses: DataFrame, images: DataFrame, inset: float = 0.2) -> DataFram
 
     images has clip_id, frame_index, width, height and pixels (bytes of rows of
     RGB). Poses without all four corners of the torso, or with a patch of no
-    size, give no row, nor do frames whose bytes do not fit their size. Only
-    the patch is cut out of a frame; frames travel once for each pose in them.
+    size, give no row, nor do frames whose bytes do not fit their size. The
+    patch is cut out of its frame where pose and frame meet, so that only its
+    bytes go to Python.
     """
     patch = g.torso_patch(F.col("kp"), F.col("width"), F.col("height"), inset)
     met = poses.select("clip_id", "track_id", FRAME, "kp").join(images.select("clip_id", FRAME, "width", "height", "pixels"), ["clip_id", FRAME])
-    some = met.withColumn("patch", patch).where("patch is not null and octet_length(pixels) = 3 * width * height").select("clip_id", "track_id", FRAME, "width", "height", "patch.*", "pixels")
+    fits = met.withColumn("patch", patch).where("patch is not null and octet_length(pixels) = 3 * width * height").select("clip_id", "track_id", FRAME, "width", "patch.*", "pixels")
+    line = "substring(pixels, cast(3 * (y * width + x1) + 1 as int), cast(3 * (x2 - x1) as int))"
+    some = fits.select("clip_id", "track_id", FRAME, (F.col("x2") - F.col("x1")).alias("wide"), F.expr(f"transform(sequence(y1, y2 - 1), y -> {line})").alias("lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("width", "height", "x1", "y1", "x2", "y2")]
             found = []
-            for (w, h, x1, y1, x2, y2), pixels in zip(zip(*columns, strict=True), batch.column("pixels"), strict=True):
-                found.append(patch_median(np.frombuffer(pixels.as_buffer(), np.uint8).reshape(h, w, 3)[y1:y2, x1:x2]))
+            for wide, lines in zip(batch.column("wide").to_pylist(), batch.column("lines").to_pylist(), strict=True):
+                found.append(patch_median(np.frombuffer(b"".join(lines), np.uint8).reshape(-1, wide, 3)))
             colours = np.array(found, dtype=float).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("clip_id", "track_id", FRAME)), *(pa.array(colours[:, k]) for k in range(3))], names=["clip_id", "track_id", FRAME, "r", "g", "b"])
 
-    return some.select("clip_id", "track_id", FRAME, "width", "height", "x1", "y1", "x2", "y2", "pixels").mapInArrow(run, OUT)
+    return some.mapInArrow(run, OUT)
