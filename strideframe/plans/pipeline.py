@@ -73,6 +73,17 @@ def track(detections: DataFrame, config: Config) -> DataFrame:
     return tracks.track_boxes(offered, tracks.Tracker(min_iou=t.iou_threshold, max_age=t.max_age, min_hits=t.min_hits), config.pose.min_person_confidence)
 
 
+def with_rates(detections: DataFrame, known: DataFrame) -> DataFrame:
+    """detections with their clip's ``_fps`` and ``_stride``, NULL if the clip is unknown.
+
+    Spark may take made-up frames to be as few as the keys they are made from, and would then send
+    all of them through the driver to join them. Of a left join only the clips can be broadcast, and
+    the generator keeps the optimiser from making an inner one of it.
+    """
+    of = known.select("clip_id", F.struct(F.col("fps").alias("_fps"), F.col("frame_stride").alias("_stride")).alias("_of"))
+    return detections.join(of, "clip_id", "left").select(*detections.columns, F.inline(F.array("_of")))
+
+
 def run(clip_rows: DataFrame, detections: DataFrame, config: Config, shots: DataFrame | None = None, colours: DataFrame | None = None) -> Result:
     """All stages that the settings ask for; nothing is collected.
 
@@ -87,7 +98,7 @@ def run(clip_rows: DataFrame, detections: DataFrame, config: Config, shots: Data
     config.checked()
     preset = None if config.video.device_preset in ("auto", "") else config.video.device_preset
     known = clips.with_advice(clips.with_profile(clip_rows, config.video.profile, preset))
-    timed = detections.join(known.select("clip_id", F.col("fps").alias("_fps"), F.col("frame_stride").alias("_stride")), "clip_id")
+    timed = with_rates(detections, known)
     at = F.col(FRAME) / F.col("_fps")
     if config.video.start_s is not None:
         timed = timed.where(at >= config.video.start_s)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strideframe.plans import pipeline
 from strideframe.plans.config import Config, ConfigError
-from strideframe.sources import adapters, backends
+from strideframe.sources import adapters, backends, store
 
 
 def test_settings_are_strict():
@@ -122,3 +122,19 @@ def test_the_summary_reads_each_stage_once(spark, sf):
     out = pipeline.run(rows, d, Config.from_dict({"goalkeeper": {"enabled": True, "goal_posts": [[120, 300], [852, 300]]}, "analysis": {"filter_cutoff_hz": None}}))
     assert out.summary()._jdf.queryExecution().executedPlan().toString().count("Exchange") < 50
     out.release()
+
+
+def test_frames_do_not_go_through_the_driver(spark, sf, monkeypatch):
+    """Frames made from few keys look small to Spark, which broadcast all of them to meet their clips."""
+    plans = []
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store.stored(df, name)
+
+    monkeypatch.setattr(pipeline, "stored", noted)
+    d = adapters.dive_tracks(spark, sf).where("clip_id < 3").drop("track_id").withColumn("bbox", F.lit(None).cast("struct<x1: double, y1: double, x2: double, y2: double, score: double>"))
+    out = pipeline.run(clips_of(spark, sf).where("clip_id < 2"), d, Config.from_dict({}))
+    assert "BuildLeft" not in plans[0] and "LeftOuter" in plans[0]
+    assert {(r.clip_id, r["count"]) for r in out.tracked.groupBy("clip_id").count().collect()} == {(0, 120), (1, 120)}  # the third clip is not among the clips
+    out.release()
