@@ -519,12 +519,18 @@ def streamed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Poses at a tenth of their size, and a picture of 128 x 72 for each frame, whose colours follow a formula."""
+    """Poses at a tenth of their size, and a picture of 128 x 72 for each frame, whose colours follow a formula.
+
+    Generators stand between: the optimiser would test the size of a picture before the frames are
+    made distinct, that is, draw one for each pose, and would write out a pose wherever a joint is read.
+    """
     p = adapters.poses(spark, sf_dir)
-    small = p.withColumn("kp", F.transform("kp", lambda k: F.struct((k["x"] * 0.1).alias("x"), (k["y"] * 0.1).alias("y"), k["conf"].alias("conf"))))
+    small = F.transform("kp", lambda k: F.struct((k["x"] * 0.1).alias("x"), (k["y"] * 0.1).alias("y"), k["conf"].alias("conf")))
     value = "pmod(i div 3 % 128 * 3 + i div 3 div 128 * 5 + frame_index * 7 + i % 3 * 11, 256)"
     pixels = F.expr(f"unhex(array_join(transform(sequence(0, {3 * 128 * 72 - 1}), i -> lpad(hex({value}), 2, '0')), ''))")
-    return small, p.select("clip_id", FRAME).distinct().select("clip_id", FRAME, F.lit(128).alias("width"), F.lit(72).alias("height"), pixels.alias("pixels"))
+    made = lambda name, c: F.inline(F.array(F.struct(c.alias(name))))
+    frames = p.select("clip_id", FRAME).distinct()
+    return p.select("clip_id", "track_id", FRAME, made("kp", small)), frames.select("clip_id", FRAME, F.lit(128).alias("width"), F.lit(72).alias("height"), made("pixels", pixels))
 
 
 @query

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideframe.operators import kit
+from strideframe.plans import catalogue
 from strideframe.sources import adapters, backends, files, sinks
 from strideframe.streaming import progress, smoothing, tracking
 
@@ -151,6 +152,14 @@ def test_a_picture_gives_its_colour(spark):
     assert [tuple(r) for r in kit.samples(poses, images).collect()] == [(1, 7, 0, 200.0, 30.0, 90.0)]
 
 
+@pytest.mark.parametrize("name", ["kit_samples", "kit_keeper"])
+def test_a_picture_is_drawn_once_for_its_frame(spark, sf, name):
+    """Its size was tested, and so the picture drawn, for every pose, before the frames were made distinct."""
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length(pixels" in plan and "octet_length(unhex" not in plan
+    assert plan.count("unhex(") == 1 and plan.index("Aggregate [", plan.index("unhex(")) > 0  # above the distinct frames
+
+
 def test_marker_lines_round_as_printf_does(spark):
     """Ties go to the even digit and the exact binary value decides, as in C and in SQL."""
     values = [0.0078125, 0.0234375, -0.0078125, 3.0000005, -4e-7, 0.0, 1234.5, 1e-6, None]
