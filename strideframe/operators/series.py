@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -181,6 +182,25 @@ def by_key(rows: DataFrame, keys: list[str], order: str, run: Callable[[pd.DataF
     return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(over_batches, schema)
 
 
+def by_key_in_arrow(rows: DataFrame, keys: list[str], order: str, run: Callable[[pa.Table, np.ndarray], pa.Table], schema: StructType) -> DataFrame:
+    """``by_key`` for rows of which ``run`` reads few columns: it gets and gives Arrow tables, so that the others are handed on as they are."""
+
+    def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            if table.num_rows:
+                begins = _begins(table.select(keys).to_pandas())
+                held = table.slice(int(begins[-1]))
+                if len(begins) > 1:
+                    yield from run(table.slice(0, int(begins[-1])), begins).to_batches()
+        if held is not None:
+            yield from run(held, np.array([0, held.num_rows])).to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(over_batches, schema)
+
+
 def _begins(keys: pd.DataFrame) -> np.ndarray:
     """Rows at which another key begins; nulls are one key."""
     other = np.zeros(len(keys), bool)

@@ -7,9 +7,10 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from strideframe.functions import geometry as g
 from strideframe.operators import long_series, series
@@ -191,14 +192,16 @@ def track_long_clips(detections: DataFrame, tracker: Tracker | None = None, min_
 
 def _tracked(detections: DataFrame, keys: list[str], settings: Tracker, min_conf: float) -> DataFrame:
     """Rows with track_id and confirmed, whole keys at a time; a frame without boxes is a miss."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in detections.schema.fields), "track_id bigint", "confirmed boolean"])
+    schema = StructType([*detections.schema.fields, StructField("track_id", LongType()), StructField("confirmed", BooleanType())])
     corner = [F.col(f"bbox.{c}").cast("double").alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")]
     usable = (F.col("bbox").isNotNull() & (F.col("mean_conf") >= min_conf)).alias("_usable")
     rows = detections.select(*detections.columns, *corner, F.coalesce(usable, F.lit(False)).alias("_usable"))
+    made = rows.columns[len(detections.columns) :]
 
-    def run(pdf: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
-        ids, sure = np.full(len(pdf), -1), np.zeros(len(pdf), bool)
-        boxes, ok = pdf[["_x1", "_y1", "_x2", "_y2"]].to_numpy(dtype=float).tolist(), pdf["_usable"].tolist()
+    def run(table: pa.Table, begins: np.ndarray) -> pa.Table:
+        ids, sure = np.full(table.num_rows, -1), np.zeros(table.num_rows, bool)
+        pdf = table.select([FRAME, "det_id", *made]).to_pandas()
+        boxes, ok = pdf[made[:4]].to_numpy(dtype=float).tolist(), pdf["_usable"].tolist()
         frames, turn = pdf[FRAME].tolist(), pdf["det_id"].tolist()
         for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
             own, last, i = Tracker(settings.min_iou, settings.reach, settings.max_age, settings.min_hits, settings.smoothing, settings.decay), None, a
@@ -214,12 +217,9 @@ def _tracked(detections: DataFrame, keys: list[str], settings: Tracker, min_conf
                 for k, (track, confirmed) in zip(at, own.step([boxes[k] for k in at]), strict=True):
                     ids[k], sure[k] = track, confirmed
                 last = frame
-        out = pdf.drop(columns=["_x1", "_y1", "_x2", "_y2", "_usable"])
-        out["track_id"] = pd.Series(ids, index=out.index, dtype="Int64").where(ids >= 0)
-        out["confirmed"] = sure
-        return out
+        return table.drop_columns(made).append_column("track_id", pa.array(ids, mask=ids < 0)).append_column("confirmed", pa.array(sure))
 
-    return series.by_key(rows, keys, FRAME, run, schema)
+    return series.by_key_in_arrow(rows, keys, FRAME, run, schema)
 
 
 def tall_boxes(detections: DataFrame, frame_height: Column | float, least: float = 0.05) -> DataFrame:

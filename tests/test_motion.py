@@ -393,3 +393,16 @@ def test_marker_text_and_formats(spark, sf, tmp_path):
     with pytest.raises(ValueError):
         sinks.write_trc(rows.limit(0), str(tmp_path / "none"), "vec_id", 60.0)
     assert sinks.write_all({"a": rows.select("vec_id"), "b": rows}, str(tmp_path / "out"), ["csv", "png", "json"]) == ["csv/b: AnalysisException", "no writer for png"]
+
+
+def test_the_tracker_hands_other_columns_on_in_arrow(spark):
+    """Keypoints went through pandas row by row; what the tracker does not read stays as it is, nulls and stamps too."""
+    schema = "clip_id long, frame_index long, det_id long, bbox struct<x1: double, y1: double, x2: double, y2: double>, mean_conf double, kp array<struct<x: double, y: double>>, at timestamp, word string"
+    rows = [(c, f, d, (100.0 * d, 0.0, 100.0 * d + 50, 90.0) if f % 5 else None, 0.9, [(0.1, None), None] if f % 2 else None, datetime(2026, 1, 1, 0, 0, f, 1), None if f % 3 else "é") for c in range(3) for f in range(12) for d in (0, 1)]
+    df = spark.createDataFrame(rows, schema)
+    out = tracks.track_boxes(df, tracks.Tracker(min_hits=2))
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    found = out.orderBy("clip_id", "frame_index", "det_id").collect()
+    assert [tuple(r)[:-2] for r in found] == [tuple(r) for r in df.orderBy("clip_id", "frame_index", "det_id").collect()]
+    assert [r.track_id for r in found] == [(r.det_id if r.frame_index % 5 else None) for r in found]
+    assert [r.confirmed for r in found] == [r.frame_index % 5 > 0 and r.frame_index > 1 for r in found]
