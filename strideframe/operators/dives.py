@@ -85,28 +85,30 @@ def track_dives(fps: np.ndarray, reference: np.ndarray, v: np.ndarray, x: np.nda
     """The dives of one track, whose rows are in order; columns of DIVE behind the track's."""
     fast = np.concatenate([[False], v >= speed, [False]])
     turns = np.flatnonzero(fast[1:] != fast[:-1])
+    spans = turns.reshape(-1, 2)  # rows a..b - 1
+    spans = spans[spans[:, 1] - spans[:, 0] >= min_rows]
+    most_lean = _within(np.fmax, np.abs(lean), spans)
+    spans, most_lean = spans[~(most_lean < min_lean)], most_lean[~(most_lean < min_lean)]
+    known = ~np.isnan(conf)
+    with np.errstate(invalid="ignore"):  # where no confidence is known
+        sure = _within(np.add, np.where(known, conf, 0.0), spans) / _within(np.add, known.astype(float), spans)
+    measures = [[None if x != x else x for x in column.tolist()] for column in (most_lean, _within(np.fmax, reach, spans), _within(np.fmin, lowest, spans), sure)]
     before, out = Before(len(v)), []
-    for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):  # rows a..b - 1
-        if b - a < min_rows:
-            continue
-        most_lean = _known(np.max, np.abs(lean[a:b]))
-        if most_lean is not None and most_lean < min_lean:
-            continue
+    for (a, b), top, *measured in zip(spans.tolist(), _within(np.maximum, v, spans).tolist(), *measures, strict=True):
         before.read(v, ankle, a)
         lifted = np.flatnonzero(ankle[a:b] < before.ground() - FOOT_LIFT)
         still, quiet = before.slowest(), before.last_quiet()
         row = (
-            fps[a], reference[a], frames[a], frames[b - 1], frames[a + int(np.argmax(v[a:b]))], v[a:b].max(), (x[b - 1] - x[a]) / reference[a],
-            most_lean, _known(np.max, reach[a:b]), _known(np.min, lowest[a:b]), _known(np.mean, conf[a:b]),
+            fps[a], reference[a], frames[a], frames[b - 1], frames[a + int(np.argmax(v[a:b]))], top, (x[b - 1] - x[a]) / reference[a], *measured,
             None if still is None else frames[still], frames[0 if quiet is None else quiet + 1], frames[a + lifted[0]] if len(lifted) else None,
         )
         out.append(row)
     return out
 
 
-def _known(of, values: np.ndarray) -> float | None:  # noqa: ANN001
-    values = values[~np.isnan(values)]
-    return float(of(values)) if len(values) else None
+def _within(of: np.ufunc, values: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """``of`` over the rows of each span, all spans in one pass; fmax and fmin pass over NaN."""
+    return of.reduceat(np.append(values, np.nan), spans.ravel())[::2] if len(spans) else np.zeros(0)
 
 
 class Before:
